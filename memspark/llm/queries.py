@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memspark.llm import bpe, mixing, topk, url_rules
-from memspark.llm.common import table
+from memspark.llm import bpe, langid, mixing, pu_quality, topk, url_rules
+from memspark.llm.common import fold, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Verdict, host and start of the path.
@@ -30,6 +30,20 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predicted(docs, langid.fit(docs, fold(F.col("doc_id"), 5) != 0))
+    held = F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False))
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+def op8_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    found = pu_quality.scored(docs, pu_quality.fit(docs, labels, fold(F.col("doc_id"), 3) != 1))
+    held = F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(False))
+    return found.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
     verdict = F.when(F.col("quality") == 0, "block").when(F.col("quality") == 1, "allow")
@@ -38,7 +52,7 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_topk, op2_byte_bpe, op3_source_mix, op10_url_rules)}
+    return {f.__name__: f for f in (op1_exact_topk, op2_byte_bpe, op3_source_mix, op5_cross_parsing, op8_pu_quality, op10_url_rules)}
 
 
 ORACLES = {
