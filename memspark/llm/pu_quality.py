@@ -26,7 +26,7 @@ from memspark.llm.arrays import LOWER, span_hashes, sums, text_parts, words
 #: Documents at most that the positives and the unlabelled text of a fit are sampled from, by hash.
 POSITIVES, UNLABELLED = 1500, 3000
 #: Hash buckets of words; steps and rate of the descent; weight of the penalty on squares.
-BUCKETS, STEPS, RATE, PENALTY = 1024, 400, 0.05, 1e-3
+BUCKETS, STEPS, RATE, PENALTY = 512, 300, 0.05, 1e-3
 #: Bounds on the estimated prior.
 PRIOR = (0.05, 0.95)
 
@@ -37,7 +37,7 @@ _CLASSES = {
 _KIND = np.full(256, len(_CLASSES), np.uint8)
 for _i, _chars in enumerate(_CLASSES.values()):
     _KIND[list(_chars)] = _i
-N_DENSE = len(_CLASSES) + 7
+N_DENSE = len(_CLASSES) + 8
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -66,7 +66,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     length = (ends - starts).astype(float)
     mean = sums(length, owner, n) / per
     dense = np.column_stack([
-        byte_shares,
+        np.sqrt(byte_shares), sums(ends - starts == 1, owner, n) / per,
         np.log1p(count), mean, np.sqrt(np.maximum(0, sums(length**2, owner, n) / per - mean**2)),
         kinds_of_word / per, pair_kinds / np.maximum(per - 1, 1), sums(twice, owner[1:], n) / per, count < 50,
     ])
@@ -105,14 +105,15 @@ def train(positive: list[str], unlabelled: list[str], prior: float) -> Model:
     (dp, bp), (du, bu) = _design(sorted(positive)), _design(sorted(unlabelled))
     centre, scale = du.mean(0), du.std(0) + 1e-6
     std = lambda d: np.clip((d - centre) / scale, -5, 5)
-    p, u = np.hstack([std(dp), bp, np.ones((len(dp), 1))]), np.hstack([std(du), bu, np.ones((len(du), 1))])
+    p, u = (np.hstack([std(d), b, np.ones((len(d), 1))]).astype(np.float32) for d, b in ((dp, bp), (du, bu)))
     w, m, v = np.zeros(p.shape[1]), np.zeros(p.shape[1]), np.zeros(p.shape[1])
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for step in range(1, STEPS + 1):
-        zp, zu = p @ w, u @ w
+        narrow = w.astype(np.float32)
+        zp, zu = (p @ narrow).astype(float), (u @ narrow).astype(float)
         sp, su = sigmoid(zp), sigmoid(zu)
-        up = -prior * (p.T @ (1 - sp)) / len(p)  # of the positives' loss as positives
-        down = u.T @ su / len(u) - prior * (p.T @ sp) / len(p)  # of the negative part
+        up = -prior * (p.T @ (1 - sp).astype(np.float32)) / len(p)  # of the positives' loss as positives
+        down = u.T @ su.astype(np.float32) / len(u) - prior * (p.T @ sp.astype(np.float32)) / len(p)  # of the negative part
         negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
         g = (up + down if negative >= 0 else -down) + PENALTY * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memspark.llm import bpe, langid, mixing, pu_quality, topk, url_rules
+from memspark.llm import bpe, langid, mixing, pu_quality, quality_rules, topk, url_rules
 from memspark.llm.common import fold, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -30,6 +30,12 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    found = quality_rules.judged(docs.select("doc_id", "text"), quality_rules.fit(docs, quality_rules.trusted_hashes(labels)))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
+
+
 def op5_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.predicted(docs, langid.fit(docs, fold(F.col("doc_id"), 5) != 0))
@@ -52,7 +58,7 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_topk, op2_byte_bpe, op3_source_mix, op5_cross_parsing, op8_pu_quality, op10_url_rules)}
+    return {f.__name__: f for f in (op1_exact_topk, op2_byte_bpe, op3_source_mix, op4_quality_rules, op5_cross_parsing, op8_pu_quality, op10_url_rules)}
 
 
 ORACLES = {
