@@ -11,7 +11,8 @@ import pyarrow as pa
 PART_BYTES = 1 << 20
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _MIX_1, _MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_powers = np.ones(1, np.uint64)
+_INVERSE = np.uint64(pow(int(_MULTIPLIER), -1, 1 << 64))
+_powers = {_MULTIPLIER: np.ones(1, np.uint64), _INVERSE: np.ones(1, np.uint64)}
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -19,14 +20,13 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 
-def powers(n: int) -> np.ndarray:
-    """0th to (n-1)th power of the hash multiplier, modulo 2^64."""
-    global _powers
-    if len(_powers) < n:
-        grown = np.full(1 << max(16, (n - 1).bit_length()), _MULTIPLIER, np.uint64)
+def powers(base: np.uint64, n: int) -> np.ndarray:
+    """0th to (n-1)th power of the hash multiplier or its inverse, modulo 2^64."""
+    if len(_powers[base]) < n:
+        grown = np.full(1 << max(16, (n - 1).bit_length()), base, np.uint64)
         grown[0] = 1
-        _powers = np.cumprod(grown, dtype=np.uint64)
-    return _powers[:n]
+        _powers[base] = np.cumprod(grown, dtype=np.uint64)
+    return _powers[base][:n]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -69,12 +69,17 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span of bytes."""
-    power = powers(len(data) + 1)
+def prefix_hashes(data: np.ndarray) -> np.ndarray:
+    """Running sums of byte times power; ``span_of`` reads the hash of any span off them."""
     prefix = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:-1], dtype=np.uint64, out=prefix[1:])
-    raw = (prefix[ends] - prefix[starts]) * power[len(data) - starts]
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_MULTIPLIER, len(data)), dtype=np.uint64, out=prefix[1:])
+    return prefix
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each span of bytes, wherever it stands."""
+    prefix = prefix_hashes(data)
+    raw = (prefix[ends] - prefix[starts]) * powers(_INVERSE, len(data) + 1)[starts]
     return mixed(raw + (ends - starts).astype(np.uint64) * _MIX_1)
 
 
