@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memspark.llm import bpe, langid, minhash, mixing, pu_quality, quality_rules, topk, url_rules
+from memspark.llm import bpe, langid, minhash, mixing, pu_quality, quality_rules, suffix_dedup, topk, url_rules
 from memspark.llm.common import fold, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -54,6 +54,10 @@ def op8_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.stripped(table(spark, sf_dir, "documents"), digest=True)
+
+
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
     verdict = F.when(F.col("quality") == 0, "block").when(F.col("quality") == 1, "allow")
@@ -62,7 +66,7 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_topk, op2_byte_bpe, op3_source_mix, op4_quality_rules, op5_cross_parsing, op6_minhash, op8_pu_quality, op10_url_rules)}
+    return {f.__name__: f for f in (op1_exact_topk, op2_byte_bpe, op3_source_mix, op4_quality_rules, op5_cross_parsing, op6_minhash, op8_pu_quality, op9_suffix_array, op10_url_rules)}
 
 
 ORACLES = {
