@@ -154,8 +154,8 @@ def _settled(rows: pa.Table) -> pa.Table:
     })
 
 
-def suffix_order(data: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes in the order of their first ``depth`` bytes at least, by Larsson-Sadakane refinement.
+def suffix_order(data: np.ndarray) -> np.ndarray:
+    """Suffixes in full order, as Kasai's rule needs it, by Larsson-Sadakane refinement.
 
     The end of the data counts as smaller than any byte.
     """
@@ -172,7 +172,7 @@ def suffix_order(data: np.ndarray, depth: int) -> np.ndarray:
     lead = np.maximum.accumulate(np.where(new, np.arange(n), 0)) if n else np.empty(0, np.int64)
     rank[order] = lead + 1  # a group is numbered by its first place; 0 is the end
     h = 8
-    while h < depth:
+    while True:
         tied = ~new
         tied[:-1] |= ~new[1:]
         places = np.flatnonzero(tied)
@@ -222,7 +222,7 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, most: int) -> np.ndarra
 
 def later_windows(data: np.ndarray, begins: np.ndarray, counts: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Of the windows of joined pieces, in order, whether an equal one starts earlier."""
-    order = suffix_order(data, LENGTH)
+    order = suffix_order(data)
     prefix = common_prefixes(data, order, LENGTH)
     piece = np.repeat(np.arange(len(begins)), counts)
     nth = np.arange(len(piece)) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -287,9 +287,10 @@ def _merged_shards(rows: pa.Table) -> pa.Table:
     piece = np.repeat(np.arange(len(counts)), counts)
     nth = np.arange(len(piece)) - np.repeat(np.cumsum(counts) - counts, counts)
     views = np.lib.stride_tricks.sliding_window_view(data, LENGTH)[begins[piece] + nth]
-    text = np.ascontiguousarray(views).view(f"V{LENGTH}").ravel().astype(f"S{LENGTH}") if len(views) else np.empty(0, f"S{LENGTH}")
     # Ends of a byte string drop zeros; a final mark keeps all windows as long as they are.
-    text = np.array([t.ljust(LENGTH, b"\0") + b"\1" for t in text.tolist()], f"S{LENGTH + 1}") if len(text) else text
+    marked = np.ones((len(views), LENGTH + 1), np.uint8)
+    marked[:, :LENGTH] = views
+    text = marked.view(f"S{LENGTH + 1}").ravel()
     source = rows.column("part").to_numpy()[piece]
     doc_w, at_w = doc[piece], start[piece] + nth
     late = np.zeros(len(piece), bool)
