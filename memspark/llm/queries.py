@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memspark.llm import bpe, langid, minhash, mixing, pu_quality, quality_rules, suffix_dedup, topk, url_rules
+from memspark.llm import bpe, langid, minhash, mixing, pii, pu_quality, quality_rules, suffix_dedup, topk, url_rules
 from memspark.llm.common import fold, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -47,6 +47,11 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.clustered(table(spark, sf_dir, "documents"))
 
 
+def op7_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.detected(docs, pii.fit(docs))
+
+
 def op8_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     found = pu_quality.scored(docs, pu_quality.fit(docs, labels, fold(F.col("doc_id"), 3) != 1))
@@ -66,7 +71,7 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_topk, op2_byte_bpe, op3_source_mix, op4_quality_rules, op5_cross_parsing, op6_minhash, op8_pu_quality, op9_suffix_array, op10_url_rules)}
+    return {f.__name__: f for f in (op1_exact_topk, op2_byte_bpe, op3_source_mix, op4_quality_rules, op5_cross_parsing, op6_minhash, op7_semi_markov_pii, op8_pu_quality, op9_suffix_array, op10_url_rules)}
 
 
 ORACLES = {
