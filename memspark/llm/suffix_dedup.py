@@ -160,18 +160,19 @@ def suffix_order(data: np.ndarray) -> np.ndarray:
     The end of the data counts as smaller than any byte.
     """
     n = len(data)
-    padded = np.zeros(n + 8, np.uint64)
+    padded = np.zeros(n + 7, np.uint64)
     padded[:n] = data
-    first = np.zeros(n, np.uint64)  # eight bytes at once; an end that ties with zeros is told apart by the first doubling
-    for j in range(8):
-        first = (first << np.uint64(8)) | padded[j : n + j]
+    padded[:n] += np.uint64(1)
+    first = np.zeros(n, np.uint64)  # seven bytes at once, of nine bits each: 0 is the end
+    for j in range(7):
+        first = (first << np.uint64(9)) | padded[j : n + j]
     order = np.argsort(first, kind="stable")
     new = np.append(True, first[order][1:] != first[order][:-1]) if n else np.empty(0, bool)
     rank = np.empty(n + 1, np.int64)
     rank[n] = 0
     lead = np.maximum.accumulate(np.where(new, np.arange(n), 0)) if n else np.empty(0, np.int64)
     rank[order] = lead + 1  # a group is numbered by its first place; 0 is the end
-    h = 8
+    h = 7
     while True:
         tied = ~new
         tied[:-1] |= ~new[1:]
