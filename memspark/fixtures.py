@@ -1,0 +1,139 @@
+"""Input tables of the engine, mapped from the driver's tables (``FIXTURES.md``).
+
+The same text runs in Spark and DuckDB; ``{SHA}``, ``{SHA2}`` and ``{BYTES}``
+stand for the two functions that have other names there.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+BASE = ("documents", "embeddings", "benchmark", "events")
+SPARK = {"{SHA}": "sha2", "{SHA2}": ", 256", "{BYTES}": "octet_length"}
+DUCKDB = {"{SHA}": "sha256", "{SHA2}": "", "{BYTES}": "strlen"}
+
+VIEWS = {
+    "fx_chunks": """
+SELECT concat('c', doc_id) AS id, source AS skill_name, text AS content,
+  substr(text, 1, 80) AS trigger_desc,
+  CASE WHEN doc_id % 9 = 0 THEN substr(text, 1, 12) END AS anti_trigger_desc,
+  {SHA}(text{SHA2}) AS content_hash,
+  CAST(ceil({BYTES}(text) / 4.0) AS BIGINT) AS token_count,
+  CASE WHEN doc_id % 10 = 0 THEN 'spark' WHEN doc_id % 10 = 1 THEN 'installed'
+       WHEN doc_id % 10 < 6 THEN 'distilled' ELSE 'captured' END AS origin,
+  CASE WHEN doc_id % 10 = 0 THEN CASE WHEN doc_id % 40 = 0 THEN 'promoted' ELSE 'seed' END END AS maturity,
+  CASE WHEN doc_id % 10 = 1 THEN 1 ELSE 0 END AS protected,
+  CASE WHEN doc_id % 7 = 0 THEN 'archived' WHEN doc_id % 7 < 3 THEN 'pending' ELSE 'active' END AS state,
+  CAST((doc_id * 37) % 100 AS DOUBLE) / 100 AS confidence_base,
+  CASE WHEN doc_id % 50 = 3 THEN 0 ELSE 1 END AS embed_version,
+  TIMESTAMP '2023-11-01 00:00:00' + INTERVAL '1' DAY * (doc_id % 90) AS created_at,
+  CASE WHEN doc_id % 11 = 0 THEN TIMESTAMP '2024-01-10 00:00:00' END AS evidence_cutoff_at
+FROM documents""",
+    "fx_usage": """
+SELECT event_id AS id,
+  concat('t', user_id, '_', CAST(CAST(ts AS DATE) AS VARCHAR(10))) AS trace_id,
+  CASE WHEN event_type IN ('view','click','purchase')
+       THEN concat('c', (user_id * 7 + event_id % 5) % (SELECT count(*) FROM documents)) END AS chunk_id,
+  CASE event_type WHEN 'view' THEN 'retrieved' WHEN 'click' THEN 'selected' WHEN 'purchase' THEN 'used'
+       WHEN 'signup' THEN 'task_ok' ELSE 'task_fail' END AS event,
+  CASE WHEN event_type = 'purchase' THEN CASE user_id % 3 WHEN 0 THEN 'explicit' WHEN 1 THEN 'cited' ELSE 'inferred' END END AS attribution,
+  CASE user_id % 6 WHEN 0 THEN 'mcp' WHEN 1 THEN 'sdk' WHEN 2 THEN 'cli' WHEN 3 THEN 'hook' WHEN 4 THEN 'daemon' ELSE 'augmented' END AS source,
+  CAST(event_id % 12 + 1 AS BIGINT) AS rank, value / 500 AS similarity, ts
+FROM events""",
+    "fx_feedback": """
+SELECT concat('f', event_id) AS id, concat('t', user_id, '_', CAST(CAST(ts AS DATE) AS VARCHAR(10))) AS trace_id,
+  concat('c', (user_id * 7 + event_id % 5) % (SELECT count(*) FROM documents)) AS chunk_id,
+  CASE WHEN value < 40 THEN 'down' ELSE 'up' END AS signal,
+  CASE WHEN event_id % 4 = 0 THEN 0.6 ELSE 1.0 END AS strength,
+  CASE WHEN user_id % 8 <> 0 THEN concat('u', event_id % 9) END AS actor,
+  concat('ctx', user_id % 20) AS context_key, ts
+FROM events WHERE event_type IN ('view','click') AND (value < 40 OR value > 160)""",
+    "fx_deps": """
+SELECT concat('c', doc_id) AS src, concat('c', (doc_id * 3 + 1) % ((SELECT count(*) FROM documents) + 5)) AS dst,
+  CASE WHEN doc_id % 2 = 0 THEN 'hard' ELSE 'soft' END AS kind FROM documents WHERE doc_id % 3 <> 0""",
+    "fx_vec_content": """
+SELECT concat('c', vec_id) AS chunk_id, embedding FROM embeddings WHERE vec_id < (SELECT count(*) FROM documents)""",
+    "fx_vec_trigger": """
+SELECT concat('c', (vec_id + 7) % (SELECT count(*) FROM embeddings)) AS chunk_id, embedding FROM embeddings WHERE (vec_id + 7) % (SELECT count(*) FROM embeddings) < (SELECT count(*) FROM documents)""",
+    "fx_queries": """
+SELECT b.item_id AS query_id, b.text AS query, concat('ctx', b.item_id % 20) AS context_key, e.embedding AS vec, e.label AS label FROM benchmark b CROSS JOIN (SELECT count(*) AS n FROM embeddings) k JOIN embeddings e ON e.vec_id = (b.item_id * 11) % k.n""",
+    "fx_relevant": """
+SELECT q.query_id, concat('c', e.vec_id) AS chunk_id FROM fx_queries q JOIN embeddings e ON e.label = q.label WHERE e.vec_id < (SELECT count(*) FROM documents)""",
+    "fx_oplog": """
+SELECT concat('o', event_id) AS id, CASE event_type WHEN 'view' THEN 'recall' WHEN 'click' THEN 'hook_recall' WHEN 'purchase' THEN 'record' WHEN 'signup' THEN 'evolve' ELSE 'embed' END AS op,
+  CASE WHEN event_id % 17 = 0 THEN 'timeout' WHEN event_id % 13 = 0 THEN 'error' ELSE 'ok' END AS status,
+  CASE WHEN event_id % 17 = 0 THEN 'llm_timeout' WHEN event_id % 13 = 0 THEN 'db_locked' END AS error_kind,
+  CASE WHEN user_id % 5 <> 0 THEN concat('agent', user_id % 3) END AS agent,
+  CAST(floor(value * 10) AS BIGINT) AS duration_ms, ts AS started_at FROM events""",
+    "fx_log": """
+SELECT concat('t', user_id, '_', CAST(CAST(ts AS DATE) AS VARCHAR(10))) AS trace_id, min(ts) AS ts,
+  concat('ctx', user_id % 20) AS context_key,
+  CASE user_id % 6 WHEN 0 THEN 'mcp' WHEN 1 THEN 'sdk' WHEN 2 THEN 'cli' WHEN 3 THEN 'hook' WHEN 4 THEN 'daemon' ELSE 'augmented' END AS event_source,
+  CASE WHEN user_id % 4 <> 0 THEN concat('agent', user_id % 3) END AS agent,
+  CASE WHEN max(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) = 1 THEN 'fail'
+       WHEN max(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) = 1 THEN 'ok' END AS outcome,
+  CASE WHEN max(CASE WHEN event_type IN ('error','signup') THEN 1 ELSE 0 END) = 1 THEN 'completed'
+       WHEN min(ts) < TIMESTAMP '2024-01-17 00:00:00' THEN 'timed_out' ELSE 'recalled' END AS task_state,
+  CASE WHEN max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) = 1 THEN 'known_some'
+       WHEN user_id % 5 = 0 THEN 'known_none' ELSE 'unknown' END AS usage_state
+FROM events GROUP BY user_id, CAST(ts AS DATE)""",
+    "fx_episodes": """
+SELECT concat('e', event_id) AS id, concat('s', user_id, '_', CAST(CAST(ts AS DATE) AS VARCHAR(10))) AS session_id,
+  concat('p', user_id % 4) AS project, ts, concat('sig', event_id % 97) AS signal FROM events WHERE event_type = 'error'""",
+    "fx_validations": """
+SELECT concat('v', event_id) AS id, concat('c', (user_id * 7 + event_id % 5) % (SELECT count(*) FROM documents)) AS chunk_id,
+  CASE event_id % 6 WHEN 0 THEN 'shown' WHEN 1 THEN 'observed' WHEN 2 THEN 'contradicted' WHEN 3 THEN 'irrelevant' ELSE 'supported' END AS verdict,
+  concat('s', user_id, '_', CAST(CAST(ts AS DATE) AS VARCHAR(10))) AS session_id, concat('p', user_id % 4) AS project,
+  CASE WHEN event_id % 12 = 2 THEN ts END AS resolved_at, ts AS created_at FROM events WHERE event_type = 'click'""",
+    "fx_verdicts": """
+SELECT concat('d', event_id) AS verdict_id, concat('t', user_id, '_', CAST(CAST(ts AS DATE) AS VARCHAR(10))) AS trace_id,
+  CASE WHEN event_id % 10 = 0 THEN NULL WHEN event_id % 10 < 5 THEN 'affirm' WHEN event_id % 10 < 8 THEN 'caution' ELSE 'neutral' END AS emitted_valence,
+  CASE WHEN event_id % 10 = 0 THEN NULL ELSE CAST((event_id * 31) % 100 AS DOUBLE) / 100 END AS emitted_conf,
+  CAST((event_id * 17) % 101 AS DOUBLE) / 100 AS emitted_strength,
+  CASE WHEN event_id % 10 = 0 THEN 'weak_resonance' END AS abstain_reason,
+  CASE WHEN user_id % 3 = 0 THEN NULL WHEN value > 60 THEN 1.0 ELSE -1.0 END AS observed_outcome,
+  CASE WHEN user_id % 3 = 0 THEN NULL WHEN user_id % 7 = 0 THEN 'counterfactual_censored' ELSE 'observed' END AS outcome_provenance, ts AS emitted_at
+FROM events WHERE event_type = 'view'""",
+}
+
+
+def text_of(name: str, dialect: dict[str, str]) -> str:
+    text = VIEWS[name]
+    for mark, said in dialect.items():
+        text = text.replace(mark, said)
+    return text
+
+
+def needed(text: str) -> list[str]:
+    """Views that ``text`` names, each after those it is built on."""
+    found: list[str] = []
+    for name in VIEWS:
+        if name in text and name not in found:
+            found += [n for n in needed(VIEWS[name].replace(name, "")) if n not in found] + [name]
+    return list(dict.fromkeys(found))
+
+
+def with_views(sql: str) -> str:
+    """DuckDB text of ``sql`` with the views it names as common table expressions."""
+    views = [f"{n} AS ({text_of(n, DUCKDB)})" for n in needed(sql)]
+    head, body = ("WITH ", sql.strip())
+    if body.upper().startswith("WITH RECURSIVE "):
+        head, body = "WITH RECURSIVE ", ", " + body[15:]
+    elif body.upper().startswith("WITH "):
+        body = ", " + body[5:]
+    return head + ",\n".join(views) + "\n" + body if views else sql
+
+
+def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A mapped table, or one of the driver's own."""
+    if name not in VIEWS:
+        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    text = text_of(name, SPARK)
+    frames = {}
+    for other in (*BASE, *VIEWS):
+        if other != name and f" {other}" in text:
+            text = text.replace(f" {other} ", f" {{{other}}} ").replace(f" {other})", f" {{{other}}})")
+            text = text[: -len(other)] + f"{{{other}}}" if text.endswith(f" {other}") else text
+            text = text.replace(f" {other}\n", f" {{{other}}}\n")
+            frames[other] = view(spark, sf_dir, other)
+    return spark.sql(text, **frames)
