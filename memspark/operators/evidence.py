@@ -71,7 +71,7 @@ def latest_feedback(lib: Library) -> DataFrame:
     """The last signal of a trace about a chunk wins."""
     last = F.max_by(F.struct("id", "signal", "strength", "actor"), F.struct("ts", "id")).alias("l")
     x = lib.feedback.groupBy("trace_id", "chunk_id").agg(last)
-    return x.select("trace_id", "chunk_id", F.col("l.id").alias("id"), F.col("l.signal").alias("signal"), F.col("l.strength").alias("strength"), F.col("l.actor").alias("actor"))
+    return x.select("trace_id", "chunk_id", F.col("l.id").alias("id"), F.col("l.signal").alias("signal"), F.col("l.strength").cast("double").alias("strength"), F.col("l.actor").alias("actor"))
 
 
 def governance(lib: Library) -> DataFrame:
