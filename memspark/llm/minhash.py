@@ -5,11 +5,12 @@ into bins, the least of each bin is kept, and an empty bin borrows from the
 first filled bin in an order of its own (optimal densification).  Bands of the
 signature are bucket keys.
 
-Candidates form stars: in a bucket every set is paired with the bucket's least
-id only, so a bucket of n sets gives n - 1 pairs.  Pairs are confirmed on full
+Candidates form stars: in a bucket every set is paired with the bucket's centre
+only, the set that meets most others, so a bucket of n sets gives n - 1 pairs.  Pairs are confirmed on full
 sets.  Buckets whose members then still lie in different components get an exact
-second pass: the sets outside the bucket's largest component are paired with the
-members of other components.  Sets that share no bucket are the only ones never
+second pass over pairs of different components, which in large buckets joins
+what the sets have changed against the centre instead of pairing all.
+Sets that share no bucket are the only ones never
 compared; at similarity 0.85 the chance of that is (1 - 0.85^6)^40 = 6e-9.
 
 Documents with the same set are collapsed before and share a component.
@@ -31,6 +32,10 @@ from memspark.llm.components import components
 #: Words of a shingle; least similarity in percent; rows of a band and bands.
 WIDTH, PERCENT, ROWS, BANDS = 5, 85, 6, 40
 BINS = ROWS * BANDS
+#: Pairs of a bucket up to which the second pass compares them without looking at changes.
+FEW = 256
+#: In a star, changes that one member in so many shares come after the rarer ones.
+COMMON = 20
 #: Ids up to which a list of candidates is broadcast (16 MB).
 SMALL = 2_000_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -156,17 +161,16 @@ def clustered(docs: DataFrame) -> DataFrame:
     # The row of each group's least id stands for the group.
     reps = named.join(groups.select("rep", *[F.col(k).alias(f"_{k}") for k in key]), (F.col("doc_id") == F.col("rep")) & (F.col("n_shingles") == F.col("_n_shingles")) & (F.col("set_a") == F.col("_set_a")) & (F.col("set_b") == F.col("_set_b")), "left_semi")
     rows = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    centres = rows.groupBy("key").agg(F.min(F.struct("id", "n")).alias("c"), F.max("id").alias("last")).filter("c.id < last")
-    shared = rows.join(centres.select("key", F.col("c.id").alias("centre"), F.col("c.n").alias("cn")), "key")
-    shared = written(shared, "buckets")
-    pairs = shared.filter((F.col("id") != F.col("centre")) & _near_sizes(F.col("n"), F.col("cn"))).select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
+    shared = written(_buckets(rows), "buckets")
+    star = F.struct(F.least("centre", "id").alias("a"), F.greatest("centre", "id").alias("b"))
+    pairs = shared.filter((F.col("id") != F.col("centre")) & _near_sizes(F.col("n"), F.col("cn"))).select(star.alias("p")).select("p.*").distinct()
     pairs = written(pairs, "pairs")
     bucketed = shared.select(F.col("id").alias("doc_id")).distinct()
     bucketed = F.broadcast(bucketed) if bucketed.count() <= SMALL else bucketed
     sets = written(full_sets(docs.select("doc_id", "text").join(bucketed, "doc_id", "left_semi")), "sets")
     links = written(confirmed(pairs, sets), "confirmed")
     roots = components(links)
-    rest = written(_unsettled(shared, roots), "rest")
+    rest = written(_unsettled(shared, roots, sets), "rest")
     more = confirmed(rest.join(pairs, ["a", "b"], "left_anti"), sets)
     more = written(more, "more")
     if not more.isEmpty():
@@ -178,16 +182,81 @@ def clustered(docs: DataFrame) -> DataFrame:
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _unsettled(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs (a < b) of ``shared`` (key, id, n, centre) in one bucket but different components, the centre's aside.
+def _buckets(rows: DataFrame) -> DataFrame:
+    """``rows`` (key, id, n) of buckets with several sets, with the bucket's centre and its size.
 
-    One of the two is outside the bucket's largest component, so buckets that
-    have come together give none and nearly so few.
+    The centre is the set that meets most others over all buckets (ties: the
+    least id): of a text and its altered copies that is mostly the text, which
+    resembles each copy more than they resemble each other.
     """
-    x = shared.filter("id <> centre").join(roots, shared["id"] == roots["node"], "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
+    held = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    x = written(rows.join(held, "key"), "met")
+    degree = x.groupBy("id").agg(F.sum(F.col("m") - 1).alias("degree"))
+    x = x.drop("m").join(degree, "id")
+    best = F.max(F.struct(F.col("degree"), -F.col("id"), F.col("id").alias("c"), F.col("n").alias("cn"))).alias("best")
+    centres = x.groupBy("key").agg(best).select("key", F.col("best.c").alias("centre"), F.col("best.cn").alias("cn"))
+    return x.drop("degree").join(centres, "key")
+
+
+def _unsettled(shared: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a < b) of sets that meet in a bucket of ``shared`` (key, id, n, centre, cn) and may be linked across components.
+
+    Only buckets that lie in several components count, and only pairs of which
+    one set is outside the bucket's largest component.  Where that leaves few
+    pairs they are all given; in larger buckets those that ``_by_changes`` finds.
+    """
+    x = shared.join(roots, shared["id"] == roots["node"], "left").select("key", "id", "n", "centre", "cn", F.coalesce("root", "id").alias("root"))
     held = x.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"))
-    main = held.groupBy("key").agg(F.max(F.struct("m", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("key", F.col("top.root").alias("main"))
-    x = x.join(main, "key")
-    out = x.filter("root <> main").select("key", F.col("id").alias("i"), F.col("n").alias("k"), F.col("root").alias("r"))
-    two = x.join(out, "key").filter((F.col("root") != F.col("r")) & _near_sizes(F.col("n"), F.col("k")) & ((F.col("root") == F.col("main")) | (F.col("id") < F.col("i"))))
-    return two.select(F.least("id", "i").alias("a"), F.greatest("id", "i").alias("b")).distinct()
+    top = held.groupBy("key").agg(F.max(F.struct("m", "root")).alias("top"), F.sum("m").alias("all"), F.count(F.lit(1)).alias("roots"))
+    few = (F.col("all") - F.col("top.m")) * F.col("all") <= FEW
+    x = x.join(top.filter("roots > 1").select("key", F.col("top.root").alias("main"), few.alias("few")), "key")
+    x = written(x, "unsettled")
+    direct = x.filter("few AND id <> centre")
+    out = direct.filter("root <> main").select("key", F.col("id").alias("i"), F.col("n").alias("k"), F.col("root").alias("r"))
+    two = direct.join(out, "key").filter((F.col("root") != F.col("r")) & _near_sizes(F.col("n"), F.col("k")) & ((F.col("root") == F.col("main")) | (F.col("id") < F.col("i"))))
+    pairs = two.select(F.least("id", "i").alias("a"), F.greatest("id", "i").alias("b"))
+    # Large buckets with the same largest component share one centre, the one that most of them have.
+    large = x.filter("NOT few")
+    votes = large.groupBy("main", "centre", "cn").agg(F.count(F.lit(1)).alias("v"))
+    hub = votes.groupBy("main").agg(F.max(F.struct("v", "centre", "cn")).alias("h")).select("main", F.col("h.centre").alias("centre"), F.col("h.cn").alias("cn"))
+    stars = large.select("main", "id", "n", "root").distinct().join(hub, "main").filter("id <> centre").select("centre", "cn", "id", "n", "root").distinct()
+    return pairs.unionByName(_by_changes(stars, sets)).distinct()
+
+
+def _by_changes(stars: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a < b) of members of one star (centre, cn, id, n, root) that may be linked but lie in different components.
+
+    What a member adds to the centre's set and lacks of it are its changes, e of
+    them.  Sets x and y differ in e(x) + e(y) - 2 * shared changes, and are
+    linked if that is at most d * (|x| + |y|), with d = (100 - PERCENT) / (100 +
+    PERCENT).  So a link needs (u(x) + u(y)) / 2 shared changes, u = e - d * size.
+    Sets linked to the centre are paired with it.  Of two others in different
+    components one at least is not linked to the centre, thus has u > d * |centre|.  Sets that need t shared changes share one among the
+    first e - t + 1 of each in any common order; changes that few members share
+    come first.  No pair that could be linked is left out.
+    """
+    less, both = 100 - PERCENT, 100 + PERCENT
+    x = stars.join(sets.select("id", F.col("shingles").alias("own")), "id").join(sets.select(F.col("id").alias("centre"), F.col("shingles").alias("mid")), "centre")
+    changes = F.concat(F.array_except("own", "mid"), F.array_except("mid", "own"))
+    x = written(x.select("centre", "cn", "id", "n", "root", changes.alias("changes")), "changed")
+    # Changes that at least one member in COMMON shares: on average a member has e changes, so a star has at most COMMON * e of them.
+    members = x.groupBy("centre").agg(F.count(F.lit(1)).alias("m"))
+    often = x.select("centre", F.explode("changes").alias("c")).groupBy("centre", "c").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
+    often = often.join(members, "centre").filter(F.col("times") * COMMON >= F.col("m"))
+    often = often.groupBy("centre").agg(F.array_sort(F.collect_list(F.struct("times", "c"))).getField("c").alias("often"))
+    x = x.join(often, "centre", "left").withColumn("often", F.coalesce("often", F.array().cast("array<long>")))
+    ordered = F.concat(F.sort_array(F.array_except("changes", "often")), F.array_intersect("often", "changes"))
+    x = x.select("centre", "cn", "id", "n", "root", ordered.alias("changes")).withColumn("e", F.size("changes"))
+    far = both * F.col("e") > less * (F.col("n") + F.col("cn"))
+    need = F.ceil((both * F.col("e") - less * F.col("n") + less * F.col("cn")) / F.lit(2.0 * both) - 1e-9)
+    short = F.greatest(F.lit(0), F.least(F.col("e"), F.col("e") - need + 1)).cast("int")
+    # Against any partner: it has at least u - d * |partner| changes, and |partner| <= size * 100 / PERCENT.
+    wide = F.least(F.col("e"), F.ceil(F.col("n") * F.lit(less / both * (1 + 100 / PERCENT)) + 1)).cast("int")
+    x = written(x.select("centre", "id", "n", "root", far.alias("far"), F.slice("changes", 1, F.greatest(short, F.lit(0))).alias("short"), F.slice("changes", 1, wide).alias("wide")), "changes")
+    side = lambda rows, column, p: rows.select("centre", F.explode(column).alias("c"), F.col("id").alias(f"i{p}"), F.col("n").alias(f"n{p}"), F.col("root").alias(f"r{p}"))
+    may = (F.col("r1") != F.col("r2")) & _near_sizes(F.col("n1"), F.col("n2"))
+    meet = lambda a, b, more: a.join(b, ["centre", "c"]).filter(may & more).select(F.least("i1", "i2").alias("a"), F.greatest("i1", "i2").alias("b"))
+    far_far = meet(side(x.filter("far"), "short", 1), side(x.filter("far"), "short", 2), F.col("i1") < F.col("i2"))
+    far_near = meet(side(x.filter("far"), "wide", 1), side(x.filter("NOT far"), "short", 2), F.lit(True))
+    hubs = x.filter("NOT far").select(F.least("centre", "id").alias("a"), F.greatest("centre", "id").alias("b"))
+    return far_far.unionByName(far_near).unionByName(hubs)
