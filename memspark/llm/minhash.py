@@ -36,8 +36,8 @@ BINS = ROWS * BANDS
 FEW = 256
 #: In a star, changes that one member in so many shares come after the rarer ones.
 COMMON = 20
-#: Ids up to which a list of candidates is broadcast (16 MB).
-SMALL = 2_000_000
+#: Ids up to which a list of candidates is broadcast (some 40 MB as a hash table).
+SMALL = 500_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: For each bin the order in which it looks for a filled bin.
 _DONORS = np.argsort(mixed(np.arange(BINS * BINS, dtype=np.uint64)).reshape(BINS, BINS), axis=1)

@@ -39,8 +39,8 @@ GRAMS = LENGTH - GRAM + 1
 ROUTED_BYTES, SUFFIX_BYTES, KEY_PIECES, GATHERED = 1 << 23, 1 << 20, 2000, 1 << 20
 #: Least number of shards that small inputs are spread over.
 SPREAD = 48
-#: Ids up to which a list of documents is broadcast (16 MB).
-SMALL = 2_000_000
+#: Ids up to which a list of documents is broadcast (some 40 MB as a hash table).
+SMALL = 500_000
 #: Stretches that Kasai's rule runs over side by side.
 LANES = 4096
 
