@@ -15,6 +15,8 @@ from memspark.llm import bpe, minhash, mixing, pii, quality_rules
 from memspark.llm.common import table, written
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
+#: Similarity of shingle sets, in percent, from which documents are near duplicates.
+NEAR_PERCENT = 80
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +30,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Of rows that repeat an id the one with the least column values stays.
     """
-    gone = written(minhash.clustered(docs).filter("NOT kept").select("doc_id").distinct(), "gone")
+    gone = written(minhash.clustered(docs, NEAR_PERCENT).filter("NOT kept").select("doc_id").distinct(), "gone")
     small = gone.count() <= minhash.SMALL
     kept = docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(*docs.columns)
     again = written(docs.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "again")

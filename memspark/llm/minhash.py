@@ -11,7 +11,8 @@ sets.  Buckets whose members then still lie in different components get an exact
 second pass over pairs of different components, which in large buckets joins
 what the sets have changed against the centre instead of pairing all.
 Sets that share no bucket are the only ones never
-compared; at similarity 0.85 the chance of that is (1 - 0.85^6)^40 = 6e-9.
+compared; at similarity 0.85 the chance of that is (1 - 0.85^6)^40 = 6e-9, at
+0.80 it is 5e-6.
 
 Documents with the same set are collapsed before and share a component.
 """
@@ -29,7 +30,7 @@ from memspark.llm.arrays import LOWER, mixed, span_hashes, text_parts, words
 from memspark.llm.common import written
 from memspark.llm.components import components
 
-#: Words of a shingle; least similarity in percent; rows of a band and bands.
+#: Words of a shingle; least similarity in percent where the caller gives none; rows of a band and bands.
 WIDTH, PERCENT, ROWS, BANDS = 5, 85, 6, 40
 BINS = ROWS * BANDS
 #: Pairs of a bucket up to which the second pass compares them without looking at changes.
@@ -132,22 +133,22 @@ def full_sets(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "id long, shingles array<long>")
 
 
-def _near_sizes(a: Column, b: Column) -> Column:
+def _near_sizes(a: Column, b: Column, percent: int) -> Column:
     """Whether sets of these sizes can be similar enough."""
-    return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
+    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The ``pairs`` (a, b) of ``sets`` (id, shingles) that are similar enough, by their full sets."""
     one = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
     two = one.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
     inter = F.size(F.array_intersect("sa", "sb"))
     x = two.select("a", "b", inter.alias("i"), (F.size("sa") + F.size("sb")).alias("n"))
-    return x.filter(F.col("i") * 100 >= (F.col("n") - F.col("i")) * PERCENT).select("a", "b")
+    return x.filter(F.col("i") * 100 >= (F.col("n") - F.col("i")) * percent).select("a", "b")
 
 
-def clustered(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every document.
+def clustered(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every document; sets of at least ``percent`` similarity are linked.
 
     Null and empty texts have no shingles and link with nothing.  Rows with a
     null id take no part: their component_id is null and they are kept.  Rows
@@ -163,15 +164,15 @@ def clustered(docs: DataFrame) -> DataFrame:
     rows = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     shared = written(_buckets(rows), "buckets")
     star = F.struct(F.least("centre", "id").alias("a"), F.greatest("centre", "id").alias("b"))
-    pairs = shared.filter((F.col("id") != F.col("centre")) & _near_sizes(F.col("n"), F.col("cn"))).select(star.alias("p")).select("p.*").distinct()
+    pairs = shared.filter((F.col("id") != F.col("centre")) & _near_sizes(F.col("n"), F.col("cn"), percent)).select(star.alias("p")).select("p.*").distinct()
     pairs = written(pairs, "pairs")
     bucketed = shared.select(F.col("id").alias("doc_id")).distinct()
     bucketed = F.broadcast(bucketed) if bucketed.count() <= SMALL else bucketed
     sets = written(full_sets(docs.select("doc_id", "text").join(bucketed, "doc_id", "left_semi")), "sets")
-    links = written(confirmed(pairs, sets), "confirmed")
+    links = written(confirmed(pairs, sets, percent), "confirmed")
     roots = components(links)
-    rest = written(_unsettled(shared, roots, sets), "rest")
-    more = confirmed(rest.join(pairs, ["a", "b"], "left_anti"), sets)
+    rest = written(_unsettled(shared, roots, sets, percent), "rest")
+    more = confirmed(rest.join(pairs, ["a", "b"], "left_anti"), sets, percent)
     more = written(more, "more")
     if not more.isEmpty():
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
@@ -198,7 +199,7 @@ def _buckets(rows: DataFrame) -> DataFrame:
     return x.drop("degree").join(centres, "key")
 
 
-def _unsettled(shared: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+def _unsettled(shared: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a < b) of sets that meet in a bucket of ``shared`` (key, id, n, centre, cn) and may be linked across components.
 
     Only buckets that lie in several components count, and only pairs of which
@@ -213,29 +214,29 @@ def _unsettled(shared: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFram
     x = written(x, "unsettled")
     direct = x.filter("few AND id <> centre")
     out = direct.filter("root <> main").select("key", F.col("id").alias("i"), F.col("n").alias("k"), F.col("root").alias("r"))
-    two = direct.join(out, "key").filter((F.col("root") != F.col("r")) & _near_sizes(F.col("n"), F.col("k")) & ((F.col("root") == F.col("main")) | (F.col("id") < F.col("i"))))
+    two = direct.join(out, "key").filter((F.col("root") != F.col("r")) & _near_sizes(F.col("n"), F.col("k"), percent) & ((F.col("root") == F.col("main")) | (F.col("id") < F.col("i"))))
     pairs = two.select(F.least("id", "i").alias("a"), F.greatest("id", "i").alias("b"))
     # Large buckets with the same largest component share one centre, the one that most of them have.
     large = x.filter("NOT few")
     votes = large.groupBy("main", "centre", "cn").agg(F.count(F.lit(1)).alias("v"))
     hub = votes.groupBy("main").agg(F.max(F.struct("v", "centre", "cn")).alias("h")).select("main", F.col("h.centre").alias("centre"), F.col("h.cn").alias("cn"))
     stars = large.select("main", "id", "n", "root").distinct().join(hub, "main").filter("id <> centre").select("centre", "cn", "id", "n", "root").distinct()
-    return pairs.unionByName(_by_changes(stars, sets)).distinct()
+    return pairs.unionByName(_by_changes(stars, sets, percent)).distinct()
 
 
-def _by_changes(stars: DataFrame, sets: DataFrame) -> DataFrame:
+def _by_changes(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a < b) of members of one star (centre, cn, id, n, root) that may be linked but lie in different components.
 
     What a member adds to the centre's set and lacks of it are its changes, e of
     them.  Sets x and y differ in e(x) + e(y) - 2 * shared changes, and are
-    linked if that is at most d * (|x| + |y|), with d = (100 - PERCENT) / (100 +
-    PERCENT).  So a link needs (u(x) + u(y)) / 2 shared changes, u = e - d * size.
+    linked if that is at most d * (|x| + |y|), with d = (100 - percent) / (100 +
+    percent).  So a link needs (u(x) + u(y)) / 2 shared changes, u = e - d * size.
     Sets linked to the centre are paired with it.  Of two others in different
     components one at least is not linked to the centre, thus has u > d * |centre|.  Sets that need t shared changes share one among the
     first e - t + 1 of each in any common order; changes that few members share
     come first.  No pair that could be linked is left out.
     """
-    less, both = 100 - PERCENT, 100 + PERCENT
+    less, both = 100 - percent, 100 + percent
     x = stars.join(sets.select("id", F.col("shingles").alias("own")), "id").join(sets.select(F.col("id").alias("centre"), F.col("shingles").alias("mid")), "centre")
     changes = F.concat(F.array_except("own", "mid"), F.array_except("mid", "own"))
     x = written(x.select("centre", "cn", "id", "n", "root", changes.alias("changes")), "changed")
@@ -250,11 +251,11 @@ def _by_changes(stars: DataFrame, sets: DataFrame) -> DataFrame:
     far = both * F.col("e") > less * (F.col("n") + F.col("cn"))
     need = F.ceil((both * F.col("e") - less * F.col("n") + less * F.col("cn")) / F.lit(2.0 * both) - 1e-9)
     short = F.greatest(F.lit(0), F.least(F.col("e"), F.col("e") - need + 1)).cast("int")
-    # Against any partner: it has at least u - d * |partner| changes, and |partner| <= size * 100 / PERCENT.
-    wide = F.least(F.col("e"), F.ceil(F.col("n") * F.lit(less / both * (1 + 100 / PERCENT)) + 1)).cast("int")
+    # Against any partner: it has at least u - d * |partner| changes, and |partner| <= size * 100 / percent.
+    wide = F.least(F.col("e"), F.ceil(F.col("n") * F.lit(less / both * (1 + 100 / percent)) + 1)).cast("int")
     x = written(x.select("centre", "id", "n", "root", far.alias("far"), F.slice("changes", 1, F.greatest(short, F.lit(0))).alias("short"), F.slice("changes", 1, wide).alias("wide")), "changes")
     side = lambda rows, column, p: rows.select("centre", F.explode(column).alias("c"), F.col("id").alias(f"i{p}"), F.col("n").alias(f"n{p}"), F.col("root").alias(f"r{p}"))
-    may = (F.col("r1") != F.col("r2")) & _near_sizes(F.col("n1"), F.col("n2"))
+    may = (F.col("r1") != F.col("r2")) & _near_sizes(F.col("n1"), F.col("n2"), percent)
     meet = lambda a, b, more: a.join(b, ["centre", "c"]).filter(may & more).select(F.least("i1", "i2").alias("a"), F.greatest("i1", "i2").alias("b"))
     far_far = meet(side(x.filter("far"), "short", 1), side(x.filter("far"), "short", 2), F.col("i1") < F.col("i2"))
     far_near = meet(side(x.filter("far"), "wide", 1), side(x.filter("NOT far"), "short", 2), F.lit(True))

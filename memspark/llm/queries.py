@@ -44,7 +44,7 @@ def op5_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.clustered(table(spark, sf_dir, "documents"))
+    return minhash.clustered(table(spark, sf_dir, "documents"), 85)
 
 
 def op7_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

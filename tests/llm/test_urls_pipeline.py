@@ -2,7 +2,7 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from memspark.llm import queries, url_rules
+from memspark.llm import minhash, queries, url_rules
 from memspark.llm.queries import URL_RULES
 
 
@@ -72,3 +72,19 @@ def test_stages_keep_columns_and_take_effect(spark, docs, none, tmp_path):
             if name == "tokens":
                 assert now.count() == before.count()
                 assert now.filter(F.size("ids") != F.col("n_tokens")).isEmpty()
+
+
+def test_near_duplicates_are_linked_from_080_on(spark, prose_of):
+    words = prose_of(77, 154).split()
+    near, far = list(words), list(words)
+    for at in (40, 80, 120):  # 15 of 150 shingles change: 135 / 165
+        near[at] = f"new{at}"
+    for at in (30, 60, 90, 120):  # 20 of 150: 130 / 170
+        far[at] = f"other{at}"
+    texts = [" ".join(w) for w in (words, near, far)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(150)} for t in texts]
+    assert [round(len(sets[0] & x) / len(sets[0] | x), 3) for x in sets[1:]] == [0.818, 0.765]
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
+    assert kept == {0, 2}
+    assert {r.doc_id for r in minhash.clustered(docs, 85).filter("kept").collect()} == {0, 1, 2}
