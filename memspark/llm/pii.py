@@ -1,7 +1,7 @@
 """Personal data: base patterns, and a semi-Markov conditional random field.
 
 Base spans are the matches of four patterns that pass their checks.  The field
-reads regions of text with digits or an at sign, cut into runs of digits, runs
+reads all clauses with digits or an at sign, cut into runs of digits, runs
 of letters and single marks.  A segment of some tokens gets a kind and a score
 from features of the whole span (its shape, digits, checks, the words before
 it); the best joint choice of boundaries and kinds is found by dynamic
@@ -17,6 +17,7 @@ import hashlib
 import math
 import re
 from collections.abc import Iterable, Iterator
+from itertools import accumulate, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,12 +30,12 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 KINDS = ("email", "ip", "card", "phone")
 
-#: Tokens of a segment and of a region at most (longer regions are read in windows), rows and regions a model is fitted on, passes.
-MOST_TOKENS, REGION_TOKENS, FIT_ROWS, FIT_REGIONS, PASSES = 24, 400, 2000, 600, 6
+#: Tokens of a segment at most and tokens read at a time, rows and regions a model is fitted on, passes.
+MOST_TOKENS, BLOCK_TOKENS, FIT_ROWS, FIT_REGIONS, PASSES = 24, 400, 2000, 600, 6
 #: Log-odds that a segment must lead plain text by to be added.
 MARGIN = 4.0
 _DIGIT, _FOUR_DIGITS = re.compile(r"[0-9]"), re.compile(r"[0-9](?:[^0-9]?[0-9]){6}")
-_REGION = re.compile(r"[^\s,;]*(?:@|\(at\)|\[at\]|[0-9])[^\n,;]{0,400}")
+_CLAUSE, _WORTH = re.compile(r"[^\n,;]+"), re.compile(r"@|\(at\)|\[at\]|[0-9]")
 _TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|.", re.S)
 
 Span = tuple[str, int, int]
@@ -63,14 +64,12 @@ def base_spans(text: str) -> list[Span]:
 
 
 def regions(text: str) -> list[tuple[int, int]]:
-    """Places worth reading: around digits and at signs, up to the end of the clause."""
-    if "@" not in text and not _FOUR_DIGITS.search(text) and "(at)" not in text and "[at]" not in text:
-        return []
-    return [m.span() for m in _REGION.finditer(text)]
+    """Places worth reading: the whole clauses with a digit or an at sign."""
+    return [m.span() for m in _CLAUSE.finditer(text) if _WORTH.search(text, *m.span())]
 
 
-def _tokens(text: str, start: int, end: int) -> list[tuple[int, int]]:
-    return [(start + m.start(), start + m.end()) for m in _TOKEN.finditer(text[start:end])][:REGION_TOKENS]
+def _tokens(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    return (m.span() for m in _TOKEN.finditer(text, start, end))
 
 
 def features(text: str, start: int, end: int) -> list[str]:
@@ -107,55 +106,68 @@ class SemiCRF:
     def __init__(self, weights: dict[str, float] | None = None) -> None:
         self.weights = weights or {}
 
-    def _segments(self, text: str, tokens: list[tuple[int, int]]) -> list[list[tuple[int, str, float]]]:
-        """By last token: first token, kind and score of the segments that may be entities."""
+    def _segments(self, text: str, tokens: list[tuple[int, int]], n: int) -> list[list[tuple[int, str, float]]]:
+        """By first token, for the first ``n``: last token, kind and score of the segments that may be entities."""
         get = self.weights.get
-        out: list[list[tuple[int, str, float]]] = [[] for _ in tokens]
-        plausible = [any(c in "0123456789+@(" for c in text[a:b]) or text[a:b].isalpha() for a, b in tokens]
-        for i, (a, _) in enumerate(tokens):
-            if not plausible[i] or (a and text[a - 1].isalnum() and text[a].isalnum()):
+        out: list[list[tuple[int, str, float]]] = [[] for _ in range(n)]
+        parts = [text[a:b] for a, b in tokens]
+        at = [p in ("@", "at") for p in parts]
+        # A segment has an at sign or 4 digits: sums tell whether any can begin at a token.
+        enough = [0, *accumulate(4 if x else min(len(p), 4) if p[0] in "0123456789" else 0 for p, x in zip(parts, at, strict=True))]
+        for i in range(n):
+            a, stop = tokens[i][0], min(i + MOST_TOKENS, len(tokens))
+            if enough[stop] - enough[i] < 4 or not (parts[i].isalpha() or parts[i][0] in "0123456789+@(") or (a and text[a - 1].isalnum() and text[a].isalnum()):
                 continue
             n_digits, has_at = 0, False
-            for j in range(i, min(i + MOST_TOKENS, len(tokens))):
-                part = text[tokens[j][0] : tokens[j][1]]
+            for j in range(i, stop):
+                part = parts[j]
                 n_digits += len(part) if part[0] in "0123456789" else 0
-                has_at |= part in ("@", "at")
+                has_at |= at[j]
                 if n_digits > 19 and not has_at:
                     break
                 if not part[-1].isalnum() or (n_digits < 4 and not has_at):
                     continue
                 named = features(text, a, tokens[j][1])
-                out[j] += [(i, kind, sum(get(f"{kind}|{f}", 0.0) for f in named)) for kind in KINDS]
+                out[i] += [(j, kind, sum(get(f"{kind}|{f}", 0.0) for f in named)) for kind in KINDS]
         return out
 
     def best(self, text: str, start: int, end: int) -> list[tuple[Span, float]]:
-        """Spans of the best segmentation, each with its lead over plain text."""
-        tokens = _tokens(text, start, end)
-        segments = self._segments(text, tokens)
-        score, back = [0.0], []
-        for j in range(len(tokens)):
-            top = max(segments[j], key=lambda s: score[s[0]] + s[2], default=None)
-            if top is not None and score[top[0]] + top[2] > score[j]:
-                score.append(score[top[0]] + top[2])
-                back.append(top)
-            else:
-                score.append(score[j])
-                back.append(None)
-        out, j = [], len(tokens) - 1
-        while j >= 0:
-            if back[j] is None:
-                j -= 1
-            else:
-                i, kind, lead = back[j]
-                out.append(((kind, tokens[i][0], tokens[j][1]), lead))
-                j = i - 1
+        """Spans of the best segmentation, each with its lead over plain text.
+
+        Tokens are read in blocks; a token's segments are taken up once all
+        tokens they may have are there, and scores carry over between blocks.
+        """
+        more = _tokens(text, start, end)
+        # Best score and chain of spans before the token at hand; the same by tokens that end a segment.
+        score, chain, ending = 0.0, None, {}
+        tokens, first, last = [], 0, False
+        while not last:
+            new = list(islice(more, BLOCK_TOKENS))
+            tokens, last = tokens + new, len(new) < BLOCK_TOKENS
+            ready = len(tokens) if last else len(tokens) - MOST_TOKENS + 1
+            for i, segments in enumerate(self._segments(text, tokens, ready)):
+                for j, kind, lead in segments:
+                    if first + j not in ending or score + lead > ending[first + j][0]:
+                        ending[first + j] = (score + lead, ((kind, tokens[i][0], tokens[j][1]), lead, chain))
+                top = ending.pop(first + i, None)
+                if top is not None and top[0] > score:
+                    score, chain = top
+            tokens, first = tokens[ready:], first + ready
+        out = []
+        while chain is not None:
+            span, lead, chain = chain
+            out.append((span, lead))
         return out[::-1]
 
     def gradient(self, text: str, start: int, end: int, gold: list[Span]) -> dict[str, float]:
         """Of the log-likelihood of ``gold``: its features less those expected, by forward and backward sums."""
-        tokens = _tokens(text, start, end)
-        segments = self._segments(text, tokens)
+        tokens = list(_tokens(text, start, end))
         n = len(tokens)
+        by_first = self._segments(text, tokens, n)
+        segments: list[list[tuple[int, str, float]]] = [[] for _ in tokens]
+        for i in range(n):
+            for j, kind, s in by_first[i]:
+                segments[j].append((i, kind, s))
         add = lambda a, b: max(a, b) + math.log1p(math.exp(-abs(a - b)))
         ahead = [0.0] * (n + 1)
         for j in range(n):
@@ -164,13 +176,9 @@ class SemiCRF:
                 total = add(total, ahead[i] + s)
             ahead[j + 1] = total
         behind = [0.0] * (n + 1)
-        by_first: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        for j in range(n):
-            for i, _, s in segments[j]:
-                by_first[i].append((j, s))
         for i in range(n - 1, -1, -1):
             total = behind[i + 1]
-            for j, s in by_first[i]:
+            for j, _, s in by_first[i]:
                 total = add(total, behind[j + 1] + s)
             behind[i] = total
         out: dict[str, float] = {}

@@ -134,3 +134,20 @@ def test_forward_backward_matches_differences():
     # Without gold spans the gradient is minus the expected features: two kinds share one segment.
     z = 1 + np.exp(0.3) + np.exp(-0.2) + 2
     assert abs(gradient["card|bias"] + np.exp(0.3) / z) < 1e-9
+
+
+def test_field_reads_whole_texts(monkeypatch):
+    people = [f"write u{i}.x@mail{i % 7}.example.com or call +1 ({200 + i}) 555-8{100 + i} at 10.0.{i % 200}.7, item {i} of {i + 3}" for i in range(120)]
+    model, number = pii.train(people), "001 (297) 555-8151"
+    # After token 400 of a run without spaces, and at all places around 400 characters after a digit.
+    starts = ["ab|" * n + "7 call " for n in (195, 200, 210, 700)] + ["room 7 " + "word " * 74 + "x" * n + " call " for n in range(0, 30, 3)]
+    for start in starts:
+        text = f"{start}{number} soon"
+        assert [(k, text[a:b]) for k, a, b in pii.all_spans(text, model)] == [("phone", number)]
+    octets = pii.SemiCRF({"ip|octets=True": 3.0, "ip|first=d": 2.0, "ip|letters=False": 2.0})
+    assert pii.all_spans("host 1 .2.3.4 up", octets) == [("ip", 5, 13)]
+    # Blocks do not change what is found.
+    text = " and ".join(f"call 001 (29{i}) 555-815{i} or u{i} (at) mail.example.com" for i in range(9))
+    whole = model.best(text, 0, len(text))
+    monkeypatch.setattr(pii, "BLOCK_TOKENS", 30)
+    assert len(whole) >= 9 and [s for s, _ in model.best(text, 0, len(text))] == [s for s, _ in whole]
