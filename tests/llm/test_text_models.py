@@ -1,4 +1,6 @@
+import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -128,12 +130,77 @@ def test_field_adds_spans_and_keeps_base(spark, docs, none):
     assert pii.detected(none, model).count() == 0 and pii.detected(docs, pii.fit(none)).count() == docs.count()
 
 
-def test_forward_backward_matches_differences():
-    text, model = "x 12345678 y", pii.SemiCRF({"card|bias": 0.3, "phone|digits=8": -0.2})
-    gradient = model.gradient(text, 0, len(text), [])
-    # Without gold spans the gradient is minus the expected features: two kinds share one segment.
-    z = 1 + np.exp(0.3) + np.exp(-0.2) + 2
-    assert abs(gradient["card|bias"] + np.exp(0.3) / z) < 1e-9
+def segmentations(model, text, start, end):
+    """Every choice of disjoint segments with kinds of a text, each with its score."""
+    tokens = list(pii._tokens(text, start, end))
+    by_first = model._segments(text, tokens, len(tokens))
+
+    def after(i):
+        if i == len(tokens):
+            yield [], 0.0
+            return
+        for rest, score in after(i + 1):
+            yield rest, score
+        for j, kind, s in by_first[i]:
+            for rest, score in after(j + 1):
+                yield [(kind, tokens[i][0], tokens[j][1]), *rest], s + score
+
+    return list(after(0))
+
+
+def test_decoder_and_gradient_equal_enumeration():
+    weights = {"card|bias": 0.3, "phone|digits=8": -0.2, "phone|first=+": 1.5, "email|mail=sign": 2.0, "ip|groups=2": 0.4, "email|digits=4": -0.7, "phone|groups=1": 0.6}
+    model = pii.SemiCRF(weights)
+    for text in ("x 12345678 y", "+12 345 678", "12-34 5678", "ab1234@c.de 77", "1234 5678 (at) x"):
+        every = segmentations(model, text, 0, len(text))
+        assert len(every) > 4
+        top = max(score for _, score in every)
+        best = model.best(text, 0, len(text))
+        assert abs(sum(lead for _, lead in best) - top) < 1e-9
+        assert [s for s, _ in best] in [spans for spans, score in every if abs(score - top) < 1e-9]
+        z = sum(np.exp(score) for _, score in every)
+        expected = Counter()
+        for spans, score in every:
+            for kind, a, b in spans:
+                for f in pii.features(text, a, b):
+                    expected[f"{kind}|{f}"] -= np.exp(score) / z
+        gold = max(every, key=lambda e: len(e[0]))[0]
+        for kind, a, b in gold:
+            for f in pii.features(text, a, b):
+                expected[f"{kind}|{f}"] += 1
+        got = model.gradient(text, 0, len(text), gold)
+        assert set(got) == set(expected) and all(abs(got[f] - expected[f]) < 1e-9 for f in expected)
+
+
+def test_base_spans_equal_the_patterns_and_are_linear():
+    def plain(text):
+        ip = [m for m in pii.IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split("."))]
+        return sorted([("email", *m.span()) for m in pii.EMAIL.finditer(text)] + [("ip", *m.span()) for m in ip], key=lambda s: (s[1], pii.KINDS.index(s[0])))
+
+    draw = random.Random(1)
+    for _ in range(5000):
+        text = "".join(draw.choice("ab.@-_1234..@ +%é") for _ in range(draw.randint(0, 40)))
+        assert [s for s in pii.base_spans(text) if s[0] in ("email", "ip")] == plain(text)
+    began = time.time()
+    for text in ("x" * 1_000_000 + " @", "1" * 1_000_000 + " @ 1.1.1.1", "a@" * 500_000, "+1(" * 300_000):
+        pii.base_spans(text)
+    assert time.time() - began < 20
+
+
+def test_without_the_field_obfuscated_entities_stay():
+    names = ["jane.doe", "ann", "tom.m", "u7.x", "bo"]
+    people = [f"write {names[i % 5]}@mail{i % 7}.example.com or call +1 ({200 + i}) 555-8{100 + i} at 10.0.{i % 200}.7, card {card(i)} ok" for i in range(120)]
+    model = pii.train(people)
+    text = f"mail me at jane.doe (at) mail3.example.com, card {pii._mistyped(card(500))} or 10.1.2.3"
+    base = pii.base_spans(text)
+    assert [k for k, _, _ in base] == ["ip"]
+    assert [k for k, _, _ in pii.all_spans(text, model)] == ["email", "card", "ip"]
+    assert pii.all_spans(text, pii.SemiCRF()) == base
+
+
+def card(i):
+    digits = f"4{i:014d}"
+    return next(digits + str(d) for d in range(10) if pii.luhn(digits + str(d)))
 
 
 def test_field_reads_whole_texts(monkeypatch):
