@@ -6,8 +6,10 @@ that the automaton allows.  The language that needs the fewest phrases per
 character wins.
 
 Parsing reads forward transitions only, so an automaton is kept as one dense
-table (state x character class -> next state, and whether a phrase ended), and
-many stretches of text walk it side by side.
+table (state x character class -> next state, and whether a phrase ended).  Long
+texts are walked in many stretches side by side: a stretch that began in another
+state than the one before it ended in is walked again from there, until all
+meet, so the result is that of one walk over the whole text.
 """
 
 from __future__ import annotations
@@ -19,14 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled rows (one for each hash slot), characters of each and of a language in all that a model is fitted on.
-SLOTS, ROW_CHARS, LANG_CHARS = 64, 1500, 16000
-#: Characters of a stretch that is parsed as one; a phrase doesn't run on across its end.
+#: Labelled rows (one for each hash slot) that a language is fitted on at most; rows up to ROW_CHARS characters
+#: come first; no further row is taken once those taken have LANG_CHARS characters.
+SLOTS, ROW_CHARS, LANG_CHARS = 64, 4000, 24000
+#: Characters of a stretch of text; where stretches end does not change the result.
 STRETCH = 256
 #: Characters handled at once.
 PART = 1 << 20
-#: Languages at most.
-LANGUAGES = 500
+#: Languages at most: those with the most rows, by name where equal.
+LANGUAGES = 200
 
 Trained = list[tuple[str, str]]
 
@@ -61,14 +64,19 @@ def suffix_automaton(text: np.ndarray) -> list[dict[int, int]]:
     return move
 
 
+#: Of code points below 0x10000 the lower-case letter, or a space.
+_FOLD = np.array([ord(chr(c).lower()) if chr(c).isalpha() and len(chr(c).lower()) == 1 else 0x20 for c in range(0x10000)], np.uint32)
+
+
 def _normal(text: str) -> np.ndarray:
     """Code points, lower-cased, with a space for each character that is no letter."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    return _FOLD[np.minimum(points, 0xFFFF)]
-
-
-#: Of code points below 0xFFFF the lower-case letter, or a space; what lies beyond counts as one unknown letter.
-_FOLD = np.array([ord(chr(c).lower()) if chr(c).isalpha() and len(chr(c).lower()) == 1 else 0x20 for c in range(0xFFFF)] + [0xFFFF], np.uint32)
+    far = points > 0xFFFF
+    out = _FOLD[np.where(far, 0x20, points)]
+    for c in np.unique(points[far]):
+        if chr(c).isalpha():
+            out[points == c] = c
+    return out
 
 
 class CrossParser:
@@ -79,15 +87,13 @@ class CrossParser:
         for lang, text in trained:
             texts.setdefault(lang, []).append(np.append(_normal(text), np.uint32(0x20)))
         self.langs = sorted(texts)
-        joined = [np.concatenate(texts[lang])[:LANG_CHARS] for lang in self.langs]
-        alphabet = np.unique(np.concatenate([np.array([0x20], np.uint32), *joined]))
-        self.width = len(alphabet) + 2  # and the class of unknown characters, and that of the padding
-        self.classes = np.full(0x10000, len(alphabet), np.int32)
-        self.classes[alphabet] = np.arange(len(alphabet))
-        self.pad = len(alphabet) + 1
+        joined = [np.concatenate(texts[lang]) for lang in self.langs]
+        self.alphabet = np.unique(np.concatenate([np.array([0x20], np.uint32), *joined]))
+        self.width = len(self.alphabet) + 2  # and the class of unknown characters, and that of the padding
+        self.pad = len(self.alphabet) + 1
         tables, self.starts, at = [], [], 0
         for text in joined:
-            move = suffix_automaton(self.classes[text])
+            move = suffix_automaton(self.classes(text))
             root = np.full(self.width, at * 2 + 1, np.int64)
             for c, to in move[0].items():
                 root[c] = (at + to) * 2 + 1
@@ -101,25 +107,41 @@ class CrossParser:
             at += len(move)
         self.table = (np.concatenate(tables) if tables else np.zeros((0, self.width), np.int64)).astype(np.int32).ravel()
 
+    def classes(self, points: np.ndarray) -> np.ndarray:
+        """Place of each code point in the alphabet, or the class of unknown characters."""
+        at = np.minimum(np.searchsorted(self.alphabet, points), len(self.alphabet) - 1)
+        return np.where(self.alphabet[at] == points, at, len(self.alphabet)).astype(np.int32)
+
     def phrases(self, points: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Phrases (language x text) of texts that end at ``ends`` in ``points``."""
-        n = len(ends)
+        n, n_langs = len(ends), len(self.langs)
         begins = np.concatenate([[0], ends[:-1]])
         lanes = -(-(ends - begins) // STRETCH)
         owner = np.repeat(np.arange(n), lanes)
-        nth = np.arange(len(owner)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
-        first = begins[owner] + nth * STRETCH
+        m = len(owner)
+        if not m:
+            return np.ones((n_langs, n))
+        first = begins[owner] + (np.arange(m) - np.repeat(np.cumsum(lanes) - lanes, lanes)) * STRETCH
         length = np.minimum(STRETCH, ends[owner] - first)
-        wide = int(length.max(initial=0))
-        at = first[None, :] + np.arange(wide)[:, None]
-        classes = np.where(np.arange(wide)[:, None] < length[None, :], self.classes[points[np.minimum(at, len(points) - 1)]], self.pad) if wide else np.empty((0, len(owner)), np.int32)
-        state = np.repeat(np.array(self.starts, np.int64)[:, None], len(owner), 1)
-        count = np.ones(state.shape, np.int64)
-        for column in classes:
-            step = self.table[state * self.width + column]
-            count += step & 1
-            state = (step >> 1).astype(np.int64)
-        return np.stack([np.bincount(owner, weights=row, minlength=n) for row in count])
+        wide = np.arange(int(length.max()))[:, None]
+        known = self.classes(points)
+        classes = np.where(wide < length, known[np.minimum(first + wide, len(points) - 1)], self.pad)
+        # State that each stretch was walked from, the one it ended in, and phrases ended on the way.
+        walked = np.repeat(np.array(self.starts, np.int64)[:, None], m, 1)
+        lang, lane = np.divmod(np.arange(n_langs * m), m)
+        final, count = np.empty_like(walked), np.empty_like(walked)
+        heads = np.append(True, owner[1:] != owner[:-1])
+        while len(lang):
+            state, ended = walked[lang, lane], np.zeros(len(lang), np.int64)
+            for column in classes:
+                step = self.table[state * self.width + column[lane]]
+                ended += step & 1
+                state = (step >> 1).astype(np.int64)
+            final[lang, lane], count[lang, lane] = state, ended
+            due = np.where(heads, walked, np.roll(final, 1, axis=1))
+            lang, lane = np.nonzero(due != walked)
+            walked = due
+        return 1 + np.stack([np.bincount(owner, weights=row, minlength=n) for row in count])
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         points = [_normal(t) for t in texts]
@@ -138,16 +160,23 @@ class CrossParser:
 def fit(docs: DataFrame, learn: object) -> Trained:
     """Labelled text of each language, of the rows for which ``learn`` holds.
 
-    Bounded: for each language the row of least id hash in each of SLOTS slots,
-    the first ROW_CHARS characters of these, LANG_CHARS in all.  Whole texts are
-    only cut for fitting; predictions read them whole.
+    Bounded: of each language one row in each of SLOTS slots, of least id hash
+    among those of up to ROW_CHARS characters (else the shortest), until the
+    rows taken have LANG_CHARS characters.  Rows are taken whole.
     """
     h = F.xxhash64("doc_id")
-    rows = docs.filter(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    least = rows.groupBy("lang", F.pmod(h, F.lit(SLOTS)).alias("slot")).agg(F.min(h).alias("h")).limit(SLOTS * LANGUAGES).collect()
-    picked = rows.filter(h.isin([r.h for r in least]) & F.col("text").isNotNull())
-    found = picked.select("lang", F.substring("text", 1, ROW_CHARS).alias("text"), h.alias("h")).distinct().collect() if least else []
-    return [(r.lang, r.text) for r in sorted(found, key=lambda r: (r.lang, r.h, r.text))]
+    rows = docs.filter(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    langs = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    rank = F.struct(F.greatest(F.length("text"), F.lit(ROW_CHARS)).alias("size"), h.alias("h"))
+    least = rows.filter(F.col("lang").isin(langs)).groupBy("lang", F.pmod(h, F.lit(SLOTS)).alias("slot")).agg(F.min(rank).alias("r")).select("lang", "r.*").collect()
+    taken, held = [], dict.fromkeys(langs, 0)
+    for r in sorted(least, key=lambda r: (r.size, r.h)):
+        if held[r.lang] < LANG_CHARS:
+            held[r.lang] += r.size
+            taken.append(r.h)
+    # Rows that repeat an id and language: the least text.
+    found = rows.filter(h.isin(taken)).groupBy("lang", h.alias("h")).agg(F.min("text").alias("text")).collect() if taken else []
+    return [(r.lang, r.text) for r in sorted(found, key=lambda r: (r.lang, r.h))]
 
 
 def predicted(docs: DataFrame, trained: Trained) -> DataFrame:
@@ -159,7 +188,7 @@ def predicted(docs: DataFrame, trained: Trained) -> DataFrame:
     """
     model: list[CrossParser] = []
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
-    shared = docs.sparkSession.sparkContext.broadcast(trained)  # SLOTS * ROW_CHARS characters a language at most
+    shared = docs.sparkSession.sparkContext.broadcast(trained)  # some LANG_CHARS characters a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not model:

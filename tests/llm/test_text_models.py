@@ -50,24 +50,28 @@ def test_ratio_parts_junk_from_prose(spark):
     assert len(tiny) == 4 and all(0 <= b < quality_rules.BUCKETS for b in tiny)
 
 
-def test_automaton_parses_like_a_search():
-    text = "abracadabra banana band"
+def test_automaton_parses_like_a_search(monkeypatch):
+    text = "abracadabra banana band 𐐨𐐩𐐪"
     parser = langid.CrossParser([("x", text), ("y", "zzz")])
-    known = text + " "
-
-    def phrases(s):
-        n = i = 0
-        while i < len(s):
-            j = i + 1
-            while j <= len(s) and s[i:j] in known:
-                j += 1
-            n, i = n + 1, max(j - 1, i + 1)
+
+    def phrases(s, known):
+        n, phrase = 1, ""
+        for c in s:
+            if phrase + c in known:
+                phrase += c
+            else:
+                n, phrase = n + 1, c if c in known else ""
         return n
 
-    for s in ("banana", "cadaver", "abrabanda", "qq", "nananab and"):
-        points = langid._normal(s)
-        got = int(parser.phrases(points, np.array([len(points)]))[0, 0])
-        assert abs(got - phrases(s)) <= 1  # an unknown last character ends its phrase itself
+    draw = random.Random(4)
+    texts = ["banana", "cadaver", "abrabanda", "qq", "nananab and", "𐐨𐐩 𐐪", "z"] + ["".join(draw.choice("abrcdn  zq𐐨") for _ in range(draw.randint(0, 700))) for _ in range(40)]
+    points = [langid._normal(s) for s in texts]
+    for stretch in (1, 3, 256):
+        monkeypatch.setattr(langid, "STRETCH", stretch)
+        got = parser.phrases(np.concatenate(points), np.cumsum([len(p) for p in points]))
+        assert got[0].tolist() == [phrases(s, text + " ") for s in texts]
+        assert got[1].tolist() == [phrases(s, "zzz ") for s in texts]
+    assert parser.predict(["😀😀", "12 ?", "𐐨𐐩"])[0] == ["und", "und", "x"]
 
 
 def test_languages_of_held_out_documents(spark, docs, none):
