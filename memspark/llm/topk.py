@@ -65,18 +65,19 @@ def _matrix(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 def accumulate(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
     """Scores (queries x candidates), scattered one term after the other."""
     width = min(queries.shape[1], candidates.shape[1])
-    reach = np.abs(queries).max(initial=0) * np.abs(candidates).max(initial=0) * max(width, 1)
+    most = lambda x: int(np.abs(x.astype(float)).max(initial=0))
+    reach = most(queries) * most(candidates) * max(width, 1)
+    if reach >= 2**63:
+        raise OverflowError(f"scores may reach {reach}, beyond 64 bits")
     kind = np.int32 if reach < 2**31 else np.int64
     queries, postings = queries.astype(kind), np.ascontiguousarray(candidates.T.astype(kind))
     scores = np.zeros((len(queries), candidates.shape[0]), kind)
     for term in range(width):
-        weights, values = queries[:, term], postings[term]
-        holders = np.flatnonzero(values)
-        if len(holders) * 2 > len(values):
-            scores += weights[:, None] * values[None, :]
-            continue
-        for q in np.flatnonzero(weights):
-            scores[q, holders] += weights[q] * values[holders]
+        asking, holders = np.flatnonzero(queries[:, term]), np.flatnonzero(postings[term])
+        # Where every candidate holds the term its postings are the whole row, and need no list of places.
+        where = holders if len(holders) < scores.shape[1] else slice(None)
+        for q in asking:
+            scores[q, where] += queries[q, term] * postings[term, where]
     return scores
 
 
@@ -107,7 +108,12 @@ def top_k(rows: DataFrame, id_col: str, vector_col: str, is_query: Column, k: in
     components, take no part.  Rows that repeat an id count once, with the
     smallest vector.  Vectors of unequal length are padded with zeros; an empty
     vector scores 0 with all.  Ties go to the smaller id.  An empty table gives
-    no rows.  Other columns of ``rows`` are ignored.
+    no rows.  Other columns of ``rows`` are ignored.  Where scores could pass 64
+    bits the job fails rather than wrap around (at 64 components, beyond 10^6).
+
+    Exhaustive search compares every query with every candidate; candidates are
+    sent once for each QUERY_BLOCK queries, queries once for each block of
+    candidates.
     """
     held = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("raw"), is_query.alias("asks"))
     held = held.filter(F.col("id").isNotNull() & usable(F.col("raw"))).select("id", quantised(F.col("raw")).alias("vec"), "asks")
