@@ -3,13 +3,14 @@
 A text is halved until the halves are short; halves are encoded by themselves
 and neighbours are joined.  A join re-encodes a window around the boundary and
 widens it until the tokens outside provably stay as they are: the splitting
-pattern never matches white space after a character that is no white space, so
-the place between two such characters is a border of matches in every context.
+pattern has no match with white space after another character, nor with a letter
+next to a digit, so the place between two such characters is a border of matches
+in every context.
 Once the window starts and ends at such places, what lies outside is encoded the
 same with and without the neighbour.  The join is associative, so any bracketing
 gives the same tokens.  Decoding concatenates up the same kind of tree.
 
-The pattern must have the property named above, as those of the usual
+The pattern must have the properties named above, as those of the usual
 byte-level vocabularies have.
 """
 
@@ -26,9 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Characters of a leaf when encoding, ids of a leaf when decoding, first reach of a window to each side.
-TEXT_LEAF, ID_LEAF, REACH = 8192, 65536, 64
+TEXT_LEAF, ID_LEAF, REACH = 256, 4096, 64
 #: A place that splits matches in every context: between the two characters.
-_BORDER = re.compile(r"\S(?=[ \t\n\r])")
+_BORDER = re.compile(r"\S(?=[ \t\n\r])|[A-Za-z](?=[0-9])|[0-9](?=[A-Za-z])")
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
