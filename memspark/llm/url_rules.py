@@ -3,8 +3,9 @@
 Fixed rules (a host with all its subdomains, and the start of a path) decide
 first, the longest of those that fit.  Other urls are judged by association
 rules: FP-growth mines combinations of url tokens that go with a label, rules
-below a support, confidence or lift are pruned, and the rest are found through
-an inverted index on each rule's rarest token.  DataFrame and Spark ML
+below a support (relative, and in rows), confidence or lift are pruned, as are
+those whose extra tokens add nothing, and the rest are found through an inverted
+index on each rule's rarest token.  DataFrame and Spark ML
 operations only.
 """
 
@@ -16,6 +17,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from memspark.llm.common import written
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _ALL = r"(?s)^.*?://(.*)$"
@@ -60,12 +63,14 @@ def fixed_verdict(host: Column, path: Column, rules: Sequence[tuple[str, str, st
 
 
 def mine(
-    labelled: DataFrame, min_support: float = 0.01, min_confidence: float = 0.5, min_lift: float = 1.2
+    labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.5, min_lift: float = 1.05, min_rows: int = 5, min_gain: float = 0.02
 ) -> DataFrame:
     """Association rules of ``labelled`` (url, verdict): tokens, verdict, confidence, lift, support, rarest.
 
-    Rows without url, verdict or token are left out.  ``rarest`` is the token
-    of the rule with the least support (ties: the smaller token).
+    A rule holds in at least ``min_rows`` rows and ``min_support`` of all rows,
+    and its confidence passes that of each kept rule with one token less by
+    ``min_gain``.  Rows without url, verdict or token are left out.  ``rarest``
+    is the token of the rule with the least support (ties: the smaller token).
     """
     items = (
         labelled.filter("url IS NOT NULL AND verdict IS NOT NULL")
@@ -73,23 +78,29 @@ def mine(
         .filter(F.size("tokens") > 0)
         .select(F.concat("tokens", F.array("label")).alias("items"))
     )
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
+    support = max(min_support, (min_rows - 0.5) / max(items.count(), min_rows))
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(items)
     rules = (
         model.associationRules.filter(F.element_at("consequent", 1).startswith(_LABEL))
         .filter(~F.exists("antecedent", lambda t: t.startswith(_LABEL)))
-        .filter((F.col("lift") >= min_lift) & (F.col("confidence") >= min_confidence) & (F.col("support") >= min_support))
+        .filter((F.col("lift") >= min_lift) & (F.col("confidence") >= min_confidence))
         .select(
             F.array_sort("antecedent").alias("rule_tokens"),
             F.substring(F.element_at("consequent", 1), len(_LABEL) + 1, 1000).alias("verdict"),
             "confidence", "lift", "support",
         )
     )
+    rules = written(rules, "url-rules")
+    wider = rules.select("rule_tokens", "verdict", "confidence", F.explode("rule_tokens").alias("token")).withColumn("less", F.array_remove("rule_tokens", F.col("token")))
+    lesser = rules.select(F.col("rule_tokens").alias("less"), "verdict", F.col("confidence").alias("before"))
+    idle = wider.join(lesser, ["less", "verdict"]).filter(F.col("confidence") < F.col("before") + min_gain)
+    rules = rules.join(idle.select("rule_tokens", "verdict").distinct(), ["rule_tokens", "verdict"], "left_anti")
     single = model.freqItemsets.filter(F.size("items") == 1).select(F.element_at("items", 1).alias("token"), "freq")
     rarest = (
         rules.select("rule_tokens", F.explode("rule_tokens").alias("token")).distinct()
         .join(single, "token").groupBy("rule_tokens").agg(F.min(F.struct("freq", "token")).getField("token").alias("rarest"))
     )
-    return rules.join(rarest, "rule_tokens")
+    return written(rules.join(rarest, "rule_tokens"), "url-kept")
 
 
 def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
