@@ -1,8 +1,10 @@
+import base64
 import hashlib
 import math
 import random
 from collections import defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -33,6 +35,13 @@ def test_top_k_equals_brute_force(spark):
     assert topk.top_k(df.limit(0), "vec_id", "embedding", F.col("vec_id") % 10 == 0, 5).count() == 0
 
 
+def test_scores_beyond_64_bits_are_refused():
+    wide = np.array([[1 << 40, 3]]), np.array([[1 << 40, 0], [2, 5]])
+    with pytest.raises(OverflowError):
+        topk.accumulate(*wide)
+    assert topk.accumulate(np.array([[2, 0, 3]]), np.array([[1, 7, 0], [0, 0, 5], [4, 1, 1]])).tolist() == [[2, 15, 11]]
+
+
 def test_tree_encoding_equals_the_library(monkeypatch):
     ranks = bpe.load_ranks(VOCABULARY)
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -48,6 +57,18 @@ def test_tree_encoding_equals_the_library(monkeypatch):
             assert own.decode(own.encode(text)) == text.encode()
 
 
+def test_long_texts_without_white_space(spark):
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(VOCABULARY), special_tokens={})
+    draw = random.Random(1)
+    texts = ["中文字符測試，" * 20000, base64.b64encode(draw.randbytes(300000)).decode(), "x" * 70000, "it's 'tis 'sa1'll " * 3000, "", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in bpe.digests(rows, VOCABULARY, public_tokenizers.PATTERN).collect():
+        ids = library.encode_ordinary(texts[r.doc_id] or "")
+        assert r.n_tokens == len(ids)
+        assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256((texts[r.doc_id] or "").encode()).hexdigest()
+
+
 def test_encoded_rows_and_round_trip(docs, none):
     ids = bpe.encoded(docs, VOCABULARY, public_tokenizers.PATTERN)
     back = bpe.decoded(ids, VOCABULARY, public_tokenizers.PATTERN)

@@ -45,9 +45,34 @@ def test_ratio_parts_junk_from_prose(spark):
     good = [r for r in judged if r.quality == 1]
     assert sum(r.kept for r in good) >= 0.98 * len(good)
     assert not any(r.kept for r in judged if r.quality == 0)
-    # The score is the plain sum over n-grams of the fitted log ratios.
-    tiny = spark.createDataFrame([("alpha beta",)], "text string").select(quality_rules.grams(quality_rules.words_of(F.col("text"))).alias("g")).first().g
-    assert len(tiny) == 4 and all(0 <= b < quality_rules.BUCKETS for b in tiny)
+    assert any(r.llr < -0.5 for r in judged)
+
+
+def test_scores_equal_a_plain_sum_over_words_and_pairs(spark, docs):
+    """The fitted ratios and each document's score, against counters of words and pairs."""
+    trusted_ids = [r.doc_id for r in docs.collect() if r.doc_id is not None and r.doc_id % 2 == 0]
+    hashes = [r.h for r in spark.createDataFrame([(i,) for i in trusted_ids], "doc_id long").select(F.xxhash64("doc_id").alias("h")).collect()]
+    ratios = quality_rules.fit(docs, hashes)
+    texts = [(r.doc_id, r.text or "") for r in docs.collect()]
+    spoken = sorted({w for _, t in texts for w in WORD.findall(t)})
+    h = {r.w: r.h for r in spark.createDataFrame([(w,) for w in spoken], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    pairs = sorted({p for _, t in texts for p in zip(WORD.findall(t), WORD.findall(t)[1:])})
+    mask = quality_rules.BUCKETS - 1
+    one = {r.w: r.b & mask for r in spark.createDataFrame(list(h.items()), "w string, h long").select("w", F.xxhash64("h").alias("b")).collect()}
+    two = {(r.a, r.c): r.b & mask for r in spark.createDataFrame([(a, c, h[a], h[c]) for a, c in pairs], "a string, c string, x long, y long").select("a", "c", F.xxhash64("x", "y").alias("b")).collect()}
+    of = lambda t: [one[w] for w in WORD.findall(t)] + [two[p] for p in zip(WORD.findall(t), WORD.findall(t)[1:])]
+    raw, good = Counter(), Counter()
+    for i, t in texts:
+        raw.update(of(t))
+        good.update(of(t) if i in trusted_ids else ())
+    n, m, size = sum(raw.values()), sum(good.values()), quality_rules.BUCKETS
+    prior = {b: quality_rules.PRIOR * (raw[b] + 1) / (n + size) for b in raw}
+    log = {b: np.log((good[b] + prior[b]) / (m + quality_rules.PRIOR)) - np.log((raw[b] + prior[b]) / (n + quality_rules.PRIOR)) for b in raw}
+    for r in quality_rules.judged(docs, ratios, -0.01).collect():
+        mine = of(r.text or "")
+        expected = sum(log[b] for b in mine) / len(mine) if mine else 0.0
+        assert abs(r.llr - expected) < 2e-5
+        assert r.kept == (not r.base_failed and r.llr >= -0.01)
 
 
 def test_automaton_parses_like_a_search(monkeypatch):

@@ -1,3 +1,7 @@
+import itertools
+import re
+from collections import Counter
+
 import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
@@ -36,17 +40,60 @@ def test_fixed_rules_and_parts(spark):
     assert url_rules.judge(pages.limit(0), spark.createDataFrame([], "url string, verdict string"), URL_RULES).count() == 0
 
 
-def test_mined_rules_equal_counting(spark):
-    good = [(f"http://a{i % 9}.example.org/news/{i}", "allow") for i in range(60)]
-    bad = [(f"http://b{i % 9}.example.org/casino/{i}?ref=x", "block") for i in range(20)] + [(f"http://c.example.org/casino/{i}", "allow") for i in range(4)]
-    labelled = spark.createDataFrame(good + bad + [(None, "block"), ("http://x.org", None)], "url string, verdict string")
-    rules = {tuple(r.rule_tokens): r for r in url_rules.mine(labelled, 0.05, 0.8, 1.2).collect() if r.verdict == "block"}
-    assert ("p:casino", "q:ref") in rules and rules["p:casino", "q:ref"].confidence == 1.0
-    assert rules[("p:casino",)].confidence == pytest.approx(20 / 24) and rules[("p:casino",)].support == pytest.approx(20 / 84)
-    assert rules["p:casino", "q:ref"].rarest == "q:ref"
-    pages = spark.createDataFrame([(1, "http://new.example.org/casino/7?ref=q"), (2, "http://new.example.org/news/7")], "page_id long, url string")
-    got = {r.page_id: r.verdict for r in url_rules.judge(pages, labelled, [], min_support=0.05, min_confidence=0.8).collect()}
-    assert got == {1: "block", 2: "allow"}
+def url_tokens(url):
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in url)
+    host, path = parts(url)
+    out = [f"s:{low.split('://', 1)[0]}"] if "://" in low and low.split("://", 1)[0] else []
+    out += [f"h:{x}" for x in host.split(".") if x] + [f"p:{x}" for x in re.sub(r"[0-9]+", "0", path).split("/") if x]
+    query = re.match(r"[^?]*\?([^#]*)", low.split("://", 1)[1]) if "://" in low else None
+    out += [f"q:{x.split('=')[0]}" for x in (query[1].split("&") if query else []) if x.split("=")[0]]
+    return frozenset(out + (["f:fragment"] if "#" in low else []))
+
+
+def brute_rules(labelled, support, confidence, lift, rows, gain):
+    """Every subset of the tokens of a labelled url with its counts, then the same bounds."""
+    data = [(url_tokens(u), v) for u, v in labelled if u is not None and v is not None and url_tokens(u)]
+    n, ends, both, free = len(data), Counter(v for _, v in data), Counter(), Counter()
+    for tokens, v in data:
+        for k in range(1, len(tokens) + 1):
+            for x in itertools.combinations(sorted(tokens), k):
+                free[x] += 1
+                both[x, v] += 1
+    rules = {}
+    for (x, v), m in both.items():
+        c = m / free[x]
+        if m >= max(support * n, rows) and c >= confidence and c / (ends[v] / n) >= lift:
+            rules[x, v] = (c / (ends[v] / n), c, m / n)
+    less = lambda x, v: [rules[y, v][1] for t in x if (y := tuple(s for s in x if s != t)) and (y, v) in rules]
+    return {(x, v): r for (x, v), r in rules.items() if not any(r[1] < before + gain for before in less(x, v))}
+
+
+LABELLED = (
+    [(f"http://a{i % 9}.example.org/news/{i}", "allow") for i in range(60)] + [(f"https://b{i % 3}.example.org/casino/{i}?ref=x", "block") for i in range(20)]
+    + [(f"http://c.example.org/casino/{i}", "allow") for i in range(4)] + [(f"http://b1.example.org/en/{i}#top", "block" if i % 3 else "allow") for i in range(12)]
+    + [(None, "block"), ("http://x.org", None), ("http://lonely.example.org/once", "block")]
+)
+
+
+def test_mined_rules_and_verdicts_equal_counting(spark):
+    labelled = spark.createDataFrame(LABELLED, "url string, verdict string")
+    given = {"min_support": 0.02, "min_confidence": 0.6, "min_lift": 1.05, "min_rows": 5, "min_gain": 0.02}
+    expected = brute_rules(LABELLED, *given.values())
+    found = {(tuple(r.rule_tokens), r.verdict): (r.lift, r.confidence, r.support) for r in url_rules.mine(labelled, **given).collect()}
+    assert set(found) == set(expected) and {v for _, v in found} == {"allow", "block"}
+    assert all(found[k] == pytest.approx(expected[k]) for k in found)
+    assert not any("p:once" in tokens for tokens, _ in found)
+    urls = [u for u, _ in LABELLED] + ["http://new.example.org/casino/7?ref=q", "http://b2.example.org/en/9#z", "http://c.example.net/x", "http://example.com/de/casino?ref=1", None]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    for r in url_rules.judge(pages, labelled, URL_RULES, **given).collect():
+        url, said = urls[r.page_id], None
+        if url is not None:
+            fitting = [(-m[0], -m[1], -m[2], " ".join(x), v) for (x, v), m in expected.items() if set(x) <= url_tokens(url)]
+            said = min(fitting)[4] if fitting else None
+        assert r.verdict == (r.verdict if r.rule else said or "allow"), url
+        assert r.rule is None or r.rule in ("net/", "example.com/de/")
+    empty = url_rules.judge(pages, labelled.limit(0), URL_RULES)
+    assert empty.count() == len(urls) and empty.filter("rule IS NULL AND verdict <> 'allow'").isEmpty()
 
 
 def test_every_operator_is_registered():
