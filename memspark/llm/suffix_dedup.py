@@ -3,16 +3,20 @@
 1. Routing.  Each 100-byte window has a key, the least hash among its 16-byte
    grams.  Equal windows have equal keys wherever they stand, so windows of
    different keys need not be compared.  Runs of windows with one key form a
-   piece; pieces go, without their text, to the shard of their key.
+   piece; pieces go, without their text, to the shard of their key.  Equal ones
+   of a task are combined before.  Keys that a sample of documents shows to be
+   very frequent are dealt by key and content; that changes where pieces are
+   compared, not what is found.
 2. Equal pieces are settled there: all but the earliest repeat it whole.  Keys
    that are left with one piece are done.
 3. Shards of suffixes.  The pieces of other keys, and those in which a key occurs
    again, come with their bytes.  A shard sorts its suffixes by Larsson-Sadakane
    refinement (sort by a prefix, then double it within groups that are still
    tied), takes common prefixes by Kasai's rule, and so finds equal windows.
-4. Merging.  A key with very many pieces is spread over several shards.  Their
-   remaining windows meet once more and are looked up in each other's order by
-   binary search.
+4. Merging.  A key with very many pieces is spread over several shards.  What
+   windows each of them is left with, all different, are dealt by a hash of the
+   whole window, so that equal ones meet and no task gets a whole key, and are
+   looked up in each other's order by binary search.
 
 A window is a repeat if an equal one starts earlier: in a smaller doc_id, or in
 the same document before it.
@@ -37,6 +41,8 @@ LENGTH, GRAM = 100, 16
 GRAMS = LENGTH - GRAM + 1
 #: Text of a shard when routing, bytes of a shard of suffixes, pieces of one key in a shard, pieces that a task gathers at once.
 ROUTED_BYTES, SUFFIX_BYTES, KEY_PIECES, GATHERED = 1 << 23, 1 << 20, 2000, 1 << 20
+#: A key is frequent from so many times KEY_PIECES pieces on, and from such a share of all; one document in so many is sampled for it, at least and at most.
+OFTEN, SHARE, SAMPLED, SAMPLED_MOST = 8, 1e-5, 64, 8192
 #: Least number of shards that small inputs are spread over.
 SPREAD = 48
 #: Ids up to which a list of documents is broadcast (some 40 MB as a hash table).
@@ -46,6 +52,7 @@ LANES = 4096
 
 _PIECES = "shard int, key binary, content binary, doc binary, start binary, count binary, again binary"
 _FOUND = "kind string, key long, doc_id long, start int, count int, pieces long"
+Frequent = tuple[np.ndarray, np.ndarray]
 
 
 def _sliding(values: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
@@ -98,17 +105,68 @@ def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return owner, (start - offsets[owner]).astype(np.int32), count.astype(np.int32), key.view(np.int64), content.view(np.int64), again
 
 
-def _routed(docs: DataFrame, shards: int) -> DataFrame:
-    """Pieces of all documents, packed by shard; pieces that a task has seen before go as they are marked: content repeats."""
+def _frequent(docs: DataFrame, n_docs: int) -> Frequent:
+    """Keys (ascending) of very many pieces and about how many each has, from a sample of documents.
+
+    At most 1 / SHARE keys.  A key that the sample misses takes the usual way.
+    """
+    one_in = int(min(max(SAMPLED, n_docs // 2_000_000), SAMPLED_MOST))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, data, offsets in text_parts(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(pieces(data, offsets)[3])], names=["key"])
+
+    found = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(one_in)) == 0).select("text").mapInArrow(run, "key long").groupBy("key").count()
+    found = written(found.filter("count > 1"), "frequent")
+    total = found.agg(F.sum("count")).first()[0] or 0
+    rows = found.filter(F.col("count") > max(OFTEN * KEY_PIECES / one_in, SHARE * total)).orderBy("key").collect()
+    return np.array([r.key for r in rows], np.int64), np.array([r["count"] * one_in for r in rows], np.int64)
+
+
+def _times(frequent: Frequent, key: np.ndarray) -> np.ndarray:
+    """About how many pieces a frequent key has; 0 for others."""
+    keys, times = frequent
+    if not len(keys):
+        return np.zeros(len(key), np.int64)
+    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+    return np.where(keys[at] == key, times[at], 0)
+
+
+def combined(doc: np.ndarray, start: np.ndarray, count: np.ndarray, key: np.ndarray, content: np.ndarray, again: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the earliest of equal pieces, whether one of its equals has ``again``, and places of those that start elsewhere."""
+    name = mixed(content.view(np.uint64) + mixed(key.view(np.uint64)) + count.astype(np.uint64) * _INVERSE)
+    order = np.argsort(name, kind="stable")
+    new = np.append(True, name[order][1:] != name[order][:-1]) if len(order) else np.empty(0, bool)
+    group = np.cumsum(new) - 1
+    many = np.bincount(group)[group] > 1
+    part = order[many]
+    order[many] = part[np.lexsort((start[part], doc[part], group[many]))]
+    first = order[new]
+    elsewhere = (doc[order] != doc[first][group]) | (start[order] != start[first][group])  # rows may repeat an id and text
+    return first, np.bincount(group, weights=again[order]) > 0, order[elsewhere]
+
+
+def _routed(docs: DataFrame, shards: int, frequent: Frequent) -> DataFrame:
+    """Pieces of all documents, packed by shard; those that repeat another of the same task come apart, with negative shards."""
+    names = [c.split()[0] for c in _PIECES.split(", ")]
+
+    def row(shard: np.ndarray, columns: list[list[bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), *(pa.array(r, pa.binary()) for r in columns)], names=names)
 
     def packed(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         doc, start, count, key, content, again = (np.concatenate(x) for x in zip(*held, strict=True))
-        shard = (mixed(key.view(np.uint64)) % np.uint64(shards)).astype(np.int32)
+        kept, marked, others = combined(doc, start, count, key, content, again)
+        for at in range(0, len(others), GATHERED // 8):
+            own = others[at : at + GATHERED // 8]
+            yield row(np.array([-1 - int(mixed(doc[own[:1]].view(np.uint64))[0] % np.uint64(shards))]), [[x[own].tobytes()] for x in (key, content, doc, start, count, again)])
+        doc, start, count, key, content, again = doc[kept], start[kept], count[kept], key[kept], content[kept], marked
+        own = key.view(np.uint64) ^ np.where(_times(frequent, key) > 0, mixed(content.view(np.uint64)), np.uint64(0))
+        shard = (mixed(own) % np.uint64(shards)).astype(np.int32)
         order = np.argsort(shard, kind="stable")
         edges = np.flatnonzero(np.diff(shard[order], prepend=-1, append=-1))
         columns = [x[order] for x in (key, content, doc, start, count, again)]
-        rows = [[x[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)] for x in columns]
-        yield pa.RecordBatch.from_arrays([pa.array(shard[order][edges[:-1]], pa.int32()), *(pa.array(r, pa.binary()) for r in rows)], names=[c.split()[0] for c in _PIECES.split(", ")])
+        yield row(shard[order][edges[:-1]], [[x[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)] for x in columns])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -141,17 +199,30 @@ def settle(key: np.ndarray, content: np.ndarray, doc: np.ndarray, start: np.ndar
     return order, repeats, new & ((distinct > 1) | recurs), distinct
 
 
-def _settled(rows: pa.Table) -> pa.Table:
-    kinds = {"key": np.int64, "content": np.int64, "doc": np.int64, "start": np.int32, "count": np.int32, "again": bool}
-    held = {name: np.frombuffer(b"".join(x.as_py() for x in rows.column(name)), kind) for name, kind in kinds.items()}
-    order, repeats, wanted, distinct = settle(*held.values())
-    use = repeats | wanted
-    at = order[use]
-    said = np.where(repeats[use], "repeat", "wanted")
-    return pa.table({
-        "kind": pa.array(said.tolist(), pa.string()), "key": held["key"][at], "doc_id": held["doc"][at],
-        "start": held["start"][at], "count": held["count"][at], "pieces": pa.array(distinct[use], pa.int64(), safe=False),
-    })
+def _settled(frequent: Frequent):
+    """Of a shard of ``_routed``: repeats, and the pieces whose bytes are wanted."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        kinds = {"key": np.int64, "content": np.int64, "doc": np.int64, "start": np.int32, "count": np.int32, "again": bool}
+        held = {name: np.frombuffer(b"".join(x.as_py() for x in rows.column(name)), kind) for name, kind in kinds.items()}
+        if rows.num_rows and rows.column("shard")[0].as_py() < 0:
+            use = np.arange(len(held["key"]))
+            order, repeats, distinct = use, np.ones(len(use), bool), np.ones(len(use), np.int64)
+            use = repeats
+        else:
+            order, repeats, wanted, distinct = settle(*held.values())
+            # A frequent key has its pieces in several shards: all that are no repeats are wanted.
+            often = _times(frequent, held["key"][order])
+            wanted, distinct = wanted | (~repeats & (often > 0)), np.where(often > 0, often, distinct)
+            use = repeats | wanted
+        at = order[use]
+        said = np.where(repeats[use], "repeat", "wanted")
+        return pa.table({
+            "kind": pa.array(said.tolist(), pa.string()), "key": held["key"][at], "doc_id": held["doc"][at],
+            "start": held["start"][at], "count": held["count"][at], "pieces": pa.array(distinct[use], pa.int64(), safe=False),
+        })
+
+    return run
 
 
 def suffix_order(data: np.ndarray) -> np.ndarray:
@@ -259,56 +330,89 @@ def _spans(flag: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return piece[a], nth[a], b - a + 1
 
 
-_SORTED = "kind string, key long, doc_id long, start int, count int, part long, bytes binary"
+_SORTED = "kind string, key long, doc_id long, start int, count int, bytes binary"
 
 
-def _emit(kind: str, rows: pa.Table, piece: np.ndarray, first: np.ndarray, count: np.ndarray, texts: list[bytes | None]) -> pa.Table:
-    part = rows.column("part").to_numpy()
+def _emit(kind: str, rows: pa.Table, piece: np.ndarray, first: np.ndarray, count: np.ndarray) -> pa.Table:
     return pa.table({
         "kind": pa.array([kind] * len(piece), pa.string()), "key": rows.column("key").to_numpy()[piece], "doc_id": rows.column("doc_id").to_numpy()[piece],
-        "start": pa.array(rows.column("start").to_numpy()[piece] + first, pa.int32()), "count": pa.array(count, pa.int32()),
-        "part": part[piece], "bytes": pa.array(texts, pa.binary()),
+        "start": pa.array(rows.column("start").to_numpy()[piece] + first, pa.int32()), "count": pa.array(count, pa.int32()), "bytes": pa.nulls(len(piece), pa.binary()),
     })
 
 
-def _suffix_shard(rows: pa.Table) -> pa.Table:
-    """Repeats among the pieces of a shard; of keys spread over several shards also the windows that are left, with their bytes."""
-    data, begins, counts, doc, start = _unpacked(rows)
-    late = later_windows(data, begins, counts, doc, start)
-    found = _emit("repeat", rows, *(s := _spans(late, counts)), [None] * len(s[0]))
-    spread = np.repeat(rows.column("parts").to_numpy() > 1, counts)
-    piece, first, count = _spans(~late & spread, counts)
-    texts = [data[begins[p] + f : begins[p] + f + c + LENGTH - 1].tobytes() for p, f, c in zip(piece, first, count, strict=True)]
-    return pa.concat_tables([found, _emit("left", rows, piece, first, count, texts)])
+def _digests(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """128-bit digests of the windows that start at ``at``, as byte strings in order of their bytes."""
+    one, two = span_hashes(data, at, at + LENGTH), mixed(span_hashes(data ^ np.uint8(0x5A), at, at + LENGTH) + _INVERSE)
+    return np.stack([one, two], axis=1).astype(">u8")
+
+
+_LEFT = np.dtype([("one", ">u8"), ("two", ">u8"), ("doc", "<i8"), ("start", "<i8")])
+
+
+def _suffix_shard(shards: int):
+    """Of the pieces of a shard: repeats; of keys spread over several shards also the windows that are left, packed by ``shards`` of their digests."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        data, begins, counts, doc, start = _unpacked(rows)
+        late = later_windows(data, begins, counts, doc, start)
+        found = _emit("repeat", rows, *_spans(late, counts))
+        piece = np.repeat(np.arange(len(counts)), counts)
+        nth = np.arange(len(piece)) - np.repeat(np.cumsum(counts) - counts, counts)
+        own = np.flatnonzero(~late & (rows.column("parts").to_numpy() > 1)[piece])
+        held = np.empty(len(own), _LEFT)
+        digest = _digests(data, begins[piece[own]] + nth[own]) if len(own) else np.empty((0, 2), ">u8")
+        held["one"], held["two"], held["doc"], held["start"] = digest[:, 0], digest[:, 1], doc[piece[own]], start[piece[own]] + nth[own]
+        to = (held["one"].astype(np.uint64) % np.uint64(shards)).astype(np.int64)
+        order = np.lexsort((held["two"], held["one"], to))
+        edges = np.flatnonzero(np.diff(to[order], prepend=-1, append=-1))
+        packs = [held[order[a:b]].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        n = len(packs)
+        left = pa.table({
+            "kind": pa.array(["left"] * n, pa.string()), "key": pa.array(to[order][edges[:-1]], pa.int64()), "doc_id": np.zeros(n, np.int64),
+            "start": np.zeros(n, np.int32), "count": np.zeros(n, np.int32), "bytes": pa.array(packs, pa.binary()),
+        })
+        return pa.concat_tables([found, left])
+
+    return run
+
+
+def merged_lists(lists: list[np.ndarray]) -> np.ndarray:
+    """Which of the windows of several lists (each ordered, without equals) repeat an earlier start, by binary search of each list in the others."""
+    digest = [np.stack([x["one"], x["two"]], axis=1).astype(">u8").view(np.uint8) for x in lists]
+    # Ends of a byte string drop zeros; a final mark keeps all as long as they are.
+    text = [np.concatenate([d, np.ones((len(d), 1), np.uint8)], axis=1).view("S17").ravel() for d in digest]
+    held, names = np.concatenate(lists), np.concatenate(text)
+    late, at = np.zeros(len(held), bool), 0
+    base, base_at = names[:0], np.empty(0, np.int64)
+    for own in text:
+        here = np.arange(at, at + len(own))
+        at += len(own)
+        hit = np.searchsorted(base, own)
+        known = (hit < len(base)) & (base[np.minimum(hit, len(base) - 1)] == own) if len(base) else np.zeros(len(own), bool)
+        there, new = base_at[hit[known]], here[known]
+        earlier = (held["doc"][new] < held["doc"][there]) | ((held["doc"][new] == held["doc"][there]) & (held["start"][new] < held["start"][there]))
+        late[np.where(earlier, there, new)] = True
+        base_at[hit[known]] = np.where(earlier, new, there)
+        place = np.searchsorted(base, own[~known])
+        base, base_at = np.insert(base, place, own[~known]), np.insert(base_at, place, here[~known])
+    return late
 
 
 def _merged_shards(rows: pa.Table) -> pa.Table:
-    """Repeats among windows of one key that are left in different shards, by binary search in their order."""
-    data, begins, counts, doc, start = _unpacked(rows)
-    piece = np.repeat(np.arange(len(counts)), counts)
-    nth = np.arange(len(piece)) - np.repeat(np.cumsum(counts) - counts, counts)
-    views = np.lib.stride_tricks.sliding_window_view(data, LENGTH)[begins[piece] + nth]
-    # Ends of a byte string drop zeros; a final mark keeps all windows as long as they are.
-    marked = np.ones((len(views), LENGTH + 1), np.uint8)
-    marked[:, :LENGTH] = views
-    text = marked.view(f"S{LENGTH + 1}").ravel()
-    source = rows.column("part").to_numpy()[piece]
-    doc_w, at_w = doc[piece], start[piece] + nth
-    late = np.zeros(len(piece), bool)
-    base, base_at = np.empty(0, text.dtype), np.empty(0, np.int64)
-    for one in np.unique(source):
-        own = np.flatnonzero(source == one)
-        own = own[np.argsort(text[own], kind="stable")]
-        hit = np.searchsorted(base, text[own])
-        known = (hit < len(base)) & (base[np.minimum(hit, len(base) - 1)] == text[own]) if len(base) else np.zeros(len(own), bool)
-        there, here = base_at[hit[known]], own[known]
-        earlier = (doc_w[here] < doc_w[there]) | ((doc_w[here] == doc_w[there]) & (at_w[here] < at_w[there]))
-        late[np.where(earlier, there, here)] = True
-        base_at[hit[known]] = np.where(earlier, here, there)
-        fresh = own[~known]
-        place = np.searchsorted(base, text[fresh])
-        base, base_at = np.insert(base, place, text[fresh]), np.insert(base_at, place, fresh)
-    return _emit("repeat", rows, *(s := _spans(late, counts)), [None] * len(s[0]))
+    """Repeats among the left windows of different shards whose digests were dealt here."""
+    lists = [np.frombuffer(x.as_py(), _LEFT) for x in rows.column("bytes")]
+    late = merged_lists(lists)
+    found = np.concatenate(lists)[late]
+    order = np.lexsort((found["start"], found["doc"]))
+    doc, start = found["doc"][order], found["start"][order]
+    first = np.append(True, (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)) if len(doc) else np.empty(0, bool)
+    begin = np.flatnonzero(first)
+    count = np.diff(np.append(begin, len(doc)))
+    n = len(begin)
+    return pa.table({
+        "kind": pa.array(["repeat"] * n, pa.string()), "key": rows.column("key").to_numpy()[:1].repeat(n) if n else np.empty(0, np.int64),
+        "doc_id": doc[begin].astype(np.int64), "start": pa.array(start[begin], pa.int32()), "count": pa.array(count, pa.int32()), "bytes": pa.nulls(n, pa.binary()),
+    })
 
 
 def _listed(spans: DataFrame) -> DataFrame:
@@ -335,19 +439,21 @@ def _cut(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     joined = _of(docs, wanted.select("doc_id").distinct(), "left_semi").join(_listed(wanted), "doc_id").select("doc_id", "text", "spans")
-    return joined.mapInArrow(run, "key long, doc_id long, start int, count int, parts long, bytes binary").dropDuplicates(["doc_id", "start", "key"])
+    return joined.mapInArrow(run, "key long, doc_id long, start int, count int, parts long, bytes binary").distinct()
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """doc_id, start and count: stretches of ``count`` windows from ``start`` on that repeat earlier ones.
 
     Rows with a null id or text take no part.  Rows that share an id count as
-    one document; where their texts differ, spans are cut to each text.
+    one document, whose windows start at the same places in each of their texts;
+    spans found in one are cut to each text.
     """
     held = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    total = held.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    total, n_docs = held.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).first()
     shards = max(SPREAD, math.ceil(total / ROUTED_BYTES))
-    found = written(_routed(held, shards).groupBy("shard").applyInArrow(_settled, _FOUND), "settled")
+    frequent = _frequent(held, n_docs)
+    found = written(_routed(held, shards, frequent).groupBy("shard").applyInArrow(_settled(frequent), _FOUND), "settled")
     wanted = found.filter("kind = 'wanted'").withColumn("parts", F.ceil(F.col("pieces") / KEY_PIECES).cast("long"))
     size = wanted.agg(F.sum(F.col("count") + LENGTH)).first()[0] or 0
     runs = found.filter("kind = 'repeat'").select("doc_id", "start", "count")
@@ -356,7 +462,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     n = max(SPREAD, math.ceil(size / SUFFIX_BYTES))
     cut = _cut(held, wanted).withColumn("part", F.pmod(F.xxhash64("doc_id", "start"), F.col("parts")))
     cut = cut.withColumn("shard", F.pmod(F.xxhash64("key", "part"), F.lit(n)).cast("int"))
-    compared = written(cut.groupBy("shard").applyInArrow(_suffix_shard, _SORTED), "suffixes")
+    compared = written(cut.groupBy("shard").applyInArrow(_suffix_shard(n), _SORTED), "suffixes")
     left = compared.filter("kind = 'left'")
     merged = left.groupBy("key").applyInArrow(_merged_shards, _SORTED)
     later = compared.filter("kind = 'repeat'").unionByName(merged)

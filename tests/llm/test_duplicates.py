@@ -114,8 +114,8 @@ def removed(texts):
     return out
 
 
-@pytest.mark.parametrize("pieces", [2, 2000])
-def test_repeats_equal_brute_force(spark, prose_of, monkeypatch, pieces):
+@pytest.mark.parametrize(("pieces", "often"), [(2, 8), (2000, 8), (2, 0)])
+def test_repeats_equal_brute_force(spark, prose_of, monkeypatch, pieces, often):
     r = random.Random(2)
     passages = [prose_of(500 + i, 40) for i in range(4)]
     texts = {}
@@ -128,13 +128,32 @@ def test_repeats_equal_brute_force(spark, prose_of, monkeypatch, pieces):
         texts[i] = r.choice([" ", "\n", "é\0"]).join(parts)
     texts |= {60: texts[3], 61: "be " * 200, 62: "ab" * 120, 63: "\0" * 400, 64: "", 65: "short", 66: texts[3][:99], 67: texts[3][:100]}
     monkeypatch.setattr(suffix_dedup, "KEY_PIECES", pieces)  # at 2, keys are spread and merged by search
+    monkeypatch.setattr(suffix_dedup, "SAMPLED", 64 if often else 1)
+    monkeypatch.setattr(suffix_dedup, "OFTEN", often)  # at 0, every key that occurs twice counts as frequent
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
     got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_dedup.stripped(df, digest=True).collect()}
     assert got == removed(texts)
 
 
+def test_combined_pieces_keep_the_earliest():
+    r = np.random.default_rng(1)
+    key, content, count = r.integers(0, 3, 500), r.integers(0, 4, 500), r.integers(1, 3, 500).astype(np.int32)
+    doc, start, again = r.integers(0, 50, 500), r.integers(0, 9, 500).astype(np.int32), r.random(500) < 0.02
+    kept, marked, others = suffix_dedup.combined(doc, start, count, key, content, again)
+    groups = defaultdict(list)
+    for i in range(500):
+        groups[key[i], content[i], count[i]].append(i)
+    first = {(key[i], content[i], count[i]): (doc[i], start[i]) for i in kept}
+    assert sorted(others) == [i for i in range(500) if (doc[i], start[i]) != first[key[i], content[i], count[i]]] and len(kept) == len(groups)
+    for i, m in zip(kept, marked):
+        own = groups[key[i], content[i], count[i]]
+        assert (doc[i], start[i]) == min((doc[j], start[j]) for j in own) and m == any(again[j] for j in own)
+
+
 def test_repeats_of_edge_rows(docs, none):
     rows = suffix_dedup.stripped(docs).collect()
+    again = suffix_dedup.stripped(docs.repartition(5)).collect()
+    assert sorted((r.doc_id or -1, bytes(r.kept)) for r in rows) == sorted((r.doc_id or -1, bytes(r.kept)) for r in again)
     assert len(rows) == docs.count()
     assert all(len(r.kept) == r.n_bytes - r.n_removed for r in rows)
     assert all(r.n_removed == 0 for r in rows if r.doc_id is None or r.n_bytes < 100)
