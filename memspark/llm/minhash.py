@@ -37,6 +37,8 @@ BINS = ROWS * BANDS
 FEW = 256
 #: In a star, changes that one member in so many shares come after the rarer ones.
 COMMON = 20
+#: Parts that the members of one centre are spread over where they meet what belongs to it.
+SALTS = 32
 #: Ids up to which a list of candidates is broadcast (some 40 MB as a hash table).
 SMALL = 500_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -224,6 +226,16 @@ def _unsettled(shared: DataFrame, roots: DataFrame, sets: DataFrame, percent: in
     return pairs.unionByName(_by_changes(stars, sets, percent)).distinct()
 
 
+def _with_centre(members: DataFrame, centres: DataFrame, how: str) -> DataFrame:
+    """``members`` (centre, id and others) with the columns of ``centres`` (centre and others).
+
+    A centre's row goes to SALTS parts and each member to one of them, so that a
+    star with very many members isn't one task's.
+    """
+    spread = centres.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return members.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(spread, ["centre", "salt"], how).drop("salt")
+
+
 def _by_changes(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a < b) of members of one star (centre, cn, id, n, root) that may be linked but lie in different components.
 
@@ -237,7 +249,8 @@ def _by_changes(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     come first.  No pair that could be linked is left out.
     """
     less, both = 100 - percent, 100 + percent
-    x = stars.join(sets.select("id", F.col("shingles").alias("own")), "id").join(sets.select(F.col("id").alias("centre"), F.col("shingles").alias("mid")), "centre")
+    middles = stars.select("centre").distinct().join(sets.select(F.col("id").alias("centre"), F.col("shingles").alias("mid")), "centre")
+    x = _with_centre(stars.join(sets.select("id", F.col("shingles").alias("own")), "id"), middles, "inner")
     changes = F.concat(F.array_except("own", "mid"), F.array_except("mid", "own"))
     x = written(x.select("centre", "cn", "id", "n", "root", changes.alias("changes")), "changed")
     # Changes that at least one member in COMMON shares: on average a member has e changes, so a star has at most COMMON * e of them.
@@ -245,7 +258,7 @@ def _by_changes(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     often = x.select("centre", F.explode("changes").alias("c")).groupBy("centre", "c").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
     often = often.join(members, "centre").filter(F.col("times") * COMMON >= F.col("m"))
     often = often.groupBy("centre").agg(F.array_sort(F.collect_list(F.struct("times", "c"))).getField("c").alias("often"))
-    x = x.join(often, "centre", "left").withColumn("often", F.coalesce("often", F.array().cast("array<long>")))
+    x = _with_centre(x, often, "left").withColumn("often", F.coalesce("often", F.array().cast("array<long>")))
     ordered = F.concat(F.sort_array(F.array_except("changes", "often")), F.array_intersect("often", "changes"))
     x = x.select("centre", "cn", "id", "n", "root", ordered.alias("changes")).withColumn("e", F.size("changes"))
     far = both * F.col("e") > less * (F.col("n") + F.col("cn"))
