@@ -15,8 +15,8 @@ WORD_SPACE = r"\x20\x09-\x0D"
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the setting is absent (single-machine tests) a temporary folder is
-    made and set for the session's context.
+    Where the setting is absent, a session in local mode gets a temporary folder;
+    any other fails, as its machines would each write to their own disk.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -24,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="memspark-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
