@@ -28,7 +28,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group; rows with a null id stay.
 
-    Of rows that repeat an id the one with the least column values stays.
+    Of rows that repeat an id the one whose columns come first as JSON stays.
     """
     gone = written(minhash.clustered(docs, NEAR_PERCENT).filter("NOT kept").select("doc_id").distinct(), "gone")
     small = gone.count() <= minhash.SMALL
@@ -36,7 +36,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     again = written(docs.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "again")
     if again.isEmpty():
         return kept
-    row = F.min(F.struct(*docs.columns)).alias("row")
+    row = F.min_by(F.struct(*docs.columns), F.to_json(F.struct(*docs.columns))).alias("row")
     once = kept.join(again, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("_id")).agg(row).select("row.*")
     return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
 
