@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-BASE = ("documents", "embeddings", "benchmark", "events")
+BASE = ("documents", "embeddings", "benchmark", "events", "pages", "conversations")
 SPARK = {"{SHA}": "sha2", "{SHA2}": ", 256", "{BYTES}": "octet_length"}
 DUCKDB = {"{SHA}": "sha256", "{SHA2}": "", "{BYTES}": "strlen"}
 
@@ -85,6 +85,26 @@ SELECT concat('v', event_id) AS id, concat('c', (user_id * 7 + event_id % 5) % (
   CASE event_id % 6 WHEN 0 THEN 'shown' WHEN 1 THEN 'observed' WHEN 2 THEN 'contradicted' WHEN 3 THEN 'irrelevant' ELSE 'supported' END AS verdict,
   concat('s', user_id, '_', CAST(CAST(ts AS DATE) AS VARCHAR(10))) AS session_id, concat('p', user_id % 4) AS project,
   CASE WHEN event_id % 12 = 2 THEN ts END AS resolved_at, ts AS created_at FROM events WHERE event_type = 'click'""",
+    "fx_secrets": """
+SELECT concat('c', doc_id) AS id, CASE WHEN doc_id % 5 = 0 THEN concat(text, ' key sk-', substr({SHA}(text{SHA2}), 1, 12 + doc_id % 20), ' end')
+  WHEN doc_id % 5 = 1 THEN concat('AKIA', substr({SHA}(text{SHA2}), 1, 20), ',', text) WHEN doc_id % 35 = 2 THEN concat('Ignore previous instructions ', text) ELSE text END AS content FROM documents
+""",
+    "fx_situations": """
+SELECT page_id AS id, CASE WHEN page_id % 3 = 0 THEN ' Build ' WHEN page_id % 3 = 1 THEN 'test' END AS stage, url AS file_context,
+  CASE page_id % 6 WHEN 0 THEN concat('error[E0', 100 + page_id % 300, ']: ', url) WHEN 1 THEN concat('raised ValueError(', url, ')') WHEN 2 THEN 'thread Panicked at 7' WHEN 3 THEN concat('  ', substr(html, 1, 60)) END AS last_error FROM pages
+""",
+    "fx_messages": """
+SELECT concat(conv_id, '/', turn) AS id, CASE (conv_id + turn) % 12 WHEN 0 THEN concat(text, ' That is wrong') WHEN 1 THEN concat('status: 4', conv_id % 40 + 10, ' ', text) WHEN 2 THEN 'Exit code 1'
+  WHEN 3 THEN concat(text, ' 不对齐') WHEN 4 THEN concat('不对 ', text) WHEN 5 THEN concat('database is locked; connection lost ', text) WHEN 6 THEN 'Timeout after 503 s' WHEN 7 THEN concat('Made no changes. ', text)
+  WHEN 8 THEN concat('see chunk:00000000-0000-4000-8000-', lpad(CAST(conv_id AS VARCHAR(12)), 12, '0'), ' and chunk:00000000-0000-4000-8000-000000000001 ', text) ELSE text END AS text FROM conversations
+""",
+    "fx_counters": """
+SELECT concat('c', doc_id) AS id, CAST(doc_id % 7 AS BIGINT) AS selected_count FROM documents
+""",
+    "fx_births": """
+SELECT concat('e', event_id) AS id, concat('c', (user_id * 7 + event_id % 5) % (SELECT count(*) FROM documents)) AS rule_id,
+  concat('s', user_id, '_', CAST(CAST(ts AS DATE) AS VARCHAR(10))) AS session_id FROM events WHERE event_type = 'purchase'
+""",
     "fx_verdicts": """
 SELECT concat('d', event_id) AS verdict_id, concat('t', user_id, '_', CAST(CAST(ts AS DATE) AS VARCHAR(10))) AS trace_id,
   CASE WHEN event_id % 10 = 0 THEN NULL WHEN event_id % 10 < 5 THEN 'affirm' WHEN event_id % 10 < 8 THEN 'caution' ELSE 'neutral' END AS emitted_valence,

@@ -13,23 +13,24 @@ from memspark.fixtures import view
 
 @dataclass(frozen=True)
 class Params:
-    """Tunable numbers; the defaults are the fixed values of the survey, lowered where the fixtures are thin."""
+    """Tunable numbers.  Fixed values: the defaults are those of the engine whose results these must equal."""
 
     embed_version: int = 1
     low_confidence: float = 0.25
     low_confidence_days: int = 60
-    repeat_select_min: int = 3
+    repeat_select_min: int = 10
     repeat_confidence: float = 0.60
     hub_days: int = 30
-    hub_select_min: int = 3
+    hub_select_min: int = 50
     hub_use_rate: float = 0.01
     never_used_days: int = 30
-    proposal_score: float = 2.0
+    proposal_score: float = 3.0
     proposal_actors: int = 2
-    archive_score: float = 3.0
-    archive_actors: int = 2
+    negative_score: float = 5.0
+    negative_actors: int = 2
+    proposal_days: int = 30
     feedback_half_life: float = 90.0
-    failure_min_uses: int = 2
+    failure_min_uses: int = 5
     failure_rate: float = 0.2
     failure_confidence: float = 0.35
     decay_half_life: float = 90.0
@@ -37,7 +38,30 @@ class Params:
     decay_least: float = 0.001
     calibration_bins: int = 10
     length_free: int = 800
-    length_weight: float = 0.05
+    length_weight: float = 0.15
+    w_content: float = 0.55
+    w_trigger: float = 0.25
+    w_lexical: float = 0.25
+    w_confidence: float = 0.10
+    w_context: float = 0.15
+    w_activation: float = 0.08
+    pending_penalty: float = 0.60
+    anti_penalty: float = 0.60
+    soft_bonus: float = 0.05
+    top_k: int = 20
+    min_score: float | None = None
+    prior_m: float = 2.0
+    base_rate: float = 0.5
+    episode_days: int = 60
+    shown_days: int = 2
+    open_days: int = 14
+    recurring_min: int = 5
+    compact_days: int = 30
+    retain_days: int = 30
+
+
+#: Lower bounds for the registered queries: the fixtures' events are spread too thin for the defaults.
+THIN = Params(repeat_select_min=3, hub_select_min=3, failure_min_uses=2, recurring_min=2, proposal_score=2.0, negative_score=2.5, episode_days=20, compact_days=20, retain_days=20)
 
 
 class Library:
@@ -62,6 +86,13 @@ class Library:
     log = cached_property(lambda self: self._read("fx_log"))
     episodes = cached_property(lambda self: self._read("fx_episodes"))
     validations = cached_property(lambda self: self._read("fx_validations"))
+    #: Stored counters of selections (id, selected_count) and episodes that gave birth to rules (rule_id, session_id).
+    counters = cached_property(lambda self: self._read("fx_counters"))
+    births = cached_property(lambda self: self._read("fx_births"))
+    #: Texts that the jobs of ``texts`` read: chunks with keys among their words, situations (stage, error, file), messages.
+    secrets = cached_property(lambda self: self._read("fx_secrets"))
+    situations = cached_property(lambda self: self._read("fx_situations"))
+    messages = cached_property(lambda self: self._read("fx_messages"))
     verdicts = cached_property(lambda self: self._read("fx_verdicts"))
 
     @cached_property
@@ -79,6 +110,11 @@ def days_between(later: Column, earlier: Column) -> Column:
     return F.greatest(F.lit(0.0), (F.unix_micros(later.cast("timestamp")) - F.unix_micros(earlier.cast("timestamp"))) / F.lit(86400e6))
 
 
+def whole_days_between(later: Column, earlier: Column) -> Column:
+    """Whole days, at least 0."""
+    return F.floor(days_between(later, earlier)).cast("long")
+
+
 def ratio(n: Column, d: Column) -> Column:
     """n / d rounded to three places, 0 for an empty denominator."""
     return F.when(d > 0, F.round(n / d, 3)).otherwise(F.lit(0.0))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memspark.library import Library, days_between
+from memspark.library import Library, days_between, whole_days_between
 
 
 def success_facts(lib: Library) -> DataFrame:
@@ -31,40 +31,115 @@ def usage_counts(lib: Library) -> DataFrame:
 
 
 def purged_usage(lib: Library, before_days: int = 7) -> DataFrame:
-    """What is left after verbose retrieved events older than the watermark are dropped."""
-    old = (F.col("event") == "retrieved") & (F.col("ts") < lib.as_of - F.expr(f"INTERVAL {before_days} DAYS"))
-    return lib.usage.filter(~old).groupBy("event").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"))
+    """The events that stay when verbose retrieved and refined ones older than the watermark go; those of sparks stay."""
+    sparks = lib.chunks.filter("origin = 'spark'").select(F.col("id").alias("chunk_id"))
+    old = F.col("event").isin("retrieved", "refined") & (F.col("ts") < lib.as_of - F.make_dt_interval(days=F.lit(before_days)))
+    kept = lib.usage.filter(~old).unionByName(lib.usage.filter(old).join(sparks, "chunk_id", "left_semi").select(*lib.usage.columns))
+    return kept.select("id", "trace_id", "chunk_id", "event", "ts")
 
 
 def deduped(lib: Library) -> DataFrame:
     return lib.events.groupBy("event").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
 
 
-def evidence(lib: Library) -> DataFrame:
-    """Outcome evidence: each chunk that a trace used gets target and step; the step is shared by the trace's uses."""
+#: Step of all evidence, of a selected and unused chunk, of each attribution; share of a failure.
+STEP, UNUSED, ATTRIBUTION, FAILED = 0.2, 0.08, {"explicit": 0.30, "cited": 0.25}, 0.5
+INFERRED = 0.15
+#: Fixed order of kinds at one time.
+_KIND_RANK = {"outcome_ok": 1, "outcome_fail": 1, "selected_unused": 2, "feedback_up": 3, "feedback_down": 3}
+
+
+def outcome_evidence(lib: Library) -> DataFrame:
+    """Evidence of outcomes: target 1 or 0 for each chunk that a trace with an outcome used, the step shared by its uses."""
     used = lib.events.filter("event = 'used'").select("id", "trace_id", "chunk_id", "attribution", "ts")
     n = used.groupBy("trace_id").agg(F.count(F.lit(1)).alias("n_used"))
     out = lib.events.filter("event IN ('task_ok', 'task_fail')").select("trace_id", F.col("event").alias("outcome"))
-    strength = F.when(F.col("attribution") == "explicit", 0.30).when(F.col("attribution") == "cited", 0.25).otherwise(0.15) / F.col("n_used")
+    strength = F.lit(INFERRED)
+    for name, value in ATTRIBUTION.items():
+        strength = F.when(F.col("attribution") == name, value).otherwise(strength)
     good = F.col("outcome") == "task_ok"
     x = used.join(n, "trace_id").join(out, "trace_id")
-    return x.select("id", "chunk_id", "trace_id", "ts", F.when(good, 1.0).otherwise(0.0).alias("target"), (strength * F.when(good, 1.0).otherwise(0.5)).alias("alpha"))
+    alpha = F.least(F.lit(1.0), STEP * (strength / F.col("n_used")) * F.when(good, 1.0).otherwise(FAILED))
+    return x.select(F.col("id").cast("string").alias("id"), "chunk_id", "trace_id", F.when(good, "outcome_ok").otherwise("outcome_fail").alias("kind"), "ts", F.when(good, 1.0).otherwise(0.0).alias("target"), alpha.alias("alpha"))
+
+
+def unused_evidence(lib: Library) -> DataFrame:
+    """Evidence against chunks that a trace selected and, by a complete report, did not use."""
+    complete = lib.log.filter("usage_state IN ('known_some', 'known_none')").select("trace_id")
+    used = lib.events.filter("event = 'used'").select("trace_id", "chunk_id")
+    x = lib.events.filter("event = 'selected'").join(complete, "trace_id", "left_semi").join(used, ["trace_id", "chunk_id"], "left_anti")
+    return x.select(F.col("id").cast("string").alias("id"), "chunk_id", "trace_id", F.lit("selected_unused").alias("kind"), "ts", F.lit(0.0).alias("target"), F.lit(STEP * UNUSED).alias("alpha"))
+
+
+def feedback_evidence(lib: Library) -> DataFrame:
+    """Evidence of the last signal of each trace about a chunk, weighed up to 1.5 the sooner it follows the chunk's last use.
+
+    A chunk without a use counts as used on the day.
+    """
+    last = usage_counts(lib).select(F.col("id").alias("chunk_id"), "last_used_at")
+    at = lib.feedback.groupBy("trace_id", "chunk_id").agg(F.max(F.struct("ts", "id", "signal", "strength")).alias("f"))
+    x = at.select("trace_id", "chunk_id", "f.*").join(last, "chunk_id")
+    gap = F.coalesce(whole_days_between(F.col("ts"), F.col("last_used_at")), F.lit(0))
+    weight = F.least(F.lit(1.5), 1.0 + 0.5 * F.pow(F.lit(0.5), gap / 14.0))
+    up = F.col("signal") == "up"
+    alpha = F.least(F.lit(1.0), STEP * F.col("strength").cast("double") * weight)
+    return x.select(F.col("id").cast("string").alias("id"), "chunk_id", "trace_id", F.concat(F.lit("feedback_"), "signal").alias("kind"), "ts", F.when(up, 1.0).otherwise(0.0).alias("target"), alpha.alias("alpha"))
+
+
+def evidence(lib: Library) -> DataFrame:
+    """All evidence about chunks that are no sparks: id, chunk_id, trace_id, kind, ts, target and alpha."""
+    real = lib.chunks.filter("origin <> 'spark'").select(F.col("id").alias("chunk_id"))
+    x = outcome_evidence(lib).unionByName(unused_evidence(lib)).unionByName(feedback_evidence(lib))
+    return x.join(real, "chunk_id", "left_semi").select("id", "chunk_id", "trace_id", "kind", "ts", "target", "alpha")
 
 
 def folded(lib: Library) -> DataFrame:
-    """Confidence after the evidence in order of time: c <- c + alpha * (target - c).
+    """Confidence after a chunk's evidence in order (time, rank and name of kind, id): c <- c + alpha * (target - c).
 
-    A chunk's evidence is held as one array; it grows with the chunk's uses only.
+    All steps keep c within [0, 1], so a run of steps is one affine map, and maps
+    of consecutive runs compose.  Each day's steps are folded first, then the
+    days: no array holds more than a chunk's evidence of one day, or its days.
+    ``reason`` is the kind of the last evidence; chunks without any have no row.
     """
-    listed = F.array_sort(F.collect_list(F.struct("ts", "id", "target", "alpha")))
-    x = evidence(lib).groupBy("chunk_id").agg(listed.alias("e"), F.count(F.lit(1)).alias("n_evidence"))
+    rank = F.lit(5)
+    for kind, place in _KIND_RANK.items():
+        rank = F.when(F.col("kind") == kind, place).otherwise(rank)
+    day = F.to_date("ts")
+    listed = F.array_sort(F.collect_list(F.struct("ts", rank.alias("rank"), "kind", "id", "target", "alpha"))).alias("e")
+    start = F.struct(F.lit(1.0).alias("keep"), F.lit(0.0).alias("add"))
+    step = lambda acc, e: F.struct((acc["keep"] * (1 - e["alpha"])).alias("keep"), (acc["add"] * (1 - e["alpha"]) + e["alpha"] * e["target"]).alias("add"))
+    days = evidence(lib).groupBy("chunk_id", day.alias("day")).agg(listed).select("chunk_id", "day", F.size("e").alias("n"), F.aggregate("e", start, step).alias("m"), F.element_at("e", -1)["kind"].alias("last"))
+    x = days.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("day", "m", "last"))).alias("d"), F.sum("n").cast("long").alias("n_evidence"))
     x = x.join(lib.chunks.select("id", "confidence_base"), F.col("chunk_id") == F.col("id"))
-    step = lambda c, e: F.least(F.lit(1.0), F.greatest(F.lit(0.0), c + e["alpha"] * (e["target"] - c)))
-    return x.select("chunk_id", "n_evidence", F.round(F.aggregate("e", F.col("confidence_base"), step), 8).alias("confidence"))
+    whole = F.aggregate("d", F.col("confidence_base"), lambda c, e: c * e["m"]["keep"] + e["m"]["add"])
+    return x.select("chunk_id", "n_evidence", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), whole)), 8).alias("confidence"), F.element_at("d", -1)["last"].alias("reason"))
+
+
+def context_stats(lib: Library) -> DataFrame:
+    """Successes, failures and feedback of a chunk by context; feedback counts after the chunk's cutoff."""
+    of = lib.log.filter("context_key IS NOT NULL").select("trace_id", "context_key")
+    real = lib.chunks.select(F.col("id").alias("chunk_id"), "origin", "evidence_cutoff_at")
+    done = outcome_evidence(lib).join(of, "trace_id").join(real.filter("origin <> 'spark'"), "chunk_id").select("chunk_id", "context_key", "kind")
+    said = lib.feedback.filter("context_key IS NOT NULL").join(real, "chunk_id", "left").filter("evidence_cutoff_at IS NULL OR ts > evidence_cutoff_at")
+    both = done.unionByName(said.select("chunk_id", "context_key", F.col("signal").alias("kind")))
+    n = lambda kind, name: F.count_if(F.col("kind") == kind).alias(name)
+    return both.groupBy("chunk_id", "context_key").agg(n("outcome_ok", "success_count"), n("outcome_fail", "failure_count"), n("up", "positive_feedback"), n("down", "negative_feedback"))
+
+
+def verdict_outcomes(lib: Library) -> DataFrame:
+    """Outcome of the trace of each verdict that has none: +1 for a failure, -1 for success; the first report counts.
+
+    A caution of a trace that went well may have been heeded: its outcome is censored.
+    """
+    out = lib.usage.filter("event IN ('task_ok', 'task_fail')").groupBy("trace_id").agg(F.min_by("event", F.struct("ts", "id")).alias("outcome"))
+    x = lib.verdicts.filter("observed_outcome IS NULL").join(out, "trace_id")
+    ok = F.col("outcome") == "task_ok"
+    censored = ok & (F.col("emitted_valence") == "caution")
+    return x.select("verdict_id", F.when(ok, -1.0).otherwise(1.0).alias("observed_outcome"), F.when(censored, "counterfactual_censored").otherwise("observed").alias("provenance"))
 
 
 def observed_outcomes(lib: Library) -> DataFrame:
-    return evidence(lib).groupBy("chunk_id").agg(F.count(F.lit(1)).alias("observed"), F.round(F.avg("target"), 6).alias("mean_target"))
+    return outcome_evidence(lib).groupBy("chunk_id").agg(F.count(F.lit(1)).alias("observed"), F.round(F.avg("target"), 6).alias("mean_target"))
 
 
 def latest_feedback(lib: Library) -> DataFrame:
@@ -75,11 +150,13 @@ def latest_feedback(lib: Library) -> DataFrame:
 
 
 def governance(lib: Library) -> DataFrame:
-    """Negative feedback of each actor on a chunk, with a half-life, within [-1, 1]; sum and number of actors against it."""
+    """Negative feedback of each actor on a chunk after its cutoff, with a half-life, within [-1, 1]; sum and number of actors against it."""
     p = lib.params
     signed = F.when(F.col("signal") == "down", F.col("strength")).otherwise(-F.col("strength"))
     aged = signed * F.pow(F.lit(0.5), days_between(lib.as_of, F.col("ts")) / p.feedback_half_life)
-    by_actor = lib.feedback.filter("actor IS NOT NULL").groupBy("chunk_id", "actor").agg(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.sum(aged))).alias("v"))
+    cut = lib.chunks.select(F.col("id").alias("chunk_id"), "evidence_cutoff_at")
+    counted = lib.feedback.filter("actor IS NOT NULL").join(cut, "chunk_id").filter("evidence_cutoff_at IS NULL OR ts > evidence_cutoff_at")
+    by_actor = counted.groupBy("chunk_id", "actor").agg(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.sum(aged))).alias("v"))
     x = by_actor.groupBy("chunk_id").agg(F.greatest(F.lit(0.0), F.sum("v")).alias("s"), F.count_if(F.col("v") > 0).alias("actors"))
     proposed = (F.col("s") >= p.proposal_score) & (F.col("actors") >= p.proposal_actors)
     return x.select("chunk_id", F.round("s", 6).alias("score"), "actors", proposed.alias("proposed"))
@@ -90,39 +167,78 @@ def usage_states(lib: Library) -> DataFrame:
 
 
 def counter_baseline(lib: Library) -> DataFrame:
-    """What a stored counter holds beyond the retained facts, at least 0."""
+    """What a stored counter of selections holds beyond the retained ones, at least 0.  ``counters``: id, selected_count."""
     facts = lib.events.filter("event = 'selected'").groupBy("chunk_id").agg(F.count(F.lit(1)).alias("kept"))
-    counter = F.substring("id", 2, 20).cast("long") % 7
-    x = lib.chunks.join(facts, F.col("id") == F.col("chunk_id"), "left")
-    return x.select("id", F.greatest(F.lit(0), counter - F.coalesce("kept", F.lit(0))).cast("long").alias("base"))
+    x = lib.counters.join(facts, F.col("id") == F.col("chunk_id"), "left")
+    return x.select("id", F.greatest(F.lit(0), F.col("selected_count") - F.coalesce("kept", F.lit(0))).cast("long").alias("base"))
+
 
+def _with_usage(lib: Library, origin: str | None = None, skill: str | None = None) -> DataFrame:
+    """Chunks that rules may touch: active or pending, no sparks, not protected, within the scope."""
+    x = lib.chunks.filter("state IN ('active', 'pending') AND origin <> 'spark' AND protected = 0")
+    x = x if origin is None else x.filter(F.col("origin") == origin)
+    x = x if skill is None else x.filter(F.col("skill_name") == skill)
+    return x.join(usage_counts(lib), "id")
 
-def _with_usage(lib: Library) -> DataFrame:
-    return lib.chunks.filter("state <> 'archived'").join(usage_counts(lib), "id")
 
+def archive_candidates(lib: Library, origin: str | None = None, skill: str | None = None) -> DataFrame:
+    """id and the first rule in order that archives a chunk.
 
-def archive_candidates(lib: Library) -> DataFrame:
-    """First rule in order that would archive a chunk: low confidence, selected but unused, hub, never used, failing."""
+    In order: low confidence and idle, selected but unused, hub, never used,
+    governance proposal, sustained negative feedback, failing.  Confidence is the
+    base; a chunk never used is not idle.  ``origin`` and ``skill`` narrow the scope.
+    """
     p = lib.params
-    hub_from = lib.as_of - F.expr(f"INTERVAL {p.hub_days} DAYS")
+    hub_from = lib.as_of - F.make_dt_interval(days=F.lit(p.hub_days))
     hub = lib.events.filter((F.col("ts") >= hub_from) & F.col("event").isin("selected", "used")).groupBy("chunk_id").agg(
         F.count_if(F.col("event") == "selected").alias("hs"), F.count_if(F.col("event") == "used").alias("hu"))
-    backed = lib.validations.filter("verdict = 'supported'").select(F.col("chunk_id").alias("b")).distinct()
+    backed = lib.validations.filter("verdict IN ('applied', 'supported')").select(F.col("chunk_id").alias("b")).distinct()
     done = success_counts(lib).select(F.col("id").alias("sid"), "successes")
-    x = _with_usage(lib).join(hub, F.col("id") == F.col("chunk_id"), "left").join(backed, F.col("id") == F.col("b"), "left").join(done, F.col("id") == F.col("sid"))
-    free = F.col("protected") == 0
-    age = days_between(lib.as_of, F.coalesce("evidence_cutoff_at", "created_at"))
-    idle = days_between(lib.as_of, F.coalesce("last_used_at", "created_at"))
+    against = governance(lib).select(F.col("chunk_id").alias("gid"), F.col("score").alias("against"), "actors")
+    x = _with_usage(lib, origin, skill).join(hub, F.col("id") == F.col("chunk_id"), "left").join(backed, F.col("id") == F.col("b"), "left").join(done, F.col("id") == F.col("sid")).join(against, F.col("id") == F.col("gid"), "left")
+    before = lambda c, days: c < lib.as_of - F.make_dt_interval(days=F.lit(days))
     rule = (
-        F.when(free & (F.col("confidence_base") < p.low_confidence) & (idle > p.low_confidence_days), "low_confidence")
-        .when(free & (F.col("selected") >= p.repeat_select_min) & (F.col("used") == 0) & (F.col("confidence_base") < p.repeat_confidence), "repeated_selected_unused")
-        .when(free & (F.col("hs") >= p.hub_select_min) & (F.col("hu") < p.hub_use_rate * F.col("hs")), "hub_selected_unused")
-        .when(free & (F.col("used") == 0) & (age > p.never_used_days) & F.col("b").isNull(), "never_used")
-        .when(free & (F.col("used") >= p.failure_min_uses) & (F.col("successes") < p.failure_rate * F.col("used")) & (F.col("confidence_base") < p.failure_confidence), "sustained_task_failure")
+        F.when((F.col("confidence_base") < p.low_confidence) & before(F.col("last_used_at"), p.low_confidence_days), "low_confidence")
+        .when((F.col("selected") >= p.repeat_select_min) & (F.col("used") == 0) & (F.col("confidence_base") < p.repeat_confidence), "repeated_selected_unused")
+        .when((F.col("hs") >= p.hub_select_min) & (F.col("hu") < p.hub_use_rate * F.col("hs")), "hub_selected_unused")
+        .when((F.col("used") == 0) & before(F.coalesce("evidence_cutoff_at", "created_at"), p.never_used_days) & F.col("b").isNull(), "never_used")
+        .when((F.col("against") >= p.proposal_score) & (F.col("actors") >= p.proposal_actors), "governance_proposal")
+        .when((F.col("against") >= p.negative_score) & (F.col("actors") >= p.negative_actors), "sustained_negative_feedback")
+        .when((F.col("used") >= p.failure_min_uses) & (F.col("successes") < p.failure_rate * F.col("used")) & (F.col("confidence_base") < p.failure_confidence), "sustained_task_failure")
     )
     return x.select("id", rule.alias("reason")).filter("reason IS NOT NULL")
 
 
+def curate_dry_run(lib: Library) -> DataFrame:
+    """How many chunks each step of a full run would touch: archived by rule, duplicates, decayed, timed out, expired."""
+    n = lambda df, step: df.groupBy(step).agg(F.count(F.lit(1)).alias("n"))
+    parts = [
+        n(archive_candidates(lib), F.concat(F.lit("archive:"), "reason").alias("step")), n(duplicate_losers(lib), F.lit("duplicate").alias("step")), n(decayed(lib), F.lit("decay").alias("step")),
+        n(trace_lifecycle(lib).filter("became = 'timed_out'"), F.lit("timed_out").alias("step")), n(expiries(lib), F.concat(F.lit("expire:"), "becomes").alias("step")),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def proposals(lib: Library) -> DataFrame:
+    """Proposals against chunks (score above 0), newest evidence first in each state, with what becomes of them.
+
+    accepted: enough score and actors; expired: too low a score for proposal_days
+    since the first signal; rejected: the chunk is gone or may not be archived;
+    else pending.
+    """
+    p = lib.params
+    first = lib.feedback.filter("signal = 'down'").groupBy("chunk_id").agg(F.min("ts").alias("created_at"))
+    x = governance(lib).filter("score > 0").join(first, "chunk_id").join(lib.chunks.select(F.col("id").alias("chunk_id"), "state", "origin", "protected"), "chunk_id", "left")
+    may = F.col("state").isin("active", "pending") & (F.col("origin") != "spark") & (F.col("protected") == 0)
+    enough = (F.col("score") >= p.proposal_score) & (F.col("actors") >= p.proposal_actors)
+    old = F.col("created_at") < lib.as_of - F.make_dt_interval(days=F.lit(p.proposal_days))
+    becomes = F.when(~F.coalesce(may, F.lit(False)), "rejected").when(enough, "accepted").when((F.col("score") < p.proposal_score) & old, "expired").otherwise("pending")
+    return x.select("chunk_id", "score", "actors", "created_at", F.col("state").alias("chunk_state"), becomes.alias("becomes"))
+
+
 def duplicate_losers(lib: Library) -> DataFrame:
     """Chunks whose content another has too: protected, confident and older ones stay."""
     key = F.struct(-F.col("protected"), -F.col("confidence_base"), "created_at", "id")
@@ -132,43 +248,91 @@ def duplicate_losers(lib: Library) -> DataFrame:
 
 
 def decayed(lib: Library) -> DataFrame:
-    """Confidence of idle chunks moved towards the floor with a half-life; tiny changes are left out."""
+    """Confidence of used and idle chunks moved towards the floor with a half-life of whole days since the last use or decay.
+
+    ``last_decayed_at`` of the chunks counts where it is later; changes of up to
+    decay_least are left out, as are chunks never used.
+    """
     p = lib.params
-    days = days_between(lib.as_of, F.coalesce("last_used_at", "created_at"))
+    since = F.greatest("last_used_at", F.col("last_decayed_at") if "last_decayed_at" in lib.chunks.columns else F.col("last_used_at"))
+    days = whole_days_between(lib.as_of, since)
     alpha = 1 - F.pow(F.lit(0.5), days / p.decay_half_life)
     new = F.col("confidence_base") + alpha * (p.decay_floor - F.col("confidence_base"))
-    x = _with_usage(lib).filter((F.col("protected") == 0) & (F.col("confidence_base") > p.decay_floor)).withColumn("new", new)
-    return x.filter(F.col("confidence_base") - F.col("new") > p.decay_least).select("id", F.round("new", 6).alias("confidence"))
+    x = _with_usage(lib).filter("last_used_at IS NOT NULL").withColumns({"days": days, "new": new})
+    return x.filter((F.col("days") > 0) & (F.abs(F.col("confidence_base") - F.col("new")) > p.decay_least)).select("id", F.round("new", 6).alias("confidence"), F.concat(F.lit("decay:"), F.col("days"), F.lit("d")).alias("note"))
 
 
 def calibration(lib: Library) -> DataFrame:
-    """Hit rate of verdicts by bucket of strength; the middle of a bucket without samples."""
+    """bucket, lo, hi, n and rate: hit rate of verdicts by bucket of claimed strength; the middle of a bucket without samples.
+
+    Without at least twice as many samples as buckets there is no map: no rows.
+    """
     bins = lib.params.calibration_bins
-    x = lib.verdicts.filter("observed_outcome IS NOT NULL AND outcome_provenance = 'observed' AND emitted_valence IN ('affirm', 'caution')")
+    x = lib.verdicts.filter("observed_outcome IS NOT NULL AND outcome_provenance = 'observed' AND emitted_valence IN ('affirm', 'caution') AND emitted_conf IS NOT NULL")
     hit = F.when(F.col("emitted_valence") == "affirm", F.col("observed_outcome") < 0).otherwise(F.col("observed_outcome") > 0)
     bucket = F.least(F.lit(bins - 1), F.floor(F.col("emitted_strength") * bins)).cast("long")
     n = x.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.avg(hit.cast("double")).alias("rate"))
-    all_ = lib.spark.range(bins).withColumnRenamed("id", "bucket")
-    return all_.join(n, F.col("bucket") == F.col("b"), "left").select("bucket", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.round(F.coalesce("rate", (F.col("bucket") + 0.5) / bins), 6).alias("rate"))
+    enough = n.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("samples")).filter(F.col("samples") >= 2 * bins)
+    all_ = lib.spark.range(bins).withColumnRenamed("id", "bucket").join(F.broadcast(enough)).drop("samples")
+    rate = F.round(F.coalesce("rate", (F.col("bucket") + 0.5) / bins), 6)
+    return all_.join(n, F.col("bucket") == F.col("b"), "left").select("bucket", (F.col("bucket") / bins).alias("lo"), ((F.col("bucket") + 1) / bins).alias("hi"), F.coalesce("n", F.lit(0)).cast("long").alias("n"), rate.alias("rate"))
+
+
+def calibrated(lib: Library) -> DataFrame:
+    """Claimed strength of each verdict and the rate of its bucket; the strength itself where there is no map."""
+    last = F.lit(lib.params.calibration_bins - 1)
+    x = lib.verdicts.select("verdict_id", "emitted_strength", F.least(last, F.floor(F.col("emitted_strength") * lib.params.calibration_bins)).cast("long").alias("bucket"))
+    found = x.join(F.broadcast(calibration(lib).select("bucket", "rate")), "bucket", "left")
+    return found.select("verdict_id", "emitted_strength", F.coalesce("rate", "emitted_strength").alias("calibrated"))
 
 
 def supports(lib: Library) -> DataFrame:
-    """Supporting sessions and projects of a rule, and contradictions that are open."""
-    x = lib.validations.groupBy("chunk_id").agg(
-        F.count_distinct(F.when(F.col("verdict") == "supported", F.col("session_id"))).alias("sessions"),
-        F.count_distinct(F.when(F.col("verdict") == "supported", F.col("project"))).alias("projects"),
-        F.count_if((F.col("verdict") == "contradicted") & F.col("resolved_at").isNull()).alias("open_contradictions"),
-    )
-    return x.withColumn("transferable", (F.col("sessions") >= 2) & (F.col("projects") >= 2) & (F.col("open_contradictions") == 0))
+    """Independent supports of each rule, its open contradictions, and what becomes of it.
+
+    A support counts after the rule's birth, once for its session (else trace,
+    else row), and not from a session whose episodes gave birth to the rule.
+    Supports are transferable if they come from two units and two projects.
+    Rules with an open contradiction are suspended if active; pending ones with
+    transferable supports are promoted.
+    """
+    born = lib.chunks.select(F.col("id").alias("chunk_id"), F.col("created_at").alias("born_at"), "state")
+    births = lib.births.select(F.col("rule_id").alias("chunk_id"), "session_id").filter("session_id IS NOT NULL").distinct()
+    x = lib.validations.join(born, "chunk_id")
+    unit = F.coalesce(*[F.col(c) for c in ("session_id", "trace_id", "id") if c in lib.validations.columns])
+    counted = x.filter((F.col("verdict") == "supported") & (F.col("created_at") > F.col("born_at"))).join(births, ["chunk_id", "session_id"], "left_anti")
+    units = counted.groupBy("chunk_id").agg(F.count_distinct(unit).alias("units"), F.count_distinct("project").alias("projects"))
+    opened = x.groupBy("chunk_id", "state").agg(F.count_if((F.col("verdict") == "contradicted") & F.col("resolved_at").isNull()).alias("open_contradictions"))
+    y = opened.join(units, "chunk_id", "left").withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("units", "projects")})
+    ready = (F.col("units") >= 2) & (F.col("projects") >= 2) & (F.col("open_contradictions") == 0)
+    becomes = F.when((F.col("open_contradictions") > 0) & (F.col("state") == "active"), "suspended").when(ready & (F.col("state") == "pending"), "promoted").otherwise("unchanged")
+    return y.select("chunk_id", "units", "projects", "open_contradictions", ready.alias("transferable"), becomes.alias("becomes"))
 
 
 def expiries(lib: Library) -> DataFrame:
-    """Shown rows that were never observed, after two days; episodes after 20."""
-    shown = lib.validations.filter((F.col("verdict") == "shown") & (F.col("created_at") < lib.as_of - F.expr("INTERVAL 2 DAYS"))).select("id", F.lit("unknown").alias("becomes"))
-    old = lib.episodes.filter(F.col("ts") < lib.as_of - F.expr("INTERVAL 20 DAYS")).select("id", F.lit("expired").alias("becomes"))
+    """Shown rows that were never observed, after shown_days; episodes after episode_days."""
+    before = lambda c, days: F.col(c) < lib.as_of - F.make_dt_interval(days=F.lit(days))
+    shown = lib.validations.filter((F.col("verdict") == "shown") & before("created_at", lib.params.shown_days)).select("id", F.lit("unknown").alias("becomes"))
+    old = lib.episodes.filter(before("ts", lib.params.episode_days)).select("id", F.lit("expired").alias("becomes"))
     return shown.unionByName(old)
 
 
 def trace_lifecycle(lib: Library) -> DataFrame:
-    late: Column = (F.col("task_state") == "recalled") & (F.col("ts") < lib.as_of - F.expr("INTERVAL 14 DAYS"))
-    return lib.log.select("trace_id", F.when(late, "timed_out").otherwise(F.col("task_state")).alias("task_state"), F.when(F.col("usage_state") == "known_some", "new").otherwise("discarded").alias("distill_state"))
+    """State of each trace after open_days: still open ones are timed out and their distilling is discarded.
+
+    Finished traces with used chunks are new to distil, others are discarded.
+    """
+    late: Column = (F.col("task_state") == "recalled") & (F.col("ts") < lib.as_of - F.make_dt_interval(days=F.lit(lib.params.open_days)))
+    distil = F.when(late, "discarded").when(F.col("task_state") == "recalled", "open").when(F.col("usage_state") == "known_some", "new").otherwise("discarded")
+    return lib.log.select("trace_id", F.when(late, "timed_out").otherwise(F.col("task_state")).alias("became"), distil.alias("distill_state"))
+
+
+def compacted(lib: Library) -> DataFrame:
+    """Finished traces older than compact_days lose their context; the others keep it."""
+    old = F.col("task_state").isin("completed", "timed_out") & (F.col("ts") < lib.as_of - F.make_dt_interval(days=F.lit(lib.params.compact_days)))
+    return lib.log.select("trace_id", F.when(~old, F.col("context_key")).alias("context_key"), old.alias("compacted"))
+
+
+def retained_operations(lib: Library, days: int | None = None) -> DataFrame:
+    """Operation runs that are not older than the retention."""
+    kept = F.col("started_at") >= lib.as_of - F.make_dt_interval(days=F.lit(days or lib.params.retain_days))
+    return lib.oplog.filter(kept).select("id", "op", "started_at")

@@ -6,25 +6,42 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from memspark.library import Library, ratio
-from memspark.operators.evidence import evidence
+from memspark.operators.evidence import outcome_evidence
 
 
 def window_rates(lib: Library) -> DataFrame:
-    """Events, and shares of use and success, in the last 1, 7 and 30 days: one pass."""
-    days = F.explode(F.array(*[F.lit(d) for d in (1, 7, 30)])).alias("days")
-    x = lib.events.select("event", "ts", days).filter(F.col("ts") >= lib.as_of - F.make_dt_interval(days=F.col("days")))
-    n = lambda e: F.count_if(F.col("event") == e)
-    y = x.groupBy("days").agg(n("retrieved").alias("retrieved"), n("selected").alias("selected"), n("used").alias("used"), n("task_ok").alias("ok"), n("task_fail").alias("fail"))
-    return y.select("days", "retrieved", "selected", "used", ratio(F.col("used"), F.col("selected")).alias("use_rate"), ratio(F.col("ok"), F.col("ok") + F.col("fail")).alias("success_rate"))
+    """Traces of the last 1, 7 and 30 days and their rates, in one pass over traces and one over events.
+
+    Rates: recalls without a selection, completed, timed out, with annotation
+    (a known usage state), selected to used, success among outcomes, feedback
+    coverage (traces with feedback among those with a selection).
+    """
+    span = F.explode(F.array(*[F.lit(d) for d in (1, 7, 30)])).alias("days")
+    recent = lambda df: df.select("*", span).filter(F.col("ts") >= lib.as_of - F.make_dt_interval(days=F.col("days")))
+    n = lambda event: F.count_if(F.col("event") == event)
+    spoken = lib.feedback.select("trace_id").distinct().withColumn("spoken", F.lit(1))
+    each = recent(lib.events).groupBy("days", "trace_id").agg(n("retrieved").alias("r"), n("selected").alias("s"), n("used").alias("u")).join(spoken, "trace_id", "left")
+    events = each.groupBy("days").agg(F.sum("s").alias("selected"), F.sum("u").alias("used"), F.count_if((F.col("r") > 0) & (F.col("s") == 0)).alias("empty"), F.count_if(F.col("r") > 0).alias("recalls"), F.count_if((F.col("s") > 0) & F.col("spoken").isNotNull()).alias("spoken"), F.count_if(F.col("s") > 0).alias("choosing"))
+    logs = recent(lib.log).groupBy("days").agg(F.count(F.lit(1)).alias("traces"), F.count_if(F.col("task_state") == "completed").alias("completed"), F.count_if(F.col("task_state") == "timed_out").alias("late"), F.count_if(F.col("usage_state") != "unknown").alias("known"), F.count_if(F.col("outcome") == "ok").alias("ok"), F.count("outcome").alias("ended"))
+    x, c = logs.join(events, "days", "left"), F.col
+    return x.select("days", "traces", ratio(c("empty"), c("recalls")).alias("empty_recall_rate"), ratio(c("completed"), c("traces")).alias("completed_rate"), ratio(c("late"), c("traces")).alias("timeout_rate"), ratio(c("known"), c("traces")).alias("annotation_rate"),
+                    ratio(c("used"), c("selected")).alias("use_rate"), ratio(c("ok"), c("ended")).alias("success_rate"), ratio(c("spoken"), c("choosing")).alias("feedback_coverage"))
 
 
 def dimension_rates(lib: Library) -> DataFrame:
-    """Traces, success and time-outs by source, agent and context in one pass of grouping sets."""
-    x = lib.log.withColumns({"agent": F.coalesce("agent", F.lit("(null)"))})
+    """Traces and rates by source, agent and the ten largest contexts, in one pass of grouping sets."""
+    flags = lib.events.groupBy("trace_id").agg(F.count_if(F.col("event") == "selected").alias("s"), F.count_if(F.col("event") == "used").alias("u"))
+    spoken = lib.feedback.select("trace_id").distinct().withColumn("spoken", F.lit(1))
+    x = lib.log.withColumns({"agent": F.coalesce("agent", F.lit("(null)"))}).join(flags, "trace_id", "left").join(spoken, "trace_id", "left")
+    c = F.col
     y = x.groupingSets([["event_source"], ["agent"], ["context_key"]], "event_source", "agent", "context_key").agg(
-        F.count(F.lit(1)).alias("traces"), F.count_if(F.col("outcome") == "ok").alias("ok"), F.count_if(F.col("outcome") == "fail").alias("fail"), F.count_if(F.col("task_state") == "timed_out").alias("late"))
-    kind = F.when(F.col("event_source").isNotNull(), "source").when(F.col("agent").isNotNull(), "agent").otherwise("context")
-    return y.select(kind.alias("dimension"), F.coalesce("event_source", "agent", "context_key").alias("value"), "traces", ratio(F.col("ok"), F.col("ok") + F.col("fail")).alias("success_rate"), ratio(F.col("late"), F.col("traces")).alias("timeout_rate"))
+        F.count(F.lit(1)).alias("traces"), F.count_if(c("outcome") == "ok").alias("ok"), F.count("outcome").alias("ended"), F.count_if(c("task_state") == "timed_out").alias("late"), F.sum("s").alias("s"), F.sum("u").alias("u"),
+        F.count_if(c("usage_state") != "unknown").alias("known"), F.count_if((c("s") > 0) & c("spoken").isNotNull()).alias("spoken"), F.count_if(c("s") > 0).alias("choosing"))
+    kind = F.when(c("event_source").isNotNull(), "source").when(c("agent").isNotNull(), "agent").otherwise("context")
+    y = y.select(kind.alias("dimension"), F.coalesce("event_source", "agent", "context_key").alias("value"), "traces", ratio(c("ok"), c("ended")).alias("success_rate"), ratio(c("late"), c("traces")).alias("timeout_rate"),
+                 ratio(c("u"), c("s")).alias("use_rate"), ratio(c("known"), c("traces")).alias("annotation_rate"), ratio(c("spoken"), c("choosing")).alias("feedback_coverage"))
+    order = Window.partitionBy("dimension").orderBy(F.desc("traces"), "value")
+    return y.withColumn("nth", F.row_number().over(order)).filter("dimension <> 'context' OR nth <= 10").drop("nth")
 
 
 def agent_coverage(lib: Library) -> DataFrame:
@@ -37,7 +54,9 @@ def rank_histogram(lib: Library) -> DataFrame:
 
 
 def operation_performance(lib: Library) -> DataFrame:
-    x = lib.oplog.groupBy("op").agg(
+    """Runs, status, percentiles and success of each operation, and of each operation and agent (null agents by name)."""
+    each = lib.oplog.withColumn("agent", F.coalesce("agent", F.lit("(null)")))
+    x = each.groupingSets([["op"], ["op", "agent"]], "op", "agent").agg(
         F.count(F.lit(1)).alias("runs"), F.count_if(F.col("status") == "ok").alias("ok"), F.count_if(F.col("status") == "error").alias("errors"), F.count_if(F.col("status") == "timeout").alias("timeouts"),
         F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY duration_ms)").cast("double").alias("p50"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY duration_ms)").cast("double").alias("p95"))
     return x.withColumn("success_rate", ratio(F.col("ok"), F.col("runs")))
@@ -53,10 +72,11 @@ def daily_operations(lib: Library) -> DataFrame:
     return x.select(F.col("w.start").alias("day"), "op", "runs", "mean_ms")
 
 
-def recurring_sparks(lib: Library, least: int = 2) -> DataFrame:
+def recurring_sparks(lib: Library) -> DataFrame:
+    """Sparks retrieved at least recurring_min times."""
     sparks = lib.chunks.filter("origin = 'spark'").select(F.col("id").alias("chunk_id"))
     x = lib.usage.filter("event = 'retrieved'").join(sparks, "chunk_id", "left_semi").groupBy("chunk_id").agg(F.count(F.lit(1)).alias("retrievals"))
-    return x.filter(F.col("retrievals") >= least)
+    return x.filter(F.col("retrievals") >= lib.params.recurring_min)
 
 
 def library_summary(lib: Library) -> DataFrame:
@@ -68,8 +88,8 @@ def rule_counts(lib: Library) -> DataFrame:
 
 
 def provenance(lib: Library, most: int = 5) -> DataFrame:
-    """The newest outcomes and feedback of each chunk."""
-    a = evidence(lib).select("chunk_id", "ts", F.col("id").cast("string").alias("id"), F.when(F.col("target") == 1, "ok").otherwise("fail").alias("what"))
+    """The newest outcomes and feedback of each chunk; ties by time go to the smaller id."""
+    a = outcome_evidence(lib).select("chunk_id", "ts", F.col("id").cast("string").alias("id"), F.when(F.col("target") == 1, "ok").otherwise("fail").alias("what"))
     b = lib.feedback.select("chunk_id", "ts", "id", F.col("signal").alias("what"))
     order = Window.partitionBy("chunk_id").orderBy(F.desc("ts"), "id")
     return a.unionByName(b).withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= most).select("chunk_id", "nth", "id", "what")
@@ -84,6 +104,7 @@ def verdict_calibration(lib: Library) -> DataFrame:
 
 
 def tier_calibration(lib: Library) -> DataFrame:
+    """Verdicts by tier of strength: number, abstentions and failures among the observed."""
     tier = F.when(F.col("emitted_strength") >= 0.65, "strong").when(F.col("emitted_strength") >= 0.30, "medium").otherwise("weak")
     x = lib.verdicts.groupBy(tier.alias("tier")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("observed_outcome") > 0).alias("failed"), F.count("abstain_reason").alias("abstained"), F.count("observed_outcome").alias("observed"))
     return x.select("tier", "n", "abstained", ratio(F.col("failed"), F.col("observed")).alias("fail_rate"))

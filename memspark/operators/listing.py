@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from memspark.library import Library, days_between
 
 # Words that carry no meaning in a query.
-QUERY_STOP = ["a", "an", "the", "is", "of", "to", "in", "for", "on", "and"]
+QUERY_STOP = ["a", "an", "and", "for", "in", "of", "on", "the", "to", "with"]
 
 
 def listing(lib: Library) -> DataFrame:
@@ -35,9 +35,11 @@ def recent_traces(lib: Library) -> DataFrame:
     return lib.log.select("trace_id", "ts", "outcome", "task_state").orderBy(F.desc("ts"), "trace_id").limit(100)
 
 
-def stale_embeddings(lib: Library) -> DataFrame:
-    stale = lib.chunks.filter((F.col("embed_version") == 0) | (F.col("embed_version") < lib.params.embed_version))
-    return stale.select("id", F.count(F.lit(1)).over(Window.partitionBy()).alias("remaining")).orderBy("id").limit(20)
+def stale_embeddings(lib: Library, cap: int | None = None) -> DataFrame:
+    """id of the chunks to embed anew (at most ``cap``, by id) beside how many there are in all."""
+    stale = lib.chunks.filter((F.col("embed_version") == 0) | (F.col("embed_version") < lib.params.embed_version)).select("id")
+    x = stale if cap is None else stale.orderBy("id").limit(cap)
+    return x.join(F.broadcast(stale.agg(F.count(F.lit(1)).alias("remaining"))))
 
 
 def reverse_deps(lib: Library) -> DataFrame:
@@ -53,7 +55,7 @@ def domain_violations(lib: Library) -> DataFrame:
     """Rows whose event, source or attribution is outside its closed set, and used rows without attribution."""
     said = F.array_compact(F.array(
         F.when(~F.col("event").isin("retrieved", "selected", "used", "task_ok", "task_fail"), "event"),
-        F.when(~F.col("source").isin("mcp", "sdk", "cli", "hook", "augmented"), "source"),
+        F.when(~F.col("source").isin("mcp", "sdk", "cli", "hook", "daemon", "augmented"), "source"),
         F.when((F.col("event") == "used") & F.col("attribution").isNull(), "attribution"),
     ))
     return lib.usage.select("id", F.explode(said).alias("violation")).groupBy("violation").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
@@ -84,11 +86,19 @@ def normalized_queries(lib: Library) -> DataFrame:
 
 
 def anti_hits(lib: Library) -> DataFrame:
-    """Query and chunk where a comma part of the chunk's anti-trigger is in the lower-cased query."""
+    """query_id and chunk_id of each chunk whose anti-trigger has a comma part that is in the lower-cased query.
+
+    Equal parts are looked up once, by their first three characters among all
+    that stand together in a query.
+    """
     parts = lib.chunks.filter("anti_trigger_desc IS NOT NULL").select("id", F.explode(F.split(F.lower("anti_trigger_desc"), ",")).alias("part"))
-    parts = parts.select("id", F.trim("part").alias("part")).filter("part <> ''").groupBy("part").agg(F.min("id").alias("chunk_id"), F.count(F.lit(1)).alias("chunks"))
+    parts = parts.select("id", F.trim("part").alias("part")).filter("part <> ''")
     texts = lib.queries.select("query_id", F.lower("query").alias("q"))
-    return texts.join(parts, F.expr("contains(q, part)")).select("query_id", "part", "chunk_id", "chunks")
+    places = lambda n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("q"), F.lit(1))), lambda i: F.substring(F.col("q"), i, F.lit(n))))
+    wanted = parts.select("part").distinct().withColumn("gram", F.substring("part", 1, 3)).withColumn("n", F.length("gram"))
+    grams = texts.select("query_id", "q", F.explode(F.array_distinct(F.concat(places(1), places(2), places(3)))).alias("gram"))
+    found = grams.join(wanted, "gram").filter(F.contains(F.col("q"), F.col("part"))).select("query_id", "part").distinct()
+    return found.join(parts, "part").select("query_id", F.col("id").alias("chunk_id")).distinct()
 
 
 def activation(uses: Column, last: Column, now: Column) -> Column:

@@ -2,41 +2,99 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from dataclasses import replace
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memspark.library import Library
-from memspark.operators.listing import recallable
+from memspark.operators.evidence import context_stats, folded, usage_counts
+from memspark.operators.listing import activation, recallable
 
-#: Rows up to which a batch of queries is broadcast.
-BATCH = 50_000
+#: Bytes of query vectors up to which they are sent to every task; beyond, both sides are dealt into blocks.
+BATCH_BYTES = 64 << 20
+QUERY_BLOCK, VECTOR_BLOCK = 4096, 16384
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
+# Words that lexical search leaves out, and how many distinct words of a query it takes.
+LEXICAL_STOP = ["the", "a", "an", "to", "of", "in", "on", "for", "and", "or", "is", "do", "i"]
+QUERY_WORDS = 32
 
 
 def tokens(text: Column) -> Column:
-    """Lower-cased alphanumeric runs of at least two characters."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 2)
+    """Lower-cased alphanumeric runs of at least two bytes."""
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: F.octet_length(w) >= 2)
+
+
+def query_words(query: Column) -> Column:
+    """The first QUERY_WORDS distinct words of a query that are no stop words."""
+    return F.slice(F.array_distinct(F.filter(tokens(query), lambda w: ~w.isin(LEXICAL_STOP))), 1, QUERY_WORDS)
+
+
+def lexical_tokens(lib: Library) -> DataFrame:
+    """query_id and words of each query; null queries have a null list."""
+    return lib.queries.select("query_id", F.array_join(query_words(F.col("query")), " ").alias("words"))
+
+
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return lists.flatten().to_numpy().astype(np.float64).reshape(len(lists), -1) if len(lists) else np.zeros((0, 0))
+
+
+def _best(query_ids: np.ndarray, q: np.ndarray, chunk_ids: np.ndarray, v: np.ndarray, k: int) -> pa.Table:
+    """Best ``k`` rows of ``v`` for each of ``q``, and what ties with the last of them."""
+    ids, chunks, sims = [], [], []
+    for at in range(0, len(q), 256) if len(v) and len(q) and q.shape[1] == v.shape[1] else ():
+        scores = np.round(q[at : at + 256] @ v.T, 6)
+        keep = min(k, scores.shape[1])
+        floor = np.partition(scores, scores.shape[1] - keep, axis=1)[:, scores.shape[1] - keep]
+        row, col = np.nonzero(scores >= floor[:, None])
+        ids.append(query_ids[at + row])
+        chunks.append(chunk_ids[col])
+        sims.append(scores[row, col])
+    join = lambda x, kind: pa.array(np.concatenate(x) if x else [], kind)
+    return pa.table({"query_id": join(ids, pa.int64()), "chunk_id": join(chunks, pa.string()), "sim": join(sims, pa.float64())})
 
 
 def vector_hits(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """Best ``k`` vectors of each query by inner product, ties to the smaller chunk.
+    """Best ``k`` vectors of each query by inner product (6 places), ties to the smaller chunk.
 
-    The batch of queries is joined to every vector in place: broadcast after a
-    check of its size, else both sides are dealt into a grid of blocks.
+    Products of blocks; each task keeps the best ``k`` of a block before anything
+    is shuffled.  Up to BATCH_BYTES of queries go to the vectors where they are,
+    more are dealt into a grid of blocks.  Null vectors take no part, a query and
+    vectors of other length give no hit.
     """
-    dot = F.aggregate(F.zip_with("vec", "embedding", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda a, x: a + x)
-    q, n = queries.select("query_id", "vec"), queries.count()
-    if n <= BATCH:
-        x = vectors.join(F.broadcast(q.withColumn("g", F.lit(0))), F.lit(0) == F.col("g"))
+    q = queries.filter("vec IS NOT NULL").select(F.col("query_id").cast("long"), F.col("vec").cast("array<double>").alias("vec"))
+    v = vectors.filter("embedding IS NOT NULL").select("chunk_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    size = q.agg(F.coalesce(F.sum(F.size("vec") * 8 + 8), F.lit(0)), F.count(F.lit(1))).first()
+    if size[0] <= BATCH_BYTES:
+        held = q.toArrow()
+        ids, matrix = held.column("query_id").to_numpy(), _matrix(held.column("vec"))
+
+        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield from _best(ids, matrix, np.array(batch.column(0).to_pylist(), object), _matrix(batch.column(1)), k).to_batches()
+
+        x = v.mapInArrow(near, "query_id long, chunk_id string, sim double")
     else:
-        down = n // BATCH + 1
-        x = vectors.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(down - 1)))).join(q.withColumn("g", F.pmod(F.xxhash64("query_id"), F.lit(down)).cast("int")), "g")
-    x = x.select("query_id", "chunk_id", F.round(dot, 6).alias("sim"))
+        down, across = math.ceil(size[1] / QUERY_BLOCK), max(1, math.ceil(v.count() / VECTOR_BLOCK))
+        series = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+        asked = q.withColumns({"qb": F.pmod(F.xxhash64("query_id"), F.lit(down)).cast("int"), "cb": series(across)})
+        given = v.withColumns({"cb": F.pmod(F.xxhash64("chunk_id"), F.lit(across)).cast("int"), "qb": series(down)})
+
+        def cell(one: pa.Table, two: pa.Table) -> pa.Table:
+            return _best(one.column("query_id").to_numpy(), _matrix(one.column("vec")), np.array(two.column("chunk_id").to_pylist(), object), _matrix(two.column("embedding")), k)
+
+        x = asked.groupBy("qb", "cb").cogroup(given.groupBy("qb", "cb")).applyInArrow(cell, "query_id long, chunk_id string, sim double")
     order = Window.partitionBy("query_id").orderBy(F.desc("sim"), "chunk_id")
     return x.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def postings(chunks: DataFrame) -> DataFrame:
+    """token, id and how often it occurs in the chunk's content, trigger and skill."""
     x = chunks.select("id", F.explode(tokens(F.concat_ws(" ", "content", "trigger_desc", "skill_name"))).alias("token"))
     return x.groupBy("token", "id").agg(F.count(F.lit(1)).alias("tf"))
 
@@ -44,15 +102,19 @@ def postings(chunks: DataFrame) -> DataFrame:
 def lexical_hits(lib: Library, k: int) -> DataFrame:
     """BM25 of query words over content, trigger and skill, as a share of a query's best hit.
 
-    Statistics are over all chunks, hits over those that are no spark and not archived.
+    Statistics are over all chunks, hits over those that are no spark and not
+    archived.  Words that no query has are dropped before anything is counted by
+    word or shuffled; a chunk's length comes from the same scan.
     """
-    p = postings(lib.chunks)
-    size = p.groupBy("id").agg(F.sum("tf").alias("size"))
-    stats = size.agg(F.count(F.lit(1)).alias("docs"), F.avg("size").alias("mean"))
+    words = lib.queries.select("query_id", F.explode(query_words(F.col("query"))).alias("token"))
+    asked = words.select("token").distinct()
+    each = lib.chunks.select("id", "state", "origin", tokens(F.concat_ws(" ", "content", "trigger_desc", "skill_name")).alias("w")).withColumn("size", F.size("w"))
+    stats = each.filter("size > 0").agg(F.count(F.lit(1)).alias("docs"), F.avg("size").alias("mean"))
+    p = each.select("id", "state", "origin", "size", F.explode("w").alias("token")).join(asked, "token", "left_semi")
+    p = p.groupBy("token", "id", "state", "origin", "size").agg(F.count(F.lit(1)).alias("tf"))
     df = p.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    words = lib.queries.select("query_id", F.explode(F.slice(F.array_distinct(tokens(F.col("query"))), 1, 32)).alias("token"))
-    ok = recallable(lib.chunks, 0).select("id")
-    x = words.join(p, "token").join(df, "token").join(ok, "id", "left_semi").join(size, "id").join(F.broadcast(stats))
+    ok = p.filter("state <> 'archived' AND origin <> 'spark'")
+    x = words.join(ok, "token").join(df, "token").join(F.broadcast(stats))
     idf = F.greatest(F.lit(IDF_FLOOR), F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     score = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
     x = x.groupBy("query_id", F.col("id").alias("chunk_id")).agg(F.sum(score).alias("s"))
@@ -71,26 +133,140 @@ def lexical_top(lib: Library) -> DataFrame:
 
 
 def spark_hits(lib: Library) -> DataFrame:
-    """Sparks by the larger similarity of both spaces."""
+    """The top_k sparks of each query by the larger similarity of both spaces, of the top_k hits of each space."""
     open_ = ~F.col("maturity").isin("promoted", "dropped") & (F.col("state") != "archived") & (F.col("embed_version") >= lib.params.embed_version)
     ok = lib.chunks.filter((F.col("origin") == "spark") & open_).select(F.col("id").alias("chunk_id"))
-    both = vector_hits(lib.queries, lib.vec_content, 40).unionByName(vector_hits(lib.queries, lib.vec_trigger, 40))
+    both = vector_hits(lib.queries, lib.vec_content, lib.params.top_k).unionByName(vector_hits(lib.queries, lib.vec_trigger, lib.params.top_k))
     x = both.join(ok, "chunk_id", "left_semi").groupBy("query_id", "chunk_id").agg(F.max("sim").alias("sim"))
     order = Window.partitionBy("query_id").orderBy(F.desc("sim"), "chunk_id")
-    return x.withColumn("rank", F.row_number().over(order)).filter("rank <= 20")
-
-
-def recall(lib: Library) -> DataFrame:
-    """Five best chunks of each query: channels united, weighted with confidence, pending ones at 0.6."""
-    c = vector_hits(lib.queries, lib.vec_content, 40).select("query_id", "chunk_id", F.col("sim").alias("c"), F.lit(0.0).alias("t"), F.lit(0.0).alias("l"))
-    t = vector_hits(lib.queries, lib.vec_trigger, 40).select("query_id", "chunk_id", F.lit(0.0).alias("c"), F.col("sim").alias("t"), F.lit(0.0).alias("l"))
-    x = lexical_hits(lib, 40).select("query_id", "chunk_id", F.lit(0.0).alias("c"), F.lit(0.0).alias("t"), F.col("lexical").alias("l"))
-    one = c.unionByName(t).unionByName(x).groupBy("query_id", "chunk_id").agg(F.max("c").alias("c"), F.max("t").alias("t"), F.max("l").alias("l"))
-    ok = recallable(lib.chunks, lib.params.embed_version).select(F.col("id").alias("chunk_id"), "state", "confidence_base")
-    fused = 0.35 * F.col("c") + 0.25 * F.col("t") + 0.25 * F.col("l") + 0.15 * F.col("confidence_base")
-    scored = one.join(ok, "chunk_id").withColumn("score", F.round(fused * F.when(F.col("state") == "pending", 0.6).otherwise(1.0), 6))
+    return x.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= lib.params.top_k)
+
+
+def context_scores(stats: DataFrame, prior_m: float, base_rate: float) -> DataFrame:
+    """``stats`` (counts of a chunk in a context) with score in [-1, 1]: a Beta prior, feedback twice, weighed by evidence."""
+    wins, losses = F.col("success_count") + 2.0 * F.col("positive_feedback"), F.col("failure_count") + 2.0 * F.col("negative_feedback")
+    posterior = (wins + prior_m * base_rate) / (wins + losses + prior_m)
+    return stats.withColumn("context_score", (posterior - 0.5) * 2.0 * F.least((wins + losses) / 5.0, F.lit(1.0)))
+
+
+def candidates(lib: Library, lexical_only: bool = False) -> DataFrame:
+    """query_id, chunk_id and the best similarity of each channel: twice top_k hits of each, then recall-valid chunks.
+
+    Soft dependencies of a candidate gain soft_bonus in the content channel for
+    each edge, up to 1, or enter with it, unless archived or sparks.
+    """
+    p, none = lib.params, F.lit(0.0)
+    row = lambda c, t, x: [F.col("query_id"), F.col("chunk_id"), c.alias("c"), t.alias("t"), x.alias("l")]
+    one = lexical_hits(lib, 2 * p.top_k).select(*row(none, none, F.col("lexical")))
+    if not lexical_only:
+        c = vector_hits(lib.queries, lib.vec_content, 2 * p.top_k).select(*row(F.col("sim"), none, none))
+        t = vector_hits(lib.queries, lib.vec_trigger, 2 * p.top_k).select(*row(none, F.col("sim"), none))
+        one = one.unionByName(c).unionByName(t)
+    ok = recallable(lib.chunks, p.embed_version).select(F.col("id").alias("chunk_id"))
+    base = one.groupBy("query_id", "chunk_id").agg(F.max("c").alias("c"), F.max("t").alias("t"), F.max("l").alias("l")).join(ok, "chunk_id", "left_semi")
+    to = lib.chunks.filter("state <> 'archived' AND origin <> 'spark'").select(F.col("id").alias("dst"))
+    soft = lib.deps.filter("kind = 'soft'").join(to, "dst", "left_semi")
+    bonus = base.join(soft, F.col("chunk_id") == F.col("src")).groupBy("query_id", F.col("dst").alias("chunk_id")).agg(F.count(F.lit(1)).alias("n"))
+    x = base.join(bonus, ["query_id", "chunk_id"], "full_outer")
+    zero = lambda name: F.coalesce(F.col(name), F.lit(0.0))
+    lifted = F.when(F.col("n") > 0, F.greatest(zero("c"), F.least(F.lit(1.0), zero("c") + p.soft_bonus * F.col("n")))).otherwise(zero("c"))
+    return x.select("query_id", "chunk_id", lifted.alias("c"), zero("t").alias("t"), zero("l").alias("l"))
+
+
+def scored(lib: Library, lexical_only: bool = False) -> DataFrame:
+    """Candidates with their weighted channels, fused and gate score.
+
+    The gate score carries the anti-trigger penalty but not that of pending
+    chunks.  Confidence is that after the evidence, or the base without any.
+    """
+    p = lib.params
+    conf = folded(lib).select("chunk_id", "confidence")
+    uses = usage_counts(lib).select(F.col("id").alias("chunk_id"), "used", "last_used_at")
+    stats = context_scores(context_stats(lib), p.prior_m, p.base_rate).select("chunk_id", "context_key", "context_score")
+    size = F.octet_length("content")
+    chunks = lib.chunks.select(F.col("id").alias("chunk_id"), "state", "confidence_base", "anti_trigger_desc", "token_count", F.when(size > p.length_free, -p.length_weight * F.log(size / p.length_free)).otherwise(F.lit(0.0)).alias("w_length"))
+    asked = lib.queries.select("query_id", F.lower("query").alias("q"), "context_key")
+    x = candidates(lib, lexical_only).join(chunks, "chunk_id").join(conf, "chunk_id", "left").join(uses, "chunk_id", "left").join(asked, "query_id").join(stats, ["chunk_id", "context_key"], "left")
+    anti = F.exists(F.split(F.lower("anti_trigger_desc"), ","), lambda part: (F.trim(part) != "") & F.contains(F.col("q"), F.trim(part)))
+    x = x.select(
+        "query_id", "chunk_id", "state", "token_count",
+        (p.w_content * F.col("c")).alias("w_content"), (p.w_trigger * F.col("t")).alias("w_trigger"), (p.w_lexical * F.col("l")).alias("w_lexical"),
+        (p.w_confidence * F.coalesce("confidence", "confidence_base")).alias("w_confidence"), (p.w_context * F.coalesce("context_score", F.lit(0.0))).alias("w_context"),
+        (p.w_activation * activation(F.col("used"), F.col("last_used_at"), lib.as_of)).alias("w_activation"), "w_length",
+        F.coalesce(anti, F.lit(False)).alias("anti"),
+    )
+    total = sum((F.col(f"w_{c}") for c in CHANNELS), F.col("w_length"))
+    gate = total * F.when(F.col("anti"), p.anti_penalty).otherwise(1.0)
+    return x.withColumn("gate", F.round(gate, 6)).withColumn("score", F.round(gate * F.when(F.col("state") == "pending", p.pending_penalty).otherwise(1.0), 6))
+
+
+#: Channels of the fused score that can explain a match; the length penalty is the ninth term.
+CHANNELS = ("content", "trigger", "lexical", "confidence", "context", "activation")
+
+
+def recall(lib: Library, lexical_only: bool = False) -> DataFrame:
+    """The chunks of each query in order: the top_k by fused score, of these those that pass min_score, with at most one pending.
+
+    ``reason`` names the channel that gives most and those with at least 15 % of
+    the positive sum.  Ties go to the smaller chunk.
+    """
+    p = lib.params
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return scored.withColumn("rank", F.row_number().over(order)).filter("rank <= 5").select("query_id", "rank", "chunk_id", "score")
+    x = scored(lib, lexical_only).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= p.top_k)
+    if p.min_score is not None:
+        x = x.filter(F.col("gate") >= p.min_score)
+    pending = F.count_if(F.col("state") == "pending").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    x = x.withColumn("before", pending).filter("state <> 'pending' OR before = 0")
+    parts = F.filter(F.array(*[F.struct((-F.round(F.col(f"w_{c}"), 6)).alias("v"), F.lit(c).alias("name")) for c in CHANNELS]), lambda e: e["v"] < 0)
+    positive = F.aggregate(parts, F.lit(0.0), lambda acc, e: acc - e["v"])
+    named = F.filter(F.array_sort(parts), lambda e, i: (i == 0) | (-e["v"] >= 0.15 * positive))
+    return x.select("query_id", F.row_number().over(order).alias("rank"), "chunk_id", "score", "gate", "token_count", F.array_join(F.transform(named, lambda e: e["name"]), "+").alias("reason"))
+
+
+def lexical_recall(lib: Library) -> DataFrame:
+    """Recall without vectors."""
+    return recall(lib, lexical_only=True).select("query_id", "rank", "chunk_id", "score")
+
+
+def hook_recall(lib: Library) -> DataFrame:
+    """Recall as an agent's hook asks for it: gate 0.40, a budget of 4,000 tokens, the first five."""
+    return packed(Library(lib.spark, lib.sf_dir, params=replace(lib.params, min_score=0.40)), 4000).filter("pos <= 5")
+
+
+def packed(lib: Library, budget: int = 1200) -> DataFrame:
+    """query_id, pos, chunk_id, tokens and pass of what fits a token budget.
+
+    First in order of score, each chunk that still fits; then of those left the
+    densest (score by token) that fit.  A query has at most top_k candidates, so
+    its list is short.
+    """
+    listed = recall(lib).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "score", F.col("token_count").alias("cost")))).alias("list"))
+    item = "struct<rank:int,chunk_id:string,score:double,cost:bigint>"
+    start = lambda used: F.struct(used.alias("used"), F.array().cast(f"array<{item}>").alias("taken"))
+
+    def fit(acc: Column, e: Column) -> Column:
+        ok = acc["used"] + e["cost"] <= budget
+        return F.struct(F.when(ok, acc["used"] + e["cost"]).otherwise(acc["used"]).alias("used"), F.when(ok, F.concat(acc["taken"], F.array(e))).otherwise(acc["taken"]).alias("taken"))
+
+    x = listed.withColumn("one", F.aggregate("list", start(F.lit(0).cast("long")), fit))
+    dense = F.transform(F.array_except("list", F.col("one.taken")), lambda e: F.struct((-e["score"] / F.greatest(e["cost"], F.lit(1))).alias("d"), e["rank"].alias("rank"), e.alias("e")))
+    x = x.withColumn("two", F.aggregate(F.transform(F.array_sort(dense), lambda d: d["e"]), start(F.col("one.used")), fit))
+    both = F.concat(F.transform("one.taken", lambda e: F.struct(e.alias("e"), F.lit("order").alias("by"))), F.transform("two.taken", lambda e: F.struct(e.alias("e"), F.lit("density").alias("by"))))
+    y = x.select("query_id", F.posexplode(both).alias("at", "x"))
+    return y.select("query_id", (F.col("at") + 1).alias("pos"), F.col("x.e.chunk_id").alias("chunk_id"), F.col("x.e.cost").alias("tokens"), F.col("x.by").alias("pass"))
+
+
+def direct_blocks(lib: Library) -> DataFrame:
+    """Each recall-valid chunk with its hard dependencies: number, tokens of the block, and why it is skipped.
+
+    A hard dependency that is missing or not valid for recall makes the whole block unavailable.
+    """
+    ok = recallable(lib.chunks, lib.params.embed_version).select("id", "token_count")
+    hard = lib.deps.filter("kind = 'hard'").select("src", "dst").distinct().join(ok.select(F.col("id").alias("dst"), F.col("token_count").alias("cost")), "dst", "left")
+    n = hard.groupBy("src").agg(F.count(F.lit(1)).alias("deps"), F.count_if(F.col("cost").isNull()).alias("lost"), F.sum("cost").alias("cost"))
+    x = ok.join(n, F.col("id") == F.col("src"), "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return x.select("id", zero("deps").alias("deps"), (F.col("token_count") + zero("cost")).alias("tokens"), F.when(F.col("lost") > 0, "hard_dep_unavailable").alias("skip_reason"))
 
 
 def ranking_metrics(lib: Library, k: int = 10) -> DataFrame:

@@ -26,12 +26,49 @@ COUNTS = f"""counts AS (
     SELECT c.id, count(u.id) FILTER (u.event = 'selected') AS selected, count(u.id) FILTER (u.event = 'used') AS used,
            max(u.ts) FILTER (u.event = 'used') AS last_used_at
     FROM fx_chunks c LEFT JOIN ev u ON u.chunk_id = c.id AND u.event IN ('selected', 'used') AND u.ts > {CUT} GROUP BY c.id)"""
-EVIDENCE = """evid AS (
-    SELECT u.id, u.chunk_id, u.trace_id, u.ts, CASE WHEN o.event = 'task_ok' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS target,
-           (CASE u.attribution WHEN 'explicit' THEN 0.30::DOUBLE WHEN 'cited' THEN 0.25::DOUBLE ELSE 0.15::DOUBLE END / count(*) OVER (PARTITION BY u.trace_id))
-             * CASE WHEN o.event = 'task_ok' THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS alpha
+OUTCOME = """done AS (
+    SELECT CAST(u.id AS VARCHAR) AS id, u.chunk_id, u.trace_id, CASE WHEN o.event = 'task_ok' THEN 'outcome_ok' ELSE 'outcome_fail' END AS kind, u.ts,
+           CASE WHEN o.event = 'task_ok' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS target,
+           least(1.0::DOUBLE, 0.2::DOUBLE * (CASE u.attribution WHEN 'explicit' THEN 0.30::DOUBLE WHEN 'cited' THEN 0.25::DOUBLE ELSE 0.15::DOUBLE END / count(*) OVER (PARTITION BY u.trace_id))
+             * CASE WHEN o.event = 'task_ok' THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END) AS alpha
     FROM ev u JOIN (SELECT trace_id, event FROM ev WHERE event IN ('task_ok', 'task_fail')) o USING (trace_id) WHERE u.event = 'used')"""
-WORDS = r"list_filter(string_split_regex(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda w: length(w) >= 2)"
+#: Needs EVENTS, COUNTS and OUTCOME.
+EVIDENCE = OUTCOME + f""", evid AS (SELECT * FROM (
+    SELECT * FROM done
+    UNION ALL SELECT CAST(u.id AS VARCHAR), u.chunk_id, u.trace_id, 'selected_unused', u.ts, 0.0, 0.2::DOUBLE * 0.08::DOUBLE FROM ev u
+      WHERE u.event = 'selected' AND u.trace_id IN (SELECT trace_id FROM fx_log WHERE usage_state IN ('known_some', 'known_none'))
+        AND NOT EXISTS (SELECT 1 FROM ev x WHERE x.event = 'used' AND x.trace_id = u.trace_id AND x.chunk_id = u.chunk_id)
+    UNION ALL SELECT f.id, f.chunk_id, f.trace_id, concat('feedback_', f.signal), f.ts, CASE WHEN f.signal = 'up' THEN 1.0 ELSE 0.0 END,
+      least(1.0::DOUBLE, 0.2::DOUBLE * f.strength::DOUBLE * least(1.5::DOUBLE, 1 + 0.5::DOUBLE * pow(0.5::DOUBLE, coalesce(floor({days('f.ts', 'n.last_used_at')}), 0) / 14)))
+      FROM (SELECT * FROM fx_feedback QUALIFY row_number() OVER (PARTITION BY trace_id, chunk_id ORDER BY ts DESC, id DESC) = 1) f JOIN counts n ON n.id = f.chunk_id)
+    WHERE chunk_id IN (SELECT id FROM fx_chunks WHERE origin <> 'spark'))"""
+FOLD = """fold AS (SELECT chunk_id, n_evidence, round(list_reduce(list_prepend({'t': base, 'a': 0.0::DOUBLE}, steps), lambda c, e: {'t': least(1.0::DOUBLE, greatest(0.0::DOUBLE, c.t + e.a * (e.t - c.t))), 'a': 0.0::DOUBLE}).t, 8) AS confidence, reason FROM (
+    SELECT e.chunk_id, count(*) AS n_evidence, first(c.confidence_base) AS base, list({'t': e.target, 'a': e.alpha} ORDER BY e.ts, e.r, e.kind, e.id) AS steps, last(e.kind ORDER BY e.ts, e.r, e.kind, e.id) AS reason
+    FROM (SELECT *, CASE WHEN kind LIKE 'outcome%' THEN 1 WHEN kind = 'selected_unused' THEN 2 ELSE 3 END AS r FROM evid) e JOIN fx_chunks c ON c.id = e.chunk_id GROUP BY 1))"""
+GOVERN = f"""gov AS (SELECT chunk_id, greatest(0.0, sum(v)) AS s, count(*) FILTER (v > 0) AS actors FROM (
+    SELECT f.chunk_id, actor, greatest(-1.0, least(1.0, sum((CASE WHEN signal = 'down' THEN strength ELSE -strength END)::DOUBLE * pow(0.5::DOUBLE, {days(AS_OF, 'ts')} / 90)))) AS v
+    FROM fx_feedback f JOIN fx_chunks c ON c.id = f.chunk_id WHERE actor IS NOT NULL AND ts > {CUT} GROUP BY 1, 2) GROUP BY 1)"""
+CONTEXT = f"""ctx AS (SELECT chunk_id, context_key, count(*) FILTER (kind = 'outcome_ok') AS success_count, count(*) FILTER (kind = 'outcome_fail') AS failure_count, count(*) FILTER (kind = 'up') AS positive_feedback, count(*) FILTER (kind = 'down') AS negative_feedback
+    FROM (SELECT d.chunk_id, l.context_key, d.kind FROM done d JOIN fx_log l USING (trace_id) JOIN fx_chunks c ON c.id = d.chunk_id WHERE c.origin <> 'spark'
+      UNION ALL SELECT f.chunk_id, f.context_key, f.signal FROM fx_feedback f LEFT JOIN fx_chunks c ON c.id = f.chunk_id WHERE c.evidence_cutoff_at IS NULL OR f.ts > c.evidence_cutoff_at) GROUP BY 1, 2)"""
+ARCHIVE = f"""hub AS (SELECT chunk_id, count(*) FILTER (event = 'selected') AS hs, count(*) FILTER (event = 'used') AS hu FROM ev WHERE event IN ('selected', 'used') AND ts >= {AS_OF} - INTERVAL 30 DAYS GROUP BY 1),
+    succ AS (SELECT chunk_id, count(*) AS n FROM facts GROUP BY 1), arch AS (
+    SELECT c.id, CASE WHEN confidence_base < 0.25 AND last_used_at < {AS_OF} - INTERVAL 60 DAYS THEN 'low_confidence'
+        WHEN selected >= 3 AND used = 0 AND confidence_base < 0.60 THEN 'repeated_selected_unused'
+        WHEN hs >= 3 AND hu < 0.01 * hs THEN 'hub_selected_unused'
+        WHEN used = 0 AND coalesce(evidence_cutoff_at, created_at) < {AS_OF} - INTERVAL 30 DAYS AND c.id NOT IN (SELECT chunk_id FROM fx_validations WHERE verdict IN ('applied', 'supported')) THEN 'never_used'
+        WHEN round(s, 6) >= 2 AND actors >= 2 THEN 'governance_proposal' WHEN round(s, 6) >= 2.5 AND actors >= 2 THEN 'sustained_negative_feedback'
+        WHEN used >= 2 AND coalesce(d.n, 0) < 0.2 * used AND confidence_base < 0.35 THEN 'sustained_task_failure' END AS reason
+    FROM fx_chunks c JOIN counts USING (id) LEFT JOIN hub ON hub.chunk_id = c.id LEFT JOIN succ d ON d.chunk_id = c.id LEFT JOIN gov ON gov.chunk_id = c.id
+    WHERE c.state IN ('active', 'pending') AND c.protected = 0 AND c.origin <> 'spark' AND reason IS NOT NULL)"""
+DECAY = f"""decay AS (SELECT id, round(n, 6) AS confidence, concat('decay:', d, 'd') AS note FROM (SELECT id, b, d, b + (1 - pow(0.5::DOUBLE, d / 90)) * (0.20::DOUBLE - b) AS n FROM (
+    SELECT id, confidence_base AS b, CAST(floor({days(AS_OF, 'last_used_at')}) AS BIGINT) AS d FROM fx_chunks JOIN counts USING (id) WHERE state IN ('active', 'pending') AND origin <> 'spark' AND protected = 0 AND last_used_at IS NOT NULL)) WHERE d > 0 AND abs(b - n) > 0.001)"""
+LOSERS = "losers AS (SELECT id, concat('duplicate:', first_value(id) OVER w) AS reason FROM fx_chunks WHERE state <> 'archived' WINDOW w AS (PARTITION BY content_hash ORDER BY protected DESC, confidence_base DESC, created_at, id) QUALIFY row_number() OVER w > 1)"
+LIFE = f"""life AS (SELECT trace_id, CASE WHEN late THEN 'timed_out' ELSE task_state END AS became, CASE WHEN late THEN 'discarded' WHEN task_state = 'recalled' THEN 'open' WHEN usage_state = 'known_some' THEN 'new' ELSE 'discarded' END AS distill_state
+    FROM (SELECT *, task_state = 'recalled' AND ts < {AS_OF} - INTERVAL 14 DAYS AS late FROM fx_log))"""
+EXPIRE = f"expire AS (SELECT id, 'unknown' AS becomes FROM fx_validations WHERE verdict = 'shown' AND created_at < {AS_OF} - INTERVAL 2 DAYS UNION ALL SELECT id, 'expired' FROM fx_episodes WHERE ts < {AS_OF} - INTERVAL 20 DAYS)"
+WORDS = r"list_filter(string_split_regex(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda w: strlen(w) >= 2)"
+ASKED = f"list_filter({WORDS.format('query')}, lambda w: w NOT IN ('the', 'a', 'an', 'to', 'of', 'in', 'on', 'for', 'and', 'or', 'is', 'do', 'i'))"
 
 
 def hits(vectors: str, k: int) -> str:
@@ -44,7 +81,7 @@ BM25 = f"""post AS (SELECT id, w AS token, count(*) AS tf FROM (SELECT id, unnes
     size AS (SELECT id, sum(tf) AS size FROM post GROUP BY 1), stats AS (SELECT count(*) AS docs, avg(size) AS mean FROM size),
     df AS (SELECT token, count(*) AS df FROM post GROUP BY 1),
     qw AS (SELECT query_id, token FROM (SELECT query_id, token, min(pos) AS pos FROM (SELECT query_id, unnest(words) AS token, generate_subscripts(words, 1) AS pos
-        FROM (SELECT query_id, {WORDS.format("query")} AS words FROM fx_queries)) GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY pos) <= 32),
+        FROM (SELECT query_id, {ASKED} AS words FROM fx_queries)) GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY pos) <= 32),
     bm AS (SELECT qw.query_id, p.id AS chunk_id, sum(greatest(1e-6, ln((docs - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))) AS s
         FROM qw JOIN post p USING (token) JOIN df USING (token) JOIN size USING (id) JOIN fx_chunks c ON c.id = p.id CROSS JOIN stats
         WHERE c.state <> 'archived' AND c.origin <> 'spark' GROUP BY 1, 2),
@@ -55,6 +92,45 @@ def ranked(source: str, score: str, k: int) -> str:
     return f"SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY {score} DESC, chunk_id) AS INTEGER) AS rank FROM {source}) WHERE rank <= {k}"
 
 
+def recalled(vectors: bool = True, gate: float | None = None) -> str:
+    """Common table expressions up to ``rec``, the chunks of each query in order."""
+    near = f"""UNION ALL SELECT query_id, chunk_id, sim, 0, 0 FROM ({hits('fx_vec_content', 40)}) UNION ALL SELECT query_id, chunk_id, 0, sim, 0 FROM ({hits('fx_vec_trigger', 40)})""" if vectors else ""
+    names = ("content", "trigger", "lexical", "confidence", "context", "activation")
+    parts = ", ".join(f"{{'v': -round(w_{n}, 6), 'name': '{n}'}}" for n in names)
+    return f"""{BM25}, {EVENTS}, {COUNTS}, {EVIDENCE}, {FOLD}, {CONTEXT},
+    one AS (SELECT query_id, chunk_id, max(c) AS c, max(t) AS t, max(l) AS l FROM (SELECT query_id, chunk_id, 0.0::DOUBLE AS c, 0.0::DOUBLE AS t, lexical AS l FROM ({ranked('lexical', 'lexical', 40)}) {near})
+        WHERE chunk_id IN (SELECT id FROM fx_chunks WHERE state <> 'archived' AND origin <> 'spark' AND embed_version >= 1) GROUP BY 1, 2),
+    soft AS (SELECT o.query_id, d.dst AS chunk_id, count(*) AS n FROM one o JOIN fx_deps d ON d.src = o.chunk_id AND d.kind = 'soft' WHERE d.dst IN (SELECT id FROM fx_chunks WHERE state <> 'archived' AND origin <> 'spark') GROUP BY 1, 2),
+    cand AS (SELECT query_id, chunk_id, CASE WHEN n > 0 THEN greatest(coalesce(c, 0), least(1.0::DOUBLE, coalesce(c, 0) + 0.05::DOUBLE * n)) ELSE c END AS c, coalesce(t, 0) AS t, coalesce(l, 0) AS l FROM one FULL JOIN soft USING (query_id, chunk_id)),
+    parts AS (SELECT x.query_id, x.chunk_id, k.state, k.token_count, 0.55::DOUBLE * c AS w_content, 0.25::DOUBLE * t AS w_trigger, 0.25::DOUBLE * l AS w_lexical, 0.10::DOUBLE * coalesce(f.confidence, confidence_base) AS w_confidence,
+        0.15::DOUBLE * coalesce(((wins + 1) / (wins + losses + 2) - 0.5) * 2 * least((wins + losses) / 5, 1), 0) AS w_context,
+        0.08::DOUBLE * CASE WHEN n.used > 0 THEN 1 / (1 + exp(-(ln(1 + n.used) - 0.5 * ln(1 + {days(AS_OF, 'n.last_used_at')})))) ELSE 0 END AS w_activation,
+        CASE WHEN strlen(content) > 800 THEN -0.15::DOUBLE * ln(strlen(content) / 800.0::DOUBLE) ELSE 0.0 END AS w_length,
+        len(list_filter(list_transform(string_split(lower(coalesce(anti_trigger_desc, '')), ','), lambda p: trim(p, ' ')), lambda p: p <> '' AND contains(lower(q.query), p))) > 0 AS against
+        FROM cand x JOIN fx_queries q USING (query_id) JOIN fx_chunks k ON k.id = x.chunk_id LEFT JOIN fold f ON f.chunk_id = x.chunk_id LEFT JOIN counts n ON n.id = x.chunk_id
+        LEFT JOIN (SELECT chunk_id, context_key, success_count + 2.0::DOUBLE * positive_feedback AS wins, failure_count + 2.0::DOUBLE * negative_feedback AS losses FROM ctx) v ON v.chunk_id = x.chunk_id AND v.context_key = q.context_key),
+    fused AS (SELECT *, round(g, 6) AS gate, round(g * CASE WHEN state = 'pending' THEN 0.6::DOUBLE ELSE 1 END, 6) AS score FROM (SELECT *, ({' + '.join(f'w_{n}' for n in names)} + w_length) * CASE WHEN against THEN 0.6::DOUBLE ELSE 1 END AS g FROM parts)),
+    top AS (SELECT * FROM fused QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 20),
+    gated AS (SELECT * FROM top WHERE {f'gate >= {gate}' if gate is not None else 'true'}),
+    slot AS (SELECT * FROM gated QUALIFY state <> 'pending' OR coalesce(count(*) FILTER (state = 'pending') OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0),
+    rec AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank, chunk_id, score, gate, token_count,
+        array_to_string(list_transform(list_filter(ps, lambda e, i: i = 1 OR -e.v >= 0.15::DOUBLE * -list_sum(list_transform(ps, lambda z: z.v))), lambda e: e.name), '+') AS reason
+        FROM (SELECT *, list_sort(list_filter([{parts}], lambda e: e.v < 0)) AS ps FROM slot))"""
+
+
+def packs(budget: int) -> str:
+    """Common table expressions after ``rec``: ``pack``, first by order, then by density, one row of a query a step."""
+    fit = f"CASE WHEN p.used + r.token_count <= {budget} THEN"
+    return f"""one_pass(query_id, rank, used, took) AS (SELECT query_id, 0, CAST(0 AS BIGINT), false FROM (SELECT DISTINCT query_id FROM rec)
+        UNION ALL SELECT r.query_id, r.rank, {fit} p.used + r.token_count ELSE p.used END, p.used + r.token_count <= {budget} FROM one_pass p JOIN rec r ON r.query_id = p.query_id AND r.rank = p.rank + 1),
+    rest AS (SELECT r.*, row_number() OVER (PARTITION BY r.query_id ORDER BY r.score / greatest(r.token_count, 1) DESC, r.rank) AS nth FROM rec r JOIN one_pass p ON p.query_id = r.query_id AND p.rank = r.rank AND NOT p.took),
+    two_pass(query_id, nth, used, took) AS (SELECT query_id, CAST(0 AS BIGINT), max(used), false FROM one_pass GROUP BY 1
+        UNION ALL SELECT r.query_id, r.nth, {fit} p.used + r.token_count ELSE p.used END, p.used + r.token_count <= {budget} FROM two_pass p JOIN rest r ON r.query_id = p.query_id AND r.nth = p.nth + 1),
+    pack AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY phase, nth) AS INTEGER) AS pos, chunk_id, tokens, CASE phase WHEN 1 THEN 'order' ELSE 'density' END AS pass FROM (
+        SELECT r.query_id, 1 AS phase, r.rank AS nth, r.chunk_id, r.token_count AS tokens FROM rec r JOIN one_pass p ON p.query_id = r.query_id AND p.rank = r.rank AND p.took
+        UNION ALL SELECT r.query_id, 2, r.nth, r.chunk_id, r.token_count FROM rest r JOIN two_pass p ON p.query_id = r.query_id AND p.nth = r.nth AND p.took))"""
+
+
 def share(n: str, d: str) -> str:
     return f"CASE WHEN {d} > 0 THEN round({n}::DOUBLE / {d}, 3) ELSE 0.0 END"
 
@@ -66,82 +142,116 @@ SQL = {
     "f2_recallable": "SELECT id, state, origin FROM fx_chunks WHERE state <> 'archived' AND origin <> 'spark' AND embed_version >= 1",
     "f3_valid_sparks": "SELECT id, maturity FROM fx_chunks WHERE origin = 'spark' AND state <> 'archived' AND maturity NOT IN ('promoted', 'dropped') AND embed_version >= 1",
     "f8_recent_traces": "SELECT trace_id, ts, outcome, task_state FROM fx_log ORDER BY ts DESC, trace_id LIMIT 100",
-    "f11_stale_embeddings": "SELECT id, (SELECT count(*) FROM fx_chunks WHERE embed_version = 0) AS remaining FROM fx_chunks WHERE embed_version = 0 ORDER BY id LIMIT 20",
+    "f11_stale_embeddings": "SELECT id, (SELECT count(*) FROM fx_chunks WHERE embed_version = 0) AS remaining FROM fx_chunks WHERE embed_version = 0",
     "f13_reverse_deps": "SELECT dst, count(*) AS dependents, count(*) FILTER (kind = 'hard') AS hard FROM fx_deps GROUP BY dst",
     "f14_trace_outcomes": "SELECT trace_id, arg_max(event, (ts, id)) AS outcome, count(*) AS reports FROM fx_usage WHERE event IN ('task_ok', 'task_fail') GROUP BY 1",
-    "v1_domain_violations": "SELECT 'source' AS violation, count(*) AS n, min(id) AS first_id FROM fx_usage WHERE source NOT IN ('mcp', 'sdk', 'cli', 'hook', 'augmented') HAVING count(*) > 0",
+    "v1_domain_violations": "SELECT 'source' AS violation, count(*) AS n, min(id) AS first_id FROM fx_usage WHERE source NOT IN ('mcp', 'sdk', 'cli', 'hook', 'daemon', 'augmented') HAVING count(*) > 0",
     "v5_orphans": "SELECT DISTINCT src, dst FROM fx_deps WHERE kind = 'hard' AND (src NOT IN (SELECT id FROM fx_chunks) OR dst NOT IN (SELECT id FROM fx_chunks))",
     "t1_t2_hash_tokens": "SELECT id, sha256(content) AS hash, CAST(ceil(strlen(content) / 4.0) AS BIGINT) AS tokens FROM fx_chunks",
     "t3_t4_normalized_queries": r"""WITH n AS (SELECT query_id, array_to_string(list_sort(list_distinct(list_filter(string_split(regexp_replace(lower(query), '[^\p{L}\p{N}]+', ' ', 'g'), ' '),
-        lambda w: w <> '' AND w NOT IN ('a', 'an', 'the', 'is', 'of', 'to', 'in', 'for', 'on', 'and')))), ' ') AS normalized FROM fx_queries) SELECT query_id, normalized, sha256(normalized) AS context_hash FROM n""",
-    "t11_anti_hits": """WITH p AS (SELECT part, min(id) AS chunk_id, count(*) AS chunks FROM (SELECT id, trim(unnest(string_split(lower(anti_trigger_desc), ',')), ' ') AS part FROM fx_chunks WHERE anti_trigger_desc IS NOT NULL) WHERE part <> '' GROUP BY 1)
-        SELECT query_id, part, chunk_id, chunks FROM fx_queries JOIN p ON contains(lower(query), part)""",
+        lambda w: w <> '' AND w NOT IN ('a', 'an', 'and', 'for', 'in', 'of', 'on', 'the', 'to', 'with')))), ' ') AS normalized FROM fx_queries) SELECT query_id, normalized, sha256(normalized) AS context_hash FROM n""",
+    "t11_anti_hits": """SELECT DISTINCT q.query_id, p.id AS chunk_id FROM (SELECT id, trim(unnest(string_split(lower(anti_trigger_desc), ',')), ' ') AS part FROM fx_chunks WHERE anti_trigger_desc IS NOT NULL) p JOIN fx_queries q ON p.part <> '' AND contains(lower(q.query), p.part)""",
     "n2_activation": f"WITH {EVENTS}, u AS (SELECT chunk_id, count(*) AS uses, max(ts) AS last FROM ev WHERE event = 'used' GROUP BY 1) SELECT chunk_id, uses, round(1 / (1 + exp(-(ln(1 + uses) - 0.5 * ln(1 + {days(AS_OF, 'last')})))), 6) AS activation FROM u",
-    "n4_length_penalty": "SELECT id, round(CASE WHEN strlen(content) > 800 THEN -0.05::DOUBLE * ln(strlen(content) / 800.0::DOUBLE) ELSE 0.0 END, 6) AS penalty FROM fx_chunks",
+    "n4_length_penalty": "SELECT id, round(CASE WHEN strlen(content) > 800 THEN -0.15::DOUBLE * ln(strlen(content) / 800.0::DOUBLE) ELSE 0.0 END, 6) AS penalty FROM fx_chunks",
     "a1_success_facts": f"WITH {EVENTS}, {FACTS} SELECT * FROM facts",
     "a2_success_counts": f"WITH {EVENTS}, {FACTS} SELECT c.id, count(f.trace_id) AS successes, max(f.succeeded_at) AS last_success_at FROM fx_chunks c LEFT JOIN facts f ON f.chunk_id = c.id GROUP BY c.id",
     "a3_usage_counts": f"WITH {EVENTS}, {COUNTS} SELECT * FROM counts",
-    "a4_purged_usage": f"SELECT event, count(*) AS n, min(ts) AS first_ts FROM fx_usage WHERE NOT (event = 'retrieved' AND ts < {AS_OF} - INTERVAL 7 DAYS) GROUP BY 1",
-    "a7_outcome_evidence": f"WITH {EVENTS}, {EVIDENCE} SELECT * FROM evid",
+    "a4_purged_usage": f"""SELECT id, trace_id, chunk_id, event, ts FROM fx_usage u WHERE NOT (event IN ('retrieved', 'refined') AND ts < {AS_OF} - INTERVAL 7 DAYS) OR coalesce(chunk_id, '') IN (SELECT id FROM fx_chunks WHERE origin = 'spark')""",
+    "a7_outcome_evidence": f"WITH {EVENTS}, {OUTCOME} SELECT * FROM done",
     "a9_latest_feedback": "SELECT trace_id, chunk_id, id, signal, CAST(strength AS DOUBLE) AS strength, actor FROM fx_feedback QUALIFY row_number() OVER (PARTITION BY trace_id, chunk_id ORDER BY ts DESC, id DESC) = 1",
-    "a10_confidence": f"""WITH {EVENTS}, {EVIDENCE}, l AS (SELECT e.chunk_id, count(*) AS n_evidence, first(c.confidence_base) AS base, list({{'t': e.target, 'a': e.alpha}} ORDER BY e.ts, e.id) AS steps FROM evid e JOIN fx_chunks c ON c.id = e.chunk_id GROUP BY 1)
-        SELECT chunk_id, n_evidence, round(list_reduce(list_prepend({{'t': base, 'a': 0.0::DOUBLE}}, steps), lambda c, e: {{'t': least(1.0::DOUBLE, greatest(0.0::DOUBLE, c.t + e.a * (e.t - c.t))), 'a': 0.0::DOUBLE}}).t, 8) AS confidence FROM l""",
-    "a12_governance": f"""WITH v AS (SELECT chunk_id, actor, greatest(-1.0, least(1.0, sum((CASE WHEN signal = 'down' THEN strength ELSE -strength END)::DOUBLE * pow(0.5::DOUBLE, {days(AS_OF, 'ts')} / 90)))) AS v FROM fx_feedback WHERE actor IS NOT NULL GROUP BY 1, 2),
-        s AS (SELECT chunk_id, greatest(0.0, sum(v)) AS s, count(*) FILTER (v > 0) AS actors FROM v GROUP BY 1) SELECT chunk_id, round(s, 6) AS score, actors, s >= 2 AND actors >= 2 AS proposed FROM s""",
+    "a10_confidence": f"WITH {EVENTS}, {COUNTS}, {EVIDENCE}, {FOLD} SELECT * FROM fold",
+    "a12_governance": f"WITH {GOVERN} SELECT chunk_id, round(s, 6) AS score, actors, s >= 2 AND actors >= 2 AS proposed FROM gov",
     "a15_usage_states": "SELECT usage_state, task_state, count(*) AS n FROM fx_log GROUP BY 1, 2",
-    "a16_observed_outcomes": f"WITH {EVENTS}, {EVIDENCE} SELECT chunk_id, count(*) AS observed, round(avg(target), 6) AS mean_target FROM evid GROUP BY 1",
-    "a18_counter_baseline": f"WITH {EVENTS}, k AS (SELECT chunk_id, count(*) AS kept FROM ev WHERE event = 'selected' GROUP BY 1) SELECT id, CAST(greatest(0, CAST(substr(id, 2) AS BIGINT) % 7 - coalesce(kept, 0)) AS BIGINT) AS base FROM fx_chunks LEFT JOIN k ON chunk_id = id",
+    "a16_observed_outcomes": f"WITH {EVENTS}, {OUTCOME} SELECT chunk_id, count(*) AS observed, round(avg(target), 6) AS mean_target FROM done GROUP BY 1",
+    "a18_counter_baseline": f"WITH {EVENTS}, k AS (SELECT chunk_id, count(*) AS kept FROM ev WHERE event = 'selected' GROUP BY 1) SELECT id, CAST(greatest(0, selected_count - coalesce(kept, 0)) AS BIGINT) AS base FROM fx_counters LEFT JOIN k ON chunk_id = id",
     "a20_deduped": f"WITH {EVENTS} SELECT event, count(*) AS n, min(id) AS first_id FROM ev GROUP BY 1",
-    "c1_c8_archive_rules": f"""WITH {EVENTS}, {FACTS}, {COUNTS}, hub AS (SELECT chunk_id, count(*) FILTER (event = 'selected') AS hs, count(*) FILTER (event = 'used') AS hu FROM ev WHERE event IN ('selected', 'used') AND ts >= {AS_OF} - INTERVAL 30 DAYS GROUP BY 1),
-        done AS (SELECT chunk_id, count(*) AS n FROM facts GROUP BY 1)
-        SELECT c.id, CASE WHEN confidence_base < 0.25 AND {days(AS_OF, 'coalesce(last_used_at, created_at)')} > 60 THEN 'low_confidence'
-            WHEN selected >= 3 AND used = 0 AND confidence_base < 0.60 THEN 'repeated_selected_unused'
-            WHEN hs >= 3 AND hu < 0.01 * hs THEN 'hub_selected_unused'
-            WHEN used = 0 AND {days(AS_OF, 'coalesce(evidence_cutoff_at, created_at)')} > 30 AND c.id NOT IN (SELECT chunk_id FROM fx_validations WHERE verdict = 'supported') THEN 'never_used'
-            WHEN used >= 2 AND coalesce(d.n, 0) < 0.2 * used AND confidence_base < 0.35 THEN 'sustained_task_failure' END AS reason
-        FROM fx_chunks c JOIN counts USING (id) LEFT JOIN hub ON hub.chunk_id = c.id LEFT JOIN done d ON d.chunk_id = c.id
-        WHERE c.state <> 'archived' AND c.protected = 0 AND reason IS NOT NULL""",
-    "c9_duplicates": "SELECT id, concat('duplicate:', first_value(id) OVER w) AS reason FROM fx_chunks WHERE state <> 'archived' WINDOW w AS (PARTITION BY content_hash ORDER BY protected DESC, confidence_base DESC, created_at, id) QUALIFY row_number() OVER w > 1",
-    "c10_decay": f"""WITH {EVENTS}, {COUNTS}, x AS (SELECT id, confidence_base AS b, b + (1 - pow(0.5::DOUBLE, {days(AS_OF, 'coalesce(last_used_at, created_at)')} / 90)) * (0.20::DOUBLE - b) AS c FROM fx_chunks JOIN counts USING (id) WHERE state <> 'archived' AND protected = 0 AND confidence_base > 0.20)
-        SELECT id, round(c, 6) AS confidence FROM x WHERE b - c > 0.001""",
-    "c12_l9_l10_supports": """WITH x AS (SELECT chunk_id, count(DISTINCT session_id) FILTER (verdict = 'supported') AS sessions, count(DISTINCT project) FILTER (verdict = 'supported') AS projects,
-        count(*) FILTER (verdict = 'contradicted' AND resolved_at IS NULL) AS open_contradictions FROM fx_validations GROUP BY 1) SELECT *, sessions >= 2 AND projects >= 2 AND open_contradictions = 0 AS transferable FROM x""",
-    "c15_trace_lifecycle": f"SELECT trace_id, CASE WHEN task_state = 'recalled' AND ts < {AS_OF} - INTERVAL 14 DAYS THEN 'timed_out' ELSE task_state END AS task_state, CASE WHEN usage_state = 'known_some' THEN 'new' ELSE 'discarded' END AS distill_state FROM fx_log",
-    "c18_calibration": f"""WITH x AS (SELECT least(9, CAST(floor(emitted_strength * 10) AS BIGINT)) AS b, ({HIT})::INT AS hit FROM fx_verdicts WHERE observed_outcome IS NOT NULL AND outcome_provenance = 'observed' AND emitted_valence IN ('affirm', 'caution'))
-        SELECT bucket, count(hit) AS n, round(coalesce(avg(hit), (bucket + 0.5) / 10), 6) AS rate FROM range(10) r(bucket) LEFT JOIN x ON b = bucket GROUP BY bucket""",
-    "l8_expiries": f"SELECT id, 'unknown' AS becomes FROM fx_validations WHERE verdict = 'shown' AND created_at < {AS_OF} - INTERVAL 2 DAYS UNION ALL SELECT id, 'expired' FROM fx_episodes WHERE ts < {AS_OF} - INTERVAL 20 DAYS",
+    "c1_c8_archive_rules": f"WITH {EVENTS}, {FACTS}, {COUNTS}, {GOVERN}, {ARCHIVE} SELECT * FROM arch",
+    "c9_duplicates": f"WITH {LOSERS} SELECT * FROM losers",
+    "c10_decay": f"WITH {EVENTS}, {COUNTS}, {DECAY} SELECT * FROM decay",
+    "c12_l9_l10_supports": """WITH v AS (SELECT v.*, c.created_at AS born_at, c.state FROM fx_validations v JOIN fx_chunks c ON c.id = v.chunk_id),
+        u AS (SELECT chunk_id, count(DISTINCT coalesce(session_id, id)) AS units, count(DISTINCT project) AS projects FROM v WHERE verdict = 'supported' AND created_at > born_at AND NOT EXISTS (SELECT 1 FROM fx_births b WHERE b.rule_id = v.chunk_id AND b.session_id = v.session_id) GROUP BY 1),
+        x AS (SELECT chunk_id, state, count(*) FILTER (verdict = 'contradicted' AND resolved_at IS NULL) AS open_contradictions FROM v GROUP BY 1, 2),
+        y AS (SELECT chunk_id, state, coalesce(units, 0) AS units, coalesce(projects, 0) AS projects, open_contradictions FROM x LEFT JOIN u USING (chunk_id))
+        SELECT chunk_id, units, projects, open_contradictions, units >= 2 AND projects >= 2 AND open_contradictions = 0 AS transferable,
+        CASE WHEN open_contradictions > 0 AND state = 'active' THEN 'suspended' WHEN units >= 2 AND projects >= 2 AND open_contradictions = 0 AND state = 'pending' THEN 'promoted' ELSE 'unchanged' END AS becomes FROM y""",
+    "c15_trace_lifecycle": f"WITH {LIFE} SELECT * FROM life",
+    "c18_calibration": f"""WITH x AS (SELECT least(9, CAST(floor(emitted_strength * 10) AS BIGINT)) AS b, ({HIT})::INT AS hit FROM fx_verdicts WHERE observed_outcome IS NOT NULL AND outcome_provenance = 'observed' AND emitted_valence IN ('affirm', 'caution') AND emitted_conf IS NOT NULL),
+        m AS (SELECT bucket, bucket / 10 AS lo, (bucket + 1) / 10 AS hi, count(hit) AS n, round(coalesce(avg(hit), (bucket + 0.5) / 10), 6) AS rate FROM range(10) r(bucket) LEFT JOIN x ON b = bucket WHERE (SELECT count(*) FROM x) >= 20 GROUP BY bucket) SELECT * FROM m""",
+    "l8_expiries": f"WITH {EXPIRE} SELECT * FROM expire",
     "r1_content_hits": hits("fx_vec_content", 10),
     "r2_lexical_hits": f"WITH {BM25} {ranked('lexical', 'lexical', 10)}",
-    "r6_recall": f"""WITH {BM25}, c AS ({hits('fx_vec_content', 40)}), t AS ({hits('fx_vec_trigger', 40)}), l AS ({ranked('lexical', 'lexical', 40)}),
-        one AS (SELECT query_id, chunk_id, max(c) AS c, max(t) AS t, max(l) AS l FROM (SELECT query_id, chunk_id, sim AS c, 0.0::DOUBLE AS t, 0.0::DOUBLE AS l FROM c UNION ALL SELECT query_id, chunk_id, 0, sim, 0 FROM t UNION ALL SELECT query_id, chunk_id, 0, 0, lexical FROM l) GROUP BY 1, 2),
-        s AS (SELECT query_id, chunk_id, round((0.35::DOUBLE * c + 0.25::DOUBLE * t + 0.25::DOUBLE * l + 0.15::DOUBLE * confidence_base) * CASE WHEN state = 'pending' THEN 0.6::DOUBLE ELSE 1.0 END, 6) AS score FROM one JOIN fx_chunks k ON k.id = chunk_id WHERE state <> 'archived' AND origin <> 'spark' AND embed_version >= 1)
-        {ranked('s', 'score', 5)}""",
-    "r14_spark_hits": f"""WITH c AS ({hits('fx_vec_content', 40)}), t AS ({hits('fx_vec_trigger', 40)}), s AS (SELECT query_id, chunk_id, max(sim) AS sim FROM (SELECT * FROM c UNION ALL SELECT * FROM t) JOIN fx_chunks k ON k.id = chunk_id
+    "r6_recall": f"WITH {recalled()} SELECT * FROM rec",
+    "r14_spark_hits": f"""WITH c AS ({hits('fx_vec_content', 20)}), t AS ({hits('fx_vec_trigger', 20)}), s AS (SELECT query_id, chunk_id, max(sim) AS sim FROM (SELECT * FROM c UNION ALL SELECT * FROM t) JOIN fx_chunks k ON k.id = chunk_id
         WHERE origin = 'spark' AND state <> 'archived' AND maturity NOT IN ('promoted', 'dropped') AND embed_version >= 1 GROUP BY 1, 2) {ranked('s', 'sim', 20)}""",
     "e1_ranking_metrics": f"""WITH h AS ({hits('fx_vec_content', 10)}), r AS (SELECT DISTINCT query_id, chunk_id FROM fx_relevant), n AS (SELECT query_id, count(*) AS n FROM r GROUP BY 1),
         x AS (SELECT h.query_id, count(r.chunk_id) AS h, min(rank) FILTER (r.chunk_id IS NOT NULL) AS f, sum(CASE WHEN r.chunk_id IS NULL THEN 0.0 ELSE 1 / log2(rank + 1) END) AS dcg FROM h LEFT JOIN r ON r.query_id = h.query_id AND r.chunk_id = h.chunk_id GROUP BY 1)
         SELECT query_id, round(h / 10, 6) AS precision, round(h / n, 6) AS recall, round(coalesce(1 / f, 0.0), 6) AS rr, round(dcg / list_sum(list_transform(range(1, least(10, n) + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg FROM x JOIN n USING (query_id)""",
-    "o1_window_rates": f"""WITH {EVENTS}, x AS (SELECT d AS days, count(*) FILTER (event = 'retrieved') AS retrieved, count(*) FILTER (event = 'selected') AS selected, count(*) FILTER (event = 'used') AS used, count(*) FILTER (event = 'task_ok') AS ok, count(*) FILTER (event = 'task_fail') AS fail
-        FROM ev JOIN (VALUES (1), (7), (30)) v(d) ON ts >= {AS_OF} - to_days(d) GROUP BY 1) SELECT days, retrieved, selected, used, {share('used', 'selected')} AS use_rate, {share('ok', '(ok + fail)')} AS success_rate FROM x""",
-    "o2_dimension_rates": "\nUNION ALL\n".join(
-        f"SELECT '{d}' AS dimension, coalesce({c}, '(null)') AS value, count(*) AS traces, {share('count(*) FILTER (outcome = $$ok$$)', 'count(outcome)')} AS success_rate, {share('count(*) FILTER (task_state = $$timed_out$$)', 'count(*)')} AS timeout_rate FROM fx_log GROUP BY 2"
-        for d, c in (("source", "event_source"), ("agent", "agent"), ("context", "context_key"))
-    ),
+    "o1_window_rates": f"""WITH {EVENTS}, v(d) AS (VALUES (1), (7), (30)),
+        e AS (SELECT d, trace_id, count(*) FILTER (event = 'retrieved') AS r, count(*) FILTER (event = 'selected') AS s, count(*) FILTER (event = 'used') AS u FROM ev JOIN v ON ts >= {AS_OF} - to_days(d) GROUP BY 1, 2),
+        x AS (SELECT d, sum(s) AS s, sum(u) AS u, count(*) FILTER (r > 0 AND s = 0) AS empty, count(*) FILTER (r > 0) AS recalls, count(*) FILTER (s > 0 AND trace_id IN (SELECT trace_id FROM fx_feedback)) AS spoken, count(*) FILTER (s > 0) AS choosing FROM e GROUP BY 1),
+        l AS (SELECT d, count(*) AS traces, count(*) FILTER (task_state = 'completed') AS completed, count(*) FILTER (task_state = 'timed_out') AS late, count(*) FILTER (usage_state <> 'unknown') AS known, count(*) FILTER (outcome = 'ok') AS ok, count(outcome) AS ended FROM fx_log JOIN v ON ts >= {AS_OF} - to_days(d) GROUP BY 1)
+        SELECT d AS days, traces, {share('empty', 'recalls')} AS empty_recall_rate, {share('completed', 'traces')} AS completed_rate, {share('late', 'traces')} AS timeout_rate, {share('known', 'traces')} AS annotation_rate, {share('u', 's')} AS use_rate, {share('ok', 'ended')} AS success_rate, {share('spoken', 'choosing')} AS feedback_coverage FROM l LEFT JOIN x USING (d)""",
+    "o2_dimension_rates": f"""WITH {EVENTS}, e AS (SELECT trace_id, count(*) FILTER (event = 'selected') AS s, count(*) FILTER (event = 'used') AS u FROM ev GROUP BY 1),
+        l AS (SELECT l.*, s, u, l.trace_id IN (SELECT trace_id FROM fx_feedback) AS spoken FROM fx_log l LEFT JOIN e USING (trace_id)),
+        k AS (SELECT 'source' AS dimension, event_source AS value, * FROM l UNION ALL SELECT 'agent', coalesce(agent, '(null)'), * FROM l UNION ALL SELECT 'context', context_key, * FROM l),
+        g AS (SELECT dimension, value, count(*) AS traces, {share("count(*) FILTER (outcome = 'ok')", 'count(outcome)')} AS success_rate, {share("count(*) FILTER (task_state = 'timed_out')", 'count(*)')} AS timeout_rate, {share('sum(u)', 'sum(s)')} AS use_rate,
+            {share("count(*) FILTER (usage_state <> 'unknown')", 'count(*)')} AS annotation_rate, {share('count(*) FILTER (s > 0 AND spoken)', 'count(*) FILTER (s > 0)')} AS feedback_coverage FROM k GROUP BY 1, 2)
+        SELECT * FROM g QUALIFY dimension <> 'context' OR row_number() OVER (PARTITION BY dimension ORDER BY traces DESC, value) <= 10""",
     "o3_agent_coverage": f"SELECT event_source, count(*) AS traces, count(agent) AS with_agent, {share('count(agent)', 'count(*)')} AS coverage FROM fx_log GROUP BY 1",
     "o4_rank_histogram": f"WITH {EVENTS} SELECT rank, count(*) FILTER (event = 'selected') AS selected, count(*) FILTER (event = 'used') AS used FROM ev WHERE event IN ('selected', 'used') GROUP BY 1",
-    "o6_operation_performance": f"""SELECT op, count(*) AS runs, count(*) FILTER (status = 'ok') AS ok, count(*) FILTER (status = 'error') AS errors, count(*) FILTER (status = 'timeout') AS timeouts,
-        quantile_disc(duration_ms, 0.5)::DOUBLE AS p50, quantile_disc(duration_ms, 0.95)::DOUBLE AS p95, {share("count(*) FILTER (status = 'ok')", 'count(*)')} AS success_rate FROM fx_oplog GROUP BY 1""",
+    "o6_operation_performance": "\nUNION ALL\n".join(f"""SELECT op, {agent} AS agent, count(*) AS runs, count(*) FILTER (status = 'ok') AS ok, count(*) FILTER (status = 'error') AS errors, count(*) FILTER (status = 'timeout') AS timeouts,
+        quantile_disc(duration_ms, 0.5)::DOUBLE AS p50, quantile_disc(duration_ms, 0.95)::DOUBLE AS p95, {share("count(*) FILTER (status = 'ok')", "count(*)")} AS success_rate FROM fx_oplog GROUP BY 1, 2""" for agent in ("NULL::VARCHAR", "coalesce(agent, '(null)')")),
     "o6_top_errors": "SELECT op, error_kind, count(*) AS n, max(started_at) AS last_at FROM fx_oplog WHERE error_kind IS NOT NULL GROUP BY 1, 2",
     "st8_daily_operations": "SELECT date_trunc('day', started_at)::TIMESTAMP AS day, op, count(*) AS runs, round(avg(duration_ms), 3) AS mean_ms FROM fx_oplog GROUP BY 1, 2",
     "o9_library_summary": "SELECT origin, state, count(*) AS chunks, CAST(sum(token_count) AS BIGINT) AS tokens, round(avg(confidence_base), 6) AS mean_confidence, count(*) FILTER (confidence_base BETWEEN 0.4 AND 0.6) AS undecided FROM fx_chunks GROUP BY 1, 2",
     "o10_recurring_sparks": "SELECT chunk_id, count(*) AS retrievals FROM fx_usage WHERE event = 'retrieved' AND chunk_id IN (SELECT id FROM fx_chunks WHERE origin = 'spark') GROUP BY 1 HAVING count(*) >= 2",
     "o12_rule_counts": "SELECT verdict, count(*) AS n, count(DISTINCT chunk_id) AS rules, count(DISTINCT session_id) AS sessions FROM fx_validations GROUP BY 1",
-    "o13_provenance": f"""WITH {EVENTS}, {EVIDENCE}, a AS (SELECT chunk_id, ts, CAST(id AS VARCHAR) AS id, CASE WHEN target = 1 THEN 'ok' ELSE 'fail' END AS what FROM evid UNION ALL SELECT chunk_id, ts, id, signal FROM fx_feedback)
+    "o13_provenance": f"""WITH {EVENTS}, {OUTCOME}, a AS (SELECT chunk_id, ts, id, CASE WHEN target = 1 THEN 'ok' ELSE 'fail' END AS what FROM done UNION ALL SELECT chunk_id, ts, id, signal FROM fx_feedback)
         SELECT chunk_id, CAST(row_number() OVER w AS INTEGER) AS nth, id, what FROM a WINDOW w AS (PARTITION BY chunk_id ORDER BY ts DESC, id) QUALIFY row_number() OVER w <= 5""",
     "p7_tier_calibration": f"""SELECT CASE WHEN emitted_strength >= 0.65 THEN 'strong' WHEN emitted_strength >= 0.30 THEN 'medium' ELSE 'weak' END AS tier, count(*) AS n, count(abstain_reason) AS abstained,
         {share('count(*) FILTER (observed_outcome > 0)', 'count(observed_outcome)')} AS fail_rate FROM fx_verdicts GROUP BY 1""",
     "p8_verdict_calibration": f"""WITH x AS (SELECT least(9, CAST(floor(emitted_conf * 10) AS BIGINT)) AS bucket, emitted_conf, ({HIT})::INT AS hit FROM fx_verdicts WHERE emitted_conf IS NOT NULL AND observed_outcome IS NOT NULL AND emitted_valence <> 'neutral'),
         y AS (SELECT bucket, count(*) AS n, round(avg(emitted_conf), 6) AS claimed, round(avg(hit), 6) AS hit_rate FROM x GROUP BY 1) SELECT *, round(abs(claimed - hit_rate), 5) AS gap FROM y""",
+    "a7_a8_evidence": f"WITH {EVENTS}, {COUNTS}, {EVIDENCE} SELECT * FROM evid",
+    "a11_context_stats": f"WITH {EVENTS}, {OUTCOME}, {CONTEXT} SELECT * FROM ctx",
+    "a14_verdict_outcomes": """WITH o AS (SELECT trace_id, arg_min(event, (ts, id)) AS event FROM fx_usage WHERE event IN ('task_ok', 'task_fail') GROUP BY 1)
+        SELECT verdict_id, CASE WHEN event = 'task_ok' THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END AS observed_outcome, CASE WHEN event = 'task_ok' AND emitted_valence = 'caution' THEN 'counterfactual_censored' ELSE 'observed' END AS provenance FROM fx_verdicts JOIN o USING (trace_id) WHERE observed_outcome IS NULL""",
+    "c16_compacted": f"""SELECT trace_id, CASE WHEN NOT old THEN context_key END AS context_key, old AS compacted FROM (SELECT *, task_state IN ('completed', 'timed_out') AND ts < {AS_OF} - INTERVAL 20 DAYS AS old FROM fx_log)""",
+    "c17_retained_operations": f"SELECT id, op, started_at FROM fx_oplog WHERE started_at >= {AS_OF} - INTERVAL 20 DAYS",
+    "c19_dry_run": f"""WITH {EVENTS}, {FACTS}, {COUNTS}, {GOVERN}, {ARCHIVE}, {DECAY}, {LOSERS}, {LIFE}, {EXPIRE} SELECT step, count(*) AS n FROM (SELECT concat('archive:', reason) AS step FROM arch UNION ALL SELECT 'duplicate' FROM losers
+        UNION ALL SELECT 'decay' FROM decay UNION ALL SELECT 'timed_out' FROM life WHERE became = 'timed_out' UNION ALL SELECT concat('expire:', becomes) FROM expire) GROUP BY 1""",
+    "c5_c7_proposals": f"""WITH {GOVERN}, f AS (SELECT chunk_id, min(ts) AS created_at FROM fx_feedback WHERE signal = 'down' GROUP BY 1)
+        SELECT chunk_id, round(s, 6) AS score, actors, f.created_at, c.state AS chunk_state, CASE WHEN NOT coalesce(c.state IN ('active', 'pending') AND c.origin <> 'spark' AND c.protected = 0, false) THEN 'rejected'
+            WHEN round(s, 6) >= 2 AND actors >= 2 THEN 'accepted' WHEN round(s, 6) < 2 AND f.created_at < {AS_OF} - INTERVAL 30 DAYS THEN 'expired' ELSE 'pending' END AS becomes
+        FROM gov JOIN f USING (chunk_id) LEFT JOIN fx_chunks c ON c.id = chunk_id WHERE round(s, 6) > 0""",
+    "n9_calibrated": f"""WITH x AS (SELECT least(9, CAST(floor(emitted_strength * 10) AS BIGINT)) AS b, ({HIT})::INT AS hit FROM fx_verdicts WHERE observed_outcome IS NOT NULL AND outcome_provenance = 'observed' AND emitted_valence IN ('affirm', 'caution') AND emitted_conf IS NOT NULL),
+        m AS (SELECT bucket, bucket / 10 AS lo, (bucket + 1) / 10 AS hi, count(hit) AS n, round(coalesce(avg(hit), (bucket + 0.5) / 10), 6) AS rate FROM range(10) r(bucket) LEFT JOIN x ON b = bucket WHERE (SELECT count(*) FROM x) >= 20 GROUP BY bucket) SELECT verdict_id, emitted_strength, coalesce(rate, emitted_strength) AS calibrated FROM fx_verdicts LEFT JOIN m ON least(9, CAST(floor(emitted_strength * 10) AS BIGINT)) = bucket""",
+    "r16_lexical_recall": f"WITH {recalled(vectors=False)} SELECT query_id, rank, chunk_id, score FROM rec",
+    "r9_packed": f"WITH RECURSIVE {recalled()}, {packs(1200)} SELECT * FROM pack",
+    "r19_hook_recall": f"WITH RECURSIVE {recalled(gate=0.40)}, {packs(4000)} SELECT * FROM pack WHERE pos <= 5",
+    "r10_direct_blocks": """WITH ok AS (SELECT id, token_count FROM fx_chunks WHERE state <> 'archived' AND origin <> 'spark' AND embed_version >= 1),
+        n AS (SELECT src, count(*) AS deps, count(*) FILTER (ok.id IS NULL) AS lost, sum(token_count) AS cost FROM (SELECT DISTINCT src, dst FROM fx_deps WHERE kind = 'hard') d LEFT JOIN ok ON ok.id = d.dst GROUP BY 1)
+        SELECT ok.id, coalesce(deps, 0) AS deps, CAST(token_count + coalesce(cost, 0) AS BIGINT) AS tokens, CASE WHEN lost > 0 THEN 'hard_dep_unavailable' END AS skip_reason FROM ok LEFT JOIN n ON n.src = ok.id""",
+    "t10_lexical_tokens": f"""SELECT query_id, array_to_string(list_transform(list_filter(list_transform(words, lambda w, i: {{'w': w, 'i': i}}), lambda e: list_position(words, e.w) = e.i)[1:32], lambda e: e.w), ' ') AS words FROM (SELECT query_id, {ASKED} AS words FROM fx_queries)""",
+    "t12_t13_sanitized": r"""WITH r AS (SELECT id, content, regexp_replace(regexp_replace(regexp_replace(content, '(^|[^A-Za-z0-9_-])sk-[A-Za-z0-9_-]{20,}', '\1[REDACTED]', 'g'), '(^|[^A-Za-z0-9_-])AKIA[A-Za-z0-9_-]{16,}', '\1[REDACTED]', 'g'), '(^|[^A-Za-z0-9_-])ghp_[A-Za-z0-9_-]{36,}', '\1[REDACTED]', 'g') AS clean,
+        regexp_matches(lower(content), 'ignore all previous instructions|ignore previous instructions?|system prompt[:：]|you are now a different|you are now a new') AS bad FROM fx_secrets)
+        SELECT id, CASE WHEN bad THEN 'discard' WHEN clean <> content THEN 'redact' WHEN content IS NOT NULL THEN 'allow' END AS action, sha256(CASE WHEN bad THEN content ELSE clean END) AS hash FROM r""",
+    "t5_t7_situations": r"""WITH a AS (SELECT id, lower(trim(coalesce(stage, ''), ' ')) AS stage, trim(coalesce(last_error, ''), ' ') AS e, regexp_extract(coalesce(file_context, ''), '([^ ,\t\n\r]+)', 1) AS token FROM fx_situations),
+        b AS (SELECT id, stage, regexp_extract(e, '[Ee]([0-9]{3,})', 1) AS code, regexp_extract(e, '(?:^|[^\p{L}\p{N}_])([\p{L}\p{N}_]*(?:Error|Exception))(?:$|[^\p{L}\p{N}_])', 1) AS name, lower(e) AS low, regexp_extract(token, '\.([^.]*)$', 1) AS ext, regexp_extract(token, '([^/\\]*)$', 1) AS base FROM a),
+        c AS (SELECT id, concat('stage=', stage, '|err=', CASE WHEN code <> '' THEN concat('E', code) WHEN name <> '' THEN name WHEN contains(low, 'panic') THEN 'panic' ELSE substr(regexp_extract(low, '(\p{L}+)', 1), 1, 24) END,
+            '|file=', lower(CASE WHEN ext <> '' AND strlen(ext) <= 8 THEN ext ELSE base END)) AS signature FROM b)
+        SELECT id, signature, sha256(signature) AS context_key, len(list_filter(string_split(signature, '|'), lambda p: NOT suffix(p, '='))) > 0 AS has_signal FROM c""",
+    "t15_t27_message_flags": r"""WITH m AS (SELECT id, text, lower(text) AS low, regexp_extract(lower(text), '([1-5][0-9][0-9])', 1) AS code FROM fx_messages)
+        SELECT id, length(regexp_replace(text, '\x1b\[[^A-Za-z]*[A-Za-z]', '', 'g')) AS clean_length, trim(text, ' ') = 'Exit code 1' OR regexp_matches(text, 'doesn''t want to proceed|was rejected|user denied|Permission for this action was denied|auto mode classifier') AS noise,
+            regexp_matches(low, '(?:不对|错了|搞错|重做)(?:[^一-鿿]|$)|不是这样|理解错|不应该|应该是|不要这样|别这样|重新来|还是不行|还是报错|没有用|不是我要的|that''s wrong|that is wrong|not what i|you misunderstood|doesn''t work|still broken|still failing|incorrect') AND length(text) <= 800 AND NOT starts_with(ltrim(text, ' '), 'This session is being continued') AS correction,
+            regexp_matches(low, '未做任何代码改动|未做代码改动|没有做任何代码改动|无代码改动|no code changes were made|no code was changed|made no changes') AS status_report,
+            CASE WHEN regexp_matches(low, 'arrearage|欠费') THEN 'embedding_arrearage' WHEN regexp_matches(low, 'no such file|text file busy') THEN 'spawn_failed' WHEN regexp_matches(low, 'timeout|deadline') THEN 'llm_timeout' WHEN regexp_matches(low, 'status: [45]|http error') THEN 'llm_http_error' WHEN regexp_matches(low, 'locked|busy') THEN 'db_locked' ELSE 'other' END AS error_kind,
+            CASE WHEN regexp_matches(low, 'status: 429|429 ') THEN 'rate_limited' WHEN code >= '500' THEN 'http_5xx' WHEN code >= '400' THEN 'http_4xx' WHEN code <> '' THEN 'error' WHEN regexp_matches(low, 'transport|connection|tls') THEN 'transport' ELSE 'error' END AS http_bucket,
+            sha256(concat_ws(':', id, '0', CAST(length(text) AS VARCHAR), text)) AS event_id FROM m""",
+    "t24_citations": r"""WITH c AS (SELECT id, regexp_extract_all(lower(text), 'chunk:([0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})', 1) AS l FROM fx_messages)
+        SELECT id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ',') AS cited FROM c WHERE len(l) > 0""",
+    "t30_grounded_signals": """WITH c AS (SELECT id, list_filter(string_split(lower(trigger_desc), ' '), lambda w: length(w) >= 4 AND contains(lower(content), w)) AS l FROM fx_chunks)
+        SELECT id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ' ') AS signals FROM c""",
 }
 
 

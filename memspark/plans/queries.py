@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memspark.library import Library
-from memspark.operators import evidence, health, listing, retrieval
+from memspark.library import THIN, Library
+from memspark.operators import evidence, health, listing, retrieval, texts
 
 OPERATORS: dict[str, Callable[[Library], DataFrame]] = {
     "f1_listing": listing.listing, "f2_recallable": listing.valid_for_recall, "f3_valid_sparks": listing.valid_sparks,
@@ -16,12 +16,17 @@ OPERATORS: dict[str, Callable[[Library], DataFrame]] = {
     "t1_t2_hash_tokens": listing.hashes_and_tokens, "t3_t4_normalized_queries": listing.normalized_queries, "t11_anti_hits": listing.anti_hits,
     "n2_activation": listing.activations, "n4_length_penalty": listing.length_penalties,
     "a1_success_facts": evidence.success_facts, "a2_success_counts": evidence.success_counts, "a3_usage_counts": evidence.usage_counts,
-    "a4_purged_usage": evidence.purged_usage, "a7_outcome_evidence": evidence.evidence, "a9_latest_feedback": evidence.latest_feedback,
+    "a4_purged_usage": evidence.purged_usage, "a7_outcome_evidence": evidence.outcome_evidence, "a9_latest_feedback": evidence.latest_feedback,
     "a10_confidence": evidence.folded, "a12_governance": evidence.governance, "a15_usage_states": evidence.usage_states,
     "a16_observed_outcomes": evidence.observed_outcomes, "a18_counter_baseline": evidence.counter_baseline, "a20_deduped": evidence.deduped,
     "c1_c8_archive_rules": evidence.archive_candidates, "c9_duplicates": evidence.duplicate_losers, "c10_decay": evidence.decayed,
     "c12_l9_l10_supports": evidence.supports, "c15_trace_lifecycle": evidence.trace_lifecycle, "c18_calibration": evidence.calibration, "l8_expiries": evidence.expiries,
     "r1_content_hits": retrieval.content_hits, "r2_lexical_hits": retrieval.lexical_top, "r6_recall": retrieval.recall, "r14_spark_hits": retrieval.spark_hits,
+    "t5_t7_situations": texts.situations, "t10_lexical_tokens": retrieval.lexical_tokens, "t12_t13_sanitized": texts.sanitized_chunks, "t15_t27_message_flags": texts.message_flags,
+    "t24_citations": texts.citations, "t30_grounded_signals": texts.grounded_signals,
+    "a7_a8_evidence": evidence.evidence, "a11_context_stats": evidence.context_stats, "a14_verdict_outcomes": evidence.verdict_outcomes,
+    "c5_c7_proposals": evidence.proposals, "c16_compacted": evidence.compacted, "c17_retained_operations": evidence.retained_operations, "c19_dry_run": evidence.curate_dry_run, "n9_calibrated": evidence.calibrated,
+    "r9_packed": retrieval.packed, "r10_direct_blocks": retrieval.direct_blocks, "r16_lexical_recall": retrieval.lexical_recall, "r19_hook_recall": retrieval.hook_recall,
     "e1_ranking_metrics": retrieval.ranking_metrics,
     "o1_window_rates": health.window_rates, "o2_dimension_rates": health.dimension_rates, "o3_agent_coverage": health.agent_coverage,
     "o4_rank_histogram": health.rank_histogram, "o6_operation_performance": health.operation_performance, "o6_top_errors": health.top_errors,
@@ -31,4 +36,4 @@ OPERATORS: dict[str, Callable[[Library], DataFrame]] = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: (lambda spark, sf_dir, f=f: f(Library(spark, sf_dir))) for name, f in OPERATORS.items()}
+    return {name: (lambda spark, sf_dir, f=f: f(Library(spark, sf_dir, params=THIN))) for name, f in OPERATORS.items()}
