@@ -39,6 +39,8 @@ FEW = 256
 COMMON = 20
 #: Parts that the members of one centre are spread over where they meet what belongs to it.
 SALTS = 32
+#: Groups of equal sets that are broadcast at most, and rows of such a group at least.
+GROUPS, LARGE = 100_000, 1000
 #: Ids up to which a list of candidates is broadcast (some 40 MB as a hash table).
 SMALL = 500_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -160,7 +162,7 @@ def clustered(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     sketch = written(sketched(docs), "sketch")
     named = sketch.filter("doc_id IS NOT NULL AND n_shingles > 0")
     key = ["n_shingles", "set_a", "set_b"]
-    groups = named.groupBy(*key).agg(F.min("doc_id").alias("rep"))
+    groups = written(named.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows")), "groups")
     # The row of each group's least id stands for the group.
     reps = named.join(groups.select("rep", *[F.col(k).alias(f"_{k}") for k in key]), (F.col("doc_id") == F.col("rep")) & (F.col("n_shingles") == F.col("_n_shingles")) & (F.col("set_a") == F.col("_set_a")) & (F.col("set_b") == F.col("_set_b")), "left_semi")
     rows = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
@@ -178,13 +180,22 @@ def clustered(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     more = written(more, "more")
     if not more.isEmpty():
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
-    found = sketch.select("doc_id", *key).join(groups, key, "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("root", "rep")).otherwise(F.col("doc_id"))
+    named_groups = groups.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(*key, "rows", F.coalesce("root", "rep").alias("root"))
+    found = _with_groups(sketch.select("doc_id", *key), written(named_groups, "rooted"), key)
+    component = F.when(F.col("n_shingles") > 0, F.col("root")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
     found = found.select("doc_id", "n_shingles", component.alias("component_id"))
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _with_groups(rows: DataFrame, groups: DataFrame, key: list[str]) -> DataFrame:
+    """``rows`` with the root of their group; rows of the largest groups, at most GROUPS of them, meet it without a shuffle."""
+    most = (groups.agg(F.sum("rows")).first()[0] or 0) // GROUPS + LARGE
+    large = F.broadcast(groups.filter(F.col("rows") > most).drop("rows"))
+    rest = rows.join(large.select(*key), key, "left_anti").join(groups.filter(F.col("rows") <= most).drop("rows"), key, "left")
+    return rows.join(large, key).unionByName(rest)
+
+
 def _buckets(rows: DataFrame) -> DataFrame:
     """``rows`` (key, id, n) of buckets with several sets, with the bucket's centre and its size.
 

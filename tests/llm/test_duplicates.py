@@ -58,8 +58,9 @@ def copies(spark, prose_of):
     return spark.createDataFrame(rows, "doc_id long, text string")
 
 
-@pytest.mark.parametrize("few", [0, 256])
-def test_components_equal_brute_force(copies, monkeypatch, few):
+@pytest.mark.parametrize(("few", "large"), [(0, 1000), (256, 1000), (256, 1)])
+def test_components_equal_brute_force(copies, monkeypatch, few, large):
+    monkeypatch.setattr(minhash, "LARGE", large)  # at 1 every group of equal sets is broadcast
     monkeypatch.setattr(minhash, "FEW", few)  # at 0 all second-pass pairs come from changes
     got = {r.doc_id: r.component_id for r in minhash.clustered(copies).collect()}
     assert got == linked({r.doc_id: [r.text] for r in copies.collect()})

@@ -121,6 +121,63 @@ def test_stages_keep_columns_and_take_effect(spark, docs, none, tmp_path):
                 assert now.filter(F.size("ids") != F.col("n_tokens")).isEmpty()
 
 
+def test_run_equals_its_stages_in_plain_python(spark, prose_of, tmp_path):
+    """``run`` against brute force: which rows go, which copy stays, what is masked, how often rows are taken, their tokens."""
+    import public_tokenizers
+    import tiktoken
+
+    from memspark.llm import bpe, mixing, pii, quality_rules
+
+    texts = [prose_of(i, 80 + i) for i in range(24)]
+    texts += [texts[3] + " end", texts[5], "too short", "", None, "again and again " * 60, prose_of(40, 90) + " mail ann.b@mail3.example.com or +1 (297) 555-8151"]
+    rows = [(i, t, "en", "ab"[i % 2], len(t or "")) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, 0) for i in (*range(24), 30)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    word = re.compile(r"[^\x20\x09-\x0D]+")
+
+    # Quality: base rules by counting; the ratio of each text, by the operator, decides on the rest.
+    def base_failed(t):
+        w = word.findall(t or "")
+        often, covered = Counter(zip(w, w[1:], w[2:])), set()
+        for i, x in enumerate(zip(w, w[1:], w[2:])):
+            covered |= {i, i + 1, i + 2} if often[x] > 1 else set()
+        return len(w) < 50 or 2 * len(covered) > len(w)
+
+    ratios = quality_rules.fit(docs, quality_rules.trusted_hashes(spark.read.parquet(str(tmp_path / "labels.parquet"))))
+    llr = {r.doc_id: r.llr for r in quality_rules.judged(docs, ratios).collect()}
+    good = {i: t for i, t in enumerate(texts) if not base_failed(t) and llr[i] >= quality_rules.THRESHOLD}
+    assert set(good) == set(range(26)) | {30}
+
+    # Near duplicates: all pairs at 0.80, the least id of each component stays.
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in good.items() for w in [word.findall(t.lower())]}
+    kept = {}
+    for i in sorted(good):
+        if not any(len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for j in kept):
+            kept[i] = good[i]
+    assert set(kept) == set(range(24)) | {30}
+
+    # Personal data: base matches of the one text that has some.
+    masked = {i: pii.redacted(t, pii.base_spans(t)) for i, t in kept.items()}
+    assert [i for i in kept if masked[i] != kept[i]] == [30] and "[email]" in masked[30] and "[phone]" in masked[30]
+
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(corpus_pipeline.VOCABULARY), special_tokens={})
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got} <= set(masked)
+    assert all(list(r.ids) == library.encode_ordinary(masked[r.doc_id]) and r.n_tokens == len(r.ids) for r in got)
+
+    # Mix: two sources share all words 5 to 2, none above three times its own; rows are repeated whole.
+    size = {i: len(word.findall(t)) for i, t in masked.items()}
+    total, own = sum(size.values()), {s: sum(n for i, n in size.items() if rows[i][3] == s) for s in "ab"}
+    taken = Counter()
+    for r in got:
+        taken[rows[r.doc_id][3]] += size[r.doc_id]
+    assert abs(taken["a"] - total * 5 / 7) <= max(size.values()) and abs(taken["b"] - total * 2 / 7) <= max(size.values())
+    assert total * 5 / 7 < 3 * own["a"] and max(Counter(r.doc_id for r in got).values()) <= 3
+    plain = mixing.mixed(spark.createDataFrame([(i, t, rows[i][3]) for i, t in masked.items()], "doc_id long, text string, source string")).collect()
+    assert Counter(r.doc_id for r in got) == Counter({r.doc_id: r.copies for r in plain if r.copies})
+
+
 def test_near_duplicates_are_linked_from_080_on(spark, prose_of):
     words = prose_of(77, 154).split()
     near, far = list(words), list(words)
