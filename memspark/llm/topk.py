@@ -74,10 +74,11 @@ def accumulate(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
     scores = np.zeros((len(queries), candidates.shape[0]), kind)
     for term in range(width):
         asking, holders = np.flatnonzero(queries[:, term]), np.flatnonzero(postings[term])
-        # Where every candidate holds the term its postings are the whole row, and need no list of places.
+        # All queries that ask for the term scatter at once; where all rows or all places are meant they need no list.
+        rows = asking if len(asking) < len(queries) else slice(None)
         where = holders if len(holders) < scores.shape[1] else slice(None)
-        for q in asking:
-            scores[q, where] += queries[q, term] * postings[term, where]
+        places = np.ix_(rows, where) if not isinstance(rows, slice) and not isinstance(where, slice) else (rows, where)
+        scores[places] += np.multiply.outer(queries[rows, term], postings[term, where])
     return scores
 
 
