@@ -71,15 +71,13 @@ def accumulate(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
         raise OverflowError(f"scores may reach {reach}, beyond 64 bits")
     kind = np.int32 if reach < 2**31 else np.int64
     queries, postings = queries.astype(kind), np.ascontiguousarray(candidates.T.astype(kind))
-    scores = np.zeros((len(queries), candidates.shape[0]), kind)
+    # A row for each candidate, so that a posting scatters to all queries of the term in one stretch.
+    scores = np.zeros((candidates.shape[0], len(queries)), kind)
     for term in range(width):
-        asking, holders = np.flatnonzero(queries[:, term]), np.flatnonzero(postings[term])
-        # All queries that ask for the term scatter at once; where all rows or all places are meant they need no list.
-        rows = asking if len(asking) < len(queries) else slice(None)
-        where = holders if len(holders) < scores.shape[1] else slice(None)
-        places = np.ix_(rows, where) if not isinstance(rows, slice) and not isinstance(where, slice) else (rows, where)
-        scores[places] += np.multiply.outer(queries[rows, term], postings[term, where])
-    return scores
+        weights, holders = queries[:, term], np.flatnonzero(postings[term])
+        if weights.any():
+            scores[holders] += np.multiply.outer(postings[term, holders], weights)
+    return np.ascontiguousarray(scores.T)
 
 
 def _cell(k: int):
