@@ -94,7 +94,7 @@ SELECT page_id AS id, CASE WHEN page_id % 3 = 0 THEN ' Build ' WHEN page_id % 3
   CASE page_id % 6 WHEN 0 THEN concat('error[E0', 100 + page_id % 300, ']: ', url) WHEN 1 THEN concat('raised ValueError(', url, ')') WHEN 2 THEN 'thread Panicked at 7' WHEN 3 THEN concat('  ', substr(html, 1, 60)) END AS last_error FROM pages
 """,
     "fx_messages": """
-SELECT concat(conv_id, '/', turn) AS id, CASE (conv_id + turn) % 12 WHEN 0 THEN concat(text, ' That is wrong') WHEN 1 THEN concat('status: 4', conv_id % 40 + 10, ' ', text) WHEN 2 THEN 'Exit code 1'
+SELECT concat(conv_id, '/', turn) AS id, conv_id, turn, role, CASE (conv_id + turn) % 12 WHEN 0 THEN concat(text, ' That is wrong') WHEN 1 THEN concat('status: 4', conv_id % 40 + 10, ' ', text) WHEN 2 THEN 'Exit code 1'
   WHEN 3 THEN concat(text, ' 不对齐') WHEN 4 THEN concat('不对 ', text) WHEN 5 THEN concat('database is locked; connection lost ', text) WHEN 6 THEN 'Timeout after 503 s' WHEN 7 THEN concat('Made no changes. ', text)
   WHEN 8 THEN concat('see chunk:00000000-0000-4000-8000-', lpad(CAST(conv_id AS VARCHAR(12)), 12, '0'), ' and chunk:00000000-0000-4000-8000-000000000001 ', text) ELSE text END AS text FROM conversations
 """,

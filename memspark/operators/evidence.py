@@ -17,6 +17,7 @@ def success_facts(lib: Library) -> DataFrame:
 
 
 def success_counts(lib: Library) -> DataFrame:
+    """Success facts of each chunk, 0 without, and the last."""
     facts = success_facts(lib).groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n"), F.max("succeeded_at").alias("last"))
     return lib.chunks.join(facts, F.col("id") == F.col("chunk_id"), "left").select("id", F.coalesce("n", F.lit(0)).cast("long").alias("successes"), F.col("last").alias("last_success_at"))
 
@@ -39,6 +40,7 @@ def purged_usage(lib: Library, before_days: int = 7) -> DataFrame:
 
 
 def deduped(lib: Library) -> DataFrame:
+    """Events of each kind after the dedupes, and the least id."""
     return lib.events.groupBy("event").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
 
 
@@ -139,6 +141,7 @@ def verdict_outcomes(lib: Library) -> DataFrame:
 
 
 def observed_outcomes(lib: Library) -> DataFrame:
+    """Outcome evidence of each chunk: number and mean target."""
     return outcome_evidence(lib).groupBy("chunk_id").agg(F.count(F.lit(1)).alias("observed"), F.round(F.avg("target"), 6).alias("mean_target"))
 
 
@@ -163,6 +166,7 @@ def governance(lib: Library) -> DataFrame:
 
 
 def usage_states(lib: Library) -> DataFrame:
+    """Traces by usage and task state."""
     return lib.log.groupBy("usage_state", "task_state").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -336,3 +340,18 @@ def retained_operations(lib: Library, days: int | None = None) -> DataFrame:
     """Operation runs that are not older than the retention."""
     kept = F.col("started_at") >= lib.as_of - F.make_dt_interval(days=F.lit(days or lib.params.retain_days))
     return lib.oplog.filter(kept).select("id", "op", "started_at")
+
+
+def evolve_readiness(lib: Library, least_new: int = 5, most_hours: int = 6, least_pending: int = 3) -> DataFrame:
+    """One row: new traces, their greatest age in hours, pending and ready proposals, and the first reason to evolve, or null.
+
+    Reasons in order: enough new traces, one that is old enough, enough pending
+    proposals, one that is ready.
+    """
+    new = trace_lifecycle(lib).filter("distill_state = 'new'").join(lib.log.select("trace_id", "ts"), "trace_id")
+    age = F.coalesce(F.floor((F.unix_micros(lib.as_of) - F.unix_micros(F.min("ts").cast("timestamp"))) / F.lit(3600e6)), F.lit(0)).cast("long")
+    a = new.agg(F.count(F.lit(1)).alias("new_traces"), age.alias("oldest_hours"))
+    b = proposals(lib).agg(F.count_if(F.col("becomes") == "pending").alias("pending"), F.count_if(F.col("becomes") == "accepted").alias("ready"))
+    c = F.col
+    reason = F.when(c("new_traces") >= least_new, "new_traces").when((c("new_traces") > 0) & (c("oldest_hours") >= most_hours), "aged").when(c("pending") >= least_pending, "pending_proposals").when(c("ready") >= 1, "ready_proposal")
+    return a.join(b).withColumn("reason", reason)

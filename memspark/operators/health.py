@@ -45,10 +45,12 @@ def dimension_rates(lib: Library) -> DataFrame:
 
 
 def agent_coverage(lib: Library) -> DataFrame:
+    """Share of traces with a known agent, by source."""
     return lib.log.groupBy("event_source").agg(F.count(F.lit(1)).alias("traces"), F.count("agent").alias("with_agent")).withColumn("coverage", ratio(F.col("with_agent"), F.col("traces")))
 
 
 def rank_histogram(lib: Library) -> DataFrame:
+    """Selected and used events by the rank they were retrieved at; null ranks form a group."""
     x = lib.events.filter("event IN ('selected', 'used')")
     return x.groupBy("rank").agg(F.count_if(F.col("event") == "selected").alias("selected"), F.count_if(F.col("event") == "used").alias("used"))
 
@@ -63,6 +65,7 @@ def operation_performance(lib: Library) -> DataFrame:
 
 
 def top_errors(lib: Library) -> DataFrame:
+    """Errors of each operation by kind, with the last one."""
     return lib.oplog.filter("error_kind IS NOT NULL").groupBy("op", "error_kind").agg(F.count(F.lit(1)).alias("n"), F.max("started_at").alias("last_at"))
 
 
@@ -72,6 +75,19 @@ def daily_operations(lib: Library) -> DataFrame:
     return x.select(F.col("w.start").alias("day"), "op", "runs", "mean_ms")
 
 
+def daily_kpis(lib: Library, back: int = 7) -> DataFrame:
+    """Traces, success and time-out rate of each day, and their change against the latest day at least ``back`` days earlier.
+
+    Days without such an earlier one have null changes.  One row a day passes
+    through one window.
+    """
+    c = F.col
+    x = lib.log.groupBy(F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("traces"), ratio(F.count_if(c("outcome") == "ok"), F.count("outcome")).alias("success_rate"), ratio(F.count_if(c("task_state") == "timed_out"), F.count(F.lit(1))).alias("timeout_rate"))
+    earlier = Window.orderBy(F.unix_date("day")).rangeBetween(Window.unboundedPreceding, -back)
+    change = lambda name: F.round(c(name) - F.last(name).over(earlier), 3)
+    return x.select(c("day").cast("timestamp").alias("day"), "traces", "success_rate", "timeout_rate", change("success_rate").alias("success_change"), change("timeout_rate").alias("timeout_change"))
+
+
 def recurring_sparks(lib: Library) -> DataFrame:
     """Sparks retrieved at least recurring_min times."""
     sparks = lib.chunks.filter("origin = 'spark'").select(F.col("id").alias("chunk_id"))
@@ -80,10 +96,12 @@ def recurring_sparks(lib: Library) -> DataFrame:
 
 
 def library_summary(lib: Library) -> DataFrame:
+    """Chunks, tokens and mean confidence by origin and state."""
     return lib.chunks.groupBy("origin", "state").agg(F.count(F.lit(1)).alias("chunks"), F.sum("token_count").alias("tokens"), F.round(F.avg("confidence_base"), 6).alias("mean_confidence"), F.count_if(F.col("confidence_base").between(0.4, 0.6)).alias("undecided"))
 
 
 def rule_counts(lib: Library) -> DataFrame:
+    """Validations, rules and sessions by verdict."""
     return lib.validations.groupBy("verdict").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("chunk_id").alias("rules"), F.count_distinct("session_id").alias("sessions"))
 
 

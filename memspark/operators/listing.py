@@ -23,15 +23,18 @@ def recallable(chunks: DataFrame, embed_version: int) -> DataFrame:
 
 
 def valid_for_recall(lib: Library) -> DataFrame:
+    """id, state and origin of the chunks that recall may show."""
     return recallable(lib.chunks, lib.params.embed_version).select("id", "state", "origin")
 
 
 def valid_sparks(lib: Library) -> DataFrame:
+    """id and maturity of open sparks; a null maturity is not open."""
     open_ = F.col("maturity").isin("promoted", "dropped")
     return lib.chunks.filter((F.col("origin") == "spark") & (F.col("state") != "archived") & ~open_ & (F.col("embed_version") >= lib.params.embed_version)).select("id", "maturity")
 
 
 def recent_traces(lib: Library) -> DataFrame:
+    """The 100 newest traces; ties by id."""
     return lib.log.select("trace_id", "ts", "outcome", "task_state").orderBy(F.desc("ts"), "trace_id").limit(100)
 
 
@@ -43,10 +46,12 @@ def stale_embeddings(lib: Library, cap: int | None = None) -> DataFrame:
 
 
 def reverse_deps(lib: Library) -> DataFrame:
+    """How many chunks depend on each, and how many of these hard."""
     return lib.deps.groupBy("dst").agg(F.count(F.lit(1)).alias("dependents"), F.count_if(F.col("kind") == "hard").alias("hard"))
 
 
 def trace_outcomes(lib: Library) -> DataFrame:
+    """The last outcome of each trace (ties: the larger id) and how many were reported."""
     x = lib.usage.filter("chunk_id IS NULL AND event IN ('task_ok', 'task_fail')")
     return x.groupBy("trace_id").agg(F.max_by("event", F.struct("ts", "id")).alias("outcome"), F.count(F.lit(1)).alias("reports"))
 
@@ -61,6 +66,26 @@ def domain_violations(lib: Library) -> DataFrame:
     return lib.usage.select("id", F.explode(said).alias("violation")).groupBy("violation").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
 
 
+def blacklisted(lib: Library) -> DataFrame:
+    """id and content_hash of chunks in use whose content was archived under another id; null hashes match nothing."""
+    gone = lib.chunks.filter("state = 'archived'").select("content_hash").distinct()
+    return lib.chunks.filter("state <> 'archived'").join(gone, "content_hash", "left_semi").select("id", "content_hash")
+
+
+def conflicting_feedback(lib: Library) -> DataFrame:
+    """Trace and chunk that one report both praises and blames, with the number of signals."""
+    x = lib.feedback.groupBy("trace_id", "chunk_id").agg(F.count_distinct("signal").alias("kinds"), F.count(F.lit(1)).alias("signals"))
+    return x.filter("kinds > 1").select("trace_id", "chunk_id", "signals")
+
+
+def attributed(lib: Library) -> DataFrame:
+    """Each use with what is wrong with its attribution: the chunk is missing, or its trace did not select it; null if nothing."""
+    chosen = lib.events.filter("event = 'selected'").select("trace_id", "chunk_id").withColumn("chosen", F.lit(True))
+    known = lib.chunks.select(F.col("id").alias("chunk_id")).withColumn("known", F.lit(True))
+    x = lib.events.filter("event = 'used'").join(known, "chunk_id", "left").join(chosen, ["trace_id", "chunk_id"], "left")
+    return x.select("id", F.when(F.col("known").isNull(), "missing_chunk").when(F.col("chosen").isNull(), "not_selected").alias("problem"))
+
+
 def orphans(lib: Library) -> DataFrame:
     """Hard edges with a missing end."""
     ids = lib.chunks.select("id")
@@ -70,6 +95,7 @@ def orphans(lib: Library) -> DataFrame:
 
 
 def hashes_and_tokens(lib: Library) -> DataFrame:
+    """SHA-256 of the content and a token estimate, a quarter of its bytes rounded up; null for null content."""
     content = F.col("content")
     return lib.chunks.select("id", F.sha2(content, 256).alias("hash"), F.ceil(F.octet_length(content) / 4).cast("long").alias("tokens"))
 
@@ -81,6 +107,7 @@ def normalized(query: Column) -> Column:
 
 
 def normalized_queries(lib: Library) -> DataFrame:
+    """Normalised query and its hash, the context key."""
     n = normalized(F.col("query"))
     return lib.queries.select("query_id", n.alias("normalized"), F.sha2(n, 256).alias("context_hash"))
 
@@ -108,10 +135,12 @@ def activation(uses: Column, last: Column, now: Column) -> Column:
 
 
 def activations(lib: Library) -> DataFrame:
+    """Activation of each chunk used."""
     used = lib.events.filter("event = 'used'").groupBy("chunk_id").agg(F.count(F.lit(1)).alias("uses"), F.max("ts").alias("last"))
     return used.select("chunk_id", "uses", F.round(activation(F.col("uses"), F.col("last"), lib.as_of), 6).alias("activation"))
 
 
 def length_penalties(lib: Library) -> DataFrame:
+    """Penalty of each chunk, 0 up to length_free bytes."""
     p, size = lib.params, F.octet_length("content")
     return lib.chunks.select("id", F.round(F.when(size > p.length_free, -p.length_weight * F.log(size / p.length_free)).otherwise(F.lit(0.0)), 6).alias("penalty"))

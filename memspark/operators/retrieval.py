@@ -125,10 +125,12 @@ def lexical_hits(lib: Library, k: int) -> DataFrame:
 
 
 def content_hits(lib: Library) -> DataFrame:
+    """Ten best chunks of each query by content vectors."""
     return vector_hits(lib.queries, lib.vec_content, 10)
 
 
 def lexical_top(lib: Library) -> DataFrame:
+    """Ten best chunks of each query by BM25."""
     return lexical_hits(lib, 10)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memspark.library import Library
@@ -141,3 +141,23 @@ def grounded_signals(lib: Library) -> DataFrame:
     signals = F.split(F.lower("trigger_desc"), " ")
     said = F.filter(signals, lambda s: (F.length(s) >= 4) & F.contains(F.lower("content"), s))
     return lib.chunks.select("id", F.array_join(F.array_distinct(said), " ").alias("signals"))
+
+
+def corrections(lib: Library) -> DataFrame:
+    """id, previous and next assistant text (200 characters) of each correcting user message of a conversation.
+
+    A conversation is one window; rows that repeat a turn are ordered by text.
+    """
+    order = Window.partitionBy("conv_id").orderBy("turn", "text")
+    said = F.when(F.col("role") == "assistant", F.substring("text", 1, 200))
+    x = lib.messages.withColumns({
+        "previous": F.last(said, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)),
+        "next": F.first(said, ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)),
+    })
+    return x.filter((F.col("role") == "user") & is_correction(F.col("text"))).select("id", "previous", "next")
+
+
+def session_summaries(lib: Library) -> DataFrame:
+    """conv_id, number of messages, and its newest user and assistant text (200 characters)."""
+    newest = lambda role: F.substring(F.max_by(F.when(F.col("role") == role, F.col("text")), F.when(F.col("role") == role, F.struct("turn", "text"))), 1, 200)
+    return lib.messages.groupBy("conv_id").agg(F.count(F.lit(1)).alias("messages"), newest("user").alias("asked"), newest("assistant").alias("answered"))

@@ -252,6 +252,21 @@ SQL = {
         SELECT id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ',') AS cited FROM c WHERE len(l) > 0""",
     "t30_grounded_signals": """WITH c AS (SELECT id, list_filter(string_split(lower(trigger_desc), ' '), lambda w: length(w) >= 4 AND contains(lower(content), w)) AS l FROM fx_chunks)
         SELECT id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ' ') AS signals FROM c""",
+    "f12_blacklisted": "SELECT id, content_hash FROM fx_chunks WHERE state <> 'archived' AND content_hash IN (SELECT content_hash FROM fx_chunks WHERE state = 'archived')",
+    "v2_conflicting_feedback": "SELECT trace_id, chunk_id, count(*) AS signals FROM fx_feedback GROUP BY 1, 2 HAVING count(DISTINCT signal) > 1",
+    "v3_attributed": f"""WITH {EVENTS} SELECT id, CASE WHEN chunk_id NOT IN (SELECT id FROM fx_chunks) THEN 'missing_chunk' WHEN (trace_id, chunk_id) NOT IN (SELECT (trace_id, chunk_id) FROM ev WHERE event = 'selected') THEN 'not_selected' END AS problem FROM ev WHERE event = 'used'""",
+    "a19_evolve_readiness": f"""WITH {GOVERN}, {LIFE}, f AS (SELECT chunk_id, min(ts) AS at FROM fx_feedback WHERE signal = 'down' GROUP BY 1),
+        p AS (SELECT NOT coalesce(c.state IN ('active', 'pending') AND c.origin <> 'spark' AND c.protected = 0, false) AS gone, round(s, 6) >= 2 AND actors >= 2 AS ready, round(s, 6) < 2 AND f.at < {AS_OF} - INTERVAL 30 DAYS AS old FROM gov JOIN f USING (chunk_id) LEFT JOIN fx_chunks c ON c.id = chunk_id WHERE round(s, 6) > 0),
+        a AS (SELECT count(*) AS new_traces, CAST(coalesce(floor((epoch_us({AS_OF}) - epoch_us(min(ts))) / 3600e6), 0) AS BIGINT) AS oldest_hours FROM life JOIN fx_log USING (trace_id) WHERE distill_state = 'new'),
+        b AS (SELECT count(*) FILTER (NOT gone AND NOT ready AND NOT old) AS pending, count(*) FILTER (NOT gone AND ready) AS ready FROM p)
+        SELECT *, CASE WHEN new_traces >= 5 THEN 'new_traces' WHEN new_traces > 0 AND oldest_hours >= 6 THEN 'aged' WHEN pending >= 3 THEN 'pending_proposals' WHEN ready >= 1 THEN 'ready_proposal' END AS reason FROM a CROSS JOIN b""",
+    "l2_corrections": r"""WITH m AS (SELECT *, CASE WHEN role = 'assistant' THEN substr(text, 1, 200) END AS said FROM fx_messages),
+        w AS (SELECT id, role, text, last_value(said IGNORE NULLS) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous, first_value(said IGNORE NULLS) OVER (o ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next FROM m WINDOW o AS (PARTITION BY conv_id ORDER BY turn, text))
+        SELECT id, previous, next FROM w WHERE role = 'user' AND length(text) <= 800 AND NOT starts_with(ltrim(text, ' '), 'This session is being continued')
+          AND regexp_matches(lower(text), '(?:不对|错了|搞错|重做)(?:[^一-鿿]|$)|不是这样|理解错|不应该|应该是|不要这样|别这样|重新来|还是不行|还是报错|没有用|不是我要的|that''s wrong|that is wrong|not what i|you misunderstood|doesn''t work|still broken|still failing|incorrect')""",
+    "l15_session_summaries": """SELECT conv_id, count(*) AS messages, substr(arg_max(text, (turn, text)) FILTER (role = 'user' AND text IS NOT NULL), 1, 200) AS asked, substr(arg_max(text, (turn, text)) FILTER (role = 'assistant' AND text IS NOT NULL), 1, 200) AS answered FROM fx_messages GROUP BY 1""",
+    "o7_o8_daily_kpis": f"""WITH x AS (SELECT CAST(ts AS DATE) AS day, count(*) AS traces, {share("count(*) FILTER (outcome = 'ok')", 'count(outcome)')} AS success_rate, {share("count(*) FILTER (task_state = 'timed_out')", 'count(*)')} AS timeout_rate FROM fx_log GROUP BY 1)
+        SELECT CAST(a.day AS TIMESTAMP) AS day, a.traces, a.success_rate, a.timeout_rate, round(a.success_rate - b.success_rate, 3) AS success_change, round(a.timeout_rate - b.timeout_rate, 3) AS timeout_change FROM x a ASOF LEFT JOIN x b ON a.day - 7 >= b.day""",
 }
 
 

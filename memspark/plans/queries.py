@@ -27,6 +27,8 @@ OPERATORS: dict[str, Callable[[Library], DataFrame]] = {
     "a7_a8_evidence": evidence.evidence, "a11_context_stats": evidence.context_stats, "a14_verdict_outcomes": evidence.verdict_outcomes,
     "c5_c7_proposals": evidence.proposals, "c16_compacted": evidence.compacted, "c17_retained_operations": evidence.retained_operations, "c19_dry_run": evidence.curate_dry_run, "n9_calibrated": evidence.calibrated,
     "r9_packed": retrieval.packed, "r10_direct_blocks": retrieval.direct_blocks, "r16_lexical_recall": retrieval.lexical_recall, "r19_hook_recall": retrieval.hook_recall,
+    "f12_blacklisted": listing.blacklisted, "v2_conflicting_feedback": listing.conflicting_feedback, "v3_attributed": listing.attributed, "a19_evolve_readiness": evidence.evolve_readiness,
+    "l2_corrections": texts.corrections, "l15_session_summaries": texts.session_summaries, "o7_o8_daily_kpis": health.daily_kpis,
     "e1_ranking_metrics": retrieval.ranking_metrics,
     "o1_window_rates": health.window_rates, "o2_dimension_rates": health.dimension_rates, "o3_agent_coverage": health.agent_coverage,
     "o4_rank_histogram": health.rank_histogram, "o6_operation_performance": health.operation_performance, "o6_top_errors": health.top_errors,
