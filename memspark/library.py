@@ -58,10 +58,20 @@ class Params:
     recurring_min: int = 5
     compact_days: int = 30
     retain_days: int = 30
+    appraise_strength: float = 0.40
+    appraise_top: int = 8
+    appraise_trigger: float = 0.50
+    tier_weak: float = 0.30
+    tier_strong: float = 0.65
+    signature_floor: float = 0.0
+    min_evidence: int = 0
+    conflict_ceiling: float = 1.0
+    spread_seeds: int = 5
+    spread_fan: int = 50
 
 
 #: Lower bounds for the registered queries: the fixtures' events are spread too thin for the defaults.
-THIN = Params(repeat_select_min=3, hub_select_min=3, failure_min_uses=2, recurring_min=2, proposal_score=2.0, negative_score=2.5, episode_days=20, compact_days=20, retain_days=20)
+THIN = Params(repeat_select_min=3, hub_select_min=3, failure_min_uses=2, recurring_min=2, proposal_score=2.0, negative_score=2.5, episode_days=20, compact_days=20, retain_days=20, appraise_strength=0.25, min_evidence=1, conflict_ceiling=0.2)
 
 
 class Library:
@@ -94,6 +104,20 @@ class Library:
     situations = cached_property(lambda self: self._read("fx_situations"))
     messages = cached_property(lambda self: self._read("fx_messages"))
     verdicts = cached_property(lambda self: self._read("fx_verdicts"))
+    #: Logs to distil, contents with code words, signals of rules and texts of actions, verdicts as agents report them.
+    distill = cached_property(lambda self: self._read("fx_distill"))
+    code = cached_property(lambda self: self._read("fx_code"))
+    rules = cached_property(lambda self: self._read("fx_rules"))
+    actions = cached_property(lambda self: self._read("fx_actions"))
+    submitted = cached_property(lambda self: self._read("fx_submitted"))
+    #: Model calls, requests of users about chunks and about sparks, contents to take in.
+    calls = cached_property(lambda self: self._read("fx_calls"))
+    requests = cached_property(lambda self: self._read("fx_requests"))
+    spark_requests = cached_property(lambda self: self._read("fx_spark_requests"))
+    ingest = cached_property(lambda self: self._read("fx_ingest"))
+    #: When and why chunks took their state, and rows as older releases wrote them.
+    states = cached_property(lambda self: self._read("fx_states"))
+    old_rows = cached_property(lambda self: self._read("fx_old_rows"))
 
     @cached_property
     def events(self) -> DataFrame:

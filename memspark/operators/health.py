@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from memspark.library import Library, ratio
-from memspark.operators.evidence import outcome_evidence
+from memspark.operators.distillation import recovered_screening, work_queue
+from memspark.operators.evidence import folded, outcome_evidence, proposals
+from memspark.operators.listing import stale_embeddings
 
 
 def window_rates(lib: Library) -> DataFrame:
@@ -126,3 +128,84 @@ def tier_calibration(lib: Library) -> DataFrame:
     tier = F.when(F.col("emitted_strength") >= 0.65, "strong").when(F.col("emitted_strength") >= 0.30, "medium").otherwise("weak")
     x = lib.verdicts.groupBy(tier.alias("tier")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("observed_outcome") > 0).alias("failed"), F.count("abstain_reason").alias("abstained"), F.count("observed_outcome").alias("observed"))
     return x.select("tier", "n", "abstained", ratio(F.col("failed"), F.col("observed")).alias("fail_rate"))
+
+
+def lifecycle_block(lib: Library, days: int = 7) -> DataFrame:
+    """One row: promotions and evictions of the last ``days``, the oldest pending chunk and proposal.
+
+    ``promotions`` counts approvals, successes and restorals, ``all_promotions``
+    those by validation too; sparks do not count.
+    """
+    c = F.col
+    recent = (c("origin") != "spark") & (c("state_updated_at") >= lib.as_of - F.make_dt_interval(days=F.lit(days)))
+    up = recent & (c("state") == "active")
+    old = c("state_reason").isin("repeated_success", "approved", "restore")
+    a = lib.states.agg(F.count_if(up & old).alias("promotions"), F.count_if(up & (old | c("state_reason").startswith("validated:"))).alias("all_promotions"), F.count_if(recent & (c("state") == "archived")).alias("evictions"))
+    b = lib.chunks.filter("state = 'pending' AND origin <> 'spark'").agg(F.min("created_at").alias("oldest_pending_at"))
+    d = proposals(lib).filter("becomes = 'pending'").agg(F.min("created_at").alias("oldest_proposal_at"))
+    return a.join(b).join(d)
+
+
+def suggestions(lib: Library) -> DataFrame:
+    """action and n: what the counts call for; a count of 0 suggests nothing."""
+    recent = lib.as_of - F.make_dt_interval(days=F.lit(7))
+    nameless = lib.log.filter("event_source IN ('mcp', 'cli') AND agent IS NULL").filter(F.col("ts") >= recent)
+    parts = [
+        (stale_embeddings(lib), "rebuild_embeddings"), (work_queue(lib), "distill_new_logs"), (recurring_sparks(lib), "promote_recurring_sparks"),
+        (recovered_screening(lib), "recover_screening"), (proposals(lib).filter("becomes = 'pending'"), "review_proposals"), (nameless, "name_agents"),
+    ]
+    out = None
+    for df, action in parts:
+        one = df.agg(F.count(F.lit(1)).alias("n")).filter("n > 0").select(F.lit(action).alias("action"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def endpoint_health(lib: Library, hours: int = 24) -> DataFrame:
+    """Calls of each kind in the last ``hours``: number, success, p50 and p95, commonest error; last success and error at any time.
+
+    Percentiles take the value at the rounded index (n - 1) * p of the sorted
+    latencies; they are read off counts by value, so no list of calls is built.
+    Degraded: under half succeed.  Kinds without calls in the window have nulls.
+    """
+    c = F.col
+    last = lib.calls.groupBy("kind").agg(F.max(F.when(c("status") == "ok", c("ts"))).alias("last_ok_at"), F.max(F.when(c("status") != "ok", c("ts"))).alias("last_error_at"))
+    x = lib.calls.filter(c("ts") >= lib.as_of - F.make_dt_interval(hours=F.lit(hours)))
+    n = x.groupBy("kind").agg(F.count(F.lit(1)).alias("calls"), F.count_if(c("status") == "ok").alias("ok"), F.count("latency_ms").alias("timed"))
+    by = x.filter("latency_ms IS NOT NULL").groupBy("kind", "latency_ms").agg(F.count(F.lit(1)).alias("m")).join(n.select("kind", "timed"), "kind")
+    upto = F.sum("m").over(Window.partitionBy("kind").orderBy("latency_ms"))
+    at = lambda p: F.min(F.when(c("upto") > F.round((c("timed") - 1) * p), c("latency_ms")))
+    mid = by.withColumn("upto", upto).groupBy("kind").agg(at(0.5).alias("p50"), at(0.95).alias("p95"))
+    errors = x.filter("status <> 'ok'").groupBy("kind", "status").agg(F.count(F.lit(1)).alias("e")).groupBy("kind").agg(F.min(F.struct((-c("e")).alias("e"), "status")).getField("status").alias("top_error"))
+    y = last.join(n, "kind", "left").join(mid, "kind", "left").join(errors, "kind", "left")
+    return y.select("kind", F.coalesce("calls", F.lit(0)).cast("long").alias("calls"), F.when(c("calls") > 0, ratio(c("ok"), c("calls"))).alias("success_rate"), "p50", "p95", "top_error", "last_ok_at", "last_error_at", F.coalesce(c("ok") * 2 < c("calls"), F.lit(False)).alias("degraded"))
+
+
+def error_report(lib: Library) -> DataFrame:
+    """Errors of each operation in the last day and week, and the last one at any time."""
+    since = lambda days: F.count_if(F.col("started_at") >= lib.as_of - F.make_dt_interval(days=F.lit(days)))
+    return lib.oplog.filter("status <> 'ok'").groupBy("op").agg(since(1).alias("day"), since(7).alias("week"), F.max("started_at").alias("last_at"))
+
+
+def table_sizes(lib: Library) -> DataFrame:
+    """name and rows of each table that grows with use."""
+    out = None
+    for name in ("chunks", "usage", "feedback", "log", "deps", "episodes", "validations", "verdicts", "oplog"):
+        one = getattr(lib, name).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("name"), "rows")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def explanations(lib: Library) -> DataFrame:
+    """chunk_id and a sentence: successes, failures, confidence, and how long ago the last negative feedback was."""
+    c = F.col
+    n = outcome_evidence(lib).groupBy("chunk_id").agg(F.count_if(c("target") == 1).alias("ok"), F.count_if(c("target") == 0).alias("bad"))
+    down = lib.feedback.filter("signal = 'down'").groupBy("chunk_id").agg(F.max("ts").alias("last"))
+    x = n.join(folded(lib).select("chunk_id", "confidence"), "chunk_id", "left").join(down, "chunk_id", "left")
+    s = F.floor((F.unix_micros(lib.as_of) - F.unix_micros(c("last").cast("timestamp"))) / 1e6).cast("long")
+    unit = lambda seconds, sign: F.concat(F.floor(s / seconds).cast("string"), F.lit(f"{sign} ago"))
+    ago = F.when(s < 60, "just now").when(s < 3600, unit(60, "m")).when(s < 86400, unit(3600, "h")).otherwise(unit(86400, "d"))
+    named = lambda k, one, many: F.concat(k.cast("string"), F.when(k == 1, f" {one}").otherwise(f" {many}"))
+    shown = F.when(c("confidence").isNull(), "n/a").otherwise(F.format_string("%.2f", F.round("confidence", 2)))
+    text = F.concat(named(c("ok"), "success", "successes"), F.lit(", "), named(c("bad"), "failure", "failures"), F.lit(" → EMA "), shown, F.when(c("last").isNull(), "").otherwise(F.concat(F.lit("; last negative feedback "), ago)))
+    return x.select("chunk_id", text.alias("explanation"))

@@ -186,12 +186,12 @@ def scored(lib: Library, lexical_only: bool = False) -> DataFrame:
     uses = usage_counts(lib).select(F.col("id").alias("chunk_id"), "used", "last_used_at")
     stats = context_scores(context_stats(lib), p.prior_m, p.base_rate).select("chunk_id", "context_key", "context_score")
     size = F.octet_length("content")
-    chunks = lib.chunks.select(F.col("id").alias("chunk_id"), "state", "confidence_base", "anti_trigger_desc", "token_count", F.when(size > p.length_free, -p.length_weight * F.log(size / p.length_free)).otherwise(F.lit(0.0)).alias("w_length"))
+    chunks = lib.chunks.select(F.col("id").alias("chunk_id"), "state", "confidence_base", "anti_trigger_desc", "token_count", (F.ltrim("content").startswith("Avoid:") | (F.coalesce("anti_trigger_desc", F.lit("")) != "")).alias("fail_origin"), F.when(size > p.length_free, -p.length_weight * F.log(size / p.length_free)).otherwise(F.lit(0.0)).alias("w_length"))
     asked = lib.queries.select("query_id", F.lower("query").alias("q"), "context_key")
     x = candidates(lib, lexical_only).join(chunks, "chunk_id").join(conf, "chunk_id", "left").join(uses, "chunk_id", "left").join(asked, "query_id").join(stats, ["chunk_id", "context_key"], "left")
     anti = F.exists(F.split(F.lower("anti_trigger_desc"), ","), lambda part: (F.trim(part) != "") & F.contains(F.col("q"), F.trim(part)))
     x = x.select(
-        "query_id", "chunk_id", "state", "token_count",
+        "query_id", "chunk_id", "state", "token_count", "t", "fail_origin",
         (p.w_content * F.col("c")).alias("w_content"), (p.w_trigger * F.col("t")).alias("w_trigger"), (p.w_lexical * F.col("l")).alias("w_lexical"),
         (p.w_confidence * F.coalesce("confidence", "confidence_base")).alias("w_confidence"), (p.w_context * F.coalesce("context_score", F.lit(0.0))).alias("w_context"),
         (p.w_activation * activation(F.col("used"), F.col("last_used_at"), lib.as_of)).alias("w_activation"), "w_length",
@@ -281,3 +281,42 @@ def ranking_metrics(lib: Library, k: int = 10) -> DataFrame:
     x = found.groupBy("query_id").agg(F.count("good").alias("h"), F.min(F.when(F.col("good") == 1, F.col("rank"))).alias("first"), F.sum(F.when(F.col("good") == 1, gain(F.col("rank"))).otherwise(0.0)).alias("dcg")).join(n, "query_id")
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.lit(k), F.col("relevant")).cast("int")), F.lit(0.0), lambda a, r: a + gain(r))
     return x.select("query_id", F.round(F.col("h") / k, 6).alias("precision"), F.round(F.col("h") / F.col("relevant"), 6).alias("recall"), F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 6).alias("rr"), F.round(F.col("dcg") / ideal, 6).alias("ndcg"))
+
+
+def trace_events(lib: Library, budget: int = 1200) -> DataFrame:
+    """What a recall leaves in the log: each retrieved chunk with its rank, score and why it was skipped, each selected one with its place."""
+    fits = packed(lib, budget).select("query_id", "chunk_id", "pos")
+    x = recall(lib).select("query_id", "chunk_id", "rank", "score").join(fits, ["query_id", "chunk_id"], "left")
+    seen = x.select("query_id", "chunk_id", F.lit("retrieved").alias("event"), "rank", "score", F.when(F.col("pos").isNull(), "budget").alias("skip_reason"))
+    return seen.unionByName(x.filter("pos IS NOT NULL").select("query_id", "chunk_id", F.lit("selected").alias("event"), F.col("pos").alias("rank"), "score", F.lit(None).cast("string").alias("skip_reason")))
+
+
+def self_labels(lib: Library) -> DataFrame:
+    """query and chunk_id: probes whose right answer is known, the trigger (90 characters) and an excerpt of the body (from 60 to 200, 40 at least)."""
+    ok = recallable(lib.chunks, lib.params.embed_version).select(F.col("id").alias("chunk_id"), F.substring("trigger_desc", 1, 90).alias("probe"), F.substring("content", 61, 140).alias("body"))
+    a = ok.filter("probe <> ''").select("chunk_id", F.lit("trigger").alias("kind"), F.col("probe").alias("query"))
+    return a.unionByName(ok.filter("length(body) >= 40").select("chunk_id", F.lit("body").alias("kind"), F.col("body").alias("query")))
+
+
+#: Weights of activation that a sweep compares: none, the default, far too much.
+SWEEP = {"off": 0.0, "default": 0.08, "heavy": 1.0}
+
+
+def weight_sweep(lib: Library, k: int = 5) -> DataFrame:
+    """setting, queries, mean precision, reciprocal rank and misses of recall at ``k`` by weight of activation; candidates are scored once."""
+    p, c = lib.params, F.col
+    settings = F.explode(F.array(*[F.struct(F.lit(name).alias("setting"), F.lit(w / p.w_activation).alias("factor")) for name, w in SWEEP.items()]))
+    x = scored(lib).select("*", settings.alias("s")).select("*", "s.setting", "s.factor")
+    total = sum((c(f"w_{name}") for name in CHANNELS if name != "activation"), c("w_length")) + c("w_activation") * c("factor")
+    score = F.round(total * F.when(c("anti"), p.anti_penalty).otherwise(1.0) * F.when(c("state") == "pending", p.pending_penalty).otherwise(1.0), 6)
+    order = Window.partitionBy("setting", "query_id").orderBy(F.desc("score"), "chunk_id")
+    top = x.withColumn("score", score).withColumn("rank", F.row_number().over(order)).filter(c("rank") <= k)
+    good = lib.relevant.distinct().withColumn("good", F.lit(1))
+    each = top.join(good, ["query_id", "chunk_id"], "left").groupBy("setting", "query_id").agg(F.count("good").alias("h"), F.min(F.when(c("good") == 1, c("rank"))).alias("first"))
+    return each.groupBy("setting").agg(F.count(F.lit(1)).alias("queries"), F.round(F.avg(c("h") / k), 6).alias("precision"), F.round(F.avg(F.coalesce(1 / c("first"), F.lit(0.0))), 6).alias("mrr"), F.count_if(c("h") == 0).alias("misses"))
+
+
+def ranking_averages(lib: Library, k: int = 10) -> DataFrame:
+    """One row: queries, means of the ranking metrics, and queries without any hit."""
+    mean = lambda name: F.round(F.avg(name), 6).alias(name)
+    return ranking_metrics(lib, k).agg(F.count(F.lit(1)).alias("queries"), mean("precision"), mean("recall"), mean("rr"), mean("ndcg"), F.count_if(F.col("rr") == 0).alias("misses"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from memspark.fixtures import with_views
-
 AS_OF = "TIMESTAMP '2024-01-31 00:00:00'"
 #: Usage without repeats.
 EVENTS = """ev AS (
@@ -106,7 +104,8 @@ def recalled(vectors: bool = True, gate: float | None = None) -> str:
         0.15::DOUBLE * coalesce(((wins + 1) / (wins + losses + 2) - 0.5) * 2 * least((wins + losses) / 5, 1), 0) AS w_context,
         0.08::DOUBLE * CASE WHEN n.used > 0 THEN 1 / (1 + exp(-(ln(1 + n.used) - 0.5 * ln(1 + {days(AS_OF, 'n.last_used_at')})))) ELSE 0 END AS w_activation,
         CASE WHEN strlen(content) > 800 THEN -0.15::DOUBLE * ln(strlen(content) / 800.0::DOUBLE) ELSE 0.0 END AS w_length,
-        len(list_filter(list_transform(string_split(lower(coalesce(anti_trigger_desc, '')), ','), lambda p: trim(p, ' ')), lambda p: p <> '' AND contains(lower(q.query), p))) > 0 AS against
+        len(list_filter(list_transform(string_split(lower(coalesce(anti_trigger_desc, '')), ','), lambda p: trim(p, ' ')), lambda p: p <> '' AND contains(lower(q.query), p))) > 0 AS against,
+        x.t, starts_with(ltrim(content, ' '), 'Avoid:') OR coalesce(anti_trigger_desc, '') <> '' AS fail_origin
         FROM cand x JOIN fx_queries q USING (query_id) JOIN fx_chunks k ON k.id = x.chunk_id LEFT JOIN fold f ON f.chunk_id = x.chunk_id LEFT JOIN counts n ON n.id = x.chunk_id
         LEFT JOIN (SELECT chunk_id, context_key, success_count + 2.0::DOUBLE * positive_feedback AS wins, failure_count + 2.0::DOUBLE * negative_feedback AS losses FROM ctx) v ON v.chunk_id = x.chunk_id AND v.context_key = q.context_key),
     fused AS (SELECT *, round(g, 6) AS gate, round(g * CASE WHEN state = 'pending' THEN 0.6::DOUBLE ELSE 1 END, 6) AS score FROM (SELECT *, ({' + '.join(f'w_{n}' for n in names)} + w_length) * CASE WHEN against THEN 0.6::DOUBLE ELSE 1 END AS g FROM parts)),
@@ -268,7 +267,3 @@ SQL = {
     "o7_o8_daily_kpis": f"""WITH x AS (SELECT CAST(ts AS DATE) AS day, count(*) AS traces, {share("count(*) FILTER (outcome = 'ok')", 'count(outcome)')} AS success_rate, {share("count(*) FILTER (task_state = 'timed_out')", 'count(*)')} AS timeout_rate FROM fx_log GROUP BY 1)
         SELECT CAST(a.day AS TIMESTAMP) AS day, a.traces, a.success_rate, a.timeout_rate, round(a.success_rate - b.success_rate, 3) AS success_change, round(a.timeout_rate - b.timeout_rate, 3) AS timeout_change FROM x a ASOF LEFT JOIN x b ON a.day - 7 >= b.day""",
 }
-
-
-def oracle_sql() -> dict[str, str]:
-    return {name: with_views(sql) for name, sql in SQL.items()}

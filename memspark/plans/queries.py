@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from memspark.library import THIN, Library
-from memspark.operators import evidence, health, listing, retrieval, texts
+from memspark.operators import appraisal, distillation, entities, evidence, graph, health, lifecycle, listing, retrieval, rules, texts
 
 OPERATORS: dict[str, Callable[[Library], DataFrame]] = {
     "f1_listing": listing.listing, "f2_recallable": listing.valid_for_recall, "f3_valid_sparks": listing.valid_sparks,
@@ -29,7 +29,14 @@ OPERATORS: dict[str, Callable[[Library], DataFrame]] = {
     "r9_packed": retrieval.packed, "r10_direct_blocks": retrieval.direct_blocks, "r16_lexical_recall": retrieval.lexical_recall, "r19_hook_recall": retrieval.hook_recall,
     "f12_blacklisted": listing.blacklisted, "v2_conflicting_feedback": listing.conflicting_feedback, "v3_attributed": listing.attributed, "a19_evolve_readiness": evidence.evolve_readiness,
     "l2_corrections": texts.corrections, "l15_session_summaries": texts.session_summaries, "o7_o8_daily_kpis": health.daily_kpis,
-    "e1_ranking_metrics": retrieval.ranking_metrics,
+    "e1_ranking_metrics": retrieval.ranking_metrics, "e1_averages": retrieval.ranking_averages, "e2_self_labels": retrieval.self_labels, "e3_weight_sweep": retrieval.weight_sweep, "r15_trace_events": retrieval.trace_events,
+    "t14_c11_entity_index": entities.entity_index, "r5_spread": entities.spread,
+    "p1_p3_contributors": appraisal.contributors, "p4_p5_verdicts": appraisal.verdicts,
+    "f9_work_queue": distillation.work_queue, "f10_retries": distillation.retries, "c14_screening": distillation.recovered_screening, "d1_distilled": distillation.distilled_chunks, "d2_n12_prompt_tokens": distillation.prompt_tokens,
+    "d3_batch": distillation.distilled_batch, "d5_token_usage": distillation.token_usage,
+    "v4_verdicts": rules.validated_verdicts, "t23_usable_signals": rules.usable_signals, "r21_r22_actions": rules.matched_actions, "l5_clusters": rules.episode_clusters, "c13_cycles": graph.hard_cycles,
+    "c21_actions": lifecycle.governance_actions, "c21_invalidated": lifecycle.invalidated, "c22_spark_transitions": lifecycle.spark_transitions, "c23_ingested": lifecycle.ingested, "a17_repair": lifecycle.repaired_traces, "a21_a22_backfilled": lifecycle.backfilled,
+    "o5_lifecycle": health.lifecycle_block, "o11_suggestions": health.suggestions, "o15_endpoints": health.endpoint_health, "o16_errors": health.error_report, "o17_table_sizes": health.table_sizes, "n11_explanations": health.explanations,
     "o1_window_rates": health.window_rates, "o2_dimension_rates": health.dimension_rates, "o3_agent_coverage": health.agent_coverage,
     "o4_rank_histogram": health.rank_histogram, "o6_operation_performance": health.operation_performance, "o6_top_errors": health.top_errors,
     "st8_daily_operations": health.daily_operations, "o9_library_summary": health.library_summary, "o10_recurring_sparks": health.recurring_sparks,

@@ -8,7 +8,7 @@ import pytest
 from memspark.fixtures import VIEWS, needed, with_views
 from memspark.library import Library
 from memspark.operators.listing import activation, normalized
-from memspark.plans import oracles, queries
+from memspark.plans import oracle_sql, queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -38,7 +38,7 @@ def rows_of(names, rows):
 @pytest.mark.parametrize("name", list(queries.OPERATORS))
 def test_query_equals_its_sql(spark, duck, name):
     df = queries.queries()[name](spark, SF)
-    said = duck.execute(oracles.oracle_sql()[name])
+    said = duck.execute(oracle_sql()[name])
     names = [d[0] for d in said.description]
     assert sorted(df.columns) == sorted(names)
     assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of(names, said.fetchall())
