@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from memspark.library import Library
@@ -15,40 +15,39 @@ NAME = r"^[\p{L}\p{N}_:./-]+$"
 MOST, LEAST_BYTES = 64, 2
 
 
-def _class(token: Column, marked: Column) -> Column:
-    """struct(entity, etype) of a token, null for prose; ``marked`` tokens, from within backticks, need only be names."""
-    t = F.regexp_replace(token, f"^{TRIM}|{TRIM}$", "")
-    low, name = F.lower(t), t.rlike(NAME)
+def entities(df: DataFrame, key: str, *texts: str) -> DataFrame:
+    """``key``, entity and etype: the distinct entities of each row's ``texts`` in order, at most MOST of them.
+
+    Of each text those in backticks come first, for which any name will do, then
+    all tokens.  An entity keeps the type of its first place.  Null texts give
+    none; rows that repeat a key count as one.  Tokens are rows before they are
+    classed, and only entities are shuffled.
+    """
+    tokens = lambda text, marked: F.transform(F.split(text, r"\s+"), lambda t: F.struct(t.alias("t"), F.lit(marked).alias("marked")))
+    parts = []
+    for name in texts:
+        text = F.coalesce(F.col(name), F.lit(""))
+        spans = F.array_join(F.regexp_extract_all(text, F.lit("`([^`]*)`"), F.lit(1)), " ")
+        parts += [tokens(spans, True), tokens(text, False)]
+    x = df.select(key, F.posexplode(F.concat(*parts)).alias("at", "x")).select(key, "at", F.regexp_replace("x.t", f"^{TRIM}|{TRIM}$", "").alias("t"), "x.marked")
+    t, low = F.col("t"), F.lower("t")
+    name, holds = t.rlike(NAME), lambda sign: F.contains(t, F.lit(sign))
     word = name & t.rlike(r"\p{L}")
     kind = (
         F.when(t.rlike(r"^--[\p{L}\p{N}_:./-]+$") & (F.octet_length(t) >= 4), "flag").when(F.octet_length(t) < LEAST_BYTES, None).when(t.rlike("^[A-Za-z]{1,4}[0-9]{3,}$"), "error")
-        .when(name & (F.contains(t, F.lit("::")) | (F.contains(t, F.lit("/")) & F.contains(t, F.lit(".")))), "path")
-        .when(word & t.rlike("[_-]"), "symbol").when(t.rlike(r"^[\p{L}\p{N}]+$") & t.rlike(r"\p{Ll}\p{Lu}"), "symbol").when(marked & word, "symbol")
+        .when(name & (holds("::") | (holds("/") & holds("."))), "path")
+        .when(word & t.rlike("[_-]"), "symbol").when(t.rlike(r"^[\p{L}\p{N}]+$") & t.rlike(r"\p{Ll}\p{Lu}"), "symbol").when(F.col("marked") & word, "symbol")
     )
-    entity = F.when(kind == "path", F.when(F.contains(t, F.lit("::")), low).otherwise(F.regexp_replace(low, "/+$", ""))).otherwise(low)
-    return F.when(kind.isNotNull(), F.struct(entity.alias("entity"), kind.alias("etype")))
-
-
-def entities(*texts: Column) -> Column:
-    """Distinct entities of ``texts`` in order, at most MOST, as array of struct(entity, etype): those in backticks first, then all tokens.
-
-    A null text gives none; an entity keeps the type of its first place.
-    """
-    parts = []
-    for text in texts:
-        text = F.coalesce(text, F.lit(""))
-        pieces = F.split(text, "`")
-        spans = F.flatten(F.transform(F.filter(pieces, lambda p, i: (i % 2 == 1) & (i < F.size(pieces) - 1)), lambda p: F.split(p, r"\s+")))
-        parts += [F.transform(spans, lambda p: _class(p, F.lit(True))), F.transform(F.split(text, r"\s+"), lambda p: _class(p, F.lit(False)))]
-    found = F.filter(F.concat(*parts), lambda e: e.isNotNull() & (F.octet_length(e["entity"]) >= LEAST_BYTES))
-    names = F.transform(found, lambda e: e["entity"])
-    return F.slice(F.transform(F.array_distinct(names), lambda n: F.element_at(found, F.array_position(names, n).cast("int"))), 1, MOST)
+    entity = F.when((F.col("etype") == "path") & ~holds("::"), F.regexp_replace(low, "/+$", "")).otherwise(low)
+    found = x.withColumn("etype", kind).filter("etype IS NOT NULL").withColumn("entity", entity).filter(F.octet_length("entity") >= LEAST_BYTES)
+    once = found.groupBy(key, "entity").agg(F.min(F.struct("at", "etype")).alias("first"))
+    nth = F.row_number().over(Window.partitionBy(key).orderBy("first.at"))
+    return once.withColumn("nth", nth).filter(F.col("nth") <= MOST).select(key, "entity", "first.etype")
 
 
 def entity_index(lib: Library) -> DataFrame:
     """chunk_id, entity and etype: the entities of each chunk's content and trigger."""
-    x = lib.code.select(F.col("id").alias("chunk_id"), F.explode(entities(F.col("content"), F.col("trigger_desc"))).alias("e"))
-    return x.select("chunk_id", "e.entity", "e.etype")
+    return entities(lib.code, "id", "content", "trigger_desc").withColumnRenamed("id", "chunk_id")
 
 
 def spread(lib: Library) -> DataFrame:
@@ -64,7 +63,7 @@ def spread(lib: Library) -> DataFrame:
     index = entity_index(lib)
     order = Window.partitionBy("query_id").orderBy(F.desc("base"), "chunk_id")
     seeds = candidates(lib).withColumn("base", F.greatest("c", "t", "l")).filter("base > 0").withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= p.spread_seeds)
-    own = lib.queries.select("query_id", F.explode(entities(F.col("query"))).alias("e")).select("query_id", F.col("e.entity").alias("entity"), F.lit(1.0).alias("a"))
+    own = entities(lib.queries, "query_id", "query").select("query_id", "entity", F.lit(1.0).alias("a"))
     lent = seeds.join(index, "chunk_id").select("query_id", "entity", F.col("base").alias("a"))
     source = own.unionByName(lent).groupBy("query_id", "entity").agg(F.sum("a").alias("a"))
     links = index.join(lib.chunks.filter("state <> 'archived' AND origin <> 'spark'").select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi")
