@@ -153,6 +153,21 @@ SELECT concat('q', event_id) AS id, concat('c', (user_id * 7 + event_id % 5) % (
     "fx_spark_requests": """
 SELECT concat('z', doc_id) AS id, concat('c', doc_id) AS spark_id, CASE doc_id % 3 WHEN 0 THEN 'mature' WHEN 1 THEN 'promote' ELSE 'drop' END AS action,
   CASE WHEN doc_id % 3 = 0 THEN CASE WHEN doc_id % 4 = 0 THEN 'incubating' ELSE 'sprouting' END WHEN doc_id % 4 = 0 THEN 'skill' WHEN doc_id % 7 = 3 THEN 'rule' ELSE 'note' END AS target FROM documents WHERE doc_id % 5 = 0
+""",
+    "fx_transcript": """
+SELECT event_id AS id, concat('s', user_id % 40) AS session_id, ts, CASE WHEN event_id % 9 = 0 THEN 'user' ELSE 'tool' END AS kind,
+  CASE event_id % 7 WHEN 0 THEN 'cd app && cargo test | tail -5' WHEN 1 THEN 'RUST_LOG=debug sudo -n timeout 30 /usr/bin/npm ci; ls' WHEN 2 THEN 'grep -r x . | wc -l' WHEN 3 THEN concat('cargo build --jobs ', user_id) WHEN 4 THEN 'python3 -m pytest (unit)' ELSE concat('make -C dir', user_id, ' all') END AS input,
+  event_id % 3 = 0 OR event_type = 'error' AS failed,
+  CASE WHEN event_id % 3 = 0 OR event_type = 'error' THEN CASE event_id % 5 WHEN 0 THEN 'Exit code 1' WHEN 1 THEN concat('Exit code 101\n  error[E0', 100 + event_id % 60, ']: cannot find "some name', event_id, '" in src/lib.rs line ', event_id, ' of `the mod`') WHEN 2 THEN concat('TypeError: can''t read ', event_id, ' of undefined value')
+    WHEN 3 THEN 'user denied' ELSE concat('connection refused on port ', event_id % 9000, ' key sk-0123456789abcdefghijklmn') END ELSE concat('done in ', event_id, ' ms') END AS result FROM events
+""",
+    "fx_shown": """
+SELECT concat('v', event_id) AS id, concat('s', user_id % 40) AS session_id, ts AS shown_at FROM events WHERE event_type = 'click'
+""",
+    "fx_reports": """
+SELECT concat('r', event_id) AS id, concat('t', user_id % 60) AS trace_id, ts, event_id % 4 = 0 AS complete,
+  CASE WHEN event_id % 11 = 0 THEN '' WHEN event_id % 5 <> 0 THEN concat('c', event_id % 13, ',c', event_id % 7, ',c', event_id % 29) END AS used,
+  CASE event_id % 3 WHEN 0 THEN 'explicit' WHEN 1 THEN 'cited' ELSE 'inferred' END AS attribution, CASE event_id % 8 WHEN 0 THEN 'ok' WHEN 1 THEN 'fail' WHEN 2 THEN 'unknown' END AS outcome FROM events WHERE event_type IN ('purchase', 'signup')
 """,
     "fx_states": """
 SELECT concat('c', doc_id) AS id, CASE WHEN doc_id % 7 = 0 THEN 'archived' WHEN doc_id % 7 < 3 THEN 'pending' ELSE 'active' END AS state, CASE WHEN doc_id % 10 = 0 THEN 'spark' ELSE 'distilled' END AS origin,

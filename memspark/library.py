@@ -117,6 +117,10 @@ class Library:
     ingest = cached_property(lambda self: self._read("fx_ingest"))
     #: When and why chunks took their state, and rows as older releases wrote them.
     states = cached_property(lambda self: self._read("fx_states"))
+    #: Calls of a session in order, rules shown in it, and reports about a trace.
+    transcript = cached_property(lambda self: self._read("fx_transcript"))
+    shown = cached_property(lambda self: self._read("fx_shown"))
+    reports = cached_property(lambda self: self._read("fx_reports"))
     old_rows = cached_property(lambda self: self._read("fx_old_rows"))
 
     @cached_property

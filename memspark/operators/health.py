@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from memspark.library import Library, ratio
 from memspark.operators.distillation import recovered_screening, work_queue
-from memspark.operators.evidence import folded, outcome_evidence, proposals
+from memspark.operators.evidence import folded, outcome_evidence, proposals, usage_counts
 from memspark.operators.listing import stale_embeddings
 
 
@@ -209,3 +209,72 @@ def explanations(lib: Library) -> DataFrame:
     shown = F.when(c("confidence").isNull(), "n/a").otherwise(F.format_string("%.2f", F.round("confidence", 2)))
     text = F.concat(named(c("ok"), "success", "successes"), F.lit(", "), named(c("bad"), "failure", "failures"), F.lit(" → EMA "), shown, F.when(c("last").isNull(), "").otherwise(F.concat(F.lit("; last negative feedback "), ago)))
     return x.select("chunk_id", text.alias("explanation"))
+
+
+def recall_pack(lib: Library, days: int = 7) -> DataFrame:
+    """One row on what recalls of the last ``days`` gave: zombies, means by trace, unused share, reciprocal rank of used chunks, silent hooks, ranks."""
+    c, recent = F.col, F.col("ts") >= lib.as_of - F.make_dt_interval(days=F.lit(days))
+    real = lib.chunks.filter("origin <> 'spark'").select("id", "state").join(usage_counts(lib).select("id", "selected", "used"), "id")
+    a = real.agg(
+        F.count_if((c("state") != "archived") & (c("selected") >= lib.params.repeat_select_min) & (c("used") == 0)).alias("zombies"),
+        ratio(F.count_if((c("selected") > 0) & (c("used") == 0)), F.count_if(c("selected") > 0)).alias("selected_unused_rate"))
+    by = lib.usage.filter(recent).groupBy("trace_id").agg(F.count_if(c("event") == "retrieved").alias("r"), F.count_if(c("event") == "selected").alias("s"))
+    b = by.agg(F.round(F.coalesce(F.avg("r"), F.lit(0.0)), 2).alias("avg_retrieved"), F.round(F.coalesce(F.avg("s"), F.lit(0.0)), 2).alias("avg_selected"))
+    used = usage_counts(lib).filter("used > 0").select(c("id").alias("chunk_id"), F.lit(True).alias("is_used"))
+    chosen = lib.usage.filter("event = 'selected' AND rank IS NOT NULL").filter(recent).join(used, "chunk_id", "left")
+    within = lambda lo, hi: F.count_if(c("rank").between(lo, hi))
+    d = chosen.agg(F.round(F.coalesce(F.avg(F.when(c("is_used") & (c("rank") > 0), 1 / c("rank"))), F.lit(0.0)), 3).alias("used_rank_mrr"), within(1, 1).alias("rank_1"), within(2, 3).alias("rank_2_3"), within(4, 10).alias("rank_4_10"), F.count_if(c("rank") > 10).alias("rank_over_10"))
+    e = lib.log.filter("event_source = 'hook'").filter(recent).agg(ratio(F.count_if(c("usage_state") == "known_none"), F.count(F.lit(1))).alias("hook_silence_rate"))
+    return a.join(b).join(d).join(e)
+
+
+def rank_anomalies(lib: Library, days: int = 7, most: int = 5) -> DataFrame:
+    """kind, chunk_id and best_rank of the ``most`` clearest chunks that rank high and are never used, or low and are; ties by id."""
+    c, recent = F.col, F.col("ts") >= lib.as_of - F.make_dt_interval(days=F.lit(days))
+    n = usage_counts(lib).select(c("id").alias("chunk_id"), "used")
+    x = lib.usage.filter("event = 'selected'").filter(recent).join(n, "chunk_id")
+    high = x.filter("rank <= 3 AND used = 0").groupBy("chunk_id").agg(F.min("rank").alias("best_rank")).orderBy("best_rank", "chunk_id").limit(most)
+    low = x.filter("rank > 10 AND used > 0").groupBy("chunk_id").agg(F.min("rank").alias("best_rank")).orderBy(F.desc("best_rank"), "chunk_id").limit(most)
+    return high.withColumn("kind", F.lit("high_rank_unused")).unionByName(low.withColumn("kind", F.lit("low_rank_used"))).select("kind", "chunk_id", "best_rank")
+
+
+def intuition(lib: Library) -> DataFrame:
+    """One row on verdicts whose trace is known: number, gap of success between strong and weak, ECE, false alarms, silence.
+
+    Abstentions count as neutral and weak.
+    """
+    p, c = lib.params, F.col
+    strength = F.coalesce("emitted_strength", F.lit(0.0))
+    valence = F.when(c("abstain_reason").isNotNull(), "neutral").otherwise(F.coalesce("emitted_valence", F.lit("neutral")))
+    tier = F.when(c("abstain_reason").isNotNull(), "weak").when(strength >= p.tier_strong, "strong").when(strength >= p.tier_weak, "medium").otherwise("weak")
+    x = lib.verdicts.join(lib.log.select("trace_id", "outcome"), "trace_id").withColumns({"tier": tier, "valence": valence, "strength": strength})
+    ended, good = c("outcome").isin("ok", "fail"), c("outcome") == "ok"
+    alarm = (c("valence") == "caution") & (c("tier") == "strong") & ended
+    t = x.groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.count_if(ended).alias("e"), F.count_if(good).alias("ok"), F.sum(F.when(ended, c("strength"))).alias("s"),
+                              F.count_if((c("tier") == "weak") | (c("valence") == "neutral")).alias("silent"), F.count_if(alarm).alias("alarms"), F.count_if(alarm & good).alias("false"))
+    t = t.withColumn("hit", F.when(c("e") > 0, c("ok") / c("e")).otherwise(0.0))
+    of = lambda name: F.coalesce(F.max(F.when(c("tier") == name, c("hit"))), F.lit(0.0))
+    ece = F.coalesce(F.sum(F.when(c("e") > 0, c("e") * F.abs(c("s") / c("e") - c("hit")))) / F.nullif(F.sum("e"), F.lit(0)), F.lit(0.0))
+    return t.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("appraisals"), F.round(of("strong") - of("weak"), 3).alias("monotonicity_gap"), F.round(ece, 3).alias("ece"), ratio(F.sum("false"), F.sum("alarms")).alias("false_alarm_rate"), ratio(F.sum("silent"), F.sum("n")).alias("silence_rate"))
+
+
+def kpi_snapshot(lib: Library) -> DataFrame:
+    """name and value of the figures of a snapshot at the clock; -1 for the success of chat calls without any."""
+    p, c = lib.params, F.col
+    real = lib.chunks.filter("origin <> 'spark'").select("id", "state").join(usage_counts(lib).select("id", "selected", "used"), "id")
+    a = real.agg(F.count_if(c("state") == "active").alias("active"), F.count_if(c("state") == "pending").alias("pending"), F.count_if((c("state") != "archived") & (c("selected") >= p.repeat_select_min) & (c("used") == 0)).alias("zombie_chunks"))
+    a = a.withColumn("knowledge_debt_ratio", F.when(c("active") > 0, F.round(c("pending") / c("active"), 2)).otherwise(c("pending").cast("double")))
+    rates = {"success_rate": "task_success_rate_7d", "empty_recall_rate": "empty_recall_rate_7d", "timeout_rate": "trace_timeout_rate_7d", "completed_rate": "completed_rate_7d", "use_rate": "selected_to_used_rate_7d", "feedback_coverage": "feedback_coverage_7d"}
+    w = window_rates(lib).filter("days = 7").agg(*[F.coalesce(F.max(name), F.lit(0.0)).alias(said) for name, said in rates.items()])
+    since = lambda days: c("started_at") >= lib.as_of - F.make_dt_interval(days=F.lit(days))
+    day = lib.oplog.filter(since(1))
+    runs = lambda op: F.count_if(c("op") == op).alias(f"{op}_runs_24h")
+    o = day.agg(ratio(F.count_if((c("op") == "record") & (c("status") != "ok")), F.count_if(c("op") == "record")).alias("record_error_rate_24h"), runs("evolve"), runs("curate"), runs("hook_recall"), F.count_if(c("status") != "ok").alias("errors_24h"))
+    hooks = lib.oplog.filter(since(7)).filter("op = 'hook_recall' AND duration_ms IS NOT NULL")
+    by = hooks.groupBy("duration_ms").agg(F.count(F.lit(1)).alias("m"))
+    # One row a distinct duration in milliseconds passes through this window.
+    by = by.withColumns({"upto": F.sum("m").over(Window.orderBy("duration_ms")), "all": F.sum("m").over(Window.partitionBy())})
+    h = by.agg(F.coalesce(F.min(F.when(c("upto") > F.round((c("all") - 1) * 0.95), c("duration_ms"))), F.lit(0)).alias("hook_recall_p95_ms_7d"))
+    chat = endpoint_health(lib).filter("kind = 'chat'").agg(F.coalesce(F.max("success_rate"), F.lit(-1.0)).alias("llm_chat_success_rate_24h"))
+    one = a.join(w).join(o).join(h).join(chat)
+    return one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), c(n).cast("double").alias("value")) for n in one.columns])).alias("k")).select("k.*")

@@ -320,3 +320,20 @@ def ranking_averages(lib: Library, k: int = 10) -> DataFrame:
     """One row: queries, means of the ranking metrics, and queries without any hit."""
     mean = lambda name: F.round(F.avg(name), 6).alias(name)
     return ranking_metrics(lib, k).agg(F.count(F.lit(1)).alias("queries"), mean("precision"), mean("recall"), mean("rr"), mean("ndcg"), F.count_if(F.col("rr") == 0).alias("misses"))
+
+
+def reranked(lib: Library, order: DataFrame | None = None) -> DataFrame:
+    """Recall in an injected order: the chunks that ``order`` (query_id, chunk_id, pos) lists come first, in that order, the others as before.
+
+    Without one, the order of lexical search stands in for a reranker.
+    """
+    given = order if order is not None else lexical_top(lib).select("query_id", "chunk_id", F.col("rank").alias("pos"))
+    x = recall(lib).join(given, ["query_id", "chunk_id"], "left")
+    by = Window.partitionBy("query_id").orderBy(F.asc_nulls_last("pos"), "rank")
+    return x.select("query_id", F.row_number().over(by).alias("rank"), "chunk_id", F.col("rank").alias("fused_rank"))
+
+
+def search_results(lib: Library, most: int = 100) -> DataFrame:
+    """Lexical search as a search page shows it: query_id, rank, chunk_id, state and preview (280 characters)."""
+    shown = lib.chunks.select(F.col("id").alias("chunk_id"), "state", F.substring("content", 1, 280).alias("preview"))
+    return lexical_hits(lib, most).select("query_id", "rank", "chunk_id").join(shown, "chunk_id").select("query_id", "rank", "chunk_id", "state", "preview")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from memspark.plans.oracles import AS_OF, CONTEXT, COUNTS, EVENTS, EVIDENCE, FOLD, GOVERN, HIT, LIFE, OUTCOME, SQL, packs, recalled, share
+from memspark.plans.oracles import AS_OF, BM25, CONTEXT, COUNTS, EVENTS, EVIDENCE, FOLD, GOVERN, HIT, LIFE, OUTCOME, SQL, packs, ranked, recalled, share
 
 
 def strip(x: str) -> str:
@@ -74,6 +74,25 @@ HARD = "hard AS (SELECT DISTINCT src AS a, dst AS b FROM fx_deps WHERE kind = 'h
 SWEPT = " UNION ALL ".join(f"SELECT '{name}' AS setting, {w / 0.08!r}::DOUBLE AS factor" for name, w in (("off", 0.0), ("default", 0.08), ("heavy", 1.0)))
 PROPOSED = f"""prop AS (SELECT chunk_id, f.at AS created_at, CASE WHEN NOT coalesce(c.state IN ('active', 'pending') AND c.origin <> 'spark' AND c.protected = 0, false) THEN 'rejected' WHEN round(s, 6) >= 2 AND actors >= 2 THEN 'accepted' WHEN round(s, 6) < 2 AND f.at < {AS_OF} - INTERVAL 30 DAYS THEN 'expired' ELSE 'pending' END AS becomes
     FROM gov JOIN (SELECT chunk_id, min(ts) AS at FROM fx_feedback WHERE signal = 'down' GROUP BY 1) f USING (chunk_id) LEFT JOIN fx_chunks c ON c.id = chunk_id WHERE round(s, 6) > 0)"""
+FAMILY = r"""(list_filter(list_transform(string_split_regex(input, '[&|;\n()]'), lambda g: list_filter(list_transform(list_filter(string_split_regex(g, '\s+'), lambda w: w <> '' AND NOT starts_with(w, '-') AND NOT contains(w, '=') AND NOT regexp_matches(w, '^[0-9]+$')), lambda w: lower(regexp_extract(w, '([^/]*)$', 1))),
+        lambda p: p NOT IN ('sudo', 'timeout', 'env', 'nohup', 'time', 'exec', 'command'))[1]), lambda p: p IS NOT NULL AND regexp_matches(p, '^[a-z0-9_.-]+$') AND p NOT IN ('cd', 'echo', 'cat', 'ls', 'head', 'tail', 'true', 'false', 'set', 'export', 'sleep', 'printf', 'wc', 'sort', 'uniq', 'cut', 'tr', 'grep', 'sed', 'awk', 'xargs', 'tee', 'rm', 'cp', 'mv', 'mkdir', 'touch', 'pwd',
+        'which', 'test', 'for', 'while', 'do', 'done', 'if', 'then', 'fi', 'else', 'bash', 'sh', 'source', 'until', 'let', 'read', 'find', 'ps', 'kill', 'pgrep')))"""
+QUOTED = "|".join(rf"{q}[^{q}\s]*(\s?)[^{q}]*(?:{q}|$)" for q in ('"', "''", "`"))
+CALLS = rf"""lines AS (SELECT *, list_filter(list_transform(string_split(result, chr(10)), lambda l: {strip('l')}), lambda l: l <> '' AND NOT starts_with(l, 'Exit code') AND regexp_matches(lower(l), 'error|failed|failure|exception|panicked|not found|denied|refused|cannot|can''t|invalid|unable|timeout|timed out|失败|错误|异常'))[1] AS line,
+        {FAMILY} AS many FROM fx_transcript WHERE kind = 'tool'),
+    words AS (SELECT *, string_split_regex(translate(regexp_replace(array_to_string(list_filter(string_split_regex(line, '\s+'), lambda w: NOT regexp_matches(w, '[/\\]')), ' '), '{QUOTED}', '\1\2\3', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '\s+') AS ws FROM lines),
+    cut_off AS (SELECT *, substr(array_to_string(list_transform(list_filter(ws, lambda w: w <> ''), lambda w: CASE WHEN regexp_matches(w, '^[a-z].*[0-9]') THEN w ELSE regexp_replace(w, '[0-9]', '#', 'g') END), ' '), 1, 80) AS short FROM words),
+    calls AS (SELECT id, session_id, ts, failed, result, list_filter(many, lambda p, i: list_position(many, p) = i) AS family, CASE WHEN length(short) >= 8 THEN concat('sig:', short) END AS sig FROM cut_off)"""
+
+
+def clipped(x: str, most: int) -> str:
+    return f"CASE WHEN length({clean(strip(x))}) <= {most} THEN {clean(strip(x))} ELSE concat(substr({clean(strip(x))}, 1, {most}), '…') END"
+
+
+def labelled(label: str, x: str) -> str:
+    return f"CASE WHEN {strip(x)} <> '' THEN concat('[{label}] ', {strip(x)}) END"
+
+
 TABLES = ("chunks", "usage", "feedback", "log", "deps", "episodes", "validations", "verdicts", "oplog")
 
 LOOP_SQL = {
@@ -166,4 +185,42 @@ LOOP_SQL = {
     "r15_trace_events": f"""WITH RECURSIVE {recalled()}, {packs(1200)}
         SELECT r.query_id, r.chunk_id, 'retrieved' AS event, r.rank, r.score, CASE WHEN p.pos IS NULL THEN 'budget' END AS skip_reason FROM rec r LEFT JOIN pack p ON p.query_id = r.query_id AND p.chunk_id = r.chunk_id
         UNION ALL SELECT r.query_id, r.chunk_id, 'selected', p.pos, r.score, NULL FROM rec r JOIN pack p ON p.query_id = r.query_id AND p.chunk_id = r.chunk_id""",
+    "t16_t18_call_features": f"WITH {CALLS} SELECT id, array_to_string(family, ',') AS programs, CASE WHEN failed THEN sig END AS signature FROM calls",
+    "l1_struggles": f"""WITH {CALLS}, placed AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts, id) AS nr FROM calls),
+        pairs AS (SELECT a.session_id, a.id, a.nr, a.sig, min(b.nr) AS rnr FROM placed a JOIN placed b ON b.session_id = a.session_id AND b.nr BETWEEN a.nr + 1 AND a.nr + 15 AND NOT b.failed AND list_has_any(a.family, b.family)
+            WHERE a.failed AND len(a.family) > 0 AND NOT (trim(a.result, ' ') = 'Exit code 1' OR regexp_matches(a.result, 'doesn''t want to proceed|was rejected|user denied|Permission for this action was denied|auto mode classifier')) GROUP BY 1, 2, 3, 4),
+        walk AS (SELECT session_id, list_reduce(list_prepend({{'i': 0::BIGINT, 'e': 0::BIGINT, 'kept': []::BIGINT[]}}, list({{'i': nr, 'e': rnr + 1, 'kept': []::BIGINT[]}} ORDER BY nr)), lambda a, x: CASE WHEN x.i >= a.e THEN {{'i': x.i, 'e': x.e, 'kept': list_append(a.kept, x.i)}} ELSE a END).kept AS kept FROM pairs GROUP BY 1)
+        SELECT p.session_id, p.id, r.id AS recovery_id, least(6, p.rnr - p.nr - 1) AS attempts, p.sig AS signature FROM pairs p JOIN walk w ON w.session_id = p.session_id AND list_contains(w.kept, p.nr) JOIN placed r ON r.session_id = p.session_id AND r.nr = p.rnr""",
+    "l3_observations": f"""WITH t AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts, CAST(id AS VARCHAR)) AS nr FROM fx_transcript), a AS (SELECT s.id, t.*EXCLUDE(id), row_number() OVER (PARTITION BY s.id ORDER BY t.nr) AS k FROM fx_shown s JOIN t ON t.session_id = s.session_id AND t.ts > s.shown_at AND t.kind = 'tool' QUALIFY k <= 3),
+        f AS (SELECT *, first_value(nr) OVER (PARTITION BY id ORDER BY nr) AS start FROM a), ok AS (SELECT * FROM f WHERE NOT EXISTS (SELECT 1 FROM t u WHERE u.session_id = f.session_id AND u.kind = 'user' AND u.nr > f.start AND u.nr < f.nr))
+        SELECT id, count(*) AS calls, count(*) FILTER (failed) AS failures, sha256(string_agg(concat(CASE WHEN failed THEN '[失败] ' ELSE '[成功] ' END, {clipped('input', 300)}, chr(10), {clipped('result', 300)}), concat(chr(10), '---', chr(10)) ORDER BY nr)) AS hash FROM ok GROUP BY 1""",
+    "a5_reduced_traces": """WITH h AS (SELECT trace_id, max((ts, id)) FILTER (complete AND used IS NOT NULL) AS reset, arg_max(outcome, (ts, id)) FILTER (outcome IN ('ok', 'fail')) AS outcome, count(used) AS said FROM fx_reports GROUP BY 1),
+        e AS (SELECT r.trace_id, r.ts, r.id, r.attribution, unnest(string_split(used, ',')) AS chunk_id, generate_subscripts(string_split(used, ','), 1) AS pos FROM fx_reports r JOIN h USING (trace_id) WHERE used IS NOT NULL AND (reset IS NULL OR (r.ts, r.id) >= reset)),
+        c AS (SELECT trace_id, chunk_id, min((ts, id, pos)) AS first_at, arg_max(attribution, CASE attribution WHEN 'explicit' THEN 3 WHEN 'cited' THEN 2 ELSE 1 END) AS attribution FROM e WHERE chunk_id <> '' GROUP BY 1, 2),
+        l AS (SELECT trace_id, string_agg(chunk_id, ',' ORDER BY first_at) AS used, string_agg(attribution, ',' ORDER BY first_at) AS attributions FROM c GROUP BY 1)
+        SELECT trace_id, coalesce(used, '') AS used, coalesce(attributions, '') AS attributions, reset IS NOT NULL AS complete, outcome, CASE WHEN said = 0 THEN 'unknown' WHEN used IS NULL THEN 'known_none' ELSE 'known_some' END AS usage_state FROM h LEFT JOIN l USING (trace_id)""",
+    "t8_embed_texts": f"SELECT id, sha256(concat_ws(chr(10), {labelled('error', 'last_error')}, {labelled('stage', 'stage')}, {labelled('files', 'file_context')})) AS hash FROM fx_situations",
+    "o4_recall_pack": f"""WITH {EVENTS}, {COUNTS}, r AS (SELECT n.*, c.state FROM counts n JOIN fx_chunks c USING (id) WHERE origin <> 'spark'), w AS (SELECT * FROM fx_usage WHERE ts >= {AS_OF} - INTERVAL 7 DAYS),
+        t AS (SELECT count(*) FILTER (event = 'retrieved') AS r, count(*) FILTER (event = 'selected') AS s FROM w GROUP BY trace_id), u AS (SELECT rank, chunk_id IN (SELECT id FROM counts WHERE used > 0) AS is_used FROM w WHERE event = 'selected' AND rank IS NOT NULL)
+        SELECT (SELECT count(*) FROM r WHERE state <> 'archived' AND selected >= 3 AND used = 0) AS zombies, (SELECT {share('count(*) FILTER (selected > 0 AND used = 0)', 'count(*) FILTER (selected > 0)')} FROM r) AS selected_unused_rate,
+            (SELECT coalesce(round(avg(r), 2), 0.0) FROM t) AS avg_retrieved, (SELECT coalesce(round(avg(s), 2), 0.0) FROM t) AS avg_selected, (SELECT coalesce(round(avg(1 / rank) FILTER (is_used AND rank > 0), 3), 0.0) FROM u) AS used_rank_mrr,
+            (SELECT count(*) FROM u WHERE rank = 1) AS rank_1, (SELECT count(*) FROM u WHERE rank BETWEEN 2 AND 3) AS rank_2_3, (SELECT count(*) FROM u WHERE rank BETWEEN 4 AND 10) AS rank_4_10, (SELECT count(*) FROM u WHERE rank > 10) AS rank_over_10,
+            (SELECT {share("count(*) FILTER (usage_state = 'known_none')", 'count(*)')} FROM fx_log WHERE event_source = 'hook' AND ts >= {AS_OF} - INTERVAL 7 DAYS) AS hook_silence_rate""",
+    "o4_rank_anomalies": f"""WITH {EVENTS}, {COUNTS}, x AS (SELECT u.chunk_id, u.rank, n.used FROM fx_usage u JOIN counts n ON n.id = u.chunk_id WHERE u.event = 'selected' AND u.ts >= {AS_OF} - INTERVAL 7 DAYS)
+        SELECT * FROM (SELECT 'high_rank_unused' AS kind, chunk_id, min(rank) AS best_rank FROM x WHERE rank <= 3 AND used = 0 GROUP BY 2 ORDER BY 3, 2 LIMIT 5) UNION ALL SELECT * FROM (SELECT 'low_rank_used', chunk_id, min(rank) FROM x WHERE rank > 10 AND used > 0 GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 5)""",
+    "p7_intuition": f"""WITH v AS (SELECT outcome, coalesce(emitted_strength, 0.0) AS s, CASE WHEN abstain_reason IS NOT NULL THEN 'neutral' ELSE coalesce(emitted_valence, 'neutral') END AS valence,
+            CASE WHEN abstain_reason IS NOT NULL THEN 'weak' WHEN coalesce(emitted_strength, 0.0) >= 0.65::DOUBLE THEN 'strong' WHEN coalesce(emitted_strength, 0.0) >= 0.30::DOUBLE THEN 'medium' ELSE 'weak' END AS tier FROM fx_verdicts JOIN fx_log USING (trace_id)),
+        t AS (SELECT tier, count(outcome) AS e, CASE WHEN count(outcome) > 0 THEN count(*) FILTER (outcome = 'ok') / count(outcome) ELSE 0 END AS hit, avg(s) FILTER (outcome IS NOT NULL) AS mean FROM v GROUP BY 1)
+        SELECT (SELECT count(*) FROM v) AS appraisals, round(coalesce((SELECT hit FROM t WHERE tier = 'strong'), 0) - coalesce((SELECT hit FROM t WHERE tier = 'weak'), 0), 3) AS monotonicity_gap, (SELECT round(coalesce(sum(e * abs(mean - hit)) / sum(e), 0), 3) FROM t WHERE e > 0) AS ece,
+            (SELECT {share("count(*) FILTER (outcome = 'ok')", 'count(outcome)')} FROM v WHERE valence = 'caution' AND tier = 'strong') AS false_alarm_rate, (SELECT {share("count(*) FILTER (tier = 'weak' OR valence = 'neutral')", 'count(*)')} FROM v) AS silence_rate""",
+    "o7_kpi_snapshot": f"""WITH {EVENTS}, {COUNTS}, r AS (SELECT n.*, c.state FROM counts n JOIN fx_chunks c USING (id) WHERE origin <> 'spark'), w7 AS (SELECT * FROM ({SQL['o1_window_rates'].replace('WITH ' + EVENTS + ',', 'WITH', 1)}) WHERE days = 7), d AS (SELECT * FROM fx_oplog WHERE started_at >= {AS_OF} - INTERVAL 1 DAY),
+        h AS (SELECT list_sort(list(duration_ms)) AS l FROM fx_oplog WHERE op = 'hook_recall' AND started_at >= {AS_OF} - INTERVAL 7 DAYS), k AS (SELECT * FROM fx_calls WHERE kind = 'chat' AND ts >= {AS_OF} - INTERVAL 24 HOURS)
+        SELECT name, CAST(value AS DOUBLE) AS value FROM (SELECT 'active' AS name, (SELECT count(*) FROM r WHERE state = 'active')::DOUBLE AS value UNION ALL SELECT 'pending', (SELECT count(*) FROM r WHERE state = 'pending')
+            UNION ALL SELECT 'zombie_chunks', (SELECT count(*) FROM r WHERE state <> 'archived' AND selected >= 3 AND used = 0) UNION ALL SELECT 'knowledge_debt_ratio', (SELECT CASE WHEN count(*) FILTER (state = 'active') > 0 THEN round(count(*) FILTER (state = 'pending') / count(*) FILTER (state = 'active'), 2) ELSE count(*) FILTER (state = 'pending') END FROM r)
+            {' '.join(f"UNION ALL SELECT '{said}', coalesce((SELECT {name} FROM w7), 0)" for name, said in (('success_rate', 'task_success_rate_7d'), ('empty_recall_rate', 'empty_recall_rate_7d'), ('timeout_rate', 'trace_timeout_rate_7d'), ('completed_rate', 'completed_rate_7d'), ('use_rate', 'selected_to_used_rate_7d'), ('feedback_coverage', 'feedback_coverage_7d')))}
+            UNION ALL SELECT 'record_error_rate_24h', (SELECT {share("count(*) FILTER (status <> 'ok')", 'count(*)')} FROM d WHERE op = 'record') {' '.join(f"UNION ALL SELECT '{op}_runs_24h', (SELECT count(*) FROM d WHERE op = '{op}')" for op in ('evolve', 'curate', 'hook_recall'))}
+            UNION ALL SELECT 'errors_24h', (SELECT count(*) FROM d WHERE status <> 'ok') UNION ALL SELECT 'hook_recall_p95_ms_7d', (SELECT coalesce(l[CAST(round((len(l) - 1) * 0.95) AS INT) + 1], 0) FROM h)
+            UNION ALL SELECT 'llm_chat_success_rate_24h', (SELECT CASE WHEN count(*) > 0 THEN {share("count(*) FILTER (status = 'ok')", 'count(*)')} ELSE -1 END FROM k))""",
+    "r8_reranked": f"""WITH {recalled()}, o AS ({ranked('lexical', 'lexical', 10)}) SELECT r.query_id, CAST(row_number() OVER (PARTITION BY r.query_id ORDER BY o.rank NULLS LAST, r.rank) AS INTEGER) AS rank, r.chunk_id, r.rank AS fused_rank FROM rec r LEFT JOIN o ON o.query_id = r.query_id AND o.chunk_id = r.chunk_id""",
+    "r17_search": f"WITH {BM25} SELECT query_id, rank, chunk_id, state, substr(content, 1, 280) AS preview FROM ({ranked('lexical', 'lexical', 100)}) JOIN fx_chunks ON id = chunk_id",
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from memspark.library import THIN, Library
-from memspark.operators import appraisal, distillation, entities, evidence, graph, health, lifecycle, listing, retrieval, rules, texts
+from memspark.operators import appraisal, distillation, entities, episodes, evidence, graph, health, lifecycle, listing, retrieval, rules, texts
 
 OPERATORS: dict[str, Callable[[Library], DataFrame]] = {
     "f1_listing": listing.listing, "f2_recallable": listing.valid_for_recall, "f3_valid_sparks": listing.valid_sparks,
@@ -30,6 +30,8 @@ OPERATORS: dict[str, Callable[[Library], DataFrame]] = {
     "f12_blacklisted": listing.blacklisted, "v2_conflicting_feedback": listing.conflicting_feedback, "v3_attributed": listing.attributed, "a19_evolve_readiness": evidence.evolve_readiness,
     "l2_corrections": texts.corrections, "l15_session_summaries": texts.session_summaries, "o7_o8_daily_kpis": health.daily_kpis,
     "e1_ranking_metrics": retrieval.ranking_metrics, "e1_averages": retrieval.ranking_averages, "e2_self_labels": retrieval.self_labels, "e3_weight_sweep": retrieval.weight_sweep, "r15_trace_events": retrieval.trace_events,
+    "t16_t18_call_features": episodes.call_features, "l1_struggles": episodes.struggles, "l3_observations": episodes.observations, "a5_reduced_traces": episodes.reduced_traces, "t8_embed_texts": episodes.embed_texts,
+    "o4_recall_pack": health.recall_pack, "o4_rank_anomalies": health.rank_anomalies, "p7_intuition": health.intuition, "o7_kpi_snapshot": health.kpi_snapshot, "r8_reranked": retrieval.reranked, "r17_search": retrieval.search_results,
     "t14_c11_entity_index": entities.entity_index, "r5_spread": entities.spread,
     "p1_p3_contributors": appraisal.contributors, "p4_p5_verdicts": appraisal.verdicts,
     "f9_work_queue": distillation.work_queue, "f10_retries": distillation.retries, "c14_screening": distillation.recovered_screening, "d1_distilled": distillation.distilled_chunks, "d2_n12_prompt_tokens": distillation.prompt_tokens,
