@@ -126,7 +126,7 @@ def reduced_traces(lib: Library) -> DataFrame:
     rank = F.lit(0)
     for name, value in STRENGTH.items():
         rank = F.when(c("attribution") == name, value).otherwise(rank)
-    chunks = each.groupBy("trace_id", "chunk_id").agg(F.min(F.struct("o", "pos")).alias("at"), F.max_by("attribution", rank).alias("attribution"))
+    chunks = each.groupBy("trace_id", "chunk_id").agg(F.min(F.struct("o", "pos")).alias("at"), F.max_by(F.coalesce("attribution", F.lit("")), rank).alias("attribution"))
     lists = chunks.groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct("at", "chunk_id", "attribution"))).alias("l"))
     y = heads.join(lists, "trace_id", "left")
     joined = lambda name: F.coalesce(F.array_join(F.transform("l", lambda e: e[name]), ","), F.lit(""))
