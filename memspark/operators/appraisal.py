@@ -23,7 +23,8 @@ def contributors(lib: Library) -> DataFrame:
     near = F.col("w_content") + F.col("w_trigger") + F.col("w_lexical")
     record = F.col("w_confidence") + F.col("w_context") + F.col("w_activation")
     fused = (near + record) * F.when(F.col("state") == "pending", p.pending_penalty).otherwise(1.0) * F.when(F.col("anti"), p.anti_penalty).otherwise(1.0)
-    strength = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), fused)), 6)
+    # Sums of numbers of six places often end on a half at the seventh: the nudge takes those up, whatever the last bit says.
+    strength = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), fused + 1e-9)), 6)
     caution = F.col("anti") | F.col("fail_origin") | (F.col("w_context") < 0)
     affirm = (F.col("t") >= p.appraise_trigger) & (F.round(record, 6) > 0)
     order = Window.partitionBy("query_id").orderBy(F.desc("strength"), "chunk_id")

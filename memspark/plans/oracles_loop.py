@@ -68,7 +68,7 @@ def renamed(ctes: str, suffix: str) -> str:
 
 CAL = SQL["c18_calibration"].replace("WITH x AS", "calx AS", 1).replace("SELECT * FROM m", "").replace("count(*) FROM x)", "count(*) FROM calx)").replace("LEFT JOIN x ON", "LEFT JOIN calx ON").replace("m AS (SELECT bucket", "cal AS (SELECT bucket")
 POINTS = f"""{recalled()}, pts AS (SELECT query_id, chunk_id, CASE WHEN against OR fail_origin OR w_context < 0 THEN 'caution' WHEN t >= 0.5::DOUBLE AND round(w_confidence + w_context + w_activation, 6) > 0 THEN 'affirm' ELSE 'neutral' END AS valence,
-        round(greatest(0.0, least(1.0, ((w_content + w_trigger + w_lexical) + (w_confidence + w_context + w_activation)) * CASE WHEN state = 'pending' THEN 0.6::DOUBLE ELSE 1 END * CASE WHEN against THEN 0.6::DOUBLE ELSE 1 END)), 6) AS strength FROM parts),
+        round(greatest(0.0, least(1.0, ((w_content + w_trigger + w_lexical) + (w_confidence + w_context + w_activation)) * CASE WHEN state = 'pending' THEN 0.6::DOUBLE ELSE 1 END * CASE WHEN against THEN 0.6::DOUBLE ELSE 1 END + 1e-9::DOUBLE)), 6) AS strength FROM parts),
     con AS (SELECT p.*, (p.chunk_id, q.context_key) IN (SELECT (chunk_id, context_key) FROM ctx) AS signed, p.chunk_id IN (SELECT chunk_id FROM done) AS seen FROM (SELECT * FROM pts WHERE strength >= 0.25::DOUBLE QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY strength DESC, chunk_id) <= 8) p JOIN fx_queries q USING (query_id))"""
 HARD = "hard AS (SELECT DISTINCT src AS a, dst AS b FROM fx_deps WHERE kind = 'hard')"
 SWEPT = " UNION ALL ".join(f"SELECT '{name}' AS setting, {w / 0.08!r}::DOUBLE AS factor" for name, w in (("off", 0.0), ("default", 0.08), ("heavy", 1.0)))
