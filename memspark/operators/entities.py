@@ -29,7 +29,9 @@ def entities(df: DataFrame, key: str, *texts: str) -> DataFrame:
         text = F.coalesce(F.col(name), F.lit(""))
         spans = F.array_join(F.regexp_extract_all(text, F.lit("`([^`]*)`"), F.lit(1)), " ")
         parts += [tokens(spans, True), tokens(text, False)]
-    x = df.select(key, F.posexplode(F.concat(*parts)).alias("at", "x")).select(key, "at", F.regexp_replace("x.t", f"^{TRIM}|{TRIM}$", "").alias("t"), "x.marked")
+    # Every kind but that of marked names needs one of these signs: prose goes after one pattern.
+    likely = F.col("x.marked") | F.col("x.t").rlike(r"[-_:/0-9]|\p{Ll}\p{Lu}")
+    x = df.select(key, F.posexplode(F.concat(*parts)).alias("at", "x")).filter(likely).select(key, "at", F.regexp_replace("x.t", f"^{TRIM}|{TRIM}$", "").alias("t"), "x.marked")
     t, low = F.col("t"), F.lower("t")
     name, holds = t.rlike(NAME), lambda sign: F.contains(t, F.lit(sign))
     word = name & t.rlike(r"\p{L}")
