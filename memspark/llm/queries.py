@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memspark.llm import bpe, hard_negatives, langid, minhash, mixing, pii, pu_quality, quality_rules, suffix_dedup, topk, url_rules
+from memspark.llm import bpe, hard_negatives, langid, minhash, mixing, pii, pu_quality, quality_rules, spelling, suffix_dedup, topk, url_rules
 from memspark.llm.common import fold, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -70,13 +70,17 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(pages, labelled, URL_RULES)
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mined(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", moved, F.col("vec_id") % 100 == 0)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_topk, op2_byte_bpe, op3_source_mix, op4_quality_rules, op5_cross_parsing, op6_minhash, op7_semi_markov_pii, op8_pu_quality, op9_suffix_array, op10_url_rules, op13_hard_negatives)}
+    return {f.__name__: f for f in (op1_exact_topk, op2_byte_bpe, op3_source_mix, op4_quality_rules, op5_cross_parsing, op6_minhash, op7_semi_markov_pii, op8_pu_quality, op9_suffix_array, op10_url_rules, op12_spelling_variants, op13_hard_negatives)}
 
 
 #: Words, lower-cased in A-Z only: DuckDB's lower() would change other letters too.
