@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memspark.llm import bpe, hard_negatives, langid, minhash, mixing, pii, pu_quality, quality_rules, spelling, suffix_dedup, topk, url_rules
+from memspark.llm import bpe, hard_negatives, jaccard_join, langid, minhash, mixing, pii, pu_quality, quality_rules, spelling, suffix_dedup, topk, url_rules
 from memspark.llm.common import fold, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -70,6 +70,10 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(pages, labelled, URL_RULES)
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.clustered(table(spark, sf_dir, "documents"), 80)
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
@@ -80,12 +84,33 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_topk, op2_byte_bpe, op3_source_mix, op4_quality_rules, op5_cross_parsing, op6_minhash, op7_semi_markov_pii, op8_pu_quality, op9_suffix_array, op10_url_rules, op12_spelling_variants, op13_hard_negatives)}
+    return {f.__name__: f for f in (op1_exact_topk, op2_byte_bpe, op3_source_mix, op4_quality_rules, op5_cross_parsing, op6_minhash, op7_semi_markov_pii, op8_pu_quality, op9_suffix_array, op10_url_rules, op11_jaccard_join, op12_spelling_variants, op13_hard_negatives)}
 
 
 #: Words, lower-cased in A-Z only: DuckDB's lower() would change other letters too.
 _ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+def _similar(percent: int, also: str) -> str:
+    """SQL of the components of documents whose sets are at least ``percent`` similar, over all pairs that share a shingle."""
+    return f"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all({_ASCII_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        s AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS sh FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        sets AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY list_sort(list(sh))) AS rep FROM s GROUP BY doc_id),
+        u AS (SELECT s.doc_id, s.sh FROM s JOIN sets ON s.doc_id = sets.doc_id AND sets.doc_id = sets.rep),
+        inter AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM u a JOIN u b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+        e AS (SELECT a, b FROM inter JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= {percent} * (x.n + y.n - i)),
+        ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+        reach(a, b) AS (SELECT rep, rep FROM sets WHERE doc_id = rep UNION SELECT r.a, x.b FROM reach r JOIN ways x ON x.a = r.b),
+        root AS (SELECT a, min(b) AS root FROM reach GROUP BY a)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(root.root, d.doc_id) AS component_id{also}
+        FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN sets ON sets.doc_id = d.doc_id LEFT JOIN root ON root.a = sets.rep"""
+
+
 ORACLES = {
+    "op11_jaccard_join": _similar(80, ""),
     "op13_hard_negatives": """
         WITH v AS (
             SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
@@ -104,23 +129,7 @@ ORACLES = {
             FROM s JOIN p ON p.anchor_id = s.anchor_id AND p.place <= 5
             WHERE NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
         SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM r WHERE rank <= 10""",
-    "op6_minhash": f"""
-        WITH RECURSIVE w AS (
-            SELECT doc_id, regexp_extract_all({_ASCII_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
-        s AS (
-            SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-                ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS sh FROM w),
-        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-        sets AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY list_sort(list(sh))) AS rep FROM s GROUP BY doc_id),
-        u AS (SELECT s.doc_id, s.sh FROM s JOIN sets ON s.doc_id = sets.doc_id AND sets.doc_id = sets.rep),
-        inter AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM u a JOIN u b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
-        e AS (SELECT a, b FROM inter JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)),
-        ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
-        reach(a, b) AS (SELECT rep, rep FROM sets WHERE doc_id = rep UNION SELECT r.a, x.b FROM reach r JOIN ways x ON x.a = r.b),
-        root AS (SELECT a, min(b) AS root FROM reach GROUP BY a)
-        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(root.root, d.doc_id) AS component_id,
-               d.doc_id = coalesce(root.root, d.doc_id) AS kept
-        FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN sets ON sets.doc_id = d.doc_id LEFT JOIN root ON root.a = sets.rep""",
+    "op6_minhash": _similar(85, ", d.doc_id = coalesce(root.root, d.doc_id) AS kept"),
     "op1_exact_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
