@@ -80,6 +80,8 @@ FROM events GROUP BY user_id, CAST(ts AS DATE)""",
     "fx_episodes": """
 SELECT concat('e', event_id) AS id, concat('s', user_id, '_', CAST(CAST(ts AS DATE) AS VARCHAR(10))) AS session_id,
   concat('p', user_id % 4) AS project, ts, concat('sig', event_id % (SELECT count(*) FROM events WHERE event_type = 'error')) AS signal FROM events WHERE event_type = 'error'""",
+    "fx_episode_vectors": """
+SELECT concat('e', b.event_id) AS id, e.embedding AS embedding FROM events b CROSS JOIN (SELECT count(*) AS n FROM embeddings) k JOIN embeddings e ON e.vec_id = (b.event_id * 7) % k.n WHERE b.event_type = 'error' AND b.event_id % 3 <> 0""",
     "fx_validations": """
 SELECT concat('v', event_id) AS id, concat('c', (user_id * 7 + event_id % 5) % (SELECT count(*) FROM documents)) AS chunk_id,
   CASE event_id % 6 WHEN 0 THEN 'shown' WHEN 1 THEN 'observed' WHEN 2 THEN 'contradicted' WHEN 3 THEN 'irrelevant' ELSE 'supported' END AS verdict,

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memspark.fixtures import view
+from memspark.tables import stored
 
 
 @dataclass(frozen=True)
@@ -44,6 +46,7 @@ class Params:
     w_lexical: float = 0.25
     w_confidence: float = 0.10
     w_context: float = 0.15
+    w_spread: float = 0.0
     w_activation: float = 0.08
     pending_penalty: float = 0.60
     anti_penalty: float = 0.60
@@ -71,7 +74,7 @@ class Params:
 
 
 #: Lower bounds for the registered queries: the fixtures' events are spread too thin for the defaults.
-THIN = Params(repeat_select_min=3, hub_select_min=3, failure_min_uses=2, recurring_min=2, proposal_score=2.0, negative_score=2.5, episode_days=20, compact_days=20, retain_days=20, appraise_strength=0.25, min_evidence=1, conflict_ceiling=0.2)
+THIN = Params(w_spread=0.10, repeat_select_min=3, hub_select_min=3, failure_min_uses=2, recurring_min=2, proposal_score=2.0, negative_score=2.5, episode_days=20, compact_days=20, retain_days=20, appraise_strength=0.25, min_evidence=1, conflict_ceiling=0.2)
 
 
 class Library:
@@ -80,6 +83,7 @@ class Library:
     def __init__(self, spark: SparkSession, sf_dir: str, as_of: str = "2024-01-31 00:00:00", params: Params | None = None) -> None:
         self.spark, self.sf_dir, self.params = spark, sf_dir, params or Params()
         self.as_of: Column = F.lit(as_of).cast("timestamp")
+        self._kept: dict[str, DataFrame] = {}
 
     def _read(self, name: str) -> DataFrame:
         return view(self.spark, self.sf_dir, name)
@@ -95,6 +99,7 @@ class Library:
     oplog = cached_property(lambda self: self._read("fx_oplog"))
     log = cached_property(lambda self: self._read("fx_log"))
     episodes = cached_property(lambda self: self._read("fx_episodes"))
+    episode_vectors = cached_property(lambda self: self._read("fx_episode_vectors"))
     validations = cached_property(lambda self: self._read("fx_validations"))
     #: Stored counters of selections (id, selected_count) and episodes that gave birth to rules (rule_id, session_id).
     counters = cached_property(lambda self: self._read("fx_counters"))
@@ -124,13 +129,27 @@ class Library:
     old_rows = cached_property(lambda self: self._read("fx_old_rows"))
 
     @cached_property
+    def facts(self) -> DataFrame:
+        """Used, selected and outcome events without repeats: the earliest used and selected of a trace and chunk, a trace's latest outcome."""
+        row = F.struct(*[c for c in self.usage.columns])
+        once = self.usage.filter("event IN ('used', 'selected')").groupBy("trace_id", "event", "chunk_id").agg(F.min_by(row, F.struct("ts", "id")).alias("r"))
+        last = self.usage.filter("event IN ('task_ok', 'task_fail')").groupBy("trace_id").agg(F.max_by(row, F.struct("ts", "id")).alias("r"))
+        return once.select("r.*").unionByName(last.select("r.*"))
+
+    @property
     def events(self) -> DataFrame:
-        """Usage without repeats: the earliest used and selected of a trace and chunk, a trace's latest outcome, the rest as it is."""
-        once = F.col("event").isin("used", "selected")
-        outcome = F.col("event").isin("task_ok", "task_fail")
-        keys = Window.partitionBy("trace_id", F.when(outcome, "outcome").otherwise(F.col("event")), F.when(once, F.col("chunk_id")), F.when(~once & ~outcome, F.col("id")))
-        rank = F.when(outcome, F.row_number().over(keys.orderBy(F.desc("ts"), F.desc("id")))).otherwise(F.row_number().over(keys.orderBy("ts", "id")))
-        return self.usage.withColumn("_r", rank).filter("_r = 1").drop("_r")
+        """Usage without repeats; events of other kinds pass as they are."""
+        return self.facts.unionByName(self.usage.filter("NOT coalesce(event IN ('used', 'selected', 'task_ok', 'task_fail'), false)"))
+
+    def settle(self) -> None:
+        """Writes the facts once, for a job that folds them several times."""
+        self.facts = self.kept("facts", lambda: stored(self.facts, "facts"))
+
+    def kept(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """What ``build`` gives, built once for this library."""
+        if name not in self._kept:
+            self._kept[name] = build()
+        return self._kept[name]
 
 
 def days_between(later: Column, earlier: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,7 +30,9 @@ def contributors(lib: Library) -> DataFrame:
     caution = F.col("anti") | F.col("fail_origin") | (F.col("w_context") < 0)
     affirm = (F.col("t") >= p.appraise_trigger) & (F.round(record, 6) > 0)
     order = Window.partitionBy("query_id").orderBy(F.desc("strength"), "chunk_id")
-    x = scored(lib).select("query_id", "chunk_id", F.when(caution, "caution").when(affirm, "affirm").otherwise("neutral").alias("valence"), strength.alias("strength"))
+    # The critic gathers its candidates by resonance alone: nothing comes in along entities.
+    heard = scored(lib if p.w_spread == 0 else Library(lib.spark, lib.sf_dir, params=replace(p, w_spread=0.0)))
+    x = heard.select("query_id", "chunk_id", F.when(caution, "caution").when(affirm, "affirm").otherwise("neutral").alias("valence"), strength.alias("strength"))
     x = x.filter(F.col("strength") >= p.appraise_strength).withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= p.appraise_top).drop("nth")
     signs = context_stats(lib).join(lib.queries.select("query_id", "context_key"), "context_key").select("query_id", "chunk_id", F.lit(True).alias("signed")).distinct()
     seen = observed_outcomes(lib).select("chunk_id", F.lit(True).alias("seen"))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from memspark.library import Library
 from memspark.operators.listing import recallable
-from memspark.operators.retrieval import candidates
 
 # What is trimmed off a token, which signs a name may have, and how many entities a text gives.
 TRIM = r"""["'`,;.()\[\]{}?!<>*|=@#%\\]+"""
@@ -52,11 +51,11 @@ def entity_index(lib: Library) -> DataFrame:
     return entities(lib.code, "id", "content", "trigger_desc").withColumnRenamed("id", "chunk_id")
 
 
-def spread(lib: Library) -> DataFrame:
+def spread(lib: Library, candidates: DataFrame) -> DataFrame:
     """query_id, chunk_id and spread: activation that a query's entities and its best candidates pass on along shared entities.
 
-    A query's own entities weigh 1, those of its spread_seeds best candidates
-    their best similarity.  An entity passes its weight in equal shares to the
+    A query's own entities weigh 1, those of its spread_seeds best ``candidates``
+    (query_id, chunk_id, c, t, l) their best similarity.  An entity passes its weight in equal shares to the
     chunks that have it; one with over spread_fan chunks passes nothing.  Shares
     are summed and divided by the query's largest sum.  Only chunks valid for
     recall are returned.
@@ -64,7 +63,7 @@ def spread(lib: Library) -> DataFrame:
     p = lib.params
     index = entity_index(lib)
     order = Window.partitionBy("query_id").orderBy(F.desc("base"), "chunk_id")
-    seeds = candidates(lib).withColumn("base", F.greatest("c", "t", "l")).filter("base > 0").withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= p.spread_seeds)
+    seeds = candidates.withColumn("base", F.greatest("c", "t", "l")).filter("base > 0").withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= p.spread_seeds)
     own = entities(lib.queries, "query_id", "query").select("query_id", "entity", F.lit(1.0).alias("a"))
     lent = seeds.join(index, "chunk_id").select("query_id", "entity", F.col("base").alias("a"))
     source = own.unionByName(lent).groupBy("query_id", "entity").agg(F.sum("a").alias("a"))

@@ -11,8 +11,8 @@ from memspark.library import Library, days_between, whole_days_between
 def success_facts(lib: Library) -> DataFrame:
     """Chunk and trace used after the chunk's cutoff, in a trace that ended well, by event or by log."""
     cut = lib.chunks.select(F.col("id").alias("chunk_id"), F.coalesce("evidence_cutoff_at", F.lit("1970-01-01").cast("timestamp")).alias("cut"))
-    good = lib.events.filter("event = 'task_ok'").select("trace_id").unionByName(lib.log.filter("outcome = 'ok'").select("trace_id")).distinct()
-    used = lib.events.filter("event = 'used'").join(cut, "chunk_id").filter("ts > cut")
+    good = lib.facts.filter("event = 'task_ok'").select("trace_id").unionByName(lib.log.filter("outcome = 'ok'").select("trace_id")).distinct()
+    used = lib.facts.filter("event = 'used'").join(cut, "chunk_id").filter("ts > cut")
     return used.join(good, "trace_id", "left_semi").groupBy("chunk_id", "trace_id").agg(F.max("ts").alias("succeeded_at"))
 
 
@@ -22,13 +22,14 @@ def success_counts(lib: Library) -> DataFrame:
     return lib.chunks.join(facts, F.col("id") == F.col("chunk_id"), "left").select("id", F.coalesce("n", F.lit(0)).cast("long").alias("successes"), F.col("last").alias("last_success_at"))
 
 
-def usage_counts(lib: Library) -> DataFrame:
-    """Selected and used counts after the cutoff, and the last use."""
-    cut = lib.chunks.select("id", F.coalesce("evidence_cutoff_at", F.lit("1970-01-01").cast("timestamp")).alias("cut"))
-    x = lib.events.filter("event IN ('selected', 'used')").join(cut, F.col("chunk_id") == cut.id).filter("ts > cut").drop(cut.id)
+def usage_counts(lib: Library, only: DataFrame | None = None) -> DataFrame:
+    """Selected and used counts after the cutoff, and the last use; ``only`` (chunk_id) narrows the chunks."""
+    chunks = lib.chunks if only is None else lib.chunks.join(only, F.col("id") == F.col("chunk_id"), "left_semi")
+    cut = chunks.select("id", F.coalesce("evidence_cutoff_at", F.lit("1970-01-01").cast("timestamp")).alias("cut"))
+    x = lib.facts.filter("event IN ('selected', 'used')").join(cut, F.col("chunk_id") == cut.id).filter("ts > cut").drop(cut.id)
     n = x.groupBy("chunk_id").agg(F.count_if(F.col("event") == "selected").alias("s"), F.count_if(F.col("event") == "used").alias("u"), F.max(F.when(F.col("event") == "used", F.col("ts"))).alias("last"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    return lib.chunks.join(n, F.col("id") == F.col("chunk_id"), "left").select("id", zero("s").alias("selected"), zero("u").alias("used"), F.col("last").alias("last_used_at"))
+    return chunks.join(n, F.col("id") == F.col("chunk_id"), "left").select("id", zero("s").alias("selected"), zero("u").alias("used"), F.col("last").alias("last_used_at"))
 
 
 def purged_usage(lib: Library, before_days: int = 7) -> DataFrame:
@@ -51,35 +52,39 @@ INFERRED = 0.15
 _KIND_RANK = {"outcome_ok": 1, "outcome_fail": 1, "selected_unused": 2, "feedback_up": 3, "feedback_down": 3}
 
 
-def outcome_evidence(lib: Library) -> DataFrame:
+def _among(df: DataFrame, only: DataFrame | None) -> DataFrame:
+    return df if only is None else df.join(only, "chunk_id", "left_semi")
+
+
+def outcome_evidence(lib: Library, only: DataFrame | None = None) -> DataFrame:
     """Evidence of outcomes: target 1 or 0 for each chunk that a trace with an outcome used, the step shared by its uses."""
-    used = lib.events.filter("event = 'used'").select("id", "trace_id", "chunk_id", "attribution", "ts")
+    used = lib.facts.filter("event = 'used'").select("id", "trace_id", "chunk_id", "attribution", "ts")
     n = used.groupBy("trace_id").agg(F.count(F.lit(1)).alias("n_used"))
-    out = lib.events.filter("event IN ('task_ok', 'task_fail')").select("trace_id", F.col("event").alias("outcome"))
+    out = lib.facts.filter("event IN ('task_ok', 'task_fail')").select("trace_id", F.col("event").alias("outcome"))
     strength = F.lit(INFERRED)
     for name, value in ATTRIBUTION.items():
         strength = F.when(F.col("attribution") == name, value).otherwise(strength)
     good = F.col("outcome") == "task_ok"
-    x = used.join(n, "trace_id").join(out, "trace_id")
+    x = _among(used, only).join(n, "trace_id").join(out, "trace_id")
     alpha = F.least(F.lit(1.0), STEP * (strength / F.col("n_used")) * F.when(good, 1.0).otherwise(FAILED))
     return x.select(F.col("id").cast("string").alias("id"), "chunk_id", "trace_id", F.when(good, "outcome_ok").otherwise("outcome_fail").alias("kind"), "ts", F.when(good, 1.0).otherwise(0.0).alias("target"), alpha.alias("alpha"))
 
 
-def unused_evidence(lib: Library) -> DataFrame:
+def unused_evidence(lib: Library, only: DataFrame | None = None) -> DataFrame:
     """Evidence against chunks that a trace selected and, by a complete report, did not use."""
     complete = lib.log.filter("usage_state IN ('known_some', 'known_none')").select("trace_id")
-    used = lib.events.filter("event = 'used'").select("trace_id", "chunk_id")
-    x = lib.events.filter("event = 'selected'").join(complete, "trace_id", "left_semi").join(used, ["trace_id", "chunk_id"], "left_anti")
+    used = lib.facts.filter("event = 'used'").select("trace_id", "chunk_id")
+    x = _among(lib.facts.filter("event = 'selected'"), only).join(complete, "trace_id", "left_semi").join(used, ["trace_id", "chunk_id"], "left_anti")
     return x.select(F.col("id").cast("string").alias("id"), "chunk_id", "trace_id", F.lit("selected_unused").alias("kind"), "ts", F.lit(0.0).alias("target"), F.lit(STEP * UNUSED).alias("alpha"))
 
 
-def feedback_evidence(lib: Library) -> DataFrame:
+def feedback_evidence(lib: Library, only: DataFrame | None = None) -> DataFrame:
     """Evidence of the last signal of each trace about a chunk, weighed up to 1.5 the sooner it follows the chunk's last use.
 
     A chunk without a use counts as used on the day.
     """
-    last = usage_counts(lib).select(F.col("id").alias("chunk_id"), "last_used_at")
-    at = lib.feedback.groupBy("trace_id", "chunk_id").agg(F.max(F.struct("ts", "id", "signal", "strength")).alias("f"))
+    last = usage_counts(lib, only).select(F.col("id").alias("chunk_id"), "last_used_at")
+    at = _among(lib.feedback, only).groupBy("trace_id", "chunk_id").agg(F.max(F.struct("ts", "id", "signal", "strength")).alias("f"))
     x = at.select("trace_id", "chunk_id", "f.*").join(last, "chunk_id")
     gap = F.coalesce(whole_days_between(F.col("ts"), F.col("last_used_at")), F.lit(0))
     weight = F.least(F.lit(1.5), 1.0 + 0.5 * F.pow(F.lit(0.5), gap / 14.0))
@@ -88,14 +93,14 @@ def feedback_evidence(lib: Library) -> DataFrame:
     return x.select(F.col("id").cast("string").alias("id"), "chunk_id", "trace_id", F.concat(F.lit("feedback_"), "signal").alias("kind"), "ts", F.when(up, 1.0).otherwise(0.0).alias("target"), alpha.alias("alpha"))
 
 
-def evidence(lib: Library) -> DataFrame:
+def evidence(lib: Library, only: DataFrame | None = None) -> DataFrame:
     """All evidence about chunks that are no sparks: id, chunk_id, trace_id, kind, ts, target and alpha."""
     real = lib.chunks.filter("origin <> 'spark'").select(F.col("id").alias("chunk_id"))
-    x = outcome_evidence(lib).unionByName(unused_evidence(lib)).unionByName(feedback_evidence(lib))
+    x = outcome_evidence(lib, only).unionByName(unused_evidence(lib, only)).unionByName(feedback_evidence(lib, only))
     return x.join(real, "chunk_id", "left_semi").select("id", "chunk_id", "trace_id", "kind", "ts", "target", "alpha")
 
 
-def folded(lib: Library) -> DataFrame:
+def folded(lib: Library, only: DataFrame | None = None) -> DataFrame:
     """Confidence after a chunk's evidence in order (time, rank and name of kind, id): c <- c + alpha * (target - c).
 
     All steps keep c within [0, 1], so a run of steps is one affine map, and maps
@@ -110,19 +115,19 @@ def folded(lib: Library) -> DataFrame:
     listed = F.array_sort(F.collect_list(F.struct("ts", rank.alias("rank"), "kind", "id", "target", "alpha"))).alias("e")
     start = F.struct(F.lit(1.0).alias("keep"), F.lit(0.0).alias("add"))
     step = lambda acc, e: F.struct((acc["keep"] * (1 - e["alpha"])).alias("keep"), (acc["add"] * (1 - e["alpha"]) + e["alpha"] * e["target"]).alias("add"))
-    days = evidence(lib).groupBy("chunk_id", day.alias("day")).agg(listed).select("chunk_id", "day", F.size("e").alias("n"), F.aggregate("e", start, step).alias("m"), F.element_at("e", -1)["kind"].alias("last"))
+    days = evidence(lib, only).groupBy("chunk_id", day.alias("day")).agg(listed).select("chunk_id", "day", F.size("e").alias("n"), F.aggregate("e", start, step).alias("m"), F.element_at("e", -1)["kind"].alias("last"))
     x = days.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("day", "m", "last"))).alias("d"), F.sum("n").cast("long").alias("n_evidence"))
     x = x.join(lib.chunks.select("id", "confidence_base"), F.col("chunk_id") == F.col("id"))
     whole = F.aggregate("d", F.col("confidence_base"), lambda c, e: c * e["m"]["keep"] + e["m"]["add"])
     return x.select("chunk_id", "n_evidence", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), whole)), 8).alias("confidence"), F.element_at("d", -1)["last"].alias("reason"))
 
 
-def context_stats(lib: Library) -> DataFrame:
+def context_stats(lib: Library, only: DataFrame | None = None) -> DataFrame:
     """Successes, failures and feedback of a chunk by context; feedback counts after the chunk's cutoff."""
     of = lib.log.filter("context_key IS NOT NULL").select("trace_id", "context_key")
     real = lib.chunks.select(F.col("id").alias("chunk_id"), "origin", "evidence_cutoff_at")
-    done = outcome_evidence(lib).join(of, "trace_id").join(real.filter("origin <> 'spark'"), "chunk_id").select("chunk_id", "context_key", "kind")
-    said = lib.feedback.filter("context_key IS NOT NULL").join(real, "chunk_id", "left").filter("evidence_cutoff_at IS NULL OR ts > evidence_cutoff_at")
+    done = outcome_evidence(lib, only).join(of, "trace_id").join(real.filter("origin <> 'spark'"), "chunk_id").select("chunk_id", "context_key", "kind")
+    said = _among(lib.feedback.filter("context_key IS NOT NULL"), only).join(real, "chunk_id", "left").filter("evidence_cutoff_at IS NULL OR ts > evidence_cutoff_at")
     both = done.unionByName(said.select("chunk_id", "context_key", F.col("signal").alias("kind")))
     n = lambda kind, name: F.count_if(F.col("kind") == kind).alias(name)
     return both.groupBy("chunk_id", "context_key").agg(n("outcome_ok", "success_count"), n("outcome_fail", "failure_count"), n("up", "positive_feedback"), n("down", "negative_feedback"))
@@ -172,7 +177,7 @@ def usage_states(lib: Library) -> DataFrame:
 
 def counter_baseline(lib: Library) -> DataFrame:
     """What a stored counter of selections holds beyond the retained ones, at least 0.  ``counters``: id, selected_count."""
-    facts = lib.events.filter("event = 'selected'").groupBy("chunk_id").agg(F.count(F.lit(1)).alias("kept"))
+    facts = lib.facts.filter("event = 'selected'").groupBy("chunk_id").agg(F.count(F.lit(1)).alias("kept"))
     x = lib.counters.join(facts, F.col("id") == F.col("chunk_id"), "left")
     return x.select("id", F.greatest(F.lit(0), F.col("selected_count") - F.coalesce("kept", F.lit(0))).cast("long").alias("base"))
 

@@ -12,8 +12,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memspark.library import Library
+from memspark.operators.entities import spread
 from memspark.operators.evidence import context_stats, folded, usage_counts
 from memspark.operators.listing import activation, recallable
+from memspark.operators.packing import Trim, expanded, packed_blocks, seed_first
+from memspark.tables import stored
 
 #: Bytes of query vectors up to which they are sent to every task; beyond, both sides are dealt into blocks.
 BATCH_BYTES = 64 << 20
@@ -39,44 +42,54 @@ def lexical_tokens(lib: Library) -> DataFrame:
     return lib.queries.select("query_id", F.array_join(query_words(F.col("query")), " ").alias("words"))
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+def _matrices(column: pa.ChunkedArray | pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Rows and matrix of the vectors of each length."""
     lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return lists.flatten().to_numpy().astype(np.float64).reshape(len(lists), -1) if len(lists) else np.zeros((0, 0))
+    lengths = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    values, starts = lists.flatten().to_numpy().astype(np.float64), np.cumsum(lengths) - lengths
+    rows = {int(n): np.flatnonzero(lengths == n) for n in np.unique(lengths)}
+    return {n: (at, values[starts[at][:, None] + np.arange(n)]) for n, at in rows.items() if n}
 
 
-def _best(query_ids: np.ndarray, q: np.ndarray, chunk_ids: np.ndarray, v: np.ndarray, k: int) -> pa.Table:
-    """Best ``k`` rows of ``v`` for each of ``q``, and what ties with the last of them."""
+def _best(query_ids: np.ndarray, queries: dict, chunk_ids: np.ndarray, vectors: dict, k: int) -> pa.Table:
+    """Best ``k`` vectors for each query of the same length, and what ties with the last of them."""
     ids, chunks, sims = [], [], []
-    for at in range(0, len(q), 256) if len(v) and len(q) and q.shape[1] == v.shape[1] else ():
-        scores = np.round(q[at : at + 256] @ v.T, 6)
-        keep = min(k, scores.shape[1])
-        floor = np.partition(scores, scores.shape[1] - keep, axis=1)[:, scores.shape[1] - keep]
-        row, col = np.nonzero(scores >= floor[:, None])
-        ids.append(query_ids[at + row])
-        chunks.append(chunk_ids[col])
-        sims.append(scores[row, col])
+    for length in queries.keys() & vectors.keys():
+        (asking, q), (given, v) = queries[length], vectors[length]
+        for at in range(0, len(q), 256):
+            scores = np.round(q[at : at + 256] @ v.T, 6)
+            keep = min(k, scores.shape[1])
+            floor = np.partition(scores, scores.shape[1] - keep, axis=1)[:, scores.shape[1] - keep]
+            row, col = np.nonzero(scores >= floor[:, None])
+            ids.append(query_ids[asking[at + row]])
+            chunks.append(chunk_ids[given[col]])
+            sims.append(scores[row, col])
     join = lambda x, kind: pa.array(np.concatenate(x) if x else [], kind)
     return pa.table({"query_id": join(ids, pa.int64()), "chunk_id": join(chunks, pa.string()), "sim": join(sims, pa.float64())})
 
 
+def _finite(vector: Column) -> Column:
+    return vector.isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
+
+
 def vector_hits(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """Best ``k`` vectors of each query by inner product (6 places), ties to the smaller chunk.
 
     Products of blocks; each task keeps the best ``k`` of a block before anything
     is shuffled.  Up to BATCH_BYTES of queries go to the vectors where they are,
-    more are dealt into a grid of blocks.  Null vectors take no part, a query and
-    vectors of other length give no hit.
+    more are dealt into a grid of blocks.  Vectors that are null or hold null or
+    non-finite components take no part; a query meets vectors of its length only.
     """
-    q = queries.filter("vec IS NOT NULL").select(F.col("query_id").cast("long"), F.col("vec").cast("array<double>").alias("vec"))
-    v = vectors.filter("embedding IS NOT NULL").select("chunk_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    q = queries.filter(_finite(F.col("vec"))).select(F.col("query_id").cast("long"), F.col("vec").cast("array<double>").alias("vec"))
+    v = vectors.filter(_finite(F.col("embedding"))).select("chunk_id", F.col("embedding").cast("array<double>").alias("embedding"))
     size = q.agg(F.coalesce(F.sum(F.size("vec") * 8 + 8), F.lit(0)), F.count(F.lit(1))).first()
     if size[0] <= BATCH_BYTES:
         held = q.toArrow()
-        ids, matrix = held.column("query_id").to_numpy(), _matrix(held.column("vec"))
+        ids, matrix = held.column("query_id").to_numpy(), _matrices(held.column("vec"))
 
         def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield from _best(ids, matrix, np.array(batch.column(0).to_pylist(), object), _matrix(batch.column(1)), k).to_batches()
+                yield from _best(ids, matrix, np.array(batch.column(0).to_pylist(), object), _matrices(batch.column(1)), k).to_batches()
 
         x = v.mapInArrow(near, "query_id long, chunk_id string, sim double")
     else:
@@ -86,7 +99,7 @@ def vector_hits(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
         given = v.withColumns({"cb": F.pmod(F.xxhash64("chunk_id"), F.lit(across)).cast("int"), "qb": series(down)})
 
         def cell(one: pa.Table, two: pa.Table) -> pa.Table:
-            return _best(one.column("query_id").to_numpy(), _matrix(one.column("vec")), np.array(two.column("chunk_id").to_pylist(), object), _matrix(two.column("embedding")), k)
+            return _best(one.column("query_id").to_numpy(), _matrices(one.column("vec")), np.array(two.column("chunk_id").to_pylist(), object), _matrices(two.column("embedding")), k)
 
         x = asked.groupBy("qb", "cb").cogroup(given.groupBy("qb", "cb")).applyInArrow(cell, "query_id long, chunk_id string, sim double")
     order = Window.partitionBy("query_id").orderBy(F.desc("sim"), "chunk_id")
@@ -175,35 +188,54 @@ def candidates(lib: Library, lexical_only: bool = False) -> DataFrame:
     return x.select("query_id", "chunk_id", lifted.alias("c"), zero("t").alias("t"), zero("l").alias("l"))
 
 
+def spread_hits(lib: Library) -> DataFrame:
+    """query_id, chunk_id and spread: what shared entities pass on from a query and its best candidates."""
+    return spread(lib, candidates(lib))
+
+
 def scored(lib: Library, lexical_only: bool = False) -> DataFrame:
-    """Candidates with their weighted channels, fused and gate score.
+    """Candidates with their weighted channels, fused and gate score, as a table that is written once.
 
-    The gate score carries the anti-trigger penalty but not that of pending
-    chunks.  Confidence is that after the evidence, or the base without any.
+    With a weight for it, activation spread along entities is a channel that may
+    add candidates.  The gate score carries the anti-trigger penalty but not that
+    of pending chunks.  Confidence is that after the evidence, or the base without
+    any.  Evidence, counts and contexts are folded for the candidates alone.
     """
+    return lib.kept(f"scored-{lexical_only}", lambda: _scored(lib, lexical_only))
+
+
+def _scored(lib: Library, lexical_only: bool) -> DataFrame:
     p = lib.params
-    conf = folded(lib).select("chunk_id", "confidence")
-    uses = usage_counts(lib).select(F.col("id").alias("chunk_id"), "used", "last_used_at")
-    stats = context_scores(context_stats(lib), p.prior_m, p.base_rate).select("chunk_id", "context_key", "context_score")
+    found = stored(candidates(lib, lexical_only), "candidates").withColumn("s", F.lit(0.0))
+    if p.w_spread > 0:
+        near = spread(lib, found.drop("s"))
+        zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
+        found = stored(found.drop("s").join(near.withColumnRenamed("spread", "s"), ["query_id", "chunk_id"], "full_outer").select("query_id", "chunk_id", *map(zero, "ctls")), "spread")
+    lib.settle()
+    only = stored(found.select("chunk_id").distinct(), "found")
+    conf = folded(lib, only).select("chunk_id", "confidence")
+    uses = usage_counts(lib, only).select(F.col("id").alias("chunk_id"), "used", "last_used_at")
+    stats = context_scores(context_stats(lib, only), p.prior_m, p.base_rate).select("chunk_id", "context_key", "context_score")
     size = F.octet_length("content")
     chunks = lib.chunks.select(F.col("id").alias("chunk_id"), "state", "confidence_base", "anti_trigger_desc", "token_count", (F.ltrim("content").startswith("Avoid:") | (F.coalesce("anti_trigger_desc", F.lit("")) != "")).alias("fail_origin"), F.when(size > p.length_free, -p.length_weight * F.log(size / p.length_free)).otherwise(F.lit(0.0)).alias("w_length"))
     asked = lib.queries.select("query_id", F.lower("query").alias("q"), "context_key")
-    x = candidates(lib, lexical_only).join(chunks, "chunk_id").join(conf, "chunk_id", "left").join(uses, "chunk_id", "left").join(asked, "query_id").join(stats, ["chunk_id", "context_key"], "left")
+    x = found.join(chunks, "chunk_id").join(conf, "chunk_id", "left").join(uses, "chunk_id", "left").join(asked, "query_id").join(stats, ["chunk_id", "context_key"], "left")
     anti = F.exists(F.split(F.lower("anti_trigger_desc"), ","), lambda part: (F.trim(part) != "") & F.contains(F.col("q"), F.trim(part)))
     x = x.select(
         "query_id", "chunk_id", "state", "token_count", "t", "fail_origin",
-        (p.w_content * F.col("c")).alias("w_content"), (p.w_trigger * F.col("t")).alias("w_trigger"), (p.w_lexical * F.col("l")).alias("w_lexical"),
+        (p.w_content * F.col("c")).alias("w_content"), (p.w_trigger * F.col("t")).alias("w_trigger"), (p.w_lexical * F.col("l")).alias("w_lexical"), (p.w_spread * F.col("s")).alias("w_spread"),
         (p.w_confidence * F.coalesce("confidence", "confidence_base")).alias("w_confidence"), (p.w_context * F.coalesce("context_score", F.lit(0.0))).alias("w_context"),
         (p.w_activation * activation(F.col("used"), F.col("last_used_at"), lib.as_of)).alias("w_activation"), "w_length",
         F.coalesce(anti, F.lit(False)).alias("anti"),
     )
     total = sum((F.col(f"w_{c}") for c in CHANNELS), F.col("w_length"))
     gate = total * F.when(F.col("anti"), p.anti_penalty).otherwise(1.0)
-    return x.withColumn("gate", F.round(gate, 6)).withColumn("score", F.round(gate * F.when(F.col("state") == "pending", p.pending_penalty).otherwise(1.0), 6))
+    x = x.withColumn("gate", F.round(gate, 6)).withColumn("score", F.round(gate * F.when(F.col("state") == "pending", p.pending_penalty).otherwise(1.0), 6))
+    return stored(x, "scored")
 
 
 #: Channels of the fused score that can explain a match; the length penalty is the ninth term.
-CHANNELS = ("content", "trigger", "lexical", "confidence", "context", "activation")
+CHANNELS = ("content", "trigger", "lexical", "spread", "confidence", "context", "activation")
 
 
 def recall(lib: Library, lexical_only: bool = False) -> DataFrame:
@@ -231,44 +263,33 @@ def lexical_recall(lib: Library) -> DataFrame:
 
 
 def hook_recall(lib: Library) -> DataFrame:
-    """Recall as an agent's hook asks for it: gate 0.40, a budget of 4,000 tokens, the first five."""
-    return packed(Library(lib.spark, lib.sf_dir, params=replace(lib.params, min_score=0.40)), 4000).filter("pos <= 5")
-
+    """Recall as an agent's hook asks for it: gate 0.40, a budget of 4,000 tokens, no dependencies, the first five.
 
-def packed(lib: Library, budget: int = 1200) -> DataFrame:
-    """query_id, pos, chunk_id, tokens and pass of what fits a token budget.
-
-    First in order of score, each chunk that still fits; then of those left the
-    densest (score by token) that fit.  A query has at most top_k candidates, so
-    its list is short.
+    A query without a usable vector is recalled by its words alone.
     """
-    listed = recall(lib).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "score", F.col("token_count").alias("cost")))).alias("list"))
-    item = "struct<rank:int,chunk_id:string,score:double,cost:bigint>"
-    start = lambda used: F.struct(used.alias("used"), F.array().cast(f"array<{item}>").alias("taken"))
+    gated = Library(lib.spark, lib.sf_dir, params=replace(lib.params, min_score=0.40))
+    gated.queries = lib.queries.filter(_finite(F.col("vec")))
+    words = Library(lib.spark, lib.sf_dir, params=gated.params)
+    words.queries = lib.queries.filter(~F.coalesce(_finite(F.col("vec")), F.lit(False)))
+    found = recall(gated)
+    if not words.queries.isEmpty():
+        found = found.unionByName(recall(words, lexical_only=True))
+    return packed_blocks(expanded(lib, found, "false"), 4000).filter("pos <= 5").drop("seed")
 
-    def fit(acc: Column, e: Column) -> Column:
-        ok = acc["used"] + e["cost"] <= budget
-        return F.struct(F.when(ok, acc["used"] + e["cost"]).otherwise(acc["used"]).alias("used"), F.when(ok, F.concat(acc["taken"], F.array(e))).otherwise(acc["taken"]).alias("taken"))
 
-    x = listed.withColumn("one", F.aggregate("list", start(F.lit(0).cast("long")), fit))
-    dense = F.transform(F.array_except("list", F.col("one.taken")), lambda e: F.struct((-e["score"] / F.greatest(e["cost"], F.lit(1))).alias("d"), e["rank"].alias("rank"), e.alias("e")))
-    x = x.withColumn("two", F.aggregate(F.transform(F.array_sort(dense), lambda d: d["e"]), start(F.col("one.used")), fit))
-    both = F.concat(F.transform("one.taken", lambda e: F.struct(e.alias("e"), F.lit("order").alias("by"))), F.transform("two.taken", lambda e: F.struct(e.alias("e"), F.lit("density").alias("by"))))
-    y = x.select("query_id", F.posexplode(both).alias("at", "x"))
-    return y.select("query_id", (F.col("at") + 1).alias("pos"), F.col("x.e.chunk_id").alias("chunk_id"), F.col("x.e.cost").alias("tokens"), F.col("x.by").alias("pass"))
+def ranking(lib: Library) -> DataFrame:
+    """Recall, written once for all that reads it."""
+    return lib.kept("recall", lambda: stored(recall(lib), "recall"))
 
 
-def direct_blocks(lib: Library) -> DataFrame:
-    """Each recall-valid chunk with its hard dependencies: number, tokens of the block, and why it is skipped.
+def packed(lib: Library, budget: int = 1200, expand: str = "closure", trim: Trim | None = None) -> DataFrame:
+    """query_id, pos, chunk_id, tokens, pass and seed of what fits a token budget, chunks with all they depend on."""
+    return packed_blocks(expanded(lib, ranking(lib), expand), budget, trim)
 
-    A hard dependency that is missing or not valid for recall makes the whole block unavailable.
-    """
-    ok = recallable(lib.chunks, lib.params.embed_version).select("id", "token_count")
-    hard = lib.deps.filter("kind = 'hard'").select("src", "dst").distinct().join(ok.select(F.col("id").alias("dst"), F.col("token_count").alias("cost")), "dst", "left")
-    n = hard.groupBy("src").agg(F.count(F.lit(1)).alias("deps"), F.count_if(F.col("cost").isNull()).alias("lost"), F.sum("cost").alias("cost"))
-    x = ok.join(n, F.col("id") == F.col("src"), "left")
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    return x.select("id", zero("deps").alias("deps"), (F.col("token_count") + zero("cost")).alias("tokens"), F.when(F.col("lost") > 0, "hard_dep_unavailable").alias("skip_reason"))
+
+def trimmed(lib: Library) -> DataFrame:
+    """Packing with a trimmer that keeps a block's seed where its dependencies do not fit."""
+    return packed(lib, 1200, "closure", seed_first)
 
 
 def ranking_metrics(lib: Library, k: int = 10) -> DataFrame:
@@ -283,12 +304,33 @@ def ranking_metrics(lib: Library, k: int = 10) -> DataFrame:
     return x.select("query_id", F.round(F.col("h") / k, 6).alias("precision"), F.round(F.col("h") / F.col("relevant"), 6).alias("recall"), F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 6).alias("rr"), F.round(F.col("dcg") / ideal, 6).alias("ndcg"))
 
 
-def trace_events(lib: Library, budget: int = 1200) -> DataFrame:
-    """What a recall leaves in the log: each retrieved chunk with its rank, score and why it was skipped, each selected one with its place."""
-    fits = packed(lib, budget).select("query_id", "chunk_id", "pos")
-    x = recall(lib).select("query_id", "chunk_id", "rank", "score").join(fits, ["query_id", "chunk_id"], "left")
-    seen = x.select("query_id", "chunk_id", F.lit("retrieved").alias("event"), "rank", "score", F.when(F.col("pos").isNull(), "budget").alias("skip_reason"))
-    return seen.unionByName(x.filter("pos IS NOT NULL").select("query_id", "chunk_id", F.lit("selected").alias("event"), F.col("pos").alias("rank"), "score", F.lit(None).cast("string").alias("skip_reason")))
+def trace_events(lib: Library, budget: int = 1200, expand: str = "closure") -> DataFrame:
+    """What a recall leaves in the log: query_id, chunk_id, event, rank, score and skip_reason.
+
+    ``retrieved``: each ranked chunk, and why it was not taken (its block, or the
+    budget); ``selected``: each chunk taken, with its place, dependencies under
+    the score of the chunk that brought them in; ``spark``: the sparks that came
+    along, by similarity.
+    """
+    found = lib.kept(f"blocks-{expand}", lambda: stored(expanded(lib, ranking(lib), expand), "blocks"))
+    fits = stored(packed_blocks(found, budget), "packed").select("query_id", "chunk_id", "pos", "seed")
+    none = F.lit(None).cast("string")
+    seen = found.select("query_id", "chunk_id", "rank", "score", "skip_reason").join(fits.select("query_id", "chunk_id", "pos"), ["query_id", "chunk_id"], "left")
+    why = F.when(F.col("pos").isNull(), F.coalesce("skip_reason", F.lit("budget")))
+    seen = seen.select("query_id", "chunk_id", F.lit("retrieved").alias("event"), "rank", "score", why.alias("skip_reason"))
+    taken = fits.join(found.select("query_id", F.col("chunk_id").alias("seed"), "score"), ["query_id", "seed"])
+    taken = taken.select("query_id", "chunk_id", F.lit("selected").alias("event"), F.col("pos").alias("rank"), "score", none.alias("skip_reason"))
+    sparks = spark_hits(lib).select("query_id", "chunk_id", F.lit("spark").alias("event"), "rank", F.col("sim").alias("score"), none.alias("skip_reason"))
+    return seen.unionByName(taken).unionByName(sparks)
+
+
+def recall_snapshots(lib: Library) -> DataFrame:
+    """query_id, retrieved, selected, sparks (chunk ids, comma-joined in order) and tokens: the row that a recall stores for its trace."""
+    e = stored(trace_events(lib), "events")
+    listed = lambda event, name: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("event") == event, F.struct("rank", "chunk_id")))), lambda x: x["chunk_id"]), ",").alias(name)
+    cost = lib.chunks.select(F.col("id").alias("chunk_id"), "token_count")
+    x = e.join(cost, "chunk_id", "left").groupBy("query_id").agg(listed("retrieved", "retrieved"), listed("selected", "selected"), listed("spark", "sparks"), F.sum(F.when(F.col("event") == "selected", F.col("token_count")).otherwise(0)).cast("long").alias("tokens"))
+    return lib.queries.select("query_id").join(x, "query_id", "left").select("query_id", *[F.coalesce(c, F.lit("")).alias(c) for c in ("retrieved", "selected", "sparks")], F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"))
 
 
 def self_labels(lib: Library) -> DataFrame:
@@ -298,16 +340,21 @@ def self_labels(lib: Library) -> DataFrame:
     return a.unionByName(ok.filter("length(body) >= 40").select("chunk_id", F.lit("body").alias("kind"), F.col("body").alias("query")))
 
 
-#: Weights of activation that a sweep compares: none, the default, far too much.
-SWEEP = {"off": 0.0, "default": 0.08, "heavy": 1.0}
+#: Settings that a sweep compares: a channel and its weight, of activation and of spread; none, the default or a light one, far too much.
+SWEEP = {"off": ("activation", 0.0), "default": ("activation", 0.08), "heavy": ("activation", 1.0), "spread_off": ("spread", 0.0), "spread_heavy": ("spread", 1.0)}
 
 
 def weight_sweep(lib: Library, k: int = 5) -> DataFrame:
-    """setting, queries, mean precision, reciprocal rank and misses of recall at ``k`` by weight of activation; candidates are scored once."""
+    """setting, queries, mean precision, reciprocal rank and misses of recall at ``k`` by the weight of a channel; candidates are scored once.
+
+    Without a weight for spread there are no settings of it, as no candidate came by it.
+    """
     p, c = lib.params, F.col
-    settings = F.explode(F.array(*[F.struct(F.lit(name).alias("setting"), F.lit(w / p.w_activation).alias("factor")) for name, w in SWEEP.items()]))
-    x = scored(lib).select("*", settings.alias("s")).select("*", "s.setting", "s.factor")
-    total = sum((c(f"w_{name}") for name in CHANNELS if name != "activation"), c("w_length")) + c("w_activation") * c("factor")
+    held = {"activation": p.w_activation, "spread": p.w_spread}
+    settings = F.explode(F.array(*[F.struct(F.lit(name).alias("setting"), F.lit(channel).alias("channel"), F.lit(w / held[channel]).alias("factor")) for name, (channel, w) in SWEEP.items() if held[channel] > 0]))
+    x = scored(lib).select("*", settings.alias("s")).select("*", "s.setting", "s.channel", "s.factor")
+    weighed = lambda name: c(f"w_{name}") * F.when(c("channel") == name, c("factor")).otherwise(1.0)
+    total = sum((weighed(name) if name in held else c(f"w_{name}") for name in CHANNELS), c("w_length"))
     score = F.round(total * F.when(c("anti"), p.anti_penalty).otherwise(1.0) * F.when(c("state") == "pending", p.pending_penalty).otherwise(1.0), 6)
     order = Window.partitionBy("setting", "query_id").orderBy(F.desc("score"), "chunk_id")
     top = x.withColumn("score", score).withColumn("rank", F.row_number().over(order)).filter(c("rank") <= k)
@@ -328,7 +375,7 @@ def reranked(lib: Library, order: DataFrame | None = None) -> DataFrame:
     Without one, the order of lexical search stands in for a reranker.
     """
     given = order if order is not None else lexical_top(lib).select("query_id", "chunk_id", F.col("rank").alias("pos"))
-    x = recall(lib).join(given, ["query_id", "chunk_id"], "left")
+    x = ranking(lib).join(given, ["query_id", "chunk_id"], "left")
     by = Window.partitionBy("query_id").orderBy(F.asc_nulls_last("pos"), "rank")
     return x.select("query_id", F.row_number().over(by).alias("rank"), "chunk_id", F.col("rank").alias("fused_rank"))
 

@@ -1,4 +1,4 @@
-"""Rules in use: reported verdicts, signals matched against actions, groups of episodes that recur."""
+"""Rules in use: reported verdicts, signals matched against actions, groups of episodes that recur."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from memspark.library import Library
 from memspark.operators.distillation import stripped
 from memspark.operators.graph import components
 from memspark.operators.texts import redacted
+from memspark.operators.vector_links import links
 
 # Verdicts that agents report, words and commands that say nothing, least length of what matches.
 VERDICTS = ["applied", "supported", "contradicted", "irrelevant"]
@@ -21,7 +22,7 @@ GENERIC_COMMANDS = [
     "git commit", "git push", "git pull", "git log", "tsc", "python -m pytest", "go test", "go build", "make test",
 ]
 LEAST_SCORE = 6
-FAN, MEMBERS = 8, 6
+FAN, MEMBERS, MEANING = 8, 6, 0.82
 
 
 def validated_verdicts(lib: Library) -> DataFrame:
@@ -80,18 +81,42 @@ def matched_actions(lib: Library) -> DataFrame:
     return y.select(F.col("action").alias("id"), "chunk_id", "score", "signals", first.alias("shown"))
 
 
+def episode_links(lib: Library) -> DataFrame:
+    """Edges (a, b) of episodes with one signal, of 2 to FAN and two sessions at least, as a star around the smallest id, and of episodes close in meaning."""
+    x = lib.episodes.filter("signal IS NOT NULL AND session_id IS NOT NULL")
+    fan = x.groupBy("signal").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("session_id").alias("s"), F.min("id").alias("centre"))
+    by_signal = x.join(fan.filter(f"n BETWEEN 2 AND {FAN} AND s >= 2"), "signal").filter("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b"))
+    meant = lib.episodes.select("id", F.col("session_id").alias("session")).distinct().join(lib.episode_vectors.select("id", F.col("embedding").alias("vec")), "id")
+    return by_signal.unionByName(links(meant, MEANING))
+
+
 def episode_clusters(lib: Library) -> DataFrame:
-    """id, cluster and nth of episodes that recur over sessions: the MEMBERS first (time, id) of each group.
+    """id, cluster, nth and members of episodes that recur over sessions: the MEMBERS first (time, id) of each group, largest groups first.
 
-    Episodes with one signal are linked if they are 2 to FAN and come from two
-    sessions at least; groups of linked ones that span two sessions stay.  A
-    signal's episodes are linked as a star around the smallest id.
+    Episodes are linked by a signal or, across sessions, by a cosine of MEANING;
+    groups of linked ones that span two sessions stay.
     """
-    x = lib.episodes.filter("signal IS NOT NULL AND session_id IS NOT NULL")
-    fan = x.groupBy("signal").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("session_id").alias("s"), F.min("id").alias("centre"))
-    edges = x.join(fan.filter(f"n BETWEEN 2 AND {FAN} AND s >= 2"), "signal").filter("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b"))
-    of = components(edges).withColumnRenamed("node", "id")
-    grouped = x.select("id", "session_id", "ts").distinct().join(of, "id")
-    wide = grouped.groupBy("component").agg(F.count_distinct("session_id").alias("s")).filter("s >= 2").select("component")
+    of = components(episode_links(lib)).withColumnRenamed("node", "id")
+    grouped = lib.episodes.filter("session_id IS NOT NULL").select("id", "session_id", "ts").distinct().join(of, "id")
+    wide = grouped.groupBy("component").agg(F.count_distinct("session_id").alias("s"), F.least(F.count(F.lit(1)), F.lit(MEMBERS)).cast("long").alias("members"), F.min(F.struct("ts", "id")).alias("first")).filter("s >= 2")
     order = Window.partitionBy("component").orderBy("ts", "id")
-    return grouped.join(wide, "component").withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= MEMBERS).select("id", F.col("component").alias("cluster"), "nth")
+    x = grouped.join(wide, "component").withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= MEMBERS)
+    return x.orderBy(F.desc("members"), "first", "nth").select("id", F.col("component").alias("cluster"), "nth", "members")
+
+
+def episodes_to_embed(lib: Library, per_run: int = 12) -> DataFrame:
+    """The oldest episodes that lack a vector, as many as one run embeds."""
+    x = lib.episodes.select("id", "session_id", "ts").distinct().join(lib.episode_vectors.filter("embedding IS NOT NULL").select("id"), "id", "left_anti")
+    return x.orderBy("ts", "id").limit(per_run).select("id", "session_id")
+
+
+def consumed_episodes(lib: Library) -> DataFrame:
+    """id, state and rule_id of every episode after a run over the clusters: ``ruled`` with the rule that its cluster gave, ``no_rule`` in a cluster that gave none, else ``new``.
+
+    A cluster's rule is the one born of a session of its members; of several the smallest.
+    """
+    shown = episode_clusters(lib).select("id", "cluster").join(lib.episodes.select("id", "session_id").distinct(), "id")
+    gave = shown.join(lib.births.select("session_id", "rule_id").distinct(), "session_id").groupBy("cluster").agg(F.min("rule_id").alias("rule_id"))
+    of = shown.select("id", "cluster").join(gave, "cluster", "left")
+    x = lib.episodes.select("id").distinct().join(of, "id", "left")
+    return x.select("id", F.when(F.col("cluster").isNull(), "new").when(F.col("rule_id").isNull(), "no_rule").otherwise("ruled").alias("state"), "rule_id")

@@ -90,17 +90,55 @@ def ranked(source: str, score: str, k: int) -> str:
     return f"SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY {score} DESC, chunk_id) AS INTEGER) AS rank FROM {source}) WHERE rank <= {k}"
 
 
-def recalled(vectors: bool = True, gate: float | None = None) -> str:
-    """Common table expressions up to ``rec``, the chunks of each query in order."""
+TRIM = r"""["''`,;.()\[\]{}?!<>*|=@#%\\]+"""
+
+
+def entity_rows(source: str, key: str, texts: list[str]) -> str:
+    """Common table expressions up to ``ents``: key, entity and etype of the texts of ``source``."""
+    pieces = "\nUNION ALL ".join(
+        rf"""SELECT {key} AS k, {2 * i} AS part, j * 1000000 + generate_subscripts(w, 1) AS nr, true AS marked, unnest(w) AS tok FROM (SELECT {key}, unnest(spans) AS w, generate_subscripts(spans, 1) AS j FROM (
+            SELECT {key}, list_transform(list_filter(string_split({t}, '`'), lambda p, i: i % 2 = 0 AND i < len(string_split({t}, '`'))), lambda p: string_split_regex(p, '\s+')) AS spans FROM {source}))
+        UNION ALL SELECT {key}, {2 * i + 1}, generate_subscripts(string_split_regex({t}, '\s+'), 1), false, unnest(string_split_regex({t}, '\s+')) FROM {source}"""
+        for i, t in enumerate(texts)
+    )
+    return rf"""pieces AS ({pieces}), cut AS (SELECT *, regexp_replace(tok, '^{TRIM}|{TRIM}$', '', 'g') AS t FROM pieces),
+    kinds AS (SELECT k, part, nr, t, CASE WHEN regexp_matches(t, '^--[\p{{L}}\p{{N}}_:./-]+$') AND strlen(t) >= 4 THEN 'flag' WHEN strlen(t) < 2 THEN NULL WHEN regexp_matches(t, '^[A-Za-z]{{1,4}}[0-9]{{3,}}$') THEN 'error'
+        WHEN named AND (contains(t, '::') OR (contains(t, '/') AND contains(t, '.'))) THEN 'path' WHEN named AND worded AND regexp_matches(t, '[_-]') THEN 'symbol'
+        WHEN regexp_matches(t, '^[\p{{L}}\p{{N}}]+$') AND regexp_matches(t, '\p{{Ll}}\p{{Lu}}') THEN 'symbol' WHEN marked AND named AND worded THEN 'symbol' END AS etype
+        FROM (SELECT *, regexp_matches(t, '^[\p{{L}}\p{{N}}_:./-]+$') AS named, regexp_matches(t, '\p{{L}}') AS worded FROM cut)),
+    named AS (SELECT k, part, nr, etype, CASE WHEN etype = 'path' AND NOT contains(t, '::') THEN regexp_replace(lower(t), '/+$', '') ELSE lower(t) END AS entity FROM kinds WHERE etype IS NOT NULL),
+    once AS (SELECT * FROM named WHERE strlen(entity) >= 2 QUALIFY row_number() OVER (PARTITION BY k, entity ORDER BY part, nr) = 1),
+    ents AS (SELECT k, entity, etype FROM once QUALIFY row_number() OVER (PARTITION BY k ORDER BY part, nr) <= 64)"""
+
+
+def renamed(ctes: str, suffix: str) -> str:
+    for name in ("pieces", "cut", "kinds", "named", "once", "ents"):
+        ctes = ctes.replace(f"{name} AS (", f"{name}{suffix} AS (").replace(f"FROM {name} ", f"FROM {name}{suffix} ").replace(f"FROM {name})", f"FROM {name}{suffix})")
+    return ctes
+
+
+SPREAD = f"""{entity_rows('fx_code', 'id', ['content', 'trigger_desc'])}, {renamed(entity_rows('fx_queries', 'query_id', ['query']), '_q')},
+    seed AS (SELECT query_id, chunk_id, greatest(c, t, l) AS base FROM cand0 WHERE base > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY greatest(c, t, l) DESC, chunk_id) <= 5),
+    src AS (SELECT query_id, entity, sum(a) AS a FROM (SELECT k AS query_id, entity, 1.0::DOUBLE AS a FROM ents_q UNION ALL SELECT query_id, entity, base FROM seed JOIN ents ON k = chunk_id) GROUP BY 1, 2),
+    link AS (SELECT k AS chunk_id, entity FROM ents WHERE k IN (SELECT id FROM fx_chunks WHERE state <> 'archived' AND origin <> 'spark')), fan AS (SELECT entity, count(*) AS fan FROM link GROUP BY 1 HAVING count(*) <= 50),
+    rawa AS (SELECT query_id, chunk_id, sum(a / fan) AS r FROM src JOIN fan USING (entity) JOIN link USING (entity) GROUP BY 1, 2), spr0 AS (SELECT query_id, chunk_id, round(r / max(r) OVER (PARTITION BY query_id), 6) AS spread FROM rawa),
+    spr AS (SELECT * FROM spr0 WHERE chunk_id IN (SELECT id FROM fx_chunks WHERE state <> 'archived' AND origin <> 'spark' AND embed_version >= 1))"""
+
+
+def recalled(vectors: bool = True, gate: float | None = None, spread: bool = True) -> str:
+    """Common table expressions up to ``rec``, the chunks of each query in order; without ``spread`` that channel has no weight."""
+    passed_on = f"""{SPREAD},
+    cand AS (SELECT query_id, chunk_id, coalesce(c, 0) AS c, coalesce(t, 0) AS t, coalesce(l, 0) AS l, coalesce(spread, 0) AS s FROM cand0 FULL JOIN spr USING (query_id, chunk_id))""" if spread else "cand AS (SELECT *, 0.0::DOUBLE AS s FROM cand0)"
     near = f"""UNION ALL SELECT query_id, chunk_id, sim, 0, 0 FROM ({hits('fx_vec_content', 40)}) UNION ALL SELECT query_id, chunk_id, 0, sim, 0 FROM ({hits('fx_vec_trigger', 40)})""" if vectors else ""
-    names = ("content", "trigger", "lexical", "confidence", "context", "activation")
+    names = ("content", "trigger", "lexical", "spread", "confidence", "context", "activation")
     parts = ", ".join(f"{{'v': -round(w_{n}, 6), 'name': '{n}'}}" for n in names)
     return f"""{BM25}, {EVENTS}, {COUNTS}, {EVIDENCE}, {FOLD}, {CONTEXT},
     one AS (SELECT query_id, chunk_id, max(c) AS c, max(t) AS t, max(l) AS l FROM (SELECT query_id, chunk_id, 0.0::DOUBLE AS c, 0.0::DOUBLE AS t, lexical AS l FROM ({ranked('lexical', 'lexical', 40)}) {near})
         WHERE chunk_id IN (SELECT id FROM fx_chunks WHERE state <> 'archived' AND origin <> 'spark' AND embed_version >= 1) GROUP BY 1, 2),
     soft AS (SELECT o.query_id, d.dst AS chunk_id, count(*) AS n FROM one o JOIN fx_deps d ON d.src = o.chunk_id AND d.kind = 'soft' WHERE d.dst IN (SELECT id FROM fx_chunks WHERE state <> 'archived' AND origin <> 'spark') GROUP BY 1, 2),
-    cand AS (SELECT query_id, chunk_id, CASE WHEN n > 0 THEN greatest(coalesce(c, 0), least(1.0::DOUBLE, coalesce(c, 0) + 0.05::DOUBLE * n)) ELSE c END AS c, coalesce(t, 0) AS t, coalesce(l, 0) AS l FROM one FULL JOIN soft USING (query_id, chunk_id)),
-    parts AS (SELECT x.query_id, x.chunk_id, k.state, k.token_count, 0.55::DOUBLE * c AS w_content, 0.25::DOUBLE * t AS w_trigger, 0.25::DOUBLE * l AS w_lexical, 0.10::DOUBLE * coalesce(f.confidence, confidence_base) AS w_confidence,
+    cand0 AS (SELECT query_id, chunk_id, CASE WHEN n > 0 THEN greatest(coalesce(c, 0), least(1.0::DOUBLE, coalesce(c, 0) + 0.05::DOUBLE * n)) ELSE c END AS c, coalesce(t, 0) AS t, coalesce(l, 0) AS l FROM one FULL JOIN soft USING (query_id, chunk_id)),
+    {passed_on},
+    parts AS (SELECT x.query_id, x.chunk_id, k.state, k.token_count, 0.55::DOUBLE * c AS w_content, 0.25::DOUBLE * t AS w_trigger, 0.25::DOUBLE * l AS w_lexical, 0.10::DOUBLE * s AS w_spread, 0.10::DOUBLE * coalesce(f.confidence, confidence_base) AS w_confidence,
         0.15::DOUBLE * coalesce(((wins + 1) / (wins + losses + 2) - 0.5) * 2 * least((wins + losses) / 5, 1), 0) AS w_context,
         0.08::DOUBLE * CASE WHEN n.used > 0 THEN 1 / (1 + exp(-(ln(1 + n.used) - 0.5 * ln(1 + {days(AS_OF, 'n.last_used_at')})))) ELSE 0 END AS w_activation,
         CASE WHEN strlen(content) > 800 THEN -0.15::DOUBLE * ln(strlen(content) / 800.0::DOUBLE) ELSE 0.0 END AS w_length,
@@ -117,17 +155,39 @@ def recalled(vectors: bool = True, gate: float | None = None) -> str:
         FROM (SELECT *, list_sort(list_filter([{parts}], lambda e: e.v < 0)) AS ps FROM slot))"""
 
 
-def packs(budget: int) -> str:
+USABLE_DEP = "usable AS (SELECT id, token_count AS cost FROM fx_chunks WHERE state <> 'archived' AND origin <> 'spark' AND embed_version <> 0), hard AS (SELECT DISTINCT src, dst FROM fx_deps WHERE kind = 'hard')"
+
+
+def blocks(seeds: str) -> str:
+    """Common table expressions up to ``block``: id, parts (id and cost) and reason of each seed's closed block; a recursion walks in depth, one chunk a step."""
+    return f"""{USABLE_DEP},
+    walk(id, todo, seen, parts, reason) AS (SELECT c.id, list_sort(coalesce((SELECT list({{'d': 1, 'n': dst}}) FROM hard WHERE src = c.id), []::STRUCT(d INTEGER, n VARCHAR)[])), [c.id], [{{'id': c.id, 'cost': c.token_count}}], NULL::VARCHAR FROM fx_chunks c WHERE c.id IN ({seeds})
+        UNION ALL SELECT id, CASE WHEN list_contains(seen, front.n) THEN todo[2:] ELSE list_concat(list_sort(coalesce((SELECT list({{'d': front.d + 1, 'n': dst}}) FROM hard WHERE src = front.n), []::STRUCT(d INTEGER, n VARCHAR)[])), todo[2:]) END,
+            list_append(seen, front.n), CASE WHEN list_contains(seen, front.n) OR cost IS NULL THEN parts ELSE list_append(parts, {{'id': front.n, 'cost': cost}}) END,
+            CASE WHEN list_contains(seen, front.n) THEN NULL WHEN cost IS NULL THEN 'hard_dep_unavailable' WHEN front.d >= 3 THEN 'dep_depth_limit' END
+        FROM (SELECT w.id, todo, todo[1] AS front, seen, parts, u.cost FROM walk w LEFT JOIN usable u ON u.id = w.todo[1].n WHERE len(todo) > 0 AND reason IS NULL)),
+    block AS (SELECT id, CASE WHEN reason IS NULL THEN parts ELSE [] END AS parts, reason FROM walk WHERE len(todo) = 0 OR reason IS NOT NULL)"""
+
+
+def packs(budget: int, trim: bool = False, closed: bool = True) -> str:
     """Common table expressions after ``rec``: ``pack``, first by order, then by density, one row of a query a step."""
-    fit = f"CASE WHEN p.used + r.token_count <= {budget} THEN"
-    return f"""one_pass(query_id, rank, used, took) AS (SELECT query_id, 0, CAST(0 AS BIGINT), false FROM (SELECT DISTINCT query_id FROM rec)
-        UNION ALL SELECT r.query_id, r.rank, {fit} p.used + r.token_count ELSE p.used END, p.used + r.token_count <= {budget} FROM one_pass p JOIN rec r ON r.query_id = p.query_id AND r.rank = p.rank + 1),
-    rest AS (SELECT r.*, row_number() OVER (PARTITION BY r.query_id ORDER BY r.score / greatest(r.token_count, 1) DESC, r.rank) AS nth FROM rec r JOIN one_pass p ON p.query_id = r.query_id AND p.rank = r.rank AND NOT p.took),
-    two_pass(query_id, nth, used, took) AS (SELECT query_id, CAST(0 AS BIGINT), max(used), false FROM one_pass GROUP BY 1
-        UNION ALL SELECT r.query_id, r.nth, {fit} p.used + r.token_count ELSE p.used END, p.used + r.token_count <= {budget} FROM two_pass p JOIN rest r ON r.query_id = p.query_id AND r.nth = p.nth + 1),
-    pack AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY phase, nth) AS INTEGER) AS pos, chunk_id, tokens, CASE phase WHEN 1 THEN 'order' ELSE 'density' END AS pass FROM (
-        SELECT r.query_id, 1 AS phase, r.rank AS nth, r.chunk_id, r.token_count AS tokens FROM rec r JOIN one_pass p ON p.query_id = r.query_id AND p.rank = r.rank AND p.took
-        UNION ALL SELECT r.query_id, 2, r.nth, r.chunk_id, r.token_count FROM rest r JOIN two_pass p ON p.query_id = r.query_id AND p.nth = r.nth AND p.took))"""
+    ids = "list_transform(p.taken, lambda x: x.id)"
+    new = f"list_filter(r.parts, lambda y: NOT list_contains({ids}, y.id))"
+    cost = "coalesce(list_sum(list_transform({0}, lambda y: y.cost)), 0)::BIGINT".format
+    mark = lambda parts, name: f"list_transform({parts}, lambda y: {{'id': y.id, 'cost': y.cost, 'pass': '{name}', 'seed': r.chunk_id}})"
+    held = blocks("SELECT chunk_id FROM rec") if closed else "block AS (SELECT id, [{'id': id, 'cost': token_count}] AS parts, NULL::VARCHAR AS reason FROM fx_chunks)"
+    short = f"r.parts[1].cost <= {budget} - p.used" if trim else "false"
+    return f"""{held},
+    list_of AS (SELECT r.query_id, r.rank, r.chunk_id, r.score, b.parts, b.reason FROM rec r JOIN block b ON b.id = r.chunk_id),
+    one_pass(query_id, rank, used, taken, lefts) AS (SELECT query_id, 0, CAST(0 AS BIGINT), []::STRUCT(id VARCHAR, cost BIGINT, pass VARCHAR, seed VARCHAR)[], []::INTEGER[] FROM (SELECT DISTINCT query_id FROM rec)
+        UNION ALL SELECT query_id, rank, CASE WHEN fits THEN used + cost WHEN trims THEN used + one_cost ELSE used END, CASE WHEN fits THEN list_concat(taken, news) WHEN trims THEN list_concat(taken, ones) ELSE taken END, CASE WHEN open AND NOT fits AND NOT trims THEN list_append(lefts, rank) ELSE lefts END
+        FROM (SELECT *, open AND used + cost <= {budget} AS fits, open AND used + cost > {budget} AND may_trim AS trims FROM (SELECT p.query_id, r.rank, p.used, p.taken, p.lefts, NOT list_contains({ids}, r.chunk_id) AND r.reason IS NULL AS open, {cost(new)} AS cost, {mark(new, 'order')} AS news,
+            {short} AS may_trim, r.parts[1].cost AS one_cost, {mark('r.parts[1:1]', 'trimmed')} AS ones FROM one_pass p JOIN list_of r ON r.query_id = p.query_id AND r.rank = p.rank + 1))),
+    done_one AS (SELECT * FROM one_pass QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank DESC) = 1),
+    rest AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY density DESC, rank) AS nth FROM (SELECT query_id, rank, chunk_id, parts, cost, score / greatest(cost, 1) AS density FROM (SELECT r.query_id, r.rank, r.chunk_id, r.score, {new} AS parts, {cost(new)} AS cost FROM list_of r JOIN done_one p ON p.query_id = r.query_id AND list_contains(p.lefts, r.rank)) WHERE len(parts) > 0)),
+    two_pass(query_id, nth, used, taken) AS (SELECT query_id, CAST(0 AS BIGINT), {cost('taken')}, taken FROM done_one
+        UNION ALL SELECT p.query_id, r.nth, CASE WHEN p.used + r.cost <= {budget} THEN p.used + r.cost ELSE p.used END, CASE WHEN p.used + r.cost <= {budget} THEN list_concat(p.taken, {mark(new, 'density')}) ELSE p.taken END FROM two_pass p JOIN rest r ON r.query_id = p.query_id AND r.nth = p.nth + 1),
+    pack AS (SELECT query_id, CAST(pos AS INTEGER) AS pos, t.id AS chunk_id, t.cost AS tokens, t.pass AS pass, t.seed AS seed FROM (SELECT query_id, unnest(taken) AS t, generate_subscripts(taken, 1) AS pos FROM two_pass QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY nth DESC) = 1))"""
 
 
 def share(n: str, d: str) -> str:
@@ -227,10 +287,13 @@ SQL = {
         m AS (SELECT bucket, bucket / 10 AS lo, (bucket + 1) / 10 AS hi, count(hit) AS n, round(coalesce(avg(hit), (bucket + 0.5) / 10), 6) AS rate FROM range(10) r(bucket) LEFT JOIN x ON b = bucket WHERE (SELECT count(*) FROM x) >= 20 GROUP BY bucket) SELECT verdict_id, emitted_strength, coalesce(rate, emitted_strength) AS calibrated FROM fx_verdicts LEFT JOIN m ON least(9, CAST(floor(emitted_strength * 10) AS BIGINT)) = bucket""",
     "r16_lexical_recall": f"WITH {recalled(vectors=False)} SELECT query_id, rank, chunk_id, score FROM rec",
     "r9_packed": f"WITH RECURSIVE {recalled()}, {packs(1200)} SELECT * FROM pack",
-    "r19_hook_recall": f"WITH RECURSIVE {recalled(gate=0.40)}, {packs(4000)} SELECT * FROM pack WHERE pos <= 5",
-    "r10_direct_blocks": """WITH ok AS (SELECT id, token_count FROM fx_chunks WHERE state <> 'archived' AND origin <> 'spark' AND embed_version >= 1),
-        n AS (SELECT src, count(*) AS deps, count(*) FILTER (ok.id IS NULL) AS lost, sum(token_count) AS cost FROM (SELECT DISTINCT src, dst FROM fx_deps WHERE kind = 'hard') d LEFT JOIN ok ON ok.id = d.dst GROUP BY 1)
-        SELECT ok.id, coalesce(deps, 0) AS deps, CAST(token_count + coalesce(cost, 0) AS BIGINT) AS tokens, CASE WHEN lost > 0 THEN 'hard_dep_unavailable' END AS skip_reason FROM ok LEFT JOIN n ON n.src = ok.id""",
+    "r19_hook_recall": f"WITH RECURSIVE {recalled(gate=0.40)}, {packs(4000, closed=False)} SELECT query_id, pos, chunk_id, tokens, pass FROM pack WHERE pos <= 5",
+    "r11_trimmed": f"WITH RECURSIVE {recalled()}, {packs(1200, trim=True)} SELECT * FROM pack",
+    "r10_blocks": f"""WITH RECURSIVE {blocks("SELECT id FROM fx_chunks WHERE state <> 'archived' AND origin <> 'spark' AND embed_version >= 1")},
+        near AS (SELECT src, list(dst ORDER BY dst) AS deps, count(*) FILTER (u.id IS NULL) AS lost, sum(cost) AS cost FROM hard LEFT JOIN usable u ON u.id = dst GROUP BY 1)
+        SELECT id, 'closure' AS mode, array_to_string(list_transform(parts, lambda x: x.id), ',') AS chunks, coalesce(list_sum(list_transform(parts, lambda x: x.cost)), 0)::BIGINT AS tokens, reason AS skip_reason FROM block
+        UNION ALL SELECT c.id, 'direct', CASE WHEN lost > 0 THEN '' ELSE array_to_string(list_prepend(c.id, coalesce(deps, [])), ',') END, CASE WHEN lost > 0 THEN 0 ELSE token_count + coalesce(cost, 0) END, CASE WHEN lost > 0 THEN 'hard_dep_unavailable' END
+        FROM fx_chunks c LEFT JOIN near ON near.src = c.id WHERE c.id IN (SELECT id FROM block)""",
     "t10_lexical_tokens": f"""SELECT query_id, array_to_string(list_transform(list_filter(list_transform(words, lambda w, i: {{'w': w, 'i': i}}), lambda e: list_position(words, e.w) = e.i)[1:32], lambda e: e.w), ' ') AS words FROM (SELECT query_id, {ASKED} AS words FROM fx_queries)""",
     "t12_t13_sanitized": r"""WITH r AS (SELECT id, content, regexp_replace(regexp_replace(regexp_replace(content, '(^|[^A-Za-z0-9_-])sk-[A-Za-z0-9_-]{20,}', '\1[REDACTED]', 'g'), '(^|[^A-Za-z0-9_-])AKIA[A-Za-z0-9_-]{16,}', '\1[REDACTED]', 'g'), '(^|[^A-Za-z0-9_-])ghp_[A-Za-z0-9_-]{36,}', '\1[REDACTED]', 'g') AS clean,
         regexp_matches(lower(content), 'ignore all previous instructions|ignore previous instructions?|system prompt[:：]|you are now a different|you are now a new') AS bad FROM fx_secrets)

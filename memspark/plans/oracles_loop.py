@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from memspark.plans.oracles import AS_OF, BM25, CONTEXT, COUNTS, EVENTS, EVIDENCE, FOLD, GOVERN, HIT, LIFE, OUTCOME, SQL, packs, ranked, recalled, share
+from memspark.plans.oracles import AS_OF, BM25, CONTEXT, COUNTS, EVENTS, EVIDENCE, FOLD, GOVERN, HIT, LIFE, OUTCOME, SQL, entity_rows, packs, ranked, recalled, share
 
 
 def strip(x: str) -> str:
@@ -39,39 +39,12 @@ USABLE = f"""sig AS (SELECT DISTINCT id, state, s AS signal FROM (SELECT id, sta
     WHERE length(s) >= CASE WHEN regexp_matches(s, '[一-鿿]') THEN 3 ELSE 4 END AND s NOT IN ('error', 'errors', 'failed', 'failure', 'warning', 'build', 'test', 'tests', 'run', 'git', 'npm', 'cargo', 'node', 'python', 'python3', 'bash', 'sudo', 'curl', 'docker', 'make', 'http', 'https',
         'file', 'files', 'path', 'code', 'true', 'false', 'null', '错误', '失败', '报错', '问题', 'cargo test', 'cargo build', 'cargo run', 'cargo clippy', 'pytest', 'npm test', 'npm run build', 'npm run dev', 'npm install', 'npm ci', 'yarn build', 'pnpm build', 'git status', 'git diff',
         'git commit', 'git push', 'git pull', 'git log', 'tsc', 'python -m pytest', 'go test', 'go build', 'make test'))"""
-TRIM = r"""["''`,;.()\[\]{}?!<>*|=@#%\\]+"""
-
-
-def entity_rows(source: str, key: str, texts: list[str]) -> str:
-    """Common table expressions up to ``ents``: key, entity and etype of the texts of ``source``."""
-    pieces = "\nUNION ALL ".join(
-        rf"""SELECT {key} AS k, {2 * i} AS part, j * 1000000 + generate_subscripts(w, 1) AS nr, true AS marked, unnest(w) AS tok FROM (SELECT {key}, unnest(spans) AS w, generate_subscripts(spans, 1) AS j FROM (
-            SELECT {key}, list_transform(list_filter(string_split({t}, '`'), lambda p, i: i % 2 = 0 AND i < len(string_split({t}, '`'))), lambda p: string_split_regex(p, '\s+')) AS spans FROM {source}))
-        UNION ALL SELECT {key}, {2 * i + 1}, generate_subscripts(string_split_regex({t}, '\s+'), 1), false, unnest(string_split_regex({t}, '\s+')) FROM {source}"""
-        for i, t in enumerate(texts)
-    )
-    return rf"""pieces AS ({pieces}), cut AS (SELECT *, regexp_replace(tok, '^{TRIM}|{TRIM}$', '', 'g') AS t FROM pieces),
-    kinds AS (SELECT k, part, nr, t, CASE WHEN regexp_matches(t, '^--[\p{{L}}\p{{N}}_:./-]+$') AND strlen(t) >= 4 THEN 'flag' WHEN strlen(t) < 2 THEN NULL WHEN regexp_matches(t, '^[A-Za-z]{{1,4}}[0-9]{{3,}}$') THEN 'error'
-        WHEN named AND (contains(t, '::') OR (contains(t, '/') AND contains(t, '.'))) THEN 'path' WHEN named AND worded AND regexp_matches(t, '[_-]') THEN 'symbol'
-        WHEN regexp_matches(t, '^[\p{{L}}\p{{N}}]+$') AND regexp_matches(t, '\p{{Ll}}\p{{Lu}}') THEN 'symbol' WHEN marked AND named AND worded THEN 'symbol' END AS etype
-        FROM (SELECT *, regexp_matches(t, '^[\p{{L}}\p{{N}}_:./-]+$') AS named, regexp_matches(t, '\p{{L}}') AS worded FROM cut)),
-    named AS (SELECT k, part, nr, etype, CASE WHEN etype = 'path' AND NOT contains(t, '::') THEN regexp_replace(lower(t), '/+$', '') ELSE lower(t) END AS entity FROM kinds WHERE etype IS NOT NULL),
-    once AS (SELECT * FROM named WHERE strlen(entity) >= 2 QUALIFY row_number() OVER (PARTITION BY k, entity ORDER BY part, nr) = 1),
-    ents AS (SELECT k, entity, etype FROM once QUALIFY row_number() OVER (PARTITION BY k ORDER BY part, nr) <= 64)"""
-
-
-def renamed(ctes: str, suffix: str) -> str:
-    for name in ("pieces", "cut", "kinds", "named", "once", "ents"):
-        ctes = ctes.replace(f"{name} AS (", f"{name}{suffix} AS (").replace(f"FROM {name} ", f"FROM {name}{suffix} ").replace(f"FROM {name})", f"FROM {name}{suffix})")
-    return ctes
-
-
 CAL = SQL["c18_calibration"].replace("WITH x AS", "calx AS", 1).replace("SELECT * FROM m", "").replace("count(*) FROM x)", "count(*) FROM calx)").replace("LEFT JOIN x ON", "LEFT JOIN calx ON").replace("m AS (SELECT bucket", "cal AS (SELECT bucket")
-POINTS = f"""{recalled()}, pts AS (SELECT query_id, chunk_id, CASE WHEN against OR fail_origin OR w_context < 0 THEN 'caution' WHEN t >= 0.5::DOUBLE AND round(w_confidence + w_context + w_activation, 6) > 0 THEN 'affirm' ELSE 'neutral' END AS valence,
+POINTS = f"""{recalled(spread=False)}, pts AS (SELECT query_id, chunk_id, CASE WHEN against OR fail_origin OR w_context < 0 THEN 'caution' WHEN t >= 0.5::DOUBLE AND round(w_confidence + w_context + w_activation, 6) > 0 THEN 'affirm' ELSE 'neutral' END AS valence,
         round(greatest(0.0, least(1.0, ((w_content + w_trigger + w_lexical) + (w_confidence + w_context + w_activation)) * CASE WHEN state = 'pending' THEN 0.6::DOUBLE ELSE 1 END * CASE WHEN against THEN 0.6::DOUBLE ELSE 1 END + 1e-9::DOUBLE)), 6) AS strength FROM parts),
     con AS (SELECT p.*, (p.chunk_id, q.context_key) IN (SELECT (chunk_id, context_key) FROM ctx) AS signed, p.chunk_id IN (SELECT chunk_id FROM done) AS seen FROM (SELECT * FROM pts WHERE strength >= 0.25::DOUBLE QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY strength DESC, chunk_id) <= 8) p JOIN fx_queries q USING (query_id))"""
 HARD = "hard AS (SELECT DISTINCT src AS a, dst AS b FROM fx_deps WHERE kind = 'hard')"
-SWEPT = " UNION ALL ".join(f"SELECT '{name}' AS setting, {w / 0.08!r}::DOUBLE AS factor" for name, w in (("off", 0.0), ("default", 0.08), ("heavy", 1.0)))
+SWEPT = " UNION ALL ".join(f"SELECT '{name}' AS setting, {a!r}::DOUBLE AS fa, {s!r}::DOUBLE AS fs" for name, a, s in (("off", 0.0, 1.0), ("default", 0.08 / 0.08, 1.0), ("heavy", 1.0 / 0.08, 1.0), ("spread_off", 1.0, 0.0), ("spread_heavy", 1.0, 1.0 / 0.10)))
 PROPOSED = f"""prop AS (SELECT chunk_id, f.at AS created_at, CASE WHEN NOT coalesce(c.state IN ('active', 'pending') AND c.origin <> 'spark' AND c.protected = 0, false) THEN 'rejected' WHEN round(s, 6) >= 2 AND actors >= 2 THEN 'accepted' WHEN round(s, 6) < 2 AND f.at < {AS_OF} - INTERVAL 30 DAYS THEN 'expired' ELSE 'pending' END AS becomes
     FROM gov JOIN (SELECT chunk_id, min(ts) AS at FROM fx_feedback WHERE signal = 'down' GROUP BY 1) f USING (chunk_id) LEFT JOIN fx_chunks c ON c.id = chunk_id WHERE round(s, 6) > 0)"""
 FAMILY = r"""(list_filter(list_transform(string_split_regex(input, '[&|;\n()]'), lambda g: list_filter(list_transform(list_filter(string_split_regex(g, '\s+'), lambda w: w <> '' AND NOT starts_with(w, '-') AND NOT contains(w, '=') AND NOT regexp_matches(w, '^[0-9]+$')), lambda w: lower(regexp_extract(w, '([^/]*)$', 1))),
@@ -95,6 +68,18 @@ def labelled(label: str, x: str) -> str:
 
 TABLES = ("chunks", "usage", "feedback", "log", "deps", "episodes", "validations", "verdicts", "oplog")
 
+CLUSTERS = """fan AS (SELECT signal, min(id) AS centre FROM fx_episodes GROUP BY 1 HAVING count(*) BETWEEN 2 AND 8 AND count(DISTINCT session_id) >= 2),
+        v AS (SELECT id, session_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS vec FROM fx_episodes JOIN fx_episode_vectors USING (id)),
+        e AS (SELECT centre AS a, id AS b FROM fx_episodes JOIN fan USING (signal) WHERE id <> centre
+            UNION ALL SELECT x.id, y.id FROM v x JOIN v y ON x.id < y.id AND x.session_id <> y.session_id AND round(list_cosine_similarity(x.vec, y.vec), 6) >= 0.82),
+        both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+        reach(a, b) AS (SELECT a, a FROM both_ways UNION SELECT r.a, w.b FROM reach r JOIN both_ways w ON w.a = r.b), comp AS (SELECT a AS id, min(b) AS cluster FROM reach GROUP BY 1),
+        wide AS (SELECT cluster, least(count(*), 6)::BIGINT AS members FROM comp JOIN fx_episodes USING (id) GROUP BY 1 HAVING count(DISTINCT session_id) >= 2),
+        clusters AS (SELECT id, cluster, CAST(row_number() OVER (PARTITION BY cluster ORDER BY ts, id) AS INTEGER) AS nth, members FROM comp JOIN fx_episodes USING (id) JOIN wide USING (cluster) QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY ts, id) <= 6)"""
+TRACED = f"""{recalled()}, {packs(1200)}, sparks AS ({SQL['r14_spark_hits'].replace('WITH c AS', 'WITH sc AS').replace('t AS (', 'st AS (', 1).replace('FROM c UNION ALL SELECT * FROM t)', 'FROM sc UNION ALL SELECT * FROM st)')}),
+    traced AS (SELECT l.query_id, l.chunk_id, 'retrieved' AS event, l.rank, l.score, CASE WHEN p.pos IS NULL THEN coalesce(l.reason, 'budget') END AS skip_reason FROM list_of l LEFT JOIN pack p ON p.query_id = l.query_id AND p.chunk_id = l.chunk_id
+        UNION ALL SELECT p.query_id, p.chunk_id, 'selected', p.pos, l.score, NULL FROM pack p JOIN list_of l ON l.query_id = p.query_id AND l.chunk_id = p.seed
+        UNION ALL SELECT query_id, chunk_id, 'spark', rank, sim, NULL FROM sparks)"""
 LOOP_SQL = {
     "f9_work_queue": "SELECT id, priority, ts FROM fx_distill WHERE distill_state = 'new'",
     "f10_retries": f"SELECT id, attempts FROM fx_distill WHERE distill_state = 'failed' AND attempts < 3 AND coalesce(last_failed_at, ts) < {AS_OF} - INTERVAL 5 MINUTES",
@@ -107,12 +92,7 @@ LOOP_SQL = {
     "d5_token_usage": f"""WITH {DIST}, {PROMPT}, x AS (SELECT count(*) AS logs, CAST(coalesce(sum(prompt_tokens), 0) AS BIGINT) AS prompt_tokens, CAST(coalesce(sum({tok('content')} + {tok('trigger_desc')} + {tok('anti_trigger_desc')}), 0) AS BIGINT) AS completion_tokens
         FROM fx_distill l JOIN prompt USING (id) LEFT JOIN dist ON source_id = l.id WHERE l.ts >= {AS_OF} - INTERVAL 7 DAYS) SELECT *, prompt_tokens + completion_tokens >= 100000 AS exceeded FROM x""",
     "t14_c11_entity_index": f"WITH {entity_rows('fx_code', 'id', ['content', 'trigger_desc'])} SELECT k AS chunk_id, entity, etype FROM ents",
-    "r5_spread": f"""WITH {recalled()}, {entity_rows('fx_code', 'id', ['content', 'trigger_desc'])}, {renamed(entity_rows('fx_queries', 'query_id', ['query']), '_q')},
-        seed AS (SELECT query_id, chunk_id, greatest(c, t, l) AS base FROM cand WHERE base > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY greatest(c, t, l) DESC, chunk_id) <= 5),
-        src AS (SELECT query_id, entity, sum(a) AS a FROM (SELECT k AS query_id, entity, 1.0::DOUBLE AS a FROM ents_q UNION ALL SELECT query_id, entity, base FROM seed JOIN ents ON k = chunk_id) GROUP BY 1, 2),
-        link AS (SELECT k AS chunk_id, entity FROM ents WHERE k IN (SELECT id FROM fx_chunks WHERE state <> 'archived' AND origin <> 'spark')), fan AS (SELECT entity, count(*) AS fan FROM link GROUP BY 1 HAVING count(*) <= 50),
-        rawa AS (SELECT query_id, chunk_id, sum(a / fan) AS r FROM src JOIN fan USING (entity) JOIN link USING (entity) GROUP BY 1, 2), spr AS (SELECT query_id, chunk_id, round(r / max(r) OVER (PARTITION BY query_id), 6) AS spread FROM rawa)
-        SELECT * FROM spr WHERE chunk_id IN (SELECT id FROM fx_chunks WHERE state <> 'archived' AND origin <> 'spark' AND embed_version >= 1)""",
+    "r5_spread": f"WITH {recalled()} SELECT * FROM spr",
     "p1_p3_contributors": f"WITH {POINTS} SELECT * FROM con",
     "p4_p5_verdicts": f"""WITH {POINTS}, {CAL}, g AS (SELECT q.query_id, count(chunk_id) AS n, coalesce(max(strength), 0.0) AS s, coalesce(round(max(strength) - min(strength), 6), 0.0) AS d, count(*) FILTER (valence = 'affirm') AS na, count(*) FILTER (valence = 'caution') AS nc,
             count(*) FILTER (seen) AS ns, coalesce(string_agg(chunk_id, ',' ORDER BY chunk_id) FILTER (valence = 'caution'), '') AS flags FROM (SELECT query_id FROM fx_queries) q LEFT JOIN con USING (query_id) GROUP BY 1),
@@ -125,11 +105,11 @@ LOOP_SQL = {
     "r21_r22_actions": f"""WITH {USABLE}, hit AS (SELECT a.id AS action, s.id AS chunk_id, s.state, CAST(sum(length(signal)) AS BIGINT) AS score, string_agg(signal, '|' ORDER BY signal) AS signals FROM fx_actions a JOIN sig s ON s.state <> 'archived' AND contains(lower(a.text), s.signal) GROUP BY 1, 2, 3),
         best AS (SELECT * FROM hit WHERE score >= 6 QUALIFY row_number() OVER (PARTITION BY action ORDER BY score DESC, state = 'active' DESC, chunk_id) = 1)
         SELECT action AS id, chunk_id, score, signals, row_number() OVER (PARTITION BY chunk_id, session_id ORDER BY ts, action) = 1 AS shown FROM best JOIN fx_actions a ON a.id = action""",
-    "l5_clusters": """WITH RECURSIVE fan AS (SELECT signal, min(id) AS centre FROM fx_episodes GROUP BY 1 HAVING count(*) BETWEEN 2 AND 8 AND count(DISTINCT session_id) >= 2),
-        e AS (SELECT centre AS a, id AS b FROM fx_episodes JOIN fan USING (signal) WHERE id <> centre), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-        reach(a, b) AS (SELECT a, a FROM both_ways UNION SELECT r.a, w.b FROM reach r JOIN both_ways w ON w.a = r.b), comp AS (SELECT a AS id, min(b) AS cluster FROM reach GROUP BY 1),
-        wide AS (SELECT cluster FROM comp JOIN fx_episodes USING (id) GROUP BY 1 HAVING count(DISTINCT session_id) >= 2)
-        SELECT id, cluster, CAST(row_number() OVER (PARTITION BY cluster ORDER BY ts, id) AS INTEGER) AS nth FROM comp JOIN fx_episodes USING (id) WHERE cluster IN (SELECT cluster FROM wide) QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY ts, id) <= 6""",
+    "l5_clusters": f"""WITH RECURSIVE {CLUSTERS}
+        SELECT id, cluster, nth, members FROM clusters""",
+    "l16_to_embed": """SELECT DISTINCT id, session_id FROM (SELECT id, session_id, ts FROM fx_episodes WHERE id NOT IN (SELECT id FROM fx_episode_vectors) ORDER BY ts, id LIMIT 12)""",
+    "l16_consumed": f"""WITH RECURSIVE {CLUSTERS}, gave AS (SELECT cluster, min(rule_id) AS rule_id FROM clusters JOIN fx_episodes USING (id) JOIN fx_births b ON b.session_id = fx_episodes.session_id GROUP BY 1)
+        SELECT e.id, CASE WHEN c.id IS NULL THEN 'new' WHEN rule_id IS NULL THEN 'no_rule' ELSE 'ruled' END AS state, rule_id FROM fx_episodes e LEFT JOIN clusters c ON c.id = e.id LEFT JOIN gave USING (cluster)""",
     "c13_cycles": f"""WITH RECURSIVE {HARD}, reach(a, b) AS (SELECT a, b FROM hard UNION SELECT r.a, h.b FROM reach r JOIN hard h ON h.a = r.b)
         SELECT x.a AS id, min(x.b) AS cycle FROM reach x JOIN reach y ON y.a = x.b AND y.b = x.a GROUP BY 1""",
     "c21_actions": """WITH x AS (SELECT r.id, r.action, CASE WHEN c.state IS NULL THEN 'chunk_not_found' WHEN c.origin = 'spark' AND action IN ('approve', 'archive') THEN 'spark_lifecycle'
@@ -178,13 +158,14 @@ LOOP_SQL = {
     "e1_averages": f"SELECT count(*) AS queries, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(rr), 6) AS rr, round(avg(ndcg), 6) AS ndcg, count(*) FILTER (rr = 0) AS misses FROM ({SQL['e1_ranking_metrics']})",
     "e2_self_labels": """WITH ok AS (SELECT id AS chunk_id, substr(trigger_desc, 1, 90) AS probe, substr(content, 61, 140) AS body FROM fx_chunks WHERE state <> 'archived' AND origin <> 'spark' AND embed_version >= 1)
         SELECT chunk_id, 'trigger' AS kind, probe AS query FROM ok WHERE probe <> '' UNION ALL SELECT chunk_id, 'body', body FROM ok WHERE length(body) >= 40""",
-    "e3_weight_sweep": f"""WITH {recalled()}, w AS ({SWEPT}), s AS (SELECT setting, query_id, chunk_id, round((w_content + w_trigger + w_lexical + w_confidence + w_context + w_length + w_activation * factor) * CASE WHEN against THEN 0.6::DOUBLE ELSE 1 END * CASE WHEN state = 'pending' THEN 0.6::DOUBLE ELSE 1 END, 6) AS score FROM parts CROSS JOIN w),
+    "e3_weight_sweep": f"""WITH {recalled()}, w AS ({SWEPT}), s AS (SELECT setting, query_id, chunk_id, round((w_content + w_trigger + w_lexical + w_spread * fs + w_confidence + w_context + w_activation * fa + w_length) * CASE WHEN against THEN 0.6::DOUBLE ELSE 1 END * CASE WHEN state = 'pending' THEN 0.6::DOUBLE ELSE 1 END, 6) AS score FROM parts CROSS JOIN w),
         top5 AS (SELECT setting, query_id, chunk_id, row_number() OVER (PARTITION BY setting, query_id ORDER BY score DESC, chunk_id) AS rank FROM s QUALIFY rank <= 5),
         each AS (SELECT setting, query_id, count(*) FILTER (good) AS h, min(rank) FILTER (good) AS f FROM (SELECT *, (query_id, chunk_id) IN (SELECT (query_id, chunk_id) FROM fx_relevant) AS good FROM top5) GROUP BY 1, 2)
         SELECT setting, count(*) AS queries, round(avg(h / 5), 6) AS precision, round(avg(coalesce(1 / f, 0)), 6) AS mrr, count(*) FILTER (h = 0) AS misses FROM each GROUP BY 1""",
-    "r15_trace_events": f"""WITH RECURSIVE {recalled()}, {packs(1200)}
-        SELECT r.query_id, r.chunk_id, 'retrieved' AS event, r.rank, r.score, CASE WHEN p.pos IS NULL THEN 'budget' END AS skip_reason FROM rec r LEFT JOIN pack p ON p.query_id = r.query_id AND p.chunk_id = r.chunk_id
-        UNION ALL SELECT r.query_id, r.chunk_id, 'selected', p.pos, r.score, NULL FROM rec r JOIN pack p ON p.query_id = r.query_id AND p.chunk_id = r.chunk_id""",
+    "r15_trace_events": f"WITH RECURSIVE {TRACED} SELECT * FROM traced",
+    "r15_snapshots": f"""WITH RECURSIVE {TRACED}, told AS (SELECT query_id, string_agg(t.chunk_id, ',' ORDER BY t.rank, t.chunk_id) FILTER (event = 'retrieved') AS retrieved, string_agg(t.chunk_id, ',' ORDER BY t.rank, t.chunk_id) FILTER (event = 'selected') AS selected,
+        string_agg(t.chunk_id, ',' ORDER BY t.rank, t.chunk_id) FILTER (event = 'spark') AS sparks, sum(c.token_count) FILTER (event = 'selected') AS tokens FROM traced t JOIN fx_chunks c ON c.id = t.chunk_id GROUP BY 1)
+        SELECT query_id, coalesce(retrieved, '') AS retrieved, coalesce(selected, '') AS selected, coalesce(sparks, '') AS sparks, coalesce(tokens, 0)::BIGINT AS tokens FROM fx_queries LEFT JOIN told USING (query_id)""",
     "t16_t18_call_features": f"WITH {CALLS} SELECT id, array_to_string(family, ',') AS programs, CASE WHEN failed THEN sig END AS signature FROM calls",
     "l1_struggles": f"""WITH {CALLS}, placed AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts, id) AS nr FROM calls),
         pairs AS (SELECT a.session_id, a.id, a.nr, a.sig, min(b.nr) AS rnr FROM placed a JOIN placed b ON b.session_id = a.session_id AND b.nr BETWEEN a.nr + 1 AND a.nr + 15 AND NOT b.failed AND list_has_any(a.family, b.family)
