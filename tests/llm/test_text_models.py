@@ -1,3 +1,4 @@
+import math
 import random
 import re
 import time
@@ -137,6 +138,56 @@ def test_risk_never_trains_on_labelled_negatives():
     assert high > 0.5 > low
 
 
+def plain_risk(w, p, u, prior):
+    """Both parts of the risk, summed document by document."""
+    z = lambda x: sum(a * b for a, b in zip(x, w, strict=True))
+    loss = lambda x, y: math.log1p(math.exp(-y * z(x)))
+    mean = lambda rows, y: sum(loss(x, y) for x in rows) / len(rows)
+    return prior * mean(p, 1), mean(u, -1) - prior * mean(p, -1)
+
+
+def test_risk_and_step_equal_plain_sums():
+    r = np.random.default_rng(5)
+    u = r.normal(size=(20, 4)).astype(np.float32)
+    signs = set()
+    for prior, shift in ((0.3, 0.0), (0.6, 1.0), (0.9, 2.5)):
+        p, w = (r.normal(size=(7, 4)) + shift).astype(np.float32), r.normal(size=4)
+        positive, negative, step = pu_quality.risk_and_step(w, p, u, prior)
+        expected = plain_risk(w, p.tolist(), u.tolist(), prior)
+        assert abs(positive - expected[0]) < 1e-5 and abs(negative - expected[1]) < 1e-5
+        signs.add(negative >= 0)
+        for i in range(4):
+            at = lambda e, i=i, w=w, p=p, prior=prior: plain_risk([x + e * (j == i) for j, x in enumerate(w)], p.tolist(), u.tolist(), prior)
+            (hp, hn), (lp, ln) = at(1e-4), at(-1e-4)
+            slope = ((hp + hn) - (lp + ln)) / 2e-4 if negative >= 0 else -(hn - ln) / 2e-4
+            assert abs(step[i] - slope) < 1e-4
+    assert signs == {True, False}
+
+
+def test_prior_is_estimated_without_negatives(spark):
+    data, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    share = labels.agg(F.avg("quality")).first()[0]
+    model = pu_quality.fit(data, labels.filter("quality = 1"), F.lit(True))
+    assert abs(model.prior - share) < 0.2
+    r = random.Random(2)
+    good, bad = (lambda: " ".join(r.choice("river stone house light water small great".split()) for _ in range(60))), (lambda: " ".join(r.choice("$$ ## %% || && casino".split()) for _ in range(60)))
+    for share in (0.3, 0.7):
+        free = [good() if i < 600 * share else bad() for i in range(600)]
+        assert abs(pu_quality.estimated_prior([good() for _ in range(400)], free) - share) < 0.1
+
+
+def test_samples_are_bounded_by_ids_and_bytes(spark, monkeypatch):
+    docs = spark.createDataFrame([(7, f"text number {i} " * 20) for i in range(3000)] + [(i, f"other {i}") for i in range(8, 40)] + [(None, "no id")], "doc_id long, text string")
+    labels = spark.createDataFrame([(7, 1, 0), (8, 1, 0)], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(pu_quality, "train", lambda p, u, prior: seen.append((p, u)))
+    pu_quality.fit(docs, labels, F.lit(True))
+    assert [len(x) for x in seen[-1]] == [2, 33]
+    monkeypatch.setattr(pu_quality, "SAMPLE_BYTES", 200)
+    pu_quality.fit(docs, labels, F.lit(True))
+    assert all(sum(map(len, x)) <= 200 for x in seen[-1]) and seen[-1][1]
+
+
 def test_base_spans_follow_the_patterns():
     text = "a@b.c x 4111 1111 1111 1111 y 300.1.1.1 10.1.2.3 +1 (297) 555-8151 é +12 a@b"
     assert [(k, text[a:b]) for k, a, b in pii.base_spans(text)] == [("email", "a@b.c"), ("card", "4111 1111 1111 1111"), ("ip", "10.1.2.3"), ("phone", "+1 (297) 555-8151")]
