@@ -2,26 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from memspark.library import Library
+from memspark.tables import stored
 
 #: Rounds after which a graph counts as too deep; nothing is cut short silently.
 ROUNDS = 200
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """``df`` without its lineage, in the shared folder that the session names."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a shared folder")
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp())
-    return df.checkpoint()
+def _graph(df: DataFrame) -> DataFrame:
+    return stored(df, "graph")
 
 
 def _starred(edges: DataFrame, all_neighbours: bool) -> DataFrame:
@@ -42,13 +34,13 @@ def components(edges: DataFrame) -> DataFrame:
     """
     known = edges.filter("a IS NOT NULL AND b IS NOT NULL").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     alone = known.filter("a = b").select(F.col("a").alias("node"))
-    now, mark = _cut(known.filter("a <> b")), None
+    now, mark = _graph(known.filter("a <> b")), None
     for _ in range(ROUNDS):
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == mark:
             break
         mark = seen
-        now = _cut(_starred(_starred(now, True), False))
+        now = _graph(_starred(_starred(now, True), False))
     else:
         raise ValueError(f"stars still move after {ROUNDS} rounds")
     tied = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
@@ -60,7 +52,7 @@ def _lowest(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """Least label that reaches each node (node, label) along ``edges`` (a to b); labels only go down edges within the table."""
     for _ in range(ROUNDS):
         offered = edges.join(labels.withColumnRenamed("node", "a"), "a").groupBy(F.col("b").alias("node")).agg(F.min("label").alias("offer"))
-        stepped = _cut(labels.join(offered, "node", "left").select("node", F.least("label", "offer").alias("label"), (F.col("offer") < F.col("label")).alias("moved")))
+        stepped = _graph(labels.join(offered, "node", "left").select("node", F.least("label", "offer").alias("label"), (F.col("offer") < F.col("label")).alias("moved")))
         labels = stepped.select("node", "label")
         if stepped.filter("moved").isEmpty():
             return labels
@@ -80,7 +72,7 @@ def _spliced(edges: DataFrame, turn: int) -> DataFrame:
     """
     one_in = edges.groupBy(F.col("b").alias("v")).agg(F.min("a").alias("u"), F.count(F.lit(1)).alias("n")).filter("n = 1").drop("n")
     one_out = edges.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("w"), F.count(F.lit(1)).alias("n")).filter("n = 1").drop("n")
-    may = _cut(one_in.join(one_out, "v"))
+    may = _graph(one_in.join(one_out, "v"))
     place = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("h"), F.col(c).alias("i"))
     other = lambda end: may.select(F.col("v").alias(end), F.lit(True).alias(f"{end}_may"))
     first = lambda end: F.col(f"{end}_may").isNull() | (place("v") < place(end))
@@ -94,18 +86,18 @@ def _core_groups(edges: DataFrame) -> DataFrame:
         if edges.isEmpty():
             break
         nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-        colour = _cut(_lowest(nodes.withColumn("label", F.col("node")), edges))
-        inside = _cut(edges.join(colour.toDF("a", "ca"), "a").join(colour.toDF("b", "cb"), "b").filter("ca = cb").select("a", "b", "ca"))
+        colour = _graph(_lowest(nodes.withColumn("label", F.col("node")), edges))
+        inside = _graph(edges.join(colour.toDF("a", "ca"), "a").join(colour.toDF("b", "cb"), "b").filter("ca = cb").select("a", "b", "ca"))
         # Back from each root within its colour: 0 where the root is reached.
         back = inside.select(F.col("b").alias("a"), F.col("a").alias("b"))
         start = colour.select("node", F.when(F.col("node") == F.col("label"), 0).otherwise(1).alias("label"))
-        reached = _cut(_lowest(start, back).filter("label = 0").select("node").join(colour, "node"))
+        reached = _graph(_lowest(start, back).filter("label = 0").select("node").join(colour, "node"))
         # A root that only joins two cycles is alone in its group and leaves without a row.
         looped = inside.join(reached.select(F.col("node").alias("b")), "b", "left_semi").select(F.col("a").alias("node"))
         group = reached.join(looped, "node", "left_semi").select("node", F.col("label").alias("cycle"))
         found = group if found is None else found.unionByName(group)
         gone = reached.select("node")
-        edges = _cut(edges.join(gone, edges.a == gone.node, "left_anti").join(gone, edges.b == gone.node, "left_anti"))
+        edges = _graph(edges.join(gone, edges.a == gone.node, "left_anti").join(gone, edges.b == gone.node, "left_anti"))
     else:
         raise ValueError(f"cycles left after {ROUNDS} rounds")
     return edges.select(F.col("a").alias("node"), F.col("a").alias("cycle")) if found is None else found
@@ -120,40 +112,38 @@ def strong_groups(edges: DataFrame) -> DataFrame:
     length.  What stays is grouped by labels; then the spliced nodes come back:
     one between two nodes of a group is in it too.
     """
-    clean = edges.filter("a IS NOT NULL AND b IS NOT NULL").select("a", "b").distinct()
-    loops = _cut(clean.filter("a = b").select(F.col("a").alias("node")))
-    now, left, taken = _cut(clean.filter("a <> b")), None, []
+    clean = _graph(edges.filter("a IS NOT NULL AND b IS NOT NULL").select("a", "b").distinct())
+    itself = lambda df: df.filter("a = b").select(F.col("a").alias("node"))
+    loops, now, left, taken = itself(clean), clean.filter("a <> b"), None, []
     for turn in range(ROUNDS):
-        now = _cut(_raked(now))
-        out = _cut(_spliced(now, turn))
+        raked = _graph(_raked(now))
+        out = _graph(_spliced(raked, turn))
         gone = out.select("v")
-        kept = now.join(gone, now.a == gone.v, "left_anti").join(gone, now.b == gone.v, "left_anti")
-        joined = _cut(kept.unionByName(out.select(F.col("u").alias("a"), F.col("w").alias("b"))).distinct())
+        kept = raked.join(gone, raked.a == gone.v, "left_anti").join(gone, raked.b == gone.v, "left_anti")
+        joined = _graph(kept.unionByName(out.select(F.col("u").alias("a"), F.col("w").alias("b"))).distinct())
         n = joined.count()
         if n == left:
             break
-        left = n
+        left, now = n, joined.filter("a <> b")
         taken.append(out)
-        loops = _cut(loops.unionByName(joined.filter("a = b").select(F.col("a").alias("node"))).distinct())
-        now = joined.filter("a <> b")
+        loops = loops.unionByName(itself(joined))
         if n == 0:
             break
     else:
         raise ValueError(f"edges still fall after {ROUNDS} rounds")
+    loops, groups = _graph(loops.distinct()), _core_groups(now)
     own = lambda df: df.select("node", F.col("node").alias("cycle"))
-    groups = _core_groups(now)
-    for later in [None, *reversed(taken)]:
-        if later is None:
-            spliced = [x.select(F.col("v").alias("node")) for x in taken]
-            back = loops.join(groups, "node", "left_anti")
-            for x in spliced:
-                back = back.join(x, "node", "left_anti")
-            groups = _cut(groups.unionByName(own(back)))
-            continue
+    # A node with a way back to itself is a group at least, when its turn comes.
+    later = None
+    for x in taken:
+        later = x.select(F.col("v").alias("node")) if later is None else later.unionByName(x.select(F.col("v").alias("node")))
+    back = loops.join(groups, "node", "left_anti")
+    groups = _graph(groups.unionByName(own(back if later is None else back.join(later, "node", "left_anti"))))
+    for x in reversed(taken):
         of = lambda end: groups.select(F.col("node").alias(end), F.col("cycle").alias(f"{end}_in"))  # noqa: B023, E731
-        inside = later.join(of("u"), "u").join(of("w"), "w").filter("u_in = w_in").select(F.col("v").alias("node"), F.col("u_in").alias("cycle"))
-        rest = own(later.select(F.col("v").alias("node")).join(loops, "node", "left_semi")).join(inside, "node", "left_anti")
-        groups = _cut(groups.unionByName(inside).unionByName(rest))
+        inside = x.join(of("u"), "u").join(of("w"), "w").filter("u_in = w_in").select(F.col("v").alias("node"), F.col("u_in").alias("cycle"))
+        alone = own(x.select(F.col("v").alias("node")).join(loops, "node", "left_semi")).join(inside, "node", "left_anti")
+        groups = _graph(groups.unionByName(inside).unionByName(alone))
     least = groups.groupBy("cycle").agg(F.min("node").alias("least"))
     return groups.join(least, "cycle").select("node", F.col("least").alias("cycle"))
 
