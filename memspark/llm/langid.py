@@ -5,8 +5,11 @@ A text is parsed against a language greedily: each phrase is the longest match
 that the automaton allows.  The language that needs the fewest phrases per
 character wins.
 
-Parsing reads forward transitions only, so an automaton is kept as one dense
-table (state x character class -> next state, and whether a phrase ended).  Long
+Parsing reads forward transitions only.  Where alphabets are small the automata
+are one dense table (state x character class -> next state, and whether a phrase
+ended); else a hash table of the transitions that there are, so its size grows
+with the characters learned, whatever the alphabet.  It is built once, on the
+driver, and broadcast.  Long
 texts are walked in many stretches side by side: a stretch that began in another
 state than the one before it ended in is walked again from there, until all
 meet, so the result is that of one walk over the whole text.
@@ -22,14 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled rows (one for each hash slot) that a language is fitted on at most; rows up to ROW_CHARS characters
-#: come first; no further row is taken once those taken have LANG_CHARS characters.
-SLOTS, ROW_CHARS, LANG_CHARS = 64, 4000, 24000
+#: come first; of all rows LANG_CHARS characters are learned, or an equal share of ALL_CHARS where there are many languages.
+SLOTS, ROW_CHARS, LANG_CHARS, ALL_CHARS = 64, 4000, 24000, 2_000_000
+#: Entries of a dense table at most; languages whose states are walked at once.
+DENSE, TOGETHER = 16_000_000, 16
 #: Characters of a stretch of text; where stretches end does not change the result.
 STRETCH = 256
 #: Characters handled at once.
 PART = 1 << 20
-#: Languages at most: those with the most rows, by name where equal.
-LANGUAGES = 200
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 Trained = list[tuple[str, str]]
 
@@ -79,6 +83,39 @@ def _normal(text: str) -> np.ndarray:
     return out
 
 
+class Hashed:
+    """A map of whole numbers, at least 0, to others: an open-addressed table that is at most half full."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        self.bits = max(4, int(len(keys) * 2 - 1).bit_length())
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
+        todo, slot, self.probes = np.arange(len(keys)), self._slots(keys), 0
+        while len(todo):
+            free = self.keys[slot] == -1
+            first = np.zeros(len(todo), bool)
+            first[np.unique(np.where(free, slot, -1 - np.arange(len(todo))), return_index=True)[1]] = True
+            wins = free & first
+            self.keys[slot[wins]], self.values[slot[wins]] = keys[todo[wins]], values[todo[wins]]
+            todo, slot, self.probes = todo[~wins], (slot[~wins] + 1) & (len(self.keys) - 1), self.probes + 1
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * _MIX) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """Value of each key, or -1."""
+        slot = self._slots(keys)
+        out = np.where(self.keys[slot] == keys, self.values[slot], -1)
+        todo = np.flatnonzero((self.keys[slot] != keys) & (self.keys[slot] != -1))
+        slot = slot[todo]
+        while len(todo):
+            slot = (slot + 1) & (len(self.keys) - 1)
+            hit = self.keys[slot] == keys[todo]
+            out[todo[hit]] = self.values[slot[hit]]
+            open_ = ~hit & (self.keys[slot] != -1)
+            todo, slot = todo[open_], slot[open_]
+        return out
+
+
 class CrossParser:
     """Automata of several languages in one table."""
 
@@ -91,57 +128,86 @@ class CrossParser:
         self.alphabet = np.unique(np.concatenate([np.array([0x20], np.uint32), *joined]))
         self.width = len(self.alphabet) + 2  # and the class of unknown characters, and that of the padding
         self.pad = len(self.alphabet) + 1
-        tables, self.starts, at = [], [], 0
+        keys, values, self.starts, at = [], [], [], 0
         for text in joined:
             move = suffix_automaton(self.classes(text))
-            root = np.full(self.width, at * 2 + 1, np.int64)
-            for c, to in move[0].items():
-                root[c] = (at + to) * 2 + 1
-            own = np.tile(root, (len(move), 1))
-            for state, outs in enumerate(move):
-                for c, to in outs.items():
-                    own[state, c] = (at + to) * 2
-            own[:, self.pad] = (at + np.arange(len(move))) * 2
-            tables.append(own)
+            counts = np.fromiter((len(m) for m in move), np.int64, len(move))
+            state = np.repeat(np.arange(at, at + len(move)), counts)
+            keys.append(state * self.width + np.fromiter((c for m in move for c in m), np.int64, len(state)))
+            values.append((at + np.fromiter((to for m in move for to in m.values()), np.int64, len(state))).astype(np.int32))
             self.starts.append(at)
             at += len(move)
-        self.table = (np.concatenate(tables) if tables else np.zeros((0, self.width), np.int64)).astype(np.int32).ravel()
+        self.states = at
+        keys, values = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (keys, values))
+        self.hashed, self.table = None, None
+        if at * self.width > DENSE:
+            self.hashed = Hashed(keys, values)
+            return
+        # Next state and whether a phrase ended on the way to it: where a state has no transition, the start has its turn.
+        self.table = np.empty((at, self.width), np.int32)
+        bounds = [*self.starts, at]
+        state, cls = np.divmod(keys, self.width)
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            root = np.full(self.width, a * 2 + 1, np.int32)
+            first = state == a
+            root[cls[first]] = values[first] * 2 + 1
+            self.table[a:b] = root
+        self.table[state, cls] = values * 2
+        self.table[:, self.pad] = np.arange(at) * 2
+        self.table = self.table.ravel()
 
     def classes(self, points: np.ndarray) -> np.ndarray:
         """Place of each code point in the alphabet, or the class of unknown characters."""
         at = np.minimum(np.searchsorted(self.alphabet, points), len(self.alphabet) - 1)
         return np.where(self.alphabet[at] == points, at, len(self.alphabet)).astype(np.int32)
 
+    def _step(self, state: np.ndarray, cls: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """State after a character, and whether a phrase ended before it."""
+        if self.hashed is None:
+            step = self.table[state * self.width + cls]
+            return (step >> 1).astype(np.int64), step & 1
+        to = self.hashed.get(state * self.width + cls).astype(np.int64)
+        ended = (to < 0) & (cls != self.pad)
+        again = self.hashed.get(start[ended] * self.width + cls[ended])
+        to[ended] = np.where(again < 0, start[ended], again)
+        return np.where(cls == self.pad, state, to), ended.astype(np.int64)
+
     def phrases(self, points: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Phrases (language x text) of texts that end at ``ends`` in ``points``."""
-        n, n_langs = len(ends), len(self.langs)
+        n = len(ends)
         begins = np.concatenate([[0], ends[:-1]])
         lanes = -(-(ends - begins) // STRETCH)
         owner = np.repeat(np.arange(n), lanes)
         m = len(owner)
         if not m:
-            return np.ones((n_langs, n))
+            return np.ones((len(self.langs), n))
         first = begins[owner] + (np.arange(m) - np.repeat(np.cumsum(lanes) - lanes, lanes)) * STRETCH
         length = np.minimum(STRETCH, ends[owner] - first)
         wide = np.arange(int(length.max()))[:, None]
         known = self.classes(points)
         classes = np.where(wide < length, known[np.minimum(first + wide, len(points) - 1)], self.pad)
+        heads = np.append(True, owner[1:] != owner[:-1])
+        starts = np.array(self.starts, np.int64)
+        counts = [self._walked(starts[at : at + TOGETHER], classes, heads) for at in range(0, len(starts), TOGETHER)]
+        return 1 + np.stack([np.bincount(owner, weights=row, minlength=n) for part in counts for row in part])
+
+    def _walked(self, starts: np.ndarray, classes: np.ndarray, heads: np.ndarray) -> np.ndarray:
+        """Phrases that end in each stretch, of some languages."""
+        m = classes.shape[1]
         # State that each stretch was walked from, the one it ended in, and phrases ended on the way.
-        walked = np.repeat(np.array(self.starts, np.int64)[:, None], m, 1)
-        lang, lane = np.divmod(np.arange(n_langs * m), m)
+        walked = np.repeat(starts[:, None], m, 1)
+        lang, lane = np.divmod(np.arange(len(starts) * m), m)
         final, count = np.empty_like(walked), np.empty_like(walked)
-        heads = np.append(True, owner[1:] != owner[:-1])
         while len(lang):
-            state, ended = walked[lang, lane], np.zeros(len(lang), np.int64)
+            state, ended, start = walked[lang, lane], np.zeros(len(lang), np.int64), starts[lang]
             for column in classes:
-                step = self.table[state * self.width + column[lane]]
-                ended += step & 1
-                state = (step >> 1).astype(np.int64)
+                state, over = self._step(state, column[lane], start)
+                ended += over
             final[lang, lane], count[lang, lane] = state, ended
             due = np.where(heads, walked, np.roll(final, 1, axis=1))
             lang, lane = np.nonzero(due != walked)
             walked = due
-        return 1 + np.stack([np.bincount(owner, weights=row, minlength=n) for row in count])
+        return count
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         points = [_normal(t) for t in texts]
@@ -158,25 +224,28 @@ class CrossParser:
 
 
 def fit(docs: DataFrame, learn: object) -> Trained:
-    """Labelled text of each language, of the rows for which ``learn`` holds.
+    """Labelled text of every language, of the rows for which ``learn`` holds.
 
     Bounded: of each language one row in each of SLOTS slots, of least id hash
-    among those of up to ROW_CHARS characters (else the shortest), until the
-    rows taken have LANG_CHARS characters.  Rows are taken whole.
+    among those of up to ROW_CHARS characters (else the shortest), and of these
+    rows LANG_CHARS characters, or an equal share of ALL_CHARS; the last row is
+    cut there.
     """
     h = F.xxhash64("doc_id")
     rows = docs.filter(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    langs = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    rank = F.struct(F.greatest(F.length("text"), F.lit(ROW_CHARS)).alias("size"), h.alias("h"))
-    least = rows.filter(F.col("lang").isin(langs)).groupBy("lang", F.pmod(h, F.lit(SLOTS)).alias("slot")).agg(F.min(rank).alias("r")).select("lang", "r.*").collect()
-    taken, held = [], dict.fromkeys(langs, 0)
+    rank = F.struct(F.greatest(F.length("text"), F.lit(ROW_CHARS)).alias("size"), h.alias("h"), F.length("text").alias("chars"))
+    least = rows.groupBy("lang", F.pmod(h, F.lit(SLOTS)).alias("slot")).agg(F.min(rank).alias("r")).select("lang", "r.*").collect()
+    share = max(1, min(LANG_CHARS, ALL_CHARS // max(1, len({r.lang for r in least}))))
+    taken, held = {}, {}
     for r in sorted(least, key=lambda r: (r.size, r.h)):
-        if held[r.lang] < LANG_CHARS:
-            held[r.lang] += r.size
-            taken.append(r.h)
-    # Rows that repeat an id and language: the least text.
-    found = rows.filter(h.isin(taken)).groupBy("lang", h.alias("h")).agg(F.min("text").alias("text")).collect() if taken else []
-    return [(r.lang, r.text) for r in sorted(found, key=lambda r: (r.lang, r.h))]
+        left = share - held.get(r.lang, 0)
+        if left > 0:
+            held[r.lang] = held.get(r.lang, 0) + r.chars
+            taken[r.lang, r.h] = left
+    # Rows that repeat an id and language: the least text.  No more than a language's share leaves the executors.
+    cut = F.substring("text", 1, share)
+    found = rows.filter(h.isin(sorted({x for _, x in taken}))).groupBy("lang", h.alias("h")).agg(F.min(cut).alias("text")).collect() if taken else []
+    return [(r.lang, r.text[: taken[r.lang, r.h]]) for r in sorted(found, key=lambda r: (r.lang, r.h)) if (r.lang, r.h) in taken]
 
 
 def predicted(docs: DataFrame, trained: Trained) -> DataFrame:
@@ -186,13 +255,10 @@ def predicted(docs: DataFrame, trained: Trained) -> DataFrame:
     ignored.  Null texts and texts without a letter are ``und`` with score 0, as
     is everything when no language was learned.  Ties go to the smaller name.
     """
-    model: list[CrossParser] = []
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
-    shared = docs.sparkSession.sparkContext.broadcast(trained)  # some LANG_CHARS characters a language
+    shared = docs.sparkSession.sparkContext.broadcast(CrossParser(trained))  # at most DENSE entries, or some 60 bytes for each character learned
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not model:
-            model.append(CrossParser(shared.value))
         for batch in batches:
             at = 0
             while at < batch.num_rows:
@@ -200,7 +266,7 @@ def predicted(docs: DataFrame, trained: Trained) -> DataFrame:
                 while at + len(texts) < batch.num_rows and (not texts or total < PART):
                     texts.append(batch.column(1)[at + len(texts)].as_py() or "")
                     total += len(texts[-1])
-                langs, scores = model[0].predict(texts)
+                langs, scores = shared.value.predict(texts)
                 columns = [batch.column(0).slice(at, len(texts)), pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
                 at += len(texts)

@@ -98,6 +98,31 @@ def test_automaton_parses_like_a_search(monkeypatch):
         assert got[0].tolist() == [phrases(s, text + " ") for s in texts]
         assert got[1].tolist() == [phrases(s, "zzz ") for s in texts]
     assert parser.predict(["😀😀", "12 ?", "𐐨𐐩"])[0] == ["und", "und", "x"]
+    dense = parser.phrases(np.concatenate(points), np.cumsum([len(p) for p in points]))
+    monkeypatch.setattr(langid, "DENSE", 0)
+    monkeypatch.setattr(langid, "TOGETHER", 1)
+    sparse = langid.CrossParser([("x", text), ("y", "zzz")])
+    assert sparse.table is None and (sparse.phrases(np.concatenate(points), np.cumsum([len(p) for p in points])) == dense).all()
+
+
+def test_large_alphabets_and_many_languages_stay_small(spark, monkeypatch):
+    import tracemalloc
+
+    draw = random.Random(1)
+    letters = [chr(0x4E00 + i) for i in range(3000)]
+    trained = [(f"l{k}", "".join(draw.choice(letters[k * 500 : 1500 + k * 500]) for _ in range(24000))) for k in range(4)]
+    tracemalloc.start()
+    parser = langid.CrossParser(trained)
+    held, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert held < 40 << 20 and peak < 300 << 20
+    assert parser.predict([t[5000:5200] for _, t in trained])[0] == ["l0", "l1", "l2", "l3"]
+    # Every language is learned, however many there are, and very long rows are cut.
+    monkeypatch.setattr(langid, "ALL_CHARS", 30_000)
+    word = lambda i: "".join(chr(0x61 + (i * 7 + j * 3) % 26) for j in range(6))
+    rows = [(i, (word(i) + " ") * 50, f"n{i:03d}") for i in range(300)] + [(1000, "zq " * 200_000, "long")]
+    found = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert len({lang for lang, _ in found}) == 301 and all(len(t) <= 30_000 // 301 for _, t in found)
 
 
 def test_languages_of_held_out_documents(spark, docs, none):
