@@ -26,6 +26,7 @@ class Params:
     hub_select_min: int = 50
     hub_use_rate: float = 0.01
     never_used_days: int = 30
+    propose_score: float = 2.0
     proposal_score: float = 3.0
     proposal_actors: int = 2
     negative_score: float = 5.0
@@ -101,6 +102,8 @@ class Library:
     episodes = cached_property(lambda self: self._read("fx_episodes"))
     episode_vectors = cached_property(lambda self: self._read("fx_episode_vectors"))
     validations = cached_property(lambda self: self._read("fx_validations"))
+    #: Version, birthplaces and whether the user gave the rule (id, version, source_projects joined by commas, directive).
+    rule_meta = cached_property(lambda self: self._read("fx_rule_meta"))
     #: Stored counters of selections (id, selected_count) and episodes that gave birth to rules (rule_id, session_id).
     counters = cached_property(lambda self: self._read("fx_counters"))
     births = cached_property(lambda self: self._read("fx_births"))

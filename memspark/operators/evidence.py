@@ -166,7 +166,7 @@ def governance(lib: Library) -> DataFrame:
     counted = lib.feedback.filter("actor IS NOT NULL").join(cut, "chunk_id").filter("evidence_cutoff_at IS NULL OR ts > evidence_cutoff_at")
     by_actor = counted.groupBy("chunk_id", "actor").agg(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.sum(aged))).alias("v"))
     x = by_actor.groupBy("chunk_id").agg(F.greatest(F.lit(0.0), F.sum("v")).alias("s"), F.count_if(F.col("v") > 0).alias("actors"))
-    proposed = (F.col("s") >= p.proposal_score) & (F.col("actors") >= p.proposal_actors)
+    proposed = (F.col("s") >= p.propose_score) & (F.col("actors") >= p.proposal_actors)
     return x.select("chunk_id", F.round("s", 6).alias("score"), "actors", proposed.alias("proposed"))
 
 
@@ -298,25 +298,45 @@ def calibrated(lib: Library) -> DataFrame:
 def supports(lib: Library) -> DataFrame:
     """Independent supports of each rule, its open contradictions, and what becomes of it.
 
-    A support counts after the rule's birth, once for its session (else trace,
-    else row), and not from a session whose episodes gave birth to the rule.
-    Supports are transferable if they come from two units and two projects.
-    Rules with an open contradiction are suspended if active; pending ones with
-    transferable supports are promoted.
+    A support counts for the rule's current version, after its birth, once for
+    its session (else trace, else row), and not from a session whose episodes
+    gave birth to the rule.  Two of them are transferable if one comes from a
+    project outside those that the rule was born in or, where these are unknown,
+    if they come from two projects.  Active rules with an open contradiction are
+    suspended, but not those that the user gave; pending ones with transferable
+    supports and no open contradiction are promoted, but for sparks.
     """
-    born = lib.chunks.select(F.col("id").alias("chunk_id"), F.col("created_at").alias("born_at"), "state")
+    meta = lib.rule_meta.select(F.col("id").alias("chunk_id"), "version", "source_projects", "directive")
+    born = lib.chunks.select(F.col("id").alias("chunk_id"), F.col("created_at").alias("born_at"), "state", "origin").join(meta, "chunk_id", "left")
     births = lib.births.select(F.col("rule_id").alias("chunk_id"), "session_id").filter("session_id IS NOT NULL").distinct()
     x = lib.validations.join(born, "chunk_id")
     unit = F.coalesce(*[F.col(c) for c in ("session_id", "trace_id", "id") if c in lib.validations.columns])
-    counted = x.filter((F.col("verdict") == "supported") & (F.col("created_at") > F.col("born_at"))).join(births, ["chunk_id", "session_id"], "left_anti")
-    units = counted.groupBy("chunk_id").agg(F.count_distinct(unit).alias("units"), F.count_distinct("project").alias("projects"))
-    opened = x.groupBy("chunk_id", "state").agg(F.count_if((F.col("verdict") == "contradicted") & F.col("resolved_at").isNull()).alias("open_contradictions"))
+    current = F.col("rule_version") == F.coalesce("version", F.lit(1)) if "rule_version" in lib.validations.columns else F.lit(True)
+    counted = x.filter((F.col("verdict") == "supported") & current & (F.col("created_at") > F.col("born_at"))).join(births, ["chunk_id", "session_id"], "left_anti")
+    each = counted.groupBy("chunk_id", "source_projects", unit.alias("unit")).agg(F.max("project").alias("project"))
+    outside = F.bool_or(F.col("project").isNotNull() & ~F.array_contains(F.split("source_projects", ","), F.col("project")))
+    units = each.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("units"), F.count_distinct("project").alias("projects"), F.coalesce(outside, F.lit(False)).alias("outside"), F.bool_and(F.coalesce("source_projects", F.lit("")) == "").alias("unknown"))
+    opened = x.groupBy("chunk_id", "state", "origin", F.coalesce("directive", F.lit(False)).alias("directive")).agg(F.count_if((F.col("verdict") == "contradicted") & F.col("resolved_at").isNull()).alias("open_contradictions"))
     y = opened.join(units, "chunk_id", "left").withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("units", "projects")})
-    ready = (F.col("units") >= 2) & (F.col("projects") >= 2) & (F.col("open_contradictions") == 0)
-    becomes = F.when((F.col("open_contradictions") > 0) & (F.col("state") == "active"), "suspended").when(ready & (F.col("state") == "pending"), "promoted").otherwise("unchanged")
+    moved = F.coalesce(F.when(F.col("unknown"), F.col("projects") >= 2).otherwise(F.col("outside")), F.lit(False))
+    ready = (F.col("units") >= 2) & moved & (F.col("open_contradictions") == 0)
+    becomes = F.when((F.col("open_contradictions") > 0) & (F.col("state") == "active") & ~F.col("directive"), "suspended").when(ready & (F.col("state") == "pending") & (F.col("origin") != "spark"), "promoted").otherwise("unchanged")
     return y.select("chunk_id", "units", "projects", "open_contradictions", ready.alias("transferable"), becomes.alias("becomes"))
 
 
+def open_contradictions(lib: Library) -> DataFrame:
+    """Counterexamples that no revision has dealt with, newest first."""
+    x = lib.validations.filter("verdict = 'contradicted' AND resolved_at IS NULL")
+    return x.select("id", "chunk_id", "session_id", "project", "created_at").orderBy(F.desc("created_at"), "id")
+
+
+def resolved(validations: DataFrame, revised: DataFrame, at: Column) -> DataFrame:
+    """``validations`` after the rules in ``revised`` (chunk_id) were dealt with: their open contradictions are resolved at ``at``."""
+    dealt = revised.select("chunk_id", F.lit(True).alias("_dealt")).distinct()
+    now = F.when(F.col("_dealt") & (F.col("verdict") == "contradicted"), F.coalesce("resolved_at", at)).otherwise(F.col("resolved_at"))
+    return validations.join(dealt, "chunk_id", "left").withColumn("resolved_at", now).select(*validations.columns)
+
+
 def expiries(lib: Library) -> DataFrame:
     """Shown rows that were never observed, after shown_days; episodes after episode_days."""
     before = lambda c, days: F.col(c) < lib.as_of - F.make_dt_interval(days=F.lit(days))

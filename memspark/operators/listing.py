@@ -56,14 +56,30 @@ def trace_outcomes(lib: Library) -> DataFrame:
     return x.groupBy("trace_id").agg(F.max_by("event", F.struct("ts", "id")).alias("outcome"), F.count(F.lit(1)).alias("reports"))
 
 
+# What the columns of stored tables may hold; null is legal.
+DOMAINS = {
+    "chunks": {"origin": ["installed", "distilled", "captured", "spark"], "state": ["pending", "active", "archived"]},
+    "usage": {"event": ["retrieved", "selected", "refined", "used", "task_ok", "task_fail"], "attribution": ["explicit", "cited", "inferred"], "source": ["mcp", "sdk", "cli", "hook", "daemon", "augmented"]},
+    "log": {"event_source": ["mcp", "sdk", "cli", "hook", "daemon", "augmented"], "task_state": ["recalled", "running", "completed", "abandoned", "timed_out"], "usage_state": ["unknown", "known_none", "known_some"]},
+    "distill": {"distill_state": ["open", "new", "screening", "distilled", "discarded", "failed"]},
+    "feedback": {"signal": ["up", "down"]},
+    "validations": {"verdict": ["shown", "observed", "applied", "supported", "contradicted", "irrelevant", "unknown"]},
+    "submitted": {"verdict": ["shown", "observed", "applied", "supported", "contradicted", "irrelevant", "unknown"]},
+}
+
+
 def domain_violations(lib: Library) -> DataFrame:
-    """Rows whose event, source or attribution is outside its closed set, and used rows without attribution."""
-    said = F.array_compact(F.array(
-        F.when(~F.col("event").isin("retrieved", "selected", "used", "task_ok", "task_fail"), "event"),
-        F.when(~F.col("source").isin("mcp", "sdk", "cli", "hook", "daemon", "augmented"), "source"),
-        F.when((F.col("event") == "used") & F.col("attribution").isNull(), "attribution"),
-    ))
-    return lib.usage.select("id", F.explode(said).alias("violation")).groupBy("violation").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
+    """source_table, column_name, value, n and first_id of values outside their closed sets, and of used rows without attribution."""
+    out = None
+    for table, domains in DOMAINS.items():
+        df = getattr(lib, table)
+        bad = [F.when(~F.col(c).isin(legal), F.struct(F.lit(c).alias("column_name"), F.col(c).alias("value"))) for c, legal in domains.items()]
+        if table == "usage":
+            bad.append(F.when((F.col("event") == "used") & F.col("attribution").isNull(), F.struct(F.lit("attribution").alias("column_name"), F.lit("(null)").alias("value"))))
+        key = F.col("id" if "id" in df.columns else "trace_id").cast("string").alias("id")
+        x = df.select(F.lit(table).alias("source_table"), key, F.explode(F.array_compact(F.array(*bad))).alias("b"))
+        out = x if out is None else out.unionByName(x)
+    return out.groupBy("source_table", "b.column_name", "b.value").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
 
 
 def blacklisted(lib: Library) -> DataFrame:

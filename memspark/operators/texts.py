@@ -28,11 +28,42 @@ def any_of(text: Column, phrases: list[str]) -> Column:
     return out
 
 
+# Labels of secrets with the least length of their value and whether a value of letters alone is no secret, and what separates them.
+LABELS = [
+    ("password", 1, False), ("passwd", 1, False), ("pwd", 4, False), ("client_secret", 8, True), ("secret_key", 8, True), ("access_key", 8, True), ("api_key", 8, True), ("api-key", 8, True),
+    ("apikey", 8, True), ("secret", 8, True), ("token", 8, True),
+]
+CJK_LABELS = [("密码", 4, False), ("口令", 4, False), ("密钥", 8, True), ("秘钥", 8, True), ("私钥", 8, True), ("令牌", 8, True)]
+SEPARATORS, CJK_SEPARATORS = ":=：", "是为:：="
+QUOTES = "`\"'“”‘’"
+_BLANK = r"\s\x85\p{Z}"
+#: A character of a value: no white space, quote, CJK sign, comma or semicolon.
+_VALUE = rf"[^{_BLANK}{QUOTES}\x{{3000}}-\x{{303f}}\x{{4e00}}-\x{{9fff}}\x{{ff00}}-\x{{ffef}},;]"
+
+
+def _labelled(labels: list[tuple[str, int, bool]], separators: str, before: str) -> str:
+    """Pattern of a label, one or two separators, a quote (group 1), and a value that looks like a secret: no placeholder, no path, long enough."""
+    ways = []
+    for label, least, mixed in labels:
+        odd = rf"(?=[A-Za-z]*+(?![A-Za-z]){_VALUE})" if mixed else ""
+        ways.append(rf"({label}[ \t]*+[{separators}][ \t]*+(?:[{separators}][ \t]*+)?+[{QUOTES}]?+)(?![$\x7b<%\[])(?!{_VALUE}*/)(?={_VALUE}{{{least}}}){odd}{_VALUE}++")
+    return "(?i)" + before + "(?:" + "|".join(ways) + ")"
+
+
 def redacted(text: Column) -> Column:
-    """``text`` with keys of a known prefix and length, at the start of a token, replaced."""
+    """``text`` without keys of a known prefix and length at the start of a token, bearer tokens, and values of labels that name a secret.
+
+    Labels, separators and quotes stay, so the text still reads.  Labels are
+    scanned from left to right, at one place in the order above; doing it again
+    changes nothing.
+    """
+    plain = REDACTED.replace("[", "\\[").replace("]", "\\]")
     for prefix, least in PREFIXED:
-        text = F.regexp_replace(text, f"(^|[^A-Za-z0-9_-]){prefix}[A-Za-z0-9_-]{{{least},}}", f"$1{REDACTED}".replace("[", "\\[").replace("]", "\\]"))
-    return text
+        text = F.regexp_replace(text, f"(^|[^A-Za-z0-9_-]){prefix}[A-Za-z0-9_-]{{{least},}}", f"$1{plain}")
+    text = F.regexp_replace(text, rf"(?i)(bearer )(?!\[REDACTED\](?:[{_BLANK}{QUOTES}]|$))[^{_BLANK}{QUOTES}]++", f"$1{plain}")
+    groups = lambda n: "".join(f"${i}" for i in range(1, n + 1))
+    text = F.regexp_replace(text, _labelled(LABELS, SEPARATORS, "(?<![A-Za-z0-9])"), groups(len(LABELS)) + plain)
+    return F.regexp_replace(text, _labelled(CJK_LABELS, CJK_SEPARATORS, ""), groups(len(CJK_LABELS)) + plain)
 
 
 def sanitized(text: Column) -> tuple[Column, Column]:

@@ -204,7 +204,12 @@ SQL = {
     "f11_stale_embeddings": "SELECT id, (SELECT count(*) FROM fx_chunks WHERE embed_version = 0) AS remaining FROM fx_chunks WHERE embed_version = 0",
     "f13_reverse_deps": "SELECT dst, count(*) AS dependents, count(*) FILTER (kind = 'hard') AS hard FROM fx_deps GROUP BY dst",
     "f14_trace_outcomes": "SELECT trace_id, arg_max(event, (ts, id)) AS outcome, count(*) AS reports FROM fx_usage WHERE event IN ('task_ok', 'task_fail') GROUP BY 1",
-    "v1_domain_violations": "SELECT 'source' AS violation, count(*) AS n, min(id) AS first_id FROM fx_usage WHERE source NOT IN ('mcp', 'sdk', 'cli', 'hook', 'daemon', 'augmented') HAVING count(*) > 0",
+    "v1_domain_violations": """WITH x AS (SELECT 'usage' AS source_table, 'event' AS column_name, event AS value, CAST(id AS VARCHAR) AS id FROM fx_usage WHERE event NOT IN ('retrieved', 'selected', 'refined', 'used', 'task_ok', 'task_fail')
+        UNION ALL SELECT 'usage', 'attribution', '(null)', CAST(id AS VARCHAR) FROM fx_usage WHERE event = 'used' AND attribution IS NULL UNION ALL SELECT 'usage', 'source', source, CAST(id AS VARCHAR) FROM fx_usage WHERE source NOT IN ('mcp', 'sdk', 'cli', 'hook', 'daemon', 'augmented')
+        UNION ALL SELECT 'feedback', 'signal', signal, id FROM fx_feedback WHERE signal NOT IN ('up', 'down') UNION ALL SELECT 'log', 'task_state', task_state, trace_id FROM fx_log WHERE task_state NOT IN ('recalled', 'running', 'completed', 'abandoned', 'timed_out')
+        UNION ALL SELECT 'distill', 'distill_state', distill_state, id FROM fx_distill WHERE distill_state NOT IN ('open', 'new', 'screening', 'distilled', 'discarded', 'failed')
+        UNION ALL SELECT 'submitted', 'verdict', verdict, id FROM fx_submitted WHERE verdict NOT IN ('shown', 'observed', 'applied', 'supported', 'contradicted', 'irrelevant', 'unknown'))
+        SELECT source_table, column_name, value, count(*) AS n, min(id) AS first_id FROM x GROUP BY 1, 2, 3""",
     "v5_orphans": "SELECT DISTINCT src, dst FROM fx_deps WHERE kind = 'hard' AND (src NOT IN (SELECT id FROM fx_chunks) OR dst NOT IN (SELECT id FROM fx_chunks))",
     "t1_t2_hash_tokens": "SELECT id, sha256(content) AS hash, CAST(ceil(strlen(content) / 4.0) AS BIGINT) AS tokens FROM fx_chunks",
     "t3_t4_normalized_queries": r"""WITH n AS (SELECT query_id, array_to_string(list_sort(list_distinct(list_filter(string_split(regexp_replace(lower(query), '[^\p{L}\p{N}]+', ' ', 'g'), ' '),
@@ -227,12 +232,14 @@ SQL = {
     "c1_c8_archive_rules": f"WITH {EVENTS}, {FACTS}, {COUNTS}, {GOVERN}, {ARCHIVE} SELECT * FROM arch",
     "c9_duplicates": f"WITH {LOSERS} SELECT * FROM losers",
     "c10_decay": f"WITH {EVENTS}, {COUNTS}, {DECAY} SELECT * FROM decay",
-    "c12_l9_l10_supports": """WITH v AS (SELECT v.*, c.created_at AS born_at, c.state FROM fx_validations v JOIN fx_chunks c ON c.id = v.chunk_id),
-        u AS (SELECT chunk_id, count(DISTINCT coalesce(session_id, id)) AS units, count(DISTINCT project) AS projects FROM v WHERE verdict = 'supported' AND created_at > born_at AND NOT EXISTS (SELECT 1 FROM fx_births b WHERE b.rule_id = v.chunk_id AND b.session_id = v.session_id) GROUP BY 1),
-        x AS (SELECT chunk_id, state, count(*) FILTER (verdict = 'contradicted' AND resolved_at IS NULL) AS open_contradictions FROM v GROUP BY 1, 2),
-        y AS (SELECT chunk_id, state, coalesce(units, 0) AS units, coalesce(projects, 0) AS projects, open_contradictions FROM x LEFT JOIN u USING (chunk_id))
-        SELECT chunk_id, units, projects, open_contradictions, units >= 2 AND projects >= 2 AND open_contradictions = 0 AS transferable,
-        CASE WHEN open_contradictions > 0 AND state = 'active' THEN 'suspended' WHEN units >= 2 AND projects >= 2 AND open_contradictions = 0 AND state = 'pending' THEN 'promoted' ELSE 'unchanged' END AS becomes FROM y""",
+    "c12_l9_l10_supports": """WITH v AS (SELECT v.*, c.created_at AS born_at, c.state, c.origin, m.version, m.source_projects, m.directive FROM fx_validations v JOIN fx_chunks c ON c.id = v.chunk_id JOIN fx_rule_meta m ON m.id = c.id),
+        p AS (SELECT chunk_id, coalesce(session_id, id) AS unit, max(project) AS project, any_value(source_projects) AS source_projects FROM v WHERE verdict = 'supported' AND rule_version = version AND created_at > born_at AND NOT EXISTS (SELECT 1 FROM fx_births b WHERE b.rule_id = v.chunk_id AND b.session_id = v.session_id) GROUP BY 1, 2),
+        u AS (SELECT chunk_id, count(*) AS units, count(DISTINCT project) AS projects, CASE WHEN any_value(source_projects) IS NULL THEN count(DISTINCT project) >= 2 ELSE bool_or(NOT list_contains(string_split(source_projects, ','), project)) END AS moved FROM p GROUP BY 1),
+        x AS (SELECT chunk_id, state, origin, directive, count(*) FILTER (verdict = 'contradicted' AND resolved_at IS NULL) AS open_contradictions FROM v GROUP BY 1, 2, 3, 4),
+        y AS (SELECT chunk_id, state, origin, directive, coalesce(units, 0) AS units, coalesce(projects, 0) AS projects, coalesce(moved, false) AND coalesce(units, 0) >= 2 AND open_contradictions = 0 AS transferable, open_contradictions FROM x LEFT JOIN u USING (chunk_id))
+        SELECT chunk_id, units, projects, open_contradictions, transferable,
+        CASE WHEN open_contradictions > 0 AND state = 'active' AND NOT directive THEN 'suspended' WHEN transferable AND state = 'pending' AND origin <> 'spark' THEN 'promoted' ELSE 'unchanged' END AS becomes FROM y""",
+    "l10_contradictions": "SELECT id, chunk_id, session_id, project, created_at FROM fx_validations WHERE verdict = 'contradicted' AND resolved_at IS NULL",
     "c15_trace_lifecycle": f"WITH {LIFE} SELECT * FROM life",
     "c18_calibration": f"""WITH x AS (SELECT least(9, CAST(floor(emitted_strength * 10) AS BIGINT)) AS b, ({HIT})::INT AS hit FROM fx_verdicts WHERE observed_outcome IS NOT NULL AND outcome_provenance = 'observed' AND emitted_valence IN ('affirm', 'caution') AND emitted_conf IS NOT NULL),
         m AS (SELECT bucket, bucket / 10 AS lo, (bucket + 1) / 10 AS hi, count(hit) AS n, round(coalesce(avg(hit), (bucket + 0.5) / 10), 6) AS rate FROM range(10) r(bucket) LEFT JOIN x ON b = bucket WHERE (SELECT count(*) FROM x) >= 20 GROUP BY bucket) SELECT * FROM m""",
@@ -295,9 +302,6 @@ SQL = {
         UNION ALL SELECT c.id, 'direct', CASE WHEN lost > 0 THEN '' ELSE array_to_string(list_prepend(c.id, coalesce(deps, [])), ',') END, CASE WHEN lost > 0 THEN 0 ELSE token_count + coalesce(cost, 0) END, CASE WHEN lost > 0 THEN 'hard_dep_unavailable' END
         FROM fx_chunks c LEFT JOIN near ON near.src = c.id WHERE c.id IN (SELECT id FROM block)""",
     "t10_lexical_tokens": f"""SELECT query_id, array_to_string(list_transform(list_filter(list_transform(words, lambda w, i: {{'w': w, 'i': i}}), lambda e: list_position(words, e.w) = e.i)[1:32], lambda e: e.w), ' ') AS words FROM (SELECT query_id, {ASKED} AS words FROM fx_queries)""",
-    "t12_t13_sanitized": r"""WITH r AS (SELECT id, content, regexp_replace(regexp_replace(regexp_replace(content, '(^|[^A-Za-z0-9_-])sk-[A-Za-z0-9_-]{20,}', '\1[REDACTED]', 'g'), '(^|[^A-Za-z0-9_-])AKIA[A-Za-z0-9_-]{16,}', '\1[REDACTED]', 'g'), '(^|[^A-Za-z0-9_-])ghp_[A-Za-z0-9_-]{36,}', '\1[REDACTED]', 'g') AS clean,
-        regexp_matches(lower(content), 'ignore all previous instructions|ignore previous instructions?|system prompt[:：]|you are now a different|you are now a new') AS bad FROM fx_secrets)
-        SELECT id, CASE WHEN bad THEN 'discard' WHEN clean <> content THEN 'redact' WHEN content IS NOT NULL THEN 'allow' END AS action, sha256(CASE WHEN bad THEN content ELSE clean END) AS hash FROM r""",
     "t5_t7_situations": r"""WITH a AS (SELECT id, lower(trim(coalesce(stage, ''), ' ')) AS stage, trim(coalesce(last_error, ''), ' ') AS e, regexp_extract(coalesce(file_context, ''), '([^ ,\t\n\r]+)', 1) AS token FROM fx_situations),
         b AS (SELECT id, stage, regexp_extract(e, '[Ee]([0-9]{3,})', 1) AS code, regexp_extract(e, '(?:^|[^\p{L}\p{N}_])([\p{L}\p{N}_]*(?:Error|Exception))(?:$|[^\p{L}\p{N}_])', 1) AS name, lower(e) AS low, regexp_extract(token, '\.([^.]*)$', 1) AS ext, regexp_extract(token, '([^/\\]*)$', 1) AS base FROM a),
         c AS (SELECT id, concat('stage=', stage, '|err=', CASE WHEN code <> '' THEN concat('E', code) WHEN name <> '' THEN name WHEN contains(low, 'panic') THEN 'panic' ELSE substr(regexp_extract(low, '(\p{L}+)', 1), 1, 24) END,

@@ -9,9 +9,26 @@ def strip(x: str) -> str:
     return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
 
 
+BLANK = r"\s\x{85}\p{Z}"
+QUOTE = "`\"''“”‘’"
+VALUE = rf"[^{BLANK}{QUOTE}\x{{3000}}-\x{{303f}}\x{{4e00}}-\x{{9fff}}\x{{ff00}}-\x{{ffef}},;]"
+LABELLED = [
+    (r"(?i)(?:^|[^A-Za-z0-9])(?:password|passwd)", "[:=：]", 1, False), (r"(?i)(?:^|[^A-Za-z0-9])pwd", "[:=：]", 4, False),
+    (r"(?i)(?:^|[^A-Za-z0-9])(?:client_secret|secret_key|access_key|api_key|api-key|apikey|secret|token)", "[:=：]", 8, True), ("(?:密码|口令)", "[是为:：=]", 4, False), ("(?:密钥|秘钥|私钥|令牌)", "[是为:：=]", 8, True),
+]
+
+
 def clean(x: str) -> str:
+    """Found labels with their values are replaced one after the other, those whose value looks like a secret."""
     for prefix, least in (("sk-", 20), ("AKIA", 16), ("ghp_", 36)):
         x = rf"regexp_replace({x}, '(^|[^A-Za-z0-9_-]){prefix}[A-Za-z0-9_-]{{{least},}}', '\1[REDACTED]', 'g')"
+    x = rf"regexp_replace({x}, '(?i)(bearer )[^{BLANK}{QUOTE}]+', '\1[REDACTED]', 'g')"
+    for label, sep, least, mixed in LABELLED:
+        head = rf"{label}[ \t]*{sep}[ \t]*(?:{sep}[ \t]*)?[{QUOTE}]?"
+        value = f"regexp_extract(m, '^(?:{head})({VALUE}+)$', 1)"
+        some = rf"length({value}) >= {least} AND NOT regexp_matches({value}, '^[$\x7b<%\[]|/')" + (f" AND regexp_matches({value}, '[^A-Za-z]')" if mixed else "")
+        found = f"list_filter(regexp_extract_all(t, '{head}{VALUE}+'), lambda m: {some})"
+        x = f"list_transform([{x}], lambda t: list_reduce(list_prepend(t, {found}), lambda acc, m: replace(acc, m, concat(regexp_extract(m, '^({head}){VALUE}+$', 1), '[REDACTED]'))))[1]"
     return x
 
 
@@ -81,6 +98,7 @@ TRACED = f"""{recalled()}, {packs(1200)}, sparks AS ({SQL['r14_spark_hits'].repl
         UNION ALL SELECT p.query_id, p.chunk_id, 'selected', p.pos, l.score, NULL FROM pack p JOIN list_of l ON l.query_id = p.query_id AND l.chunk_id = p.seed
         UNION ALL SELECT query_id, chunk_id, 'spark', rank, sim, NULL FROM sparks)"""
 LOOP_SQL = {
+    "t12_t13_sanitized": f"SELECT id, act AS action, sha256(CASE WHEN act = 'discard' THEN content ELSE {clean('content')} END) AS hash FROM (SELECT id, content, {action('content')} AS act FROM fx_secrets)",
     "f9_work_queue": "SELECT id, priority, ts FROM fx_distill WHERE distill_state = 'new'",
     "f10_retries": f"SELECT id, attempts FROM fx_distill WHERE distill_state = 'failed' AND attempts < 3 AND coalesce(last_failed_at, ts) < {AS_OF} - INTERVAL 5 MINUTES",
     "c14_screening": f"SELECT id, attempts + 1 AS attempts, concat('screening_timeout:', coalesce(run_id, 'unknown')) AS note FROM fx_distill WHERE distill_state = 'screening' AND locked_at < {AS_OF} - INTERVAL 30 MINUTES",

@@ -20,7 +20,7 @@ OPERATORS: dict[str, Callable[[Library], DataFrame]] = {
     "a10_confidence": evidence.folded, "a12_governance": evidence.governance, "a15_usage_states": evidence.usage_states,
     "a16_observed_outcomes": evidence.observed_outcomes, "a18_counter_baseline": evidence.counter_baseline, "a20_deduped": evidence.deduped,
     "c1_c8_archive_rules": evidence.archive_candidates, "c9_duplicates": evidence.duplicate_losers, "c10_decay": evidence.decayed,
-    "c12_l9_l10_supports": evidence.supports, "c15_trace_lifecycle": evidence.trace_lifecycle, "c18_calibration": evidence.calibration, "l8_expiries": evidence.expiries,
+    "c12_l9_l10_supports": evidence.supports, "l10_contradictions": evidence.open_contradictions, "c15_trace_lifecycle": evidence.trace_lifecycle, "c18_calibration": evidence.calibration, "l8_expiries": evidence.expiries,
     "r1_content_hits": retrieval.content_hits, "r2_lexical_hits": retrieval.lexical_top, "r6_recall": retrieval.recall, "r14_spark_hits": retrieval.spark_hits,
     "t5_t7_situations": texts.situations, "t10_lexical_tokens": retrieval.lexical_tokens, "t12_t13_sanitized": texts.sanitized_chunks, "t15_t27_message_flags": texts.message_flags,
     "t24_citations": texts.citations, "t30_grounded_signals": texts.grounded_signals,
