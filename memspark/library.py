@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
@@ -144,6 +145,13 @@ class Library:
         """Usage without repeats; events of other kinds pass as they are."""
         return self.facts.unionByName(self.usage.filter("NOT coalesce(event IN ('used', 'selected', 'task_ok', 'task_fail'), false)"))
 
+    def replaced(self, **tables: DataFrame) -> Library:
+        """This library with other ``tables`` in place of its own."""
+        other = copy.copy(self)
+        other._kept = {}
+        other.__dict__.update(tables)
+        return other
+
     def settle(self) -> None:
         """Writes the facts once, for a job that folds them several times."""
         self.facts = self.kept("facts", lambda: stored(self.facts, "facts"))

@@ -14,13 +14,13 @@ NAME = r"^[\p{L}\p{N}_:./-]+$"
 MOST, LEAST_BYTES = 64, 2
 
 
-def entities(df: DataFrame, key: str, *texts: str) -> DataFrame:
+def entities(df: DataFrame, key: str, *texts: str, placed: bool = False) -> DataFrame:
     """``key``, entity and etype: the distinct entities of each row's ``texts`` in order, at most MOST of them.
 
     Of each text those in backticks come first, for which any name will do, then
     all tokens.  An entity keeps the type of its first place.  Null texts give
     none; rows that repeat a key count as one.  Tokens are rows before they are
-    classed, and only entities are shuffled.
+    classed, and only entities are shuffled.  ``placed`` adds nth, their order.
     """
     tokens = lambda text, marked: F.transform(F.split(text, r"\s+"), lambda t: F.struct(t.alias("t"), F.lit(marked).alias("marked")))
     parts = []
@@ -43,7 +43,8 @@ def entities(df: DataFrame, key: str, *texts: str) -> DataFrame:
     found = x.withColumn("etype", kind).filter("etype IS NOT NULL").withColumn("entity", entity).filter(F.octet_length("entity") >= LEAST_BYTES)
     once = found.groupBy(key, "entity").agg(F.min(F.struct("at", "etype")).alias("first"))
     nth = F.row_number().over(Window.partitionBy(key).orderBy("first.at"))
-    return once.withColumn("nth", nth).filter(F.col("nth") <= MOST).select(key, "entity", "first.etype")
+    x = once.withColumn("nth", nth).filter(F.col("nth") <= MOST)
+    return x.select(key, "entity", "first.etype", "nth") if placed else x.select(key, "entity", "first.etype")
 
 
 def entity_index(lib: Library) -> DataFrame:

@@ -248,15 +248,17 @@ def proposals(lib: Library) -> DataFrame:
     return x.select("chunk_id", "score", "actors", "created_at", F.col("state").alias("chunk_state"), becomes.alias("becomes"))
 
 
-def duplicate_losers(lib: Library) -> DataFrame:
-    """Chunks whose content another has too: protected, confident and older ones stay."""
+def duplicate_losers(lib: Library, origin: str | None = None, skill: str | None = None) -> DataFrame:
+    """Chunks in use whose content another has too: protected, confident and older ones stay; sparks do not count."""
     key = F.struct(-F.col("protected"), -F.col("confidence_base"), "created_at", "id")
-    x = lib.chunks.filter("state <> 'archived'")
+    x = lib.chunks.filter("state IN ('active', 'pending') AND origin <> 'spark'")
+    x = x if origin is None else x.filter(F.col("origin") == origin)
+    x = x if skill is None else x.filter(F.col("skill_name") == skill)
     best = x.groupBy("content_hash").agg(F.min(key).getField("id").alias("keeper"))
     return x.join(best, "content_hash").filter("id <> keeper").select("id", F.concat(F.lit("duplicate:"), "keeper").alias("reason"))
 
 
-def decayed(lib: Library) -> DataFrame:
+def decayed(lib: Library, origin: str | None = None, skill: str | None = None) -> DataFrame:
     """Confidence of used and idle chunks moved towards the floor with a half-life of whole days since the last use or decay.
 
     ``last_decayed_at`` of the chunks counts where it is later; changes of up to
@@ -267,7 +269,7 @@ def decayed(lib: Library) -> DataFrame:
     days = whole_days_between(lib.as_of, since)
     alpha = 1 - F.pow(F.lit(0.5), days / p.decay_half_life)
     new = F.col("confidence_base") + alpha * (p.decay_floor - F.col("confidence_base"))
-    x = _with_usage(lib).filter("last_used_at IS NOT NULL").withColumns({"days": days, "new": new})
+    x = _with_usage(lib, origin, skill).filter("last_used_at IS NOT NULL").withColumns({"days": days, "new": new})
     return x.filter((F.col("days") > 0) & (F.abs(F.col("confidence_base") - F.col("new")) > p.decay_least)).select("id", F.round("new", 6).alias("confidence"), F.concat(F.lit("decay:"), F.col("days"), F.lit("d")).alias("note"))
 
 

@@ -25,30 +25,6 @@ def _present(lib: Library) -> DataFrame:
     return x.agg(F.min_by("id", F.struct("created_at", "id")).alias("existing"))
 
 
-def governance_actions(lib: Library) -> DataFrame:
-    """id, failure and becomes of each request, judged against the stored state of its chunk.
-
-    approve needs a pending chunk, restore an archived one; both leave an active
-    one as it is.  approve and archive do not take sparks.  invalidate always works.
-    """
-    known = lib.chunks.select(F.col("id").alias("chunk_id"), "state", "origin")
-    x, c = lib.requests.join(known, "chunk_id", "left"), F.col
-    spark = (c("origin") == "spark") & c("action").isin("approve", "archive")
-    idle = c("action").isin("approve", "restore") & (c("state") == "active")
-    wrong = ((c("action") == "approve") & (c("state") != "pending")) | ((c("action") == "restore") & (c("state") != "archived"))
-    failure = F.when(c("state").isNull(), "chunk_not_found").when(spark, "spark_lifecycle").when(~idle & wrong, "invalid_state").when(~c("action").isin("approve", "archive", "invalidate", "restore"), "unknown_action")
-    becomes = F.when(c("action").isin("approve", "restore"), "active").otherwise("archived")
-    return x.select("id", failure.alias("failure"), F.when(failure.isNull(), becomes).alias("becomes"))
-
-
-def invalidated(lib: Library) -> DataFrame:
-    """id and reason of every chunk that the requests to invalidate archive: those named, and all with the same content."""
-    named = lib.requests.filter("action = 'invalidate'").select(F.col("chunk_id").alias("id")).distinct()
-    hit = lib.chunks.join(named, "id", "left_semi").select("content_hash").distinct()
-    x = lib.chunks.join(hit, "content_hash", "left_semi").join(named.withColumn("named", F.lit(True)), "id", "left")
-    return x.select("id", F.when(F.col("named"), "invalidated").otherwise("invalidated:same_hash").alias("reason"))
-
-
 def spark_transitions(lib: Library) -> DataFrame:
     """id, failure, becomes, chunk_id and confidence of each request about a spark.
 

@@ -61,7 +61,7 @@ ARCHIVE = f"""hub AS (SELECT chunk_id, count(*) FILTER (event = 'selected') AS h
     WHERE c.state IN ('active', 'pending') AND c.protected = 0 AND c.origin <> 'spark' AND reason IS NOT NULL)"""
 DECAY = f"""decay AS (SELECT id, round(n, 6) AS confidence, concat('decay:', d, 'd') AS note FROM (SELECT id, b, d, b + (1 - pow(0.5::DOUBLE, d / 90)) * (0.20::DOUBLE - b) AS n FROM (
     SELECT id, confidence_base AS b, CAST(floor({days(AS_OF, 'last_used_at')}) AS BIGINT) AS d FROM fx_chunks JOIN counts USING (id) WHERE state IN ('active', 'pending') AND origin <> 'spark' AND protected = 0 AND last_used_at IS NOT NULL)) WHERE d > 0 AND abs(b - n) > 0.001)"""
-LOSERS = "losers AS (SELECT id, concat('duplicate:', first_value(id) OVER w) AS reason FROM fx_chunks WHERE state <> 'archived' WINDOW w AS (PARTITION BY content_hash ORDER BY protected DESC, confidence_base DESC, created_at, id) QUALIFY row_number() OVER w > 1)"
+LOSERS = "losers AS (SELECT id, concat('duplicate:', first_value(id) OVER w) AS reason FROM fx_chunks WHERE state IN ('active', 'pending') AND origin <> 'spark' WINDOW w AS (PARTITION BY content_hash ORDER BY protected DESC, confidence_base DESC, created_at, id) QUALIFY row_number() OVER w > 1)"
 LIFE = f"""life AS (SELECT trace_id, CASE WHEN late THEN 'timed_out' ELSE task_state END AS became, CASE WHEN late THEN 'discarded' WHEN task_state = 'recalled' THEN 'open' WHEN usage_state = 'known_some' THEN 'new' ELSE 'discarded' END AS distill_state
     FROM (SELECT *, task_state = 'recalled' AND ts < {AS_OF} - INTERVAL 14 DAYS AS late FROM fx_log))"""
 EXPIRE = f"expire AS (SELECT id, 'unknown' AS becomes FROM fx_validations WHERE verdict = 'shown' AND created_at < {AS_OF} - INTERVAL 2 DAYS UNION ALL SELECT id, 'expired' FROM fx_episodes WHERE ts < {AS_OF} - INTERVAL 20 DAYS)"

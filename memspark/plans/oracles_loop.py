@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from memspark.plans.oracles import AS_OF, BM25, CONTEXT, COUNTS, EVENTS, EVIDENCE, FOLD, GOVERN, HIT, LIFE, OUTCOME, SQL, entity_rows, packs, ranked, recalled, share
+from memspark.plans.oracles import AS_OF, ARCHIVE, BM25, CONTEXT, COUNTS, DECAY, EVENTS, EVIDENCE, FACTS, FOLD, GOVERN, HIT, LIFE, OUTCOME, SQL, entity_rows, packs, ranked, recalled, share
 
 
 def strip(x: str) -> str:
@@ -97,7 +97,36 @@ TRACED = f"""{recalled()}, {packs(1200)}, sparks AS ({SQL['r14_spark_hits'].repl
     traced AS (SELECT l.query_id, l.chunk_id, 'retrieved' AS event, l.rank, l.score, CASE WHEN p.pos IS NULL THEN coalesce(l.reason, 'budget') END AS skip_reason FROM list_of l LEFT JOIN pack p ON p.query_id = l.query_id AND p.chunk_id = l.chunk_id
         UNION ALL SELECT p.query_id, p.chunk_id, 'selected', p.pos, l.score, NULL FROM pack p JOIN list_of l ON l.query_id = p.query_id AND l.chunk_id = p.seed
         UNION ALL SELECT query_id, chunk_id, 'spark', rank, sim, NULL FROM sparks)"""
+HUMAN = r"""regexp_replace(text, '^\s+', '') <> '' AND NOT starts_with(regexp_replace(text, '^\s+', ''), '<') AND NOT starts_with(regexp_replace(text, '^\s+', ''), '[Request interrupted')"""
+SESSION = rf"""sess AS (SELECT concat('s', conv_id) AS session_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, k) AS INTEGER) AS seq, * FROM (
+    SELECT conv_id, turn, 0 AS k, 'user' AS kind, id AS uuid, NULL::VARCHAR AS name, NULL::VARCHAR AS input, NULL::BOOLEAN AS failed, text FROM fx_messages WHERE role = 'user' AND {HUMAN}
+    UNION ALL SELECT conv_id, turn, 0, 'assistant', '', NULL, NULL, NULL, text FROM fx_messages WHERE role = 'assistant' AND text IS NOT NULL
+    UNION ALL SELECT conv_id, turn, 1, 'tool', '', CASE WHEN turn % 3 = 0 THEN 'Read' ELSE 'Bash' END, CASE WHEN turn % 3 = 0 THEN concat('Read src/m', turn, '.rs') ELSE concat('cd app && make t', turn) END, (conv_id + turn) % 3 <> 0, coalesce(text, '') FROM fx_messages WHERE role = 'assistant'))"""
+LOGS_NOTE = f"CASE WHEN stuck THEN concat('screening_timeout:', coalesce(run_id, 'unknown')) WHEN late THEN 'no_record_timeout' END"
+CURED_LOGS = f"""lg AS (SELECT *, distill_state = 'screening' AND locked_at < {AS_OF} - INTERVAL 30 MINUTES AS stuck, distill_state = 'open' AND ts < {AS_OF} - INTERVAL 14 DAYS AS late FROM fx_distill),
+    lh AS (SELECT id, ts, CASE WHEN stuck THEN 'failed' WHEN late THEN 'discarded' ELSE distill_state END AS distill_state, {LOGS_NOTE} AS note, attempts + CASE WHEN stuck THEN 1 ELSE 0 END AS attempts FROM lg),
+    cured AS (SELECT id, distill_state, coalesce(note, CASE WHEN old THEN 'compacted' END) AS note, attempts, old AS compacted FROM (SELECT *, distill_state IN ('distilled', 'discarded', 'failed') AND ts < {AS_OF} - INTERVAL 20 DAYS AS old FROM lh))"""
+CURATED = f"""{EVENTS}, {FACTS}, {COUNTS}, {GOVERN}, {ARCHIVE}, c1 AS (SELECT c.* EXCLUDE (state), CASE WHEN a.id IS NULL THEN c.state ELSE 'archived' END AS state, a.reason AS state_reason FROM fx_chunks c LEFT JOIN arch a ON a.id = c.id),
+    dup AS (SELECT id, concat('duplicate:', first_value(id) OVER w) AS reason FROM c1 WHERE state IN ('active', 'pending') AND origin <> 'spark' WINDOW w AS (PARTITION BY content_hash ORDER BY protected DESC, confidence_base DESC, created_at, id) QUALIFY row_number() OVER w > 1),
+    c2 AS (SELECT c1.* EXCLUDE (state, state_reason), CASE WHEN d.id IS NULL THEN c1.state ELSE 'archived' END AS state, coalesce(d.reason, c1.state_reason) AS state_reason FROM c1 LEFT JOIN dup d ON d.id = c1.id),
+    fell AS (SELECT d.id, d.confidence FROM ({DECAY[len('decay AS ('):-1]}) d JOIN c2 ON c2.id = d.id WHERE c2.state IN ('active', 'pending')),
+    grew AS (SELECT c2.id, CASE WHEN open_contradictions > 0 AND c2.state = 'active' AND NOT m.directive THEN 'suspended' WHEN transferable AND c2.state = 'pending' AND c2.origin <> 'spark' THEN 'promoted' END AS turned
+        FROM c2 JOIN fx_rule_meta m ON m.id = c2.id JOIN ({SQL['c12_l9_l10_supports']}) s ON s.chunk_id = c2.id WHERE turned IS NOT NULL),
+    final AS (SELECT c2.id, CASE turned WHEN 'promoted' THEN 'active' WHEN 'suspended' THEN 'pending' ELSE c2.state END AS state, CASE turned WHEN 'promoted' THEN 'validated:transferable' WHEN 'suspended' THEN 'suspended:contradicted' ELSE c2.state_reason END AS state_reason,
+        coalesce(f.confidence, confidence_base) AS confidence FROM c2 LEFT JOIN fell f ON f.id = c2.id LEFT JOIN grew g ON g.id = c2.id)"""
+GOVERNED = """asked AS (SELECT r.id AS rid, r.chunk_id, r.action, c.content_hash AS h, row_number() OVER (PARTITION BY c.content_hash ORDER BY r.ts, r.id) AS nth FROM fx_requests r JOIN fx_chunks c ON c.id = r.chunk_id),
+    steps(h, nth, ms, invalid, rid, failure, becomes) AS (
+        SELECT c.content_hash, 0::BIGINT, list({'id': c.id, 'origin': c.origin, 'state': c.state, 'reason': NULL::VARCHAR} ORDER BY c.id), false, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR FROM fx_chunks c WHERE c.id IN (SELECT chunk_id FROM asked) GROUP BY 1
+        UNION ALL SELECT h, nth, list_transform(ms, lambda m: {'id': m.id, 'origin': m.origin, 'state': CASE WHEN m.id = chunk_id AND failure IS NULL THEN becomes WHEN m.id <> chunk_id AND void THEN 'archived' ELSE m.state END,
+            'reason': CASE WHEN m.id = chunk_id AND failure IS NULL AND NOT idle THEN CASE action WHEN 'invalidate' THEN 'invalidated' WHEN 'approve' THEN 'approved' ELSE action END WHEN m.id <> chunk_id AND void THEN 'invalidated:same_hash' ELSE m.reason END}),
+            void OR (invalid AND NOT (failure IS NULL AND action = 'restore' AND coalesce(own.reason, '') LIKE 'invalidated%')), rid, failure, becomes
+        FROM (SELECT *, failure IS NULL AND action = 'invalidate' AS void, CASE WHEN failure IS NULL THEN CASE WHEN action IN ('approve', 'restore') THEN 'active' ELSE 'archived' END END AS becomes FROM (
+            SELECT *, action IN ('approve', 'restore') AND own.state = 'active' AS idle, CASE WHEN own.origin = 'spark' AND action IN ('approve', 'archive') THEN 'spark_lifecycle' WHEN (action = 'approve' AND own.state = 'archived') OR (action = 'restore' AND own.state = 'pending') THEN 'invalid_state' END AS failure FROM (
+                SELECT a.*, s.ms, s.invalid, list_filter(s.ms, lambda m: m.id = a.chunk_id)[1] AS own FROM steps s JOIN asked a ON a.h = s.h AND a.nth = s.nth + 1))))"""
 LOOP_SQL = {
+    "src5_events": f"WITH {SESSION} SELECT session_id, seq, kind, uuid, name, input, failed, sha256(text) AS hash FROM sess",
+    "l15_digests": f"""WITH {SESSION} SELECT session_id, substr(arg_max(text, seq) FILTER (kind = 'user'), 1, 200) AS asked, substr(arg_max(text, seq) FILTER (kind = 'assistant'), 1, 200) AS answered,
+        coalesce(string_agg(DISTINCT name, ',' ORDER BY name) FILTER (kind = 'tool'), '') AS tools, count(*) FILTER (kind = 'tool') AS calls, count(*) FILTER (failed) AS failures FROM sess GROUP BY 1""",
     "t12_t13_sanitized": f"SELECT id, act AS action, sha256(CASE WHEN act = 'discard' THEN content ELSE {clean('content')} END) AS hash FROM (SELECT id, content, {action('content')} AS act FROM fx_secrets)",
     "f9_work_queue": "SELECT id, priority, ts FROM fx_distill WHERE distill_state = 'new'",
     "f10_retries": f"SELECT id, attempts FROM fx_distill WHERE distill_state = 'failed' AND attempts < 3 AND coalesce(last_failed_at, ts) < {AS_OF} - INTERVAL 5 MINUTES",
@@ -130,10 +159,19 @@ LOOP_SQL = {
         SELECT e.id, CASE WHEN c.id IS NULL THEN 'new' WHEN rule_id IS NULL THEN 'no_rule' ELSE 'ruled' END AS state, rule_id FROM fx_episodes e LEFT JOIN clusters c ON c.id = e.id LEFT JOIN gave USING (cluster)""",
     "c13_cycles": f"""WITH RECURSIVE {HARD}, reach(a, b) AS (SELECT a, b FROM hard UNION SELECT r.a, h.b FROM reach r JOIN hard h ON h.a = r.b)
         SELECT x.a AS id, min(x.b) AS cycle FROM reach x JOIN reach y ON y.a = x.b AND y.b = x.a GROUP BY 1""",
-    "c21_actions": """WITH x AS (SELECT r.id, r.action, CASE WHEN c.state IS NULL THEN 'chunk_not_found' WHEN c.origin = 'spark' AND action IN ('approve', 'archive') THEN 'spark_lifecycle'
-        WHEN (action = 'approve' AND c.state = 'archived') OR (action = 'restore' AND c.state = 'pending') THEN 'invalid_state' END AS failure FROM fx_requests r LEFT JOIN fx_chunks c ON c.id = r.chunk_id)
-        SELECT id, failure, CASE WHEN failure IS NULL THEN CASE WHEN action IN ('approve', 'restore') THEN 'active' ELSE 'archived' END END AS becomes FROM x""",
-    "c21_invalidated": """WITH n AS (SELECT DISTINCT chunk_id FROM fx_requests WHERE action = 'invalidate') SELECT id, CASE WHEN id IN (SELECT chunk_id FROM n) THEN 'invalidated' ELSE 'invalidated:same_hash' END AS reason FROM fx_chunks WHERE content_hash IN (SELECT content_hash FROM fx_chunks WHERE id IN (SELECT chunk_id FROM n))""",
+    "c20_curated": f"WITH {CURATED} SELECT f.id, f.state, f.state_reason, round(f.confidence, 6) AS confidence FROM final f JOIN fx_chunks c ON c.id = f.id WHERE f.state <> c.state OR f.state_reason IS NOT NULL OR f.confidence <> c.confidence_base",
+    "c20_logs": f"WITH {CURED_LOGS} SELECT * FROM cured",
+    "c20_report": f"""WITH RECURSIVE {CURATED}, {CURED_LOGS}, {HARD}, reach(a, b) AS (SELECT a, b FROM hard UNION SELECT r.a, h.b FROM reach r JOIN hard h ON h.a = r.b),
+        ends AS (SELECT a AS id FROM hard WHERE a NOT IN (SELECT id FROM fx_chunks) UNION SELECT b FROM hard WHERE b NOT IN (SELECT id FROM fx_chunks)),
+        x AS (SELECT concat('archive:', reason) AS step FROM arch UNION ALL SELECT 'duplicate' FROM dup UNION ALL SELECT 'decay' FROM fell UNION ALL SELECT turned FROM grew UNION ALL SELECT 'on_cycle' FROM (SELECT a FROM reach WHERE a = b) UNION ALL SELECT 'orphan' FROM ends
+            UNION ALL SELECT 'recovered' FROM cured WHERE note LIKE 'screening_timeout:%' UNION ALL SELECT 'given_up' FROM cured WHERE note = 'no_record_timeout' UNION ALL SELECT 'compacted' FROM cured WHERE compacted
+            UNION ALL SELECT 'pruned_runs' FROM fx_oplog WHERE started_at < {AS_OF} - INTERVAL 20 DAYS UNION ALL SELECT 'pruned_requests' FROM fx_requests WHERE ts < {AS_OF} - INTERVAL 30 DAYS)
+        SELECT step, count(*) AS n FROM x GROUP BY 1""",
+    "c21_actions": f"""WITH RECURSIVE {GOVERNED} SELECT rid AS id, failure, becomes FROM steps WHERE nth > 0 UNION ALL SELECT id, 'chunk_not_found', NULL FROM fx_requests WHERE chunk_id NOT IN (SELECT id FROM fx_chunks)""",
+    "c21_chunks": f"""WITH RECURSIVE {GOVERNED}, ends AS (SELECT * FROM steps QUALIFY row_number() OVER (PARTITION BY h ORDER BY nth DESC) = 1), m AS (SELECT h, invalid, unnest(ms) AS m FROM ends),
+        void AS (SELECT DISTINCT h FROM asked WHERE action = 'invalidate')
+        SELECT m.id AS id, m.state AS state, m.reason AS reason, invalid FROM m WHERE m.reason IS NOT NULL
+        UNION ALL SELECT c.id, 'archived', 'invalidated:same_hash', e.invalid FROM fx_chunks c JOIN void ON void.h = c.content_hash JOIN ends e ON e.h = c.content_hash WHERE c.id NOT IN (SELECT m.id FROM m)""",
     "c22_spark_transitions": f"""WITH {GONE}, {PRESENT}, x AS (SELECT r.id, r.action AS request, r.target, coalesce(s.maturity, 'seed') AS m, s.id IS NULL AS lost, {action('s.content')} AS act, sha256({clean('s.content')}) AS hash FROM fx_spark_requests r LEFT JOIN fx_chunks s ON s.id = r.spark_id AND s.origin = 'spark'),
         y AS (SELECT x.*, existing, CASE WHEN lost THEN 'chunk_not_found' WHEN request = 'mature' THEN CASE WHEN m NOT IN ('seed', 'sprouting') THEN concat('already_', m) WHEN target <> m AND target <> CASE m WHEN 'seed' THEN 'sprouting' ELSE 'incubating' END THEN 'invalid_transition' END
             WHEN request = 'promote' THEN CASE WHEN m IN ('promoted', 'dropped') THEN concat('already_', m) WHEN target NOT IN ('note', 'skill') THEN 'invalid_target' WHEN act = 'discard' THEN 'discarded' WHEN x.hash IN (SELECT hash FROM gone) THEN 'hash_invalidated' END

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from memspark.library import THIN, Library
-from memspark.operators import appraisal, distillation, entities, episodes, evidence, graph, health, lifecycle, listing, packing, retrieval, rules, texts
+from memspark.operators import appraisal, capture, curate, distillation, entities, episodes, evidence, graph, health, lifecycle, listing, packing, retrieval, rules, texts
 
 OPERATORS: dict[str, Callable[[Library], DataFrame]] = {
     "f1_listing": listing.listing, "f2_recallable": listing.valid_for_recall, "f3_valid_sparks": listing.valid_sparks,
@@ -30,6 +30,7 @@ OPERATORS: dict[str, Callable[[Library], DataFrame]] = {
     "f12_blacklisted": listing.blacklisted, "v2_conflicting_feedback": listing.conflicting_feedback, "v3_attributed": listing.attributed, "a19_evolve_readiness": evidence.evolve_readiness,
     "l2_corrections": texts.corrections, "l15_session_summaries": texts.session_summaries, "o7_o8_daily_kpis": health.daily_kpis,
     "e1_ranking_metrics": retrieval.ranking_metrics, "e1_averages": retrieval.ranking_averages, "e2_self_labels": retrieval.self_labels, "e3_weight_sweep": retrieval.weight_sweep, "r15_trace_events": retrieval.trace_events,
+    "src5_events": capture.event_rows, "l4_captured": capture.captured_episodes, "l15_digests": capture.session_digests,
     "t16_t18_call_features": episodes.call_features, "l1_struggles": episodes.struggles, "l3_observations": episodes.observations, "a5_reduced_traces": episodes.reduced_traces, "t8_embed_texts": episodes.embed_texts,
     "o4_recall_pack": health.recall_pack, "o4_rank_anomalies": health.rank_anomalies, "p7_intuition": health.intuition, "o7_kpi_snapshot": health.kpi_snapshot, "r8_reranked": retrieval.reranked, "r17_search": retrieval.search_results,
     "t14_c11_entity_index": entities.entity_index, "r5_spread": retrieval.spread_hits,
@@ -37,7 +38,7 @@ OPERATORS: dict[str, Callable[[Library], DataFrame]] = {
     "f9_work_queue": distillation.work_queue, "f10_retries": distillation.retries, "c14_screening": distillation.recovered_screening, "d1_distilled": distillation.distilled_chunks, "d2_n12_prompt_tokens": distillation.prompt_tokens,
     "d3_batch": distillation.distilled_batch, "d5_token_usage": distillation.token_usage,
     "v4_verdicts": rules.validated_verdicts, "t23_usable_signals": rules.usable_signals, "r21_r22_actions": rules.matched_actions, "l5_clusters": rules.episode_clusters, "l16_to_embed": rules.episodes_to_embed, "l16_consumed": rules.consumed_episodes, "c13_cycles": graph.hard_cycles,
-    "c21_actions": lifecycle.governance_actions, "c21_invalidated": lifecycle.invalidated, "c22_spark_transitions": lifecycle.spark_transitions, "c23_ingested": lifecycle.ingested, "a17_repair": lifecycle.repaired_traces, "a21_a22_backfilled": lifecycle.backfilled,
+    "c20_curated": curate.curated_chunks, "c20_report": curate.curated_report, "c20_logs": curate.curated_logs, "c21_actions": curate.governed, "c21_chunks": curate.governed_chunks, "c22_spark_transitions": lifecycle.spark_transitions, "c23_ingested": lifecycle.ingested, "a17_repair": lifecycle.repaired_traces, "a21_a22_backfilled": lifecycle.backfilled,
     "o5_lifecycle": health.lifecycle_block, "o11_suggestions": health.suggestions, "o15_endpoints": health.endpoint_health, "o16_errors": health.error_report, "o17_table_sizes": health.table_sizes, "n11_explanations": health.explanations,
     "o1_window_rates": health.window_rates, "o2_dimension_rates": health.dimension_rates, "o3_agent_coverage": health.agent_coverage,
     "o4_rank_histogram": health.rank_histogram, "o6_operation_performance": health.operation_performance, "o6_top_errors": health.top_errors,

@@ -35,7 +35,7 @@ def rows_of(names, rows):
     return sorted(tuple(plain(r[i]) for i in at) for r in rows)
 
 
-@pytest.mark.parametrize("name", list(queries.OPERATORS))
+@pytest.mark.parametrize("name", [n for n in queries.OPERATORS if n in oracle_sql()])
 def test_query_equals_its_sql(spark, duck, name):
     df = queries.queries()[name](spark, SF)
     said = duck.execute(oracle_sql()[name])

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from memspark.library import Library
-from memspark.operators import distillation, entities, episodes, graph, health, lifecycle, rules
+from memspark.operators import curate, distillation, entities, episodes, graph, health, lifecycle, rules
 
 CHUNK = "id string, content_hash string, content string, origin string, state string, maturity string, created_at timestamp"
 LOG = "id string, context_key string, query string, output_summary string, nomination string, outcome string, distill_state string, priority long, ts timestamp"
@@ -170,20 +170,33 @@ def test_reported_verdicts(spark):
 
 def test_clusters_span_sessions(spark):
     rows = [("e1", "s1", DAY, "x"), ("e2", "s2", DAY, "x"), ("e3", "s3", DAY, "y"), ("e4", "s3", DAY, "y"), ("e5", "s4", DAY, None)] + [(f"f{n}", f"s{n}", DAY, "wide") for n in range(9)] + [(f"g{n}", f"s{n}", DAY, "eight") for n in range(8)]
-    got = rows_of(rules.episode_clusters(library(spark, episodes=(rows, "id string, session_id string, ts timestamp, signal string"))))
-    assert got == [("e1", "e1", 1), ("e2", "e1", 2)] + [(f"g{n}", "g0", n + 1) for n in range(6)]
+    near = [("e2", [1.0, 0.0]), ("e5", [0.9, 0.1]), ("e3", [0.0, 1.0]), ("e4", [0.0, 1.0])]
+    shape = "id string, session_id string, ts timestamp, signal string"
+    got = rows_of(rules.episode_clusters(library(spark, episodes=(rows, shape), episode_vectors=([], "id string, embedding array<double>"))))
+    assert got == [("e1", "e1", 1, 2), ("e2", "e1", 2, 2)] + [(f"g{n}", "g0", n + 1, 6) for n in range(6)]
+    # Meaning links an episode without a signal; two of one session are no recurrence.
+    clusters = rules.episode_clusters(library(spark, episodes=(rows, shape), episode_vectors=(near, "id string, embedding array<double>"))).collect()
+    assert [r.id for r in clusters] == [*[f"g{n}" for n in range(6)], "e1", "e2", "e5"]
+    lib = library(spark, episodes=(rows, shape), episode_vectors=(near[:1], "id string, embedding array<double>"), births=([("r2", "s1"), ("r1", "s2")], "rule_id string, session_id string"))
+    assert [r.id for r in rules.episodes_to_embed(lib, 2).collect()] == ["e1", "e3"]
+    states = {r.id: (r.state, r.rule_id) for r in rules.consumed_episodes(lib).collect()}
+    assert states["e1"] == ("ruled", "r1") and states["e5"] == ("new", None) and states["g0"] == ("ruled", "r1")
 
 
 def test_requests_and_intake(spark):
     chunks = [("p", "h1", "t", "captured", "pending", None, DAY), ("a", "h1", "t", "captured", "active", None, DAY), ("z", "h2", "t", "captured", "archived", None, DAY), ("s", "h3", "idea", "spark", "active", None, DAY)]
-    asked = [(f"{c}-{a}", c, a) for c, a in itertools.product(["p", "a", "z", "s", "gone"], ["approve", "archive", "invalidate", "restore"])]
-    lib = library(spark, chunks=(chunks, CHUNK), requests=(asked, "id string, chunk_id string, action string"))
-    got = {r.id: r.failure or r.becomes for r in lifecycle.governance_actions(lib).collect()}
+    alone = [(f"{k}-{a}", f"{k}-{a}", *kind[2:]) for a in ("approve", "archive", "invalidate", "restore") for k, kind in zip("pazs", chunks, strict=True)]
+    asked = [(f"{c}-{a}", f"{c}-{a}", a, DAY) for c, a in itertools.product(["p", "a", "z", "s", "gone"], ["approve", "archive", "invalidate", "restore"])]
+    ask = "id string, chunk_id string, action string, ts timestamp"
+    got = {r.id: r.failure or r.becomes for r in curate.governed(library(spark, chunks=(alone, CHUNK), requests=(asked, ask))).collect()}
     assert [got[f"p-{a}"] for a in ("approve", "archive", "invalidate", "restore")] == ["active", "archived", "archived", "invalid_state"]
     assert [got[f"z-{a}"] for a in ("approve", "archive", "invalidate", "restore")] == ["invalid_state", "archived", "archived", "active"]
     assert [got[f"s-{a}"] for a in ("approve", "archive", "invalidate")] == ["spark_lifecycle", "spark_lifecycle", "archived"] and got["gone-restore"] == "chunk_not_found"
-    only = library(spark, chunks=(chunks, CHUNK), requests=([("1", "p", "invalidate")], "id string, chunk_id string, action string"))
-    assert rows_of(lifecycle.invalidated(only)) == [("a", "invalidated:same_hash"), ("p", "invalidated")]
+    # In order: the invalidation of p reaches a, which is then restored, and approved while active; z stands alone.
+    later = [(n, c, a, DAY + dt.timedelta(k)) for k, (n, c, a) in enumerate([("1", "p", "restore"), ("2", "p", "invalidate"), ("3", "a", "approve"), ("4", "a", "restore"), ("5", "a", "approve"), ("6", "z", "archive")])]
+    lib = library(spark, chunks=([*chunks, ("copy", "h1", "t", "captured", "active", None, DAY)], CHUNK), requests=(later, ask))
+    assert rows_of(curate.governed(lib)) == [("1", "invalid_state", None), ("2", None, "archived"), ("3", "invalid_state", None), ("4", None, "active"), ("5", None, "active"), ("6", None, "archived")]
+    assert {r.id: (r.state, r.reason, r.invalid) for r in curate.governed_chunks(lib).collect()} == {"p": ("archived", "invalidated", False), "a": ("active", "restore", False), "copy": ("archived", "invalidated:same_hash", False), "z": ("archived", "archive", False)}
 
     sent = [("1", "new", "note", "chat", 0), ("2", "new", "note", "chat", 1), ("3", " ", "note", "chat", 0), ("4", None, "skill", "doc", 0), ("5", "x", None, "doc", 0), ("6", "x", "note", "web", 0), ("7", "tool", "skill", "doc", 0), ("8", "mine", "skill", "agent", 0)]
     lib = library(spark, chunks=(chunks, CHUNK), ingest=([(*r[:4], DAY + dt.timedelta(r[4])) for r in sent], "id string, content string, kind string, source string, ts timestamp"))
