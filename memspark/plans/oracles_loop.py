@@ -123,7 +123,27 @@ GOVERNED = """asked AS (SELECT r.id AS rid, r.chunk_id, r.action, c.content_hash
         FROM (SELECT *, failure IS NULL AND action = 'invalidate' AS void, CASE WHEN failure IS NULL THEN CASE WHEN action IN ('approve', 'restore') THEN 'active' ELSE 'archived' END END AS becomes FROM (
             SELECT *, action IN ('approve', 'restore') AND own.state = 'active' AS idle, CASE WHEN own.origin = 'spark' AND action IN ('approve', 'archive') THEN 'spark_lifecycle' WHEN (action = 'approve' AND own.state = 'archived') OR (action = 'restore' AND own.state = 'pending') THEN 'invalid_state' END AS failure FROM (
                 SELECT a.*, s.ms, s.invalid, list_filter(s.ms, lambda m: m.id = a.chunk_id)[1] AS own FROM steps s JOIN asked a ON a.h = s.h AND a.nth = s.nth + 1))))"""
+SNAPS = """dayly AS (SELECT CAST(started_at AS DATE) AS day, max(started_at) AS ts, count(*) AS runs, count(*) FILTER (status <> 'ok') AS errors, sum(duration_ms) AS ms FROM fx_oplog GROUP BY 1),
+    sofar AS (SELECT ts, sum(runs) OVER w AS runs, sum(errors) OVER w AS errors, sum(ms) OVER w AS ms, row_number() OVER w AS nth FROM dayly WINDOW w AS (ORDER BY day)),
+    thin(nth, last) AS (SELECT nth, ts FROM sofar WHERE nth = 1 UNION ALL SELECT s.nth, CASE WHEN s.ts - t.last >= INTERVAL 20 HOURS THEN s.ts ELSE t.last END FROM thin t JOIN sofar s ON s.nth = t.nth + 1),
+    kept AS (SELECT s.* FROM sofar s JOIN thin t ON t.nth = s.nth AND t.last = s.ts),
+    snaps AS (SELECT ts, 'runs' AS name, runs::DOUBLE AS value FROM kept UNION ALL SELECT ts, 'errors', errors::DOUBLE FROM kept UNION ALL SELECT ts, 'mean_ms', round(ms / runs, 3) FROM kept)"""
 LOOP_SQL = {
+    "j13_verdict_snapshots": f"WITH RECURSIVE {SNAPS} SELECT verdict_id, s.ts, s.value AS runs FROM fx_verdicts v ASOF LEFT JOIN (SELECT * FROM snaps WHERE name = 'runs') s ON v.emitted_at >= s.ts",
+    "o8_deltas": f"""WITH RECURSIVE {SNAPS}, x AS (SELECT d AS days, name, arg_max(value, ts) AS value, arg_max(value, ts) FILTER (ts <= {AS_OF} - to_days(d)) AS before FROM snaps CROSS JOIN (VALUES (1), (7), (60)) v(d) WHERE ts <= {AS_OF} GROUP BY 1, 2) SELECT *, round(value - before, 6) AS delta FROM x""",
+    "p9_replay": f"""WITH {EVENTS}, known AS (SELECT u.chunk_id, min(o.ts) AS known_at FROM ev u JOIN ev o ON o.trace_id = u.trace_id AND o.event IN ('task_ok', 'task_fail') WHERE u.event = 'used' GROUP BY 1),
+        seen AS (SELECT v.verdict_id, round(max(similarity) - min(similarity), 6) AS d, count(*) FILTER (known_at < emitted_at) AS evident FROM fx_verdicts v JOIN ev s ON s.trace_id = v.trace_id AND s.event = 'selected' LEFT JOIN known USING (chunk_id) GROUP BY 1),
+        a AS (SELECT v.verdict_id, emitted_strength AS strength, coalesce(d, 0.0) AS d, coalesce(evident, 0) AS evident, coalesce(emitted_valence, 'neutral') IN ('affirm', 'caution') AND outcome IS NOT NULL AS judged,
+            (emitted_valence = 'affirm' AND outcome = 'fail') OR (emitted_valence = 'caution' AND outcome = 'ok') AS wrong FROM fx_verdicts v LEFT JOIN fx_log l USING (trace_id) LEFT JOIN seen USING (verdict_id)),
+        g AS (SELECT f AS floor, e AS least, c AS ceiling, a.*, CASE WHEN strength < f THEN 'w' WHEN evident < e THEN 's' WHEN d > c THEN 'c' END AS gate FROM a CROSS JOIN (VALUES (0.2::DOUBLE), (0.5::DOUBLE)) x(f) CROSS JOIN (VALUES (0), (1)) y(e) CROSS JOIN (VALUES (0.2::DOUBLE), (1.0::DOUBLE)) z(c)),
+        n AS (SELECT floor, least, ceiling, count(*) AS appraisals, count(gate) AS abstained, count(*) FILTER (gate = 'w') AS weak_resonance, count(*) FILTER (gate = 's') AS sparse_evidence, count(*) FILTER (gate = 'c') AS conflicted,
+            count(*) FILTER (gate IS NOT NULL AND judged AND wrong) AS prevented, count(*) FILTER (gate IS NOT NULL AND judged AND NOT wrong) AS suppressed, count(*) FILTER (judged) AS j, count(*) FILTER (judged AND wrong) AS jw, count(*) FILTER (judged AND gate IS NULL) AS k, count(*) FILTER (judged AND gate IS NULL AND wrong) AS kw FROM g GROUP BY 1, 2, 3)
+        SELECT floor, least, ceiling, appraisals, abstained, round(abstained / appraisals, 4) AS abstain_rate, weak_resonance, sparse_evidence, conflicted, prevented, suppressed, CASE WHEN prevented + suppressed > 0 THEN round(prevented / (prevented + suppressed), 4) END AS precision,
+            CASE WHEN j > 0 THEN round(jw / j, 4) END AS wrong_rate_before, CASE WHEN k > 0 THEN round(kw / k, 4) END AS wrong_rate_after FROM n""",
+    "t28_projects": "SELECT DISTINCT concat('s', conv_id) AS id, CASE WHEN conv_id % 7 % 2 = 0 THEN concat('p', conv_id % 7) ELSE concat('c', conv_id) END AS project FROM fx_messages",
+    "t29_bags": r"""WITH w AS (SELECT id, unnest(list_filter(string_split_regex(trigger_desc, '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS w FROM fx_chunks), n AS (SELECT id, CAST(concat('0x', substr(sha256(lower(w)), 1, 8)) AS BIGINT) % 256 AS place, count(*)::DOUBLE AS n FROM w GROUP BY 1, 2),
+        t AS (SELECT id, count(*)::INTEGER AS filled, round(max(n) / sqrt(sum(n * n)), 6) AS largest, arg_min(place, (-n, place)) AS place FROM n GROUP BY 1)
+        SELECT c.id, coalesce(filled, 0) AS filled, coalesce(largest, 0.0) AS largest, coalesce(place, 0) AS place FROM fx_chunks c LEFT JOIN t ON t.id = c.id""",
     "src5_events": f"WITH {SESSION} SELECT session_id, seq, kind, uuid, name, input, failed, sha256(text) AS hash FROM sess",
     "l15_digests": f"""WITH {SESSION} SELECT session_id, substr(arg_max(text, seq) FILTER (kind = 'user'), 1, 200) AS asked, substr(arg_max(text, seq) FILTER (kind = 'assistant'), 1, 200) AS answered,
         coalesce(string_agg(DISTINCT name, ',' ORDER BY name) FILTER (kind = 'tool'), '') AS tools, count(*) FILTER (kind = 'tool') AS calls, count(*) FILTER (failed) AS failures FROM sess GROUP BY 1""",

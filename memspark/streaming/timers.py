@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -93,40 +94,63 @@ def expired_episodes(rows: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 
 class Session(StatefulProcessor):
-    """A session's counts until its end is told, or until ``gap`` minutes pass without an event; rows that arrive after that begin a new one."""
+    """A session's counts until its end is told, or until ``gap`` minutes pass without an event; rows that arrive after that begin a new one.
+
+    Events that lie ``gap`` apart are sessions of their own, in whatever order
+    they come: the state holds one entry of counts for each that is still open.
+    """
 
     def __init__(self, gap: int) -> None:
         self.gap = gap * 60_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getValueState("held", "first long, last long, calls long, failures long, over boolean")
-        self.tools = handle.getMapState("tools", "name string", "n long")
+        self.held = handle.getValueState("held", "open string")
+
+    def _due(self, entry: dict) -> int:
+        # An end waits for the watermark too, so that late rows of the session still count.
+        return entry["last"] + (1 if entry["over"] else self.gap)
+
+    def _keep(self, entries: list[dict]) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if entries:
+            self.held.update((json.dumps(entries),))
+            self.handle.registerTimer(min(map(self._due, entries)))
+        else:
+            self.held.clear()
+
+    def _open(self) -> list[dict]:
+        return json.loads(self.held.get()[0]) if self.held.exists() else []
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first, last, calls, failures, over = self.held.get() if self.held.exists() else (None, None, 0, 0, False)
+        entries = self._open()
         for frame in rows:
             for kind, name, failed, at in zip(frame["kind"], frame["name"], frame["failed"], _millis(frame["ts"]), strict=True):
-                first, last = min(at, at if first is None else first), max(at, at if last is None else last)
-                over = over or kind == "end"
-                if kind == "tool":
-                    calls, failures = calls + 1, failures + bool(failed)
-                    if isinstance(name, str):
-                        self.tools.updateValue((name,), ((self.tools.getValue((name,))[0] if self.tools.containsKey((name,)) else 0) + 1,))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.held.update((first, last, calls, failures, over))
-        # An end waits for the watermark too, so that late rows of the session still count.
-        self.handle.registerTimer(last + (1 if over else self.gap))
-        yield pd.DataFrame({"session_id": pd.Series(dtype=str), "started": pd.Series(dtype="datetime64[us]"), "ended": pd.Series(dtype="datetime64[us]"), "calls": pd.Series(dtype="int64"), "failures": pd.Series(dtype="int64"), "tools": pd.Series(dtype=str), "ended_by": pd.Series(dtype=str)})
+                tool = kind == "tool"
+                new = {"first": at, "last": at, "calls": int(tool), "failures": int(tool and failed is not None and bool(failed == True)), "tools": [name] if tool and isinstance(name, str) else [], "over": kind == "end"}  # noqa: E712
+                apart = []
+                for e in entries:
+                    if e["first"] - self.gap < new["last"] and new["first"] < e["last"] + self.gap:
+                        new = {"first": min(e["first"], new["first"]), "last": max(e["last"], new["last"]), "calls": e["calls"] + new["calls"], "failures": e["failures"] + new["failures"], "tools": sorted({*e["tools"], *new["tools"]}), "over": e["over"] or new["over"]}
+                    else:
+                        apart.append(e)
+                entries = [*apart, new]
+        self._keep(entries)
+        yield self._rows(key, [])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        first, last, calls, failures, over = self.held.get()
-        names = ",".join(sorted(k[0] for k in self.tools.keys()))
-        self.held.clear()
-        self.tools.clear()
-        stamp = lambda at: pd.Timestamp(at, unit="ms")
-        yield pd.DataFrame({"session_id": [key[0]], "started": [stamp(first)], "ended": [stamp(last)], "calls": [calls], "failures": [failures], "tools": [names], "ended_by": ["end" if over else "timeout"]})
+        now, entries = expiredTimerInfo.getExpiryTimeInMs(), self._open()
+        over = [e for e in entries if self._due(e) <= now]
+        self._keep([e for e in entries if self._due(e) > now])
+        yield self._rows(key, over)
+
+    def _rows(self, key: tuple, entries: list[dict]) -> pd.DataFrame:
+        stamps = lambda name: pd.to_datetime(pd.Series([e[name] for e in entries], dtype="int64"), unit="ms").astype("datetime64[us]")
+        return pd.DataFrame({
+            "session_id": pd.Series([key[0]] * len(entries), dtype=str), "started": stamps("first"), "ended": stamps("last"), "calls": pd.Series([e["calls"] for e in entries], dtype="int64"), "failures": pd.Series([e["failures"] for e in entries], dtype="int64"),
+            "tools": pd.Series([",".join(e["tools"]) for e in entries], dtype=str), "ended_by": pd.Series(["end" if e["over"] else "timeout" for e in entries], dtype=str),
+        })
 
     def close(self) -> None:
         pass

@@ -43,11 +43,11 @@ ROWS = "key string, kind string, ts timestamp"
 def test_deadlines_equal_the_batch_form(spark, tmp_path, build, minutes, start, end, outcome):
     r = random.Random(minutes)
     at = lambda share: T0 + dt.timedelta(seconds=int(60 * minutes * share))
-    rows = [(f"k{i}", start, at(r.random() / 2)) for i in range(12)] + [(f"k{i}", end, at(0.5 + r.random() / 3)) for i in range(0, 12, 3)] + [("late", start, at(0.1)), ("late", start, at(2.9)), ("ended", end, at(0.4)), (None, start, at(0))]
+    rows = [(f"k{i}", start, at(r.random() / 2)) for i in range(12)] + [(f"k{i}", end, at(0.5 + r.random() / 3)) for i in range(0, 12, 3)] + [("late", start, at(0.1)), ("late", start, at(0.95)), ("ended", end, at(0.4)), (None, start, at(0))]
     r.shuffle(rows)
     # The clock goes on by rows of other keys; the last part only moves the watermark.
     parts = [rows[:9], rows[9:], [("tick", end, at(1.9))], [("tick", end, at(6))], [("tock", end, at(6.1))]]
-    got = {(x.key, x.outcome, x.at) for x in streamed(spark, tmp_path, parts, ROWS, build).collect()}
+    got = {(x.key, x.outcome, x.at) for x in streamed(spark, tmp_path, parts, ROWS, lambda s: build(s, f"{minutes} minutes")).collect()}
     every = spark.createDataFrame([x for p in parts for x in p], ROWS)
     expected = {(x.key, x.outcome, x.at) for x in timers.overdue(every, minutes, [start], outcome, F.lit(at(5)).cast("timestamp")).collect()}
     assert got == expected and {k for k, _, _ in got} == {"late", *[f"k{i}" for i in range(12) if i % 3]}
