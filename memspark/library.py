@@ -112,6 +112,9 @@ class Library:
     secrets = cached_property(lambda self: self._read("fx_secrets"))
     situations = cached_property(lambda self: self._read("fx_situations"))
     messages = cached_property(lambda self: self._read("fx_messages"))
+    #: Observations of shown rules with a judge's reply, and replies about births and revisions by number.
+    observations = cached_property(lambda self: self._read("fx_observations"))
+    replies = cached_property(lambda self: self._read("fx_replies"))
     verdicts = cached_property(lambda self: self._read("fx_verdicts"))
     #: Logs to distil, contents with code words, signals of rules and texts of actions, verdicts as agents report them.
     distill = cached_property(lambda self: self._read("fx_distill"))

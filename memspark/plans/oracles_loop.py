@@ -129,6 +129,16 @@ SNAPS = """dayly AS (SELECT CAST(started_at AS DATE) AS day, max(started_at) AS
     kept AS (SELECT s.* FROM sofar s JOIN thin t ON t.nth = s.nth AND t.last = s.ts),
     snaps AS (SELECT ts, 'runs' AS name, runs::DOUBLE AS value FROM kept UNION ALL SELECT ts, 'errors', errors::DOUBLE FROM kept UNION ALL SELECT ts, 'mean_ms', round(ms / runs, 3) FROM kept)"""
 LOOP_SQL = {
+    "l7_judged": """SELECT o.id, chunk_id, CASE CAST(substr(o.id, 2) AS BIGINT) % 6 WHEN 0 THEN 'supported' WHEN 2 THEN 'contradicted' WHEN 3 THEN CASE WHEN raw LIKE '[fence]%' THEN 'unknown' END WHEN 4 THEN 'irrelevant' ELSE 'unknown' END AS verdict
+        FROM fx_observations o JOIN fx_chunks c ON c.id = o.chunk_id WHERE c.state <> 'archived' AND verdict = 'observed'""",
+    "l6_births": f"""WITH RECURSIVE {CLUSTERS}, members AS (SELECT cluster AS key, project FROM clusters JOIN fx_episodes USING (id)), src AS (SELECT key, string_agg(DISTINCT project, ',' ORDER BY project) AS source_projects FROM members GROUP BY 1),
+        r AS (SELECT key, source_projects, CAST(substr(key, 2) AS BIGINT) AS n FROM src)
+        SELECT key, concat('keep ', n) AS content, concat('a', n, '|b') AS signals, 'one two three' AS skill_name, concat('a', n, ' | b') AS trigger_desc, source_projects, 0.55::DOUBLE AS confidence FROM r WHERE n % 4 = 0
+        UNION ALL SELECT key, concat('also ', n), '', concat('when ', n), concat('when ', n), source_projects, 0.55 FROM r WHERE n % 4 = 0 UNION ALL SELECT key, concat('lone ', n), 'x', 'x', 'x', source_projects, 0.55 FROM r WHERE n % 4 = 1""",
+    "l11_revisions": """WITH o AS (SELECT chunk_id, list_sort(list_distinct(list(project))) AS more FROM fx_validations WHERE verdict = 'contradicted' AND resolved_at IS NULL GROUP BY 1),
+        x AS (SELECT chunk_id, more, CAST(substr(chunk_id, 2) AS BIGINT) AS n, version, CASE WHEN source_projects IS NULL THEN [] ELSE string_split(source_projects, ',') END AS src FROM o JOIN fx_rule_meta m ON m.id = chunk_id WHERE NOT directive AND CAST(substr(chunk_id, 2) AS BIGINT) IN (SELECT n FROM fx_replies))
+        SELECT chunk_id, CASE n % 5 WHEN 1 THEN 'retire' WHEN 2 THEN 'keep' ELSE 'revise' END AS action, CASE WHEN n % 5 IN (0, 1) THEN 'archived' END AS becomes, CASE n % 5 WHEN 0 THEN 'superseded' WHEN 1 THEN 'retired' END AS why, CASE WHEN n % 5 = 0 THEN concat('better ', n) END AS content,
+            CASE WHEN n % 5 = 0 THEN version + 1 END AS version, CASE WHEN n % 5 = 0 THEN array_to_string(list_concat(src, list_filter(more, lambda p: NOT list_contains(src, p))), ',') END AS source_projects FROM x WHERE n % 5 <> 3""",
     "j13_verdict_snapshots": f"WITH RECURSIVE {SNAPS} SELECT verdict_id, s.ts, s.value AS runs FROM fx_verdicts v ASOF LEFT JOIN (SELECT * FROM snaps WHERE name = 'runs') s ON v.emitted_at >= s.ts",
     "o8_deltas": f"""WITH RECURSIVE {SNAPS}, x AS (SELECT d AS days, name, arg_max(value, ts) AS value, arg_max(value, ts) FILTER (ts <= {AS_OF} - to_days(d)) AS before FROM snaps CROSS JOIN (VALUES (1), (7), (60)) v(d) WHERE ts <= {AS_OF} GROUP BY 1, 2) SELECT *, round(value - before, 6) AS delta FROM x""",
     "p9_replay": f"""WITH {EVENTS}, known AS (SELECT u.chunk_id, min(o.ts) AS known_at FROM ev u JOIN ev o ON o.trace_id = u.trace_id AND o.event IN ('task_ok', 'task_fail') WHERE u.event = 'used' GROUP BY 1),
