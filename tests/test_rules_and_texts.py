@@ -103,7 +103,9 @@ def test_vector_hits_by_blocks_equal_those_sent_along(spark, monkeypatch):
 def test_packing_takes_what_fits_then_the_densest(spark, monkeypatch):
     ranked = [(1, 1, "a", 0.9, 60), (1, 2, "b", 0.8, 50), (1, 3, "c", 0.7, 30), (1, 4, "d", 0.6, 10), (2, 1, "e", 0.5, 500)]
     monkeypatch.setattr(retrieval, "recall", lambda lib: spark.createDataFrame(ranked, "query_id long, rank int, chunk_id string, score double, token_count long"))
-    got = retrieval.packed(None, 100).orderBy("query_id", "pos").collect()
+    lib = library(spark, [chunk(name, token_count=n) for _, _, name, _, n in ranked])
+    lib.__dict__["deps"] = spark.createDataFrame([], "src string, dst string, kind string")
+    got = retrieval.packed(lib, 100).orderBy("query_id", "pos").collect()
     assert [(r.query_id, r.pos, r.chunk_id, r["pass"]) for r in got] == [(1, 1, "a", "order"), (1, 2, "c", "order"), (1, 3, "d", "order")]
 
 
