@@ -1,4 +1,4 @@
-"""Rules in use: reported verdicts, signals matched against actions, groups of episodes that recur."""
+"""Rules in use: reported verdicts, signals matched against actions, groups of episodes that recur."""
 
 from __future__ import annotations
 
@@ -120,3 +120,23 @@ def consumed_episodes(lib: Library) -> DataFrame:
     of = shown.select("id", "cluster").join(gave, "cluster", "left")
     x = lib.episodes.select("id").distinct().join(of, "id", "left")
     return x.select("id", F.when(F.col("cluster").isNull(), "new").when(F.col("rule_id").isNull(), "no_rule").otherwise("ruled").alias("state"), "rule_id")
+
+
+def shown_rows(lib: Library, channel: str = "pre_tool") -> DataFrame:
+    """A row ``shown`` for each rule at its first action in a session: id, chunk_id, session_id, channel, tool_use_id, verdict and created_at."""
+    x = matched_actions(lib).filter("shown").join(lib.actions.select("id", "session_id", "ts"), "id")
+    ident = F.sha2(F.concat_ws("|", "chunk_id", "session_id", F.lit(channel)), 256)
+    return x.select(ident.alias("id"), "chunk_id", "session_id", F.lit(channel).alias("channel"), F.col("id").alias("tool_use_id"), F.lit("shown").alias("verdict"), F.col("ts").alias("created_at"))
+
+
+def missing_signals(lib: Library) -> DataFrame:
+    """id and state of the rules in use that have no signal that can be matched: those whose signals are to be written anew."""
+    return lib.rules.filter("state <> 'archived'").join(usable_signals(lib).select("id"), "id", "left_anti").select("id", "state")
+
+
+def backfilled_signals(rules: DataFrame, replies: DataFrame, texts: DataFrame) -> DataFrame:
+    """id and signals of ``rules`` (id) after ``replies`` (id, signals: array) about them: only usable signals that the rule's own text (``texts``: id, text) holds, at most eight."""
+    each = replies.join(rules.select("id"), "id", "left_semi").select("id", F.posexplode("signals").alias("at", "said")).select("id", "at", _usable(F.col("said")).alias("signal")).filter("signal IS NOT NULL")
+    held = each.join(texts, "id").filter(F.contains(F.lower("text"), F.col("signal"))).groupBy("id", "signal").agg(F.min("at").alias("at"))
+    listed = F.slice(F.transform(F.array_sort(F.collect_list(F.struct("at", "signal"))), lambda e: e["signal"]), 1, 8)
+    return held.groupBy("id").agg(F.array_join(listed, "|").alias("signals"))

@@ -128,6 +128,9 @@ SNAPS = """dayly AS (SELECT CAST(started_at AS DATE) AS day, max(started_at) AS
     thin(nth, last) AS (SELECT nth, ts FROM sofar WHERE nth = 1 UNION ALL SELECT s.nth, CASE WHEN s.ts - t.last >= INTERVAL 20 HOURS THEN s.ts ELSE t.last END FROM thin t JOIN sofar s ON s.nth = t.nth + 1),
     kept AS (SELECT s.* FROM sofar s JOIN thin t ON t.nth = s.nth AND t.last = s.ts),
     snaps AS (SELECT ts, 'runs' AS name, runs::DOUBLE AS value FROM kept UNION ALL SELECT ts, 'errors', errors::DOUBLE FROM kept UNION ALL SELECT ts, 'mean_ms', round(ms / runs, 3) FROM kept)"""
+ACTED = f"""{USABLE}, hit AS (SELECT a.id AS action, s.id AS chunk_id, s.state, CAST(sum(length(signal)) AS BIGINT) AS score, string_agg(signal, '|' ORDER BY signal) AS signals FROM fx_actions a JOIN sig s ON s.state <> 'archived' AND contains(lower(a.text), s.signal) GROUP BY 1, 2, 3),
+        best AS (SELECT * FROM hit WHERE score >= 6 QUALIFY row_number() OVER (PARTITION BY action ORDER BY score DESC, state = 'active' DESC, chunk_id) = 1),
+        acted AS (SELECT action AS id, chunk_id, score, signals, session_id, ts, row_number() OVER (PARTITION BY chunk_id, session_id ORDER BY ts, action) = 1 AS shown FROM best JOIN fx_actions a ON a.id = action)"""
 LOOP_SQL = {
     "l7_judged": """SELECT o.id, chunk_id, CASE CAST(substr(o.id, 2) AS BIGINT) % 6 WHEN 0 THEN 'supported' WHEN 2 THEN 'contradicted' WHEN 3 THEN CASE WHEN raw LIKE '[fence]%' THEN 'unknown' END WHEN 4 THEN 'irrelevant' ELSE 'unknown' END AS verdict
         FROM fx_observations o JOIN fx_chunks c ON c.id = o.chunk_id WHERE c.state <> 'archived' AND verdict = 'observed'""",
@@ -179,9 +182,8 @@ LOOP_SQL = {
     "v4_verdicts": f"""WITH s AS (SELECT *, nullif({clean(strip('observation'))}, '') AS said FROM fx_submitted), x AS (SELECT s.id, said, CASE WHEN verdict IS NULL OR verdict NOT IN ('applied', 'supported', 'contradicted', 'irrelevant') THEN 'invalid_verdict' WHEN verdict IN ('supported', 'contradicted') AND said IS NULL THEN 'observation_required'
         WHEN origin IS NULL THEN 'unknown_chunk' WHEN origin = 'spark' THEN 'spark_not_a_rule' END AS problem FROM s LEFT JOIN fx_chunks c ON c.id = chunk_id) SELECT id, problem, CASE WHEN problem IS NULL THEN said END AS observation FROM x""",
     "t23_usable_signals": f"WITH {USABLE} SELECT * FROM sig",
-    "r21_r22_actions": f"""WITH {USABLE}, hit AS (SELECT a.id AS action, s.id AS chunk_id, s.state, CAST(sum(length(signal)) AS BIGINT) AS score, string_agg(signal, '|' ORDER BY signal) AS signals FROM fx_actions a JOIN sig s ON s.state <> 'archived' AND contains(lower(a.text), s.signal) GROUP BY 1, 2, 3),
-        best AS (SELECT * FROM hit WHERE score >= 6 QUALIFY row_number() OVER (PARTITION BY action ORDER BY score DESC, state = 'active' DESC, chunk_id) = 1)
-        SELECT action AS id, chunk_id, score, signals, row_number() OVER (PARTITION BY chunk_id, session_id ORDER BY ts, action) = 1 AS shown FROM best JOIN fx_actions a ON a.id = action""",
+    "r21_r22_actions": f"WITH {ACTED} SELECT id, chunk_id, score, signals, shown FROM acted",
+    "l13_shown": f"WITH {ACTED} SELECT sha256(concat(chunk_id, '|', session_id, '|pre_tool')) AS id, chunk_id, session_id, 'pre_tool' AS channel, id AS tool_use_id, 'shown' AS verdict, ts AS created_at FROM acted WHERE shown",
     "l5_clusters": f"""WITH RECURSIVE {CLUSTERS}
         SELECT id, cluster, nth, members FROM clusters""",
     "l16_to_embed": """SELECT DISTINCT id, session_id FROM (SELECT id, session_id, ts FROM fx_episodes WHERE id NOT IN (SELECT id FROM fx_episode_vectors) ORDER BY ts, id LIMIT 12)""",

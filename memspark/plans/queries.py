@@ -37,7 +37,7 @@ OPERATORS: dict[str, Callable[[Library], DataFrame]] = {
     "p1_p3_contributors": appraisal.contributors, "p4_p5_verdicts": appraisal.verdicts,
     "f9_work_queue": distillation.work_queue, "f10_retries": distillation.retries, "c14_screening": distillation.recovered_screening, "d1_distilled": distillation.distilled_chunks, "d2_n12_prompt_tokens": distillation.prompt_tokens,
     "d3_batch": distillation.distilled_batch, "d5_token_usage": distillation.token_usage,
-    "v4_verdicts": rules.validated_verdicts, "t23_usable_signals": rules.usable_signals, "r21_r22_actions": rules.matched_actions, "l5_clusters": rules.episode_clusters, "l16_to_embed": rules.episodes_to_embed, "l16_consumed": rules.consumed_episodes, "c13_cycles": graph.hard_cycles, "p9_replay": replay.replayed, "l7_judged": revisions.judged_observations, "l6_births": revisions.born_rules, "l11_revisions": revisions.revised_rules, "o8_deltas": replay.snapshot_deltas, "j13_verdict_snapshots": replay.verdict_snapshots, "t29_bags": embedding.chunk_bags, "t28_projects": embedding.session_projects,
+    "v4_verdicts": rules.validated_verdicts, "t23_usable_signals": rules.usable_signals, "r21_r22_actions": rules.matched_actions, "l13_shown": rules.shown_rows, "l5_clusters": rules.episode_clusters, "l16_to_embed": rules.episodes_to_embed, "l16_consumed": rules.consumed_episodes, "c13_cycles": graph.hard_cycles, "p9_replay": replay.replayed, "l7_judged": revisions.judged_observations, "l6_births": revisions.born_rules, "l11_revisions": revisions.revised_rules, "o8_deltas": replay.snapshot_deltas, "j13_verdict_snapshots": replay.verdict_snapshots, "t29_bags": embedding.chunk_bags, "t28_projects": embedding.session_projects,
     "c20_curated": curate.curated_chunks, "c20_report": curate.curated_report, "c20_logs": curate.curated_logs, "c21_actions": curate.governed, "c21_chunks": curate.governed_chunks, "c22_spark_transitions": lifecycle.spark_transitions, "c23_ingested": lifecycle.ingested, "a17_repair": lifecycle.repaired_traces, "a21_a22_backfilled": lifecycle.backfilled,
     "o5_lifecycle": health.lifecycle_block, "o11_suggestions": health.suggestions, "o15_endpoints": health.endpoint_health, "o16_errors": health.error_report, "o17_table_sizes": health.table_sizes, "n11_explanations": health.explanations,
     "o1_window_rates": health.window_rates, "o2_dimension_rates": health.dimension_rates, "o3_agent_coverage": health.agent_coverage,

@@ -1,4 +1,4 @@
-"""JSONL sources and sinks: bulk import with a report, export, labels, call traces (SRC3, SRC4, SRC7, SRC8, SRC11)."""
+"""JSONL sources and sinks: bulk import with a report, export, labels, call traces (SRC3, SRC4, SRC7, SRC8, SRC10, SRC11)."""
 
 from __future__ import annotations
 
@@ -65,6 +65,11 @@ def calls(spark: SparkSession, path: str, limit: int, kind: str | None = None, s
     return (x.filter(F.col("status") == status) if status else x).orderBy(F.desc("ts"), *[c for c in x.columns if c != "ts"]).limit(limit)
 
 
+def append_run(summary: DataFrame, path: str, at: Column) -> None:
+    """Adds the row of an evaluation run (averages, misses) to the JSONL runs under ``path``, with its time as ts."""
+    summary.select(at.cast("timestamp").alias("ts"), "*").coalesce(1).write.mode("append").json(path)
+
+
 def federated(parts: dict[str, DataFrame]) -> DataFrame:
     """Tables of several libraries under one, with lib_id."""
     named = [df.withColumn("lib_id", F.lit(name)) for name, df in parts.items()]

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from memspark.library import Library
 from memspark.operators import revisions
+from memspark.operators.rules import backfilled_signals, missing_signals
 
 
 def column(spark, values, f):
@@ -76,3 +77,13 @@ def test_revisions_supersede_retire_or_keep(spark):
     assert revised(spark, '{"action": "revise", "rule": {"content": "gone"}}') == ([("revise", None, "")], [])
     for raw in ('{"action": "revise"}', '{"action": "other"}', "text", None):
         assert revised(spark, raw) == ([], [])
+
+
+def test_signals_written_anew_stay_grounded(spark):
+    rules = spark.createDataFrame([("r1",), ("r2",)], "id string")
+    texts = spark.createDataFrame([("r1", "Use --locked with E0425 in CI"), ("r2", "plain")], "id string, text string")
+    replies = spark.createDataFrame([("r1", ["sig: E0425", "--locked", "--locked", "invented", "test"]), ("r2", ["other"]), ("r9", ["plain"])], "id string, signals array<string>")
+    assert [tuple(r) for r in backfilled_signals(rules, replies, texts).collect()] == [("r1", "e0425|--locked")]
+    lib = Library(spark, "")
+    lib.rules = spark.createDataFrame([("a", "active", "test|run"), ("b", "pending", None), ("c", "active", "sig: E0425"), ("d", "archived", "test")], "id string, state string, signals string")
+    assert sorted(r.id for r in missing_signals(lib).collect()) == ["a", "b"]

@@ -28,6 +28,14 @@ def test_labels_calls_and_federation(spark, tmp_path):
     assert sorted((r.lib_id, r.a, r.b) for r in both.collect()) == [("x", 1, None), ("y", 2, 3)]
 
 
+def test_runs_are_appended(spark, tmp_path):
+    averages = spark.createDataFrame([(10, 0.9)], "queries long, rr double")
+    for day in ("2024-01-01", "2024-01-02"):
+        jsonl.append_run(averages, str(tmp_path / "runs"), F.lit(day))
+    rows = spark.read.json(str(tmp_path / "runs")).orderBy("ts").collect()
+    assert [(r.ts[:10], r.queries, r.rr) for r in rows] == [("2024-01-01", 10, 0.9), ("2024-01-02", 10, 0.9)]
+
+
 def test_lines_are_classified_in_order(spark):
     got = events.parsed(spark.createDataFrame([(x,) for x in LINES], "value string"))
     assert got.count() == 13
