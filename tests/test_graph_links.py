@@ -99,6 +99,7 @@ def test_links_connect_what_all_pairs_connect(spark, monkeypatch):
     rows_ = [(f"e{i:03d}", f"s{i % 9}", (centres[i % 25] + r.normal(size=6) * 0.45).tolist()) for i in range(150)]
     rows_ += [(f"h{i}", f"s{i % 2}", [1.0, 0, 0, 0, 0, 0]) for i in range(12)] + [(f"k{i}", "s1", [0.0, 0, 0, 0, 0, -2.0]) for i in range(5)]
     rows_ += [("short", "s1", [1.0, 0.0]), ("short2", "s2", [2.0, 0.0]), ("null", "s1", None), ("empty", "s2", []), ("zero", "s3", [0.0] * 6), ("nan", "s3", [float("nan")] * 6), ("part", "s3", [1.0, None, 0, 0, 0, 0]), ("lost", None, [1.0, 0, 0, 0, 0, 0])]
+    rows_ = [(i, t, v and [None if x is None else float(x) for x in v]) for i, t, v in rows_]
     found = [tuple(x) for x in links(spark.createDataFrame(rows_, VECTORS), 0.82).collect()]
     assert groups_of(found) == linked_groups(rows_, 0.82)
     assert len(found) < 3 * len(rows_)
