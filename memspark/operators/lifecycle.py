@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from memspark.library import Library
 from memspark.operators.evidence import counter_baseline, trace_lifecycle
-from memspark.operators.texts import sanitized
+from memspark.operators.texts import sanitized, sanitizing
+from memspark.tables import stored
 
 # Kinds and sources that are taken in, confidence of skills, of other contents and of those with keys replaced.
 KINDS, SOURCES = ["note", "skill"], ["chat", "manual", "doc", "agent"]
@@ -58,11 +59,13 @@ def ingested(lib: Library) -> DataFrame:
     batch with that content), else added.  Contents of agents wait as pending.
     """
     c = F.col
-    clean, action = sanitized(c("content"))
-    x = lib.ingest.withColumns({"action": action, "hash": F.sha2(clean, 256)}).join(_gone(lib), "hash", "left").join(_present(lib), "hash", "left")
+    each = lib.ingest.withColumn("s", sanitizing(c("content")))
+    empty = F.coalesce(F.trim("content"), F.lit("")) == ""
+    read = stored(each.select("id", "kind", "source", "ts", empty.alias("empty"), "s.action", F.sha2("s.clean", 256).alias("hash")), "ingest")
+    x = read.join(_gone(lib), "hash", "left").join(_present(lib), "hash", "left")
     refused = (
         F.when(~F.coalesce(c("kind").isin(KINDS), F.lit(False)), "invalid_kind").when(~F.coalesce(c("source").isin(SOURCES), F.lit(False)), "invalid_source")
-        .when(F.coalesce(F.trim("content"), F.lit("")) == "", "empty_content").when(c("action") == "discard", "discarded").when(c("gone"), "hash_invalidated")
+        .when(c("empty"), "empty_content").when(c("action") == "discard", "discarded").when(c("gone"), "hash_invalidated")
     )
     x = x.withColumn("refused", refused)
     first = x.filter("refused IS NULL").groupBy("hash").agg(F.min_by("id", F.struct("ts", "id")).alias("first"))

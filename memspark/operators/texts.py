@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from memspark.library import Library
+from memspark.library import Library, bound
 
 # Phrases and patterns that the results depend on.
 INJECTIONS = ["ignore all previous instructions", "ignore previous instructions", "ignore previous instruction", "system prompt:", "system prompt：", "you are now a different", "you are now a new"]
@@ -58,25 +58,40 @@ def redacted(text: Column) -> Column:
     changes nothing.
     """
     plain = REDACTED.replace("[", "\\[").replace("]", "\\]")
-    for prefix, least in PREFIXED:
-        text = F.regexp_replace(text, f"(^|[^A-Za-z0-9_-]){prefix}[A-Za-z0-9_-]{{{least},}}", f"$1{plain}")
-    text = F.regexp_replace(text, rf"(?i)(bearer )(?!\[REDACTED\](?:[{_BLANK}{QUOTES}]|$))[^{_BLANK}{QUOTES}]++", f"$1{plain}")
     groups = lambda n: "".join(f"${i}" for i in range(1, n + 1))
-    text = F.regexp_replace(text, _labelled(LABELS, SEPARATORS, "(?<![A-Za-z0-9])"), groups(len(LABELS)) + plain)
-    return F.regexp_replace(text, _labelled(CJK_LABELS, CJK_SEPARATORS, ""), groups(len(CJK_LABELS)) + plain)
+
+    def replaced(text: Column, pattern: str, by: str, signs: list[str], folded: bool) -> Column:
+        """``text`` with ``pattern`` replaced; only texts that hold one of ``signs``, without which nothing matches, are searched for it."""
+        return bound(text, lambda t: F.when(any_of(F.lower(t) if folded else t, signs), F.regexp_replace(t, pattern, by)).otherwise(t))
+
+    for prefix, least in PREFIXED:
+        text = replaced(text, f"(^|[^A-Za-z0-9_-]){prefix}[A-Za-z0-9_-]{{{least},}}", f"$1{plain}", [prefix], False)
+    text = replaced(text, rf"(?i)(bearer )(?!\[REDACTED\](?:[{_BLANK}{QUOTES}]|$))[^{_BLANK}{QUOTES}]++", f"$1{plain}", ["bearer "], True)
+    text = replaced(text, _labelled(LABELS, SEPARATORS, "(?<![A-Za-z0-9])"), groups(len(LABELS)) + plain, [label for label, _, _ in LABELS], True)
+    return replaced(text, _labelled(CJK_LABELS, CJK_SEPARATORS, ""), groups(len(CJK_LABELS)) + plain, [label for label, _, _ in CJK_LABELS], False)
 
 
 def sanitized(text: Column) -> tuple[Column, Column]:
     """(text without keys, action): discard where an injection phrase occurs, redact where a key was replaced, else allow; null stays null."""
-    clean, injected = redacted(text), any_of(F.lower(text), INJECTIONS)
-    action = F.when(injected, "discard").when(clean != text, "redact").when(text.isNotNull(), "allow")
-    return F.when(injected, text).otherwise(clean), action
+    both = sanitizing(text)
+    return both["clean"], both["action"]
+
+
+def sanitizing(text: Column) -> Column:
+    """A struct of clean and action as ``sanitized`` gives them; as a column of its own, it is computed once for both."""
+
+    def judged(clean: Column, t: Column) -> Column:
+        injected = any_of(F.lower(t), INJECTIONS)
+        action = F.when(injected, "discard").when(clean != t, "redact").when(t.isNotNull(), "allow")
+        return F.struct(F.when(injected, t).otherwise(clean).alias("clean"), action.alias("action"))
+
+    return bound(text, lambda t: bound(redacted(t), lambda clean: judged(clean, t)))
 
 
 def sanitized_chunks(lib: Library) -> DataFrame:
     """id, action and hash of the text that stays, of every chunk, with keys planted by the fixture."""
-    clean, action = sanitized(F.col("content"))
-    return lib.secrets.select("id", action.alias("action"), F.sha2(clean, 256).alias("hash"))
+    x = lib.secrets.select("id", sanitizing(F.col("content")).alias("s"))
+    return x.select("id", "s.action", F.sha2("s.clean", 256).alias("hash"))
 
 
 def error_class(error: Column) -> Column:
