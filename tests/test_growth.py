@@ -87,3 +87,9 @@ def test_long_request_lists_as_a_plain_loop(spark):
 def test_no_window_over_all_hits_of_a_query(spark):
     lib = Library(spark, "/root/testdata/sf0.001", params=THIN)
     assert "Window [max(" not in _plan(retrieval.lexical_hits(lib, 5))
+
+
+def test_sixth_place_by_binary_value(spark):
+    low = [n / 1e7 for n in range(1000005, 1999995, 10) if (n / 1e7) * 1e6 < n // 10 + 0.5][:20]
+    got = spark.createDataFrame([(x,) for x in low], "x double").select(retrieval.sixth(F.col("x")).alias("y")).collect()
+    assert low and [r["y"] for r in got] == [int(x * 1e6) / 1e6 for x in low]
