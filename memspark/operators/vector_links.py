@@ -1,4 +1,4 @@
-"""Similarity self-join of vectors above a threshold, in regions of few pivots."""
+"""Similarity self-join of vectors above a threshold, in a grid of blocks."""
 
 from __future__ import annotations
 
@@ -9,10 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Pivots, and rows at most that they are chosen from.
-PIVOTS, SAMPLE = 16, 2000
-#: Vectors of one side of a cell.
-CELL = 2048
+from memspark.tables import stored
+
+#: Vectors of one side of a cell, and components of them, at most.
+CELL, COMPONENTS = 32768, 1 << 21
+#: Blocks that few vectors are dealt into as well, so that several tasks have work, and rows that are worth one.
+BLOCKS, WORTH = 8, 2048
 
 
 def usable(vector: Column) -> Column:
@@ -40,16 +42,6 @@ def _matrix(lists: pa.ChunkedArray, width: int) -> np.ndarray:
     return lists.combine_chunks().flatten().to_numpy().astype(np.float64).reshape(-1, width)
 
 
-def _pivots(points: np.ndarray) -> np.ndarray:
-    """Farthest points first, from the first one on."""
-    chosen = [points[0]]
-    near = points @ chosen[0]
-    while len(chosen) < min(PIVOTS, len(points)):
-        chosen.append(points[int(near.argmin())])
-        near = np.maximum(near, points @ chosen[-1])
-    return np.array(chosen)
-
-
 def _forest(ok: np.ndarray) -> list[tuple[int, int]]:
     """Pairs of row and column that connect all that ``ok`` links; at most one for each row and column."""
     out, seen_row, seen_col = [], np.zeros(ok.shape[0], bool), np.zeros(ok.shape[1], bool)
@@ -69,17 +61,42 @@ def _forest(ok: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def _joined(pairs: list[tuple[int, int]], above: list[int]) -> list[tuple[int, int]]:
+    """The ``pairs`` that connect what was apart; ``above`` names a node's parent and is kept up to date."""
+
+    def root(i: int) -> int:
+        while above[i] != i:
+            above[i] = i = above[above[i]]
+        return i
+
+    out = []
+    for i, j in pairs:
+        one, two = root(i), root(j)
+        if one != two:
+            above[one] = two
+            out.append((i, j))
+    return out
+
+
 def _cell(width: int, least: float):
+    # Products of 32-bit floats only pass over pairs that are below the threshold by more than their error.
+    margin = 1e-6 + (width + 4) * 1.2e-7
+
     def run(rows: pa.Table) -> pa.Table:
-        ids, sessions = rows.column("id").to_numpy(zero_copy_only=False), rows.column("session").to_numpy(zero_copy_only=False)
+        ids, block = rows.column("id").to_numpy(zero_copy_only=False), rows.column("block").to_numpy()
+        sessions = rows.column("session").combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
         points = _matrix(rows.column("vec"), width)
-        home, given = (np.flatnonzero(rows.column(c).to_numpy(zero_copy_only=False)) for c in ("home", "given"))
-        found = []
+        home, given = (np.flatnonzero(block == rows.column(c)[0].as_py()) for c in ("ca", "cb"))
+        coarse, above, found = points[given].astype(np.float32), list(range(len(ids))), []
         for at in range(0, len(home), 256):
-            block = home[at : at + 256]
-            ok = (np.round(points[block] @ points[given].T, 6) >= least) & (sessions[block][:, None] != sessions[given][None, :])
-            found += [(ids[block[i]], ids[given[j]]) for i, j in _forest(ok)]
-        return pa.table({"a": pa.array([str(x) for x, _ in found], pa.string()), "b": pa.array([str(x) for _, x in found], pa.string())})
+            here = home[at : at + 256]
+            near = points[here].astype(np.float32) @ coarse.T >= least - margin
+            a, b = here[near.any(1)], given[near.any(0)]
+            if len(a):
+                differ = (sessions[a][:, None] != sessions[b][None, :]) | (sessions[a] < 0)[:, None]
+                ok = (np.round(points[a] @ points[b].T, 6) >= least) & differ
+                found += _joined([(a[i], b[j]) for i, j in _forest(ok)], above)
+        return pa.table({"a": pa.array([str(ids[i]) for i, _ in found], pa.string()), "b": pa.array([str(ids[j]) for _, j in found], pa.string())})
 
     return run
 
@@ -88,62 +105,43 @@ def links(rows: DataFrame, least: float) -> DataFrame:
     """Edges (a, b) that connect the rows (id, session, vec) whose vectors have a cosine of ``least`` (6 places) and whose sessions differ.
 
     Not every pair is given, but rows that pairs connect are connected.  Equal
-    vectors meet as a star of sessions first and go on as one row for each of two
-    sessions, so a vector that very many episodes share is no all-pairs block.
-    The rest is dealt into the regions of the nearest of PIVOTS pivots.  The
-    angle is a metric: a row also goes to other regions whose pivot is at most
-    twice the threshold's angle farther than its own and within that angle of the
-    region's radius.  Regions are cut into cells of CELL rows on a side.  Vectors
-    of other length, and without a direction, have no link.
+    vectors meet as a star of sessions first and go on as one row, without a
+    session if they have several, so a vector that very many episodes share is
+    no all-pairs block.  The rest is dealt into a grid of blocks, of which each
+    two meet in a cell that gives a forest.  Vectors of other length, and without
+    a direction, have no link.
     """
-    x = rows.filter(usable(F.col("vec")) & F.col("id").isNotNull() & F.col("session").isNotNull()).select(F.col("id").cast("string").alias("id"), F.col("session").cast("string").alias("session"), normalized(F.col("vec")).alias("vec"))
+    text = lambda c: F.col(c).cast("string").alias(c)
+    x = rows.filter("vec IS NOT NULL AND id IS NOT NULL AND session IS NOT NULL").select(text("id"), text("session"), "vec")
+    # Sorted and dealt by the hash, which most often tells vectors apart; each is judged and normalized once, however many rows share it.
+    x = x.withColumn("hash", F.xxhash64("vec"))
     first = F.struct("session", "id")
-    ends = x.groupBy("vec").agg(F.min(first).alias("lo"), F.max(first).alias("hi"))
+    given = x.groupBy("hash", "vec").agg(F.min(first).alias("lo"), F.max(first).alias("hi")).filter(usable(F.col("vec")))
+    given = stored(given.withColumn("unit", normalized(F.col("vec"))).withColumn("unit_hash", F.xxhash64("unit")), "given")
+    ends = stored(given.groupBy("unit_hash", "unit").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")), "ends")
     several = F.col("lo.session") != F.col("hi.session")
-    star = x.join(ends.filter(several), "vec").select(F.col("id").alias("a"), F.when(F.col("session") == F.col("lo.session"), F.col("hi.id")).otherwise(F.col("lo.id")).alias("b"))
-    stand = F.when(several, F.array("lo", "hi")).otherwise(F.array("lo"))
-    points = ends.select(F.explode(stand).alias("e"), "vec").select("e.id", "e.session", "vec").withColumn("width", F.size("vec"))
+    of = given.drop("lo", "hi").join(ends, ["unit_hash", "unit"]).select("hash", "vec", "lo", "hi")
+    members = stored(x.join(of, ["hash", "vec"]).filter("id <> lo.id").select("id", "session", "lo", "hi"), "members")
+    star = members.filter(several).select(F.col("id").alias("a"), F.when(F.col("session") == F.col("lo.session"), F.col("hi.id")).otherwise(F.col("lo.id")).alias("b"))
+    points = ends.select(F.col("lo.id").alias("id"), F.when(~several, F.col("lo.session")).alias("session"), F.col("unit").alias("vec"), F.size("unit").alias("width"))
     out = None
-    for width in [r["width"] for r in points.select("width").distinct().collect()]:
-        part = _within(points.filter(F.col("width") == width).drop("width"), width, least)
+    for width, n in [(r["width"], r["n"]) for r in points.groupBy("width").agg(F.count(F.lit(1)).alias("n")).collect()]:
+        part = _within(points.filter(F.col("width") == width).drop("width"), width, n, least)
         out = part if out is None else out.unionByName(part)
     if out is None:
         return star
+    out = stored(out, "links")
     # Equal vectors of one session meet the same others as the one that stands for them.
     linked = out.select("a").unionByName(out.select(F.col("b").alias("a"))).distinct()
-    alike = x.join(ends.filter(~several).select("vec", F.col("lo.id").alias("b")), "vec").join(linked.select(F.col("a").alias("b")), "b", "left_semi")
-    return out.unionByName(star).unionByName(alike.select(F.col("id").alias("a"), "b")).filter("a <> b")
-
-
-def _within(points: DataFrame, width: int, least: float) -> DataFrame:
-    """Edges of ``points`` (id, session, vec) of one length."""
-    sample = points.orderBy(F.xxhash64("vec"), "id").limit(SAMPLE).select("vec").toArrow().column("vec")
-    pivots = _pivots(_matrix(sample, width))
-    reach = math.acos(max(-1.0, min(1.0, least - 1e-6))) + 1e-6
-
-    def angles(batches):
-        for batch in batches:
-            p = np.arccos(np.clip(_matrix(pa.chunked_array([batch.column(2)]), width) @ pivots.T, -1, 1))
-            home = p.argmin(1).astype(np.int32)
-            flat = pa.ListArray.from_arrays(np.arange(0, p.size + 1, len(pivots), dtype=np.int32), pa.array(p.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home), flat], ["id", "session", "vec", "at", "angles"])
-
-    x = points.select("id", "session", "vec").mapInArrow(angles, "id string, session string, vec array<double>, at int, angles array<double>")
-    own = F.element_at("angles", F.col("at") + 1)
-    # At most PIVOTS rows: the radius and the number of rows of each region.
-    held = {r["at"]: r for r in x.groupBy("at").agg(F.max(own).alias("radius"), F.count(F.lit(1)).alias("n")).collect()}
-    radius = F.create_map(*[v for k, r in held.items() for v in (F.lit(k), F.lit(r["radius"]))])
-    down = F.create_map(*[v for k, r in held.items() for v in (F.lit(k), F.lit(math.ceil(r["n"] / CELL)))])
-    angle = lambda r: F.element_at("angles", r + 1)
-    into = F.filter(F.array(*map(F.lit, held)), lambda r: (angle(r) <= own + 2 * reach) & (angle(r) <= radius[r] + reach))
-    spread = x.select("id", "session", "vec", "at", F.explode(into).alias("region"))
-    # A pair is met in the region that is the home of one of its rows; with homes in two regions the lower one suffices.
-    spread = spread.filter(F.col("region") <= F.col("at"))
-    parts = {r["region"]: math.ceil(r["n"] / CELL) for r in spread.groupBy("region").agg(F.count(F.lit(1)).alias("n")).collect()}
-    across = F.create_map(*[v for k, n in parts.items() for v in (F.lit(k), F.lit(n))])
-    deal = lambda m: F.pmod(F.xxhash64("id"), m).cast("int")
-    series = lambda m: F.explode(F.sequence(F.lit(0), m - 1))
-    is_home = F.col("region") == F.col("at")
-    asks = spread.filter(is_home).withColumn("cb", series(across[F.col("region")])).select("region", deal(down[F.col("region")]).alias("ca"), "cb", "id", "session", "vec", F.lit(True).alias("home"), F.lit(False).alias("given"))
-    gives = spread.withColumn("ca", series(down[F.col("region")])).select("region", "ca", deal(across[F.col("region")]).alias("cb"), "id", "session", "vec", F.lit(False).alias("home"), F.lit(True).alias("given"))
-    return asks.unionByName(gives).groupBy("region", "ca", "cb").applyInArrow(_cell(width, least), "a string, b string")
+    alike = members.filter(~several).select(F.col("id").alias("a"), F.col("lo.id").alias("b")).join(linked.select(F.col("a").alias("b")), "b", "left_semi")
+    return out.unionByName(star).unionByName(alike.select("a", "b")).filter("a <> b")
+
+
+def _within(points: DataFrame, width: int, n: int, least: float) -> DataFrame:
+    """Edges of the ``n`` ``points`` (id, session, vec) of one length; a null session differs from all."""
+    side = max(1, min(CELL, COMPONENTS // width))
+    blocks = max(math.ceil(n / side), min(BLOCKS, math.ceil(n / WORTH)))
+    own, other = F.col("block"), F.col("other")
+    dealt = points.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    cells = dealt.select(F.least(own, other).alias("ca"), F.greatest(own, other).alias("cb"), "block", "id", "session", "vec")
+    return cells.groupBy("ca", "cb").applyInArrow(_cell(width, least), "a string, b string")

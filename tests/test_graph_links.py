@@ -106,6 +106,16 @@ def test_links_connect_what_all_pairs_connect(spark, monkeypatch):
     assert links(spark.createDataFrame([], VECTORS), 0.82).collect() == []
 
 
+def test_equal_vectors_stand_as_one_point(spark, monkeypatch):
+    counts, within = [], vector_links._within
+    monkeypatch.setattr(vector_links, "_within", lambda points, *rest: counts.append(points.count()) or within(points, *rest))
+    # Twice a vector is the same direction; the third is near the second, in the session of its rows alone.
+    rows_ = [(f"e{i:02d}", f"s{i % 3}", [1.0 + i % 2, 0.0, 0.0]) for i in range(30)] + [(f"f{i}", "s9", [0.0, 1.0, 0.0]) for i in range(6)] + [("g", "s9", [0.0, 1.0, 0.1]), ("h", "s8", [0.0, 1.0, -0.5])]
+    found = [tuple(x) for x in links(spark.createDataFrame(rows_, VECTORS), 0.82).collect()]
+    assert groups_of(found) == linked_groups(rows_, 0.82)
+    assert counts == [4]
+
+
 def test_reference_cases(spark):
     near = [("a", "s1", [1.0, 0.0, 0.0]), ("b", "s2", [0.95, 0.05, 0.0]), ("c", "s2", [0.0, 1.0, 0.0])]
     assert groups_of([tuple(x) for x in links(spark.createDataFrame(near, VECTORS), 0.82).collect()]) == [("a", "a"), ("b", "a")]
