@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from memspark.library import THIN, Library
-from memspark.operators import curate, retrieval, revisions, rules, texts
+from memspark.operators import curate, entities, evidence, retrieval, revisions, rules, texts
 
 
 def test_equal_rules_and_texts_meet_once(spark):
@@ -93,3 +93,19 @@ def test_sixth_place_by_binary_value(spark):
     low = [n / 1e7 for n in range(1000005, 1999995, 10) if (n / 1e7) * 1e6 < n // 10 + 0.5][:20]
     got = spark.createDataFrame([(x,) for x in low], "x double").select(retrieval.sixth(F.col("x")).alias("y")).collect()
     assert low and [r["y"] for r in got] == [int(x * 1e6) / 1e6 for x in low]
+
+
+def test_evidence_of_some_chunks_from_their_traces_alone(spark):
+    lib = Library(spark, "/root/testdata/sf0.001", params=THIN)
+    only = lib.usage.filter("chunk_id IN ('c3', 'c10', 'c44', 'c71')").select("chunk_id").distinct()
+    near = lib.about(only)
+    assert 0 < near.facts.count() < lib.facts.count() and near.log.count() < lib.log.count()
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    for fold in (evidence.folded, evidence.usage_counts, evidence.context_stats):
+        assert rows(fold(near, only)) == rows(fold(lib, only))
+
+
+def test_tokens_that_may_be_entities_are_found_in_the_text(spark):
+    text = "plain prose  a_b\tsomeName x-1\n`crate::kb` E0123 src/m.rs/ (--max-3) ÀÉ äÖ ab: 7  wide _ " + "long" * 5000
+    row = spark.createDataFrame([(text,), ("",)], "t string").select(F.regexp_extract_all("t", F.lit(entities.LIKELY), F.lit(0)).alias("x")).collect()
+    assert row[0]["x"] == ["a_b", "someName", "x-1", "`crate::kb`", "E0123", "src/m.rs/", "(--max-3)", "äÖ", "ab:", "7", "_"] and row[1]["x"] == []
