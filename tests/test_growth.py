@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from memspark.library import THIN, Library
-from memspark.operators import curate, entities, evidence, retrieval, revisions, rules, texts
+from memspark.operators import curate, distillation, entities, evidence, retrieval, revisions, rules, texts
 
 
 def test_equal_rules_and_texts_meet_once(spark):
@@ -109,3 +109,8 @@ def test_tokens_that_may_be_entities_are_found_in_the_text(spark):
     text = "plain prose  a_b\tsomeName x-1\n`crate::kb` E0123 src/m.rs/ (--max-3) ÀÉ äÖ ab: 7  wide _ " + "long" * 5000
     row = spark.createDataFrame([(text,), ("",)], "t string").select(F.regexp_extract_all("t", F.lit(entities.LIKELY), F.lit(0)).alias("x")).collect()
     assert row[0]["x"] == ["a_b", "someName", "x-1", "`crate::kb`", "E0123", "src/m.rs/", "(--max-3)", "äÖ", "ab:", "7", "_"] and row[1]["x"] == []
+
+
+def test_logs_to_distil_are_sanitised_once(spark):
+    plan = _plan(distillation.distilled_batch(Library(spark, "/root/testdata/sf0.001", params=THIN)))
+    assert plan.count("client_secret[") == 1
