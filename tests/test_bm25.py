@@ -87,3 +87,13 @@ def test_small_blocks_and_pruning_as_one_block(spark, monkeypatch):
     cuts = list(bm25._blocks(work, 5))
     assert [a for a, _ in cuts[1:]] == [b for _, b in cuts[:-1]] and cuts[0][0] == 0 and cuts[-1][1] == 100
     assert all(b - a <= 5 and (b - a == 1 or work[a:b].sum() <= 12) for a, b in cuts)
+
+
+def test_search_page_of_more_hits_than_it_shows(spark):
+    rows = [(f"c{i:03d}", "pending" if i % 2 else "active", "captured", f"w01 {'w02 ' * (i % 4)}" + "z" * 300) for i in range(240)] + [("c500", "active", "captured", "other")] * 3
+    queries = [(1, "w01 w02"), (2, "w02"), (3, "other")]
+    lib = library(spark, rows, queries)
+    shown = {i: (s, text[:280]) for i, s, _, text in rows}
+    got = sorted(map(tuple, retrieval.search_results(lib).collect()))
+    want = [(q, n, i, *shown[i]) for q, n, i, _ in plain(rows, queries, 100)]
+    assert got == sorted(want + [w for w in want if w[2] == "c500"] * 2)
