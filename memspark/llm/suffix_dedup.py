@@ -16,7 +16,8 @@
 4. Merging.  A key with very many pieces is spread over several shards.  What
    windows each of them is left with, all different, are dealt by a hash of the
    whole window, so that equal ones meet and no task gets a whole key, and are
-   looked up in each other's order by binary search.
+   merged in the order of their digests.  They are dealt to as many tasks as
+   their bytes need, however many shards they come from.
 
 A window is a repeat if an equal one starts earlier: in a smaller doc_id, or in
 the same document before it.
@@ -41,6 +42,8 @@ LENGTH, GRAM = 100, 16
 GRAMS = LENGTH - GRAM + 1
 #: Text of a shard when routing, bytes of a shard of suffixes, pieces of one key in a shard, pieces that a task gathers at once.
 ROUTED_BYTES, SUFFIX_BYTES, KEY_PIECES, GATHERED = 1 << 23, 1 << 20, 2000, 1 << 20
+#: Bytes of left windows that a task merges.
+LEFT_BYTES = 1 << 24
 #: A key is frequent from so many times KEY_PIECES pieces on, and from such a share of all; one document in so many is sampled for it, at least and at most.
 OFTEN, SHARE, SAMPLED, SAMPLED_MOST = 8, 1e-5, 64, 8192
 #: Least number of shards that small inputs are spread over.
@@ -377,24 +380,12 @@ def _suffix_shard(shards: int):
 
 
 def merged_lists(lists: list[np.ndarray]) -> np.ndarray:
-    """Which of the windows of several lists (each ordered, without equals) repeat an earlier start, by binary search of each list in the others."""
-    digest = [np.stack([x["one"], x["two"]], axis=1).astype(">u8").view(np.uint8) for x in lists]
-    # Ends of a byte string drop zeros; a final mark keeps all as long as they are.
-    text = [np.concatenate([d, np.ones((len(d), 1), np.uint8)], axis=1).view("S17").ravel() for d in digest]
-    held, names = np.concatenate(lists), np.concatenate(text)
-    late, at = np.zeros(len(held), bool), 0
-    base, base_at = names[:0], np.empty(0, np.int64)
-    for own in text:
-        here = np.arange(at, at + len(own))
-        at += len(own)
-        hit = np.searchsorted(base, own)
-        known = (hit < len(base)) & (base[np.minimum(hit, len(base) - 1)] == own) if len(base) else np.zeros(len(own), bool)
-        there, new = base_at[hit[known]], here[known]
-        earlier = (held["doc"][new] < held["doc"][there]) | ((held["doc"][new] == held["doc"][there]) & (held["start"][new] < held["start"][there]))
-        late[np.where(earlier, there, new)] = True
-        base_at[hit[known]] = np.where(earlier, new, there)
-        place = np.searchsorted(base, own[~known])
-        base, base_at = np.insert(base, place, own[~known]), np.insert(base_at, place, here[~known])
+    """Which of the windows of several lists (each without equals) repeat an earlier start: one sort of them all, by digest, then place."""
+    held = np.concatenate(lists)
+    one, two = held["one"].astype(np.uint64), held["two"].astype(np.uint64)
+    order = np.lexsort((held["start"], held["doc"], two, one))
+    late = np.zeros(len(held), bool)
+    late[order[1:]] = (one[order[1:]] == one[order[:-1]]) & (two[order[1:]] == two[order[:-1]])
     return late
 
 
@@ -420,8 +411,8 @@ def _listed(spans: DataFrame) -> DataFrame:
     return spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "count", "key", "parts")).alias("spans"))
 
 
-def _of(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    return docs.join(F.broadcast(ids) if ids.count() <= SMALL else ids, "doc_id", how)
+def _few(ids: DataFrame) -> bool:
+    return ids.count() <= SMALL
 
 
 def _cut(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -438,7 +429,10 @@ def _cut(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    joined = _of(docs, wanted.select("doc_id").distinct(), "left_semi").join(_listed(wanted), "doc_id").select("doc_id", "text", "spans")
+    ids = wanted.select("doc_id").distinct()
+    # Few documents are found before their texts are shuffled; with many the join itself finds them.
+    held = docs.join(F.broadcast(ids), "doc_id", "left_semi") if _few(ids) else docs
+    joined = held.join(_listed(wanted), "doc_id").select("doc_id", "text", "spans")
     return joined.mapInArrow(run, "key long, doc_id long, start int, count int, parts long, bytes binary").distinct()
 
 
@@ -462,7 +456,9 @@ def repeats(docs: DataFrame) -> DataFrame:
     n = max(SPREAD, math.ceil(size / SUFFIX_BYTES))
     cut = _cut(held, wanted).withColumn("part", F.pmod(F.xxhash64("doc_id", "start"), F.col("parts")))
     cut = cut.withColumn("shard", F.pmod(F.xxhash64("key", "part"), F.lit(n)).cast("int"))
-    compared = written(cut.groupBy("shard").applyInArrow(_suffix_shard(n), _SORTED), "suffixes")
+    spread = wanted.filter("parts > 1").agg(F.sum("count")).first()[0] or 0
+    merging = max(SPREAD, math.ceil(spread * _LEFT.itemsize / LEFT_BYTES))
+    compared = written(cut.groupBy("shard").applyInArrow(_suffix_shard(merging), _SORTED), "suffixes")
     left = compared.filter("kind = 'left'")
     merged = left.groupBy("key").applyInArrow(_merged_shards, _SORTED)
     later = compared.filter("kind = 'repeat'").unionByName(merged)
@@ -480,9 +476,12 @@ def stripped(docs: DataFrame, digest: bool = False) -> DataFrame:
     spans = written(repeats(docs).groupBy("doc_id").agg(F.collect_list(F.struct("start", "count")).alias("spans")), "spans")
     own = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ids = spans.select("doc_id")
-    touched = _of(own, ids, "left_semi").join(spans, "doc_id").select("doc_id", "text", "spans")
-    none = F.lit(None).cast("array<struct<start:int,count:int>>")
-    rows = touched.unionByName(_of(own, ids, "left_anti").select("doc_id", "text", none.alias("spans")))
+    if _few(ids):
+        touched = own.join(F.broadcast(ids), "doc_id", "left_semi").join(spans, "doc_id").select("doc_id", "text", "spans")
+        none = F.lit(None).cast("array<struct<start:int,count:int>>")
+        rows = touched.unionByName(own.join(F.broadcast(ids), "doc_id", "left_anti").select("doc_id", "text", none.alias("spans")))
+    else:
+        rows = own.join(spans, "doc_id", "left").select("doc_id", "text", "spans")
     last = ("kept_sha256", pa.string()) if digest else ("kept", pa.binary())
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), last])
 
