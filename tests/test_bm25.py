@@ -3,6 +3,7 @@
 import math
 import random
 from collections import Counter
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -97,3 +98,17 @@ def test_search_page_of_more_hits_than_it_shows(spark):
     got = sorted(map(tuple, retrieval.search_results(lib).collect()))
     want = [(q, n, i, *shown[i]) for q, n, i, _ in plain(rows, queries, 100)]
     assert got == sorted(want + [w for w in want if w[2] == "c500"] * 2)
+
+
+def test_recall_writes_no_table_of_all_hits(spark, monkeypatch):
+    lib = Library(spark, "/root/testdata/sf0.001", params=replace(THIN, top_k=2))
+    written = {}
+
+    def kept(df, label, write=bm25.stored):
+        written[label] = write(df, label)
+        return written[label]
+
+    monkeypatch.setattr(bm25, "stored", kept)
+    monkeypatch.setattr(retrieval, "stored", kept)
+    assert retrieval.candidates(lib).count() > 0
+    assert written["lexical"].count() * 3 < lib.queries.count() * lib.chunks.filter("state <> 'archived' AND origin <> 'spark'").count()
