@@ -112,3 +112,15 @@ def test_recall_writes_no_table_of_all_hits(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "stored", kept)
     assert retrieval.candidates(lib).count() > 0
     assert written["lexical"].count() * 3 < lib.queries.count() * lib.chunks.filter("state <> 'archived' AND origin <> 'spark'").count()
+
+
+def test_recall_and_reranking_search_once(spark, monkeypatch):
+    rows = [(f"c{i:03d}", "active", "captured", f"w01 {'w02 ' * (i % 5)}") for i in range(80)]
+    lib = library(spark, rows, [(1, "w01 w02"), (2, "w02")])
+    searched = []
+    monkeypatch.setattr(retrieval, "lexical_hits", lambda lib, k, search=retrieval.lexical_hits: searched.append(k) or search(lib, k))
+    monkeypatch.setattr(retrieval, "ranking", lambda lib: retrieval.kept_hits(lib, 3).select("query_id", "chunk_id", "rank"))
+    for k in (40, 10):
+        assert {(r["query_id"], r["rank"], r["chunk_id"], r["lexical"]) for r in retrieval.kept_hits(lib, k).collect()} == plain(rows, [(1, "w01 w02"), (2, "w02")], k)
+    assert all(r["rank"] == r["fused_rank"] for r in retrieval.reranked(lib).collect())
+    assert searched == [40]
